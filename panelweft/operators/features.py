@@ -599,3 +599,27 @@ def prior_dispersion(df: DataFrame, value: str = "residual") -> DataFrame:
     """Cross-sectional deviation per session, and its value one session earlier."""
     s = df.groupBy("session_idx").agg(F.stddev_samp(value).alias("dispersion"))
     return s.withColumn("prior_dispersion", at("dispersion", -1, ALL))
+
+
+def equity_features(df: DataFrame, kalman: DataFrame, market_window, sector_window, reversal, volume_window, max_surprise: float = 5.0, min_peers: int = 2, wide: bool = False) -> DataFrame:
+    """Residual reversal, Kalman innovation and volume/volatility dislocation.
+
+    ``df`` is a research panel (market moments, ``vol``, ``eligible``); ``kalman``
+    holds the per-name innovations. Windows are (sessions, minimum) pairs.
+    """
+    df = market_residual(df, *market_window)
+    df = sector_factor_residual(df, *sector_window, min_peers=min_peers, wide=wide)
+    df = df.join(kalman, ["security_id", "session_idx"], "left")
+    df = df.withColumn("__ki", eligible_only(F.col("innovation")))
+    df = peer_mean(df, "__ki", "__kp", wide=wide, min_peers=min_peers)
+    normal = roll(median, "volume", ts_prior(volume_window[0]), volume_window[1])
+    df = df.withColumn("surprise", clip(ratio(F.col("volume"), positive(normal)), 0.0, max_surprise))
+    raw = {
+        "residual_reversal": -roll(F.sum, "residual", ts(reversal[0]), reversal[1]),
+        "kalman_innovation": -(F.col("innovation") - F.col("__kp")),
+        "dislocation": ratio(-F.col("residual") * F.col("surprise"), positive(F.col("vol"))),
+    }
+    df = df.withColumns({n: eligible_only(c) for n, c in raw.items()}).drop("__ki", "__kp")
+    for n in raw:
+        df = xs_zscore(df, n, n, wide=wide)
+    return df

@@ -615,16 +615,9 @@ def w28(spark, sf):
 
 
 def traded_weeks(spark, sf):
-    """One row per security and calendar session with the quantity (0 if none)."""
-    cal = tb.calendar(spark, sf)
-    hi = cal.agg(F.max("session_idx").alias("hi"))
+    """One row per security and calendar session with the quantity, if any."""
     q = tb.bars(spark, sf).select("security_id", "session_idx", "volume")
-    # every security expands to the calendar: its own rows only, no pairing of names
-    grid = (
-        q.select("security_id").distinct().join(F.broadcast(hi))
-        .select("security_id", F.explode(F.sequence(F.lit(0), "hi")).alias("session_idx"))
-    )
-    return grid.join(q, ["security_id", "session_idx"], "left")
+    return tb.on_calendar(q, tb.shape(spark, sf).sessions)
 
 
 _GRID = """

@@ -65,5 +65,6 @@ def out(ctes: str, body: str, cols: str, digits: int = 6) -> str:
                 "s": f"CAST({name} AS VARCHAR) AS {name}",
             }[kind]
         )
-    head = f"WITH {ctes},\n" if ctes.strip() else "WITH "
+    word = "WITH RECURSIVE" if "UNION ALL" in ctes else "WITH"
+    head = f"{word} {ctes},\n" if ctes.strip() else "WITH "
     return f"{head}final AS (\n{body}\n)\nSELECT {', '.join(sel)} FROM final"

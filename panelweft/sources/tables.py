@@ -8,6 +8,7 @@ Sums are taken over integer units, so they do not depend on row order.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,36 +23,54 @@ BROADCAST_ROWS = 200_000
 
 @dataclass(frozen=True)
 class Shape:
-    """Measured bounds of a panel: names per session and number of sessions."""
+    """Measured bounds of a panel: names per session and the calendar's ends."""
 
     names: int
-    sessions: int
+    first: date
+    last: date
+
+    @property
+    def sessions(self) -> int:
+        return (self.last - self.first).days // 7 + 1
 
     @property
     def wide(self) -> bool:
         return self.names > WIDE_NAMES
 
 
-_shapes: dict[tuple[str, str], Shape] = {}
+_measured: dict[tuple, object] = {}
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def _once(spark: SparkSession, sf: str, what: str, measure):
+    key = (spark.sparkContext.applicationId, sf, what)
+    if key not in _measured:
+        _measured[key] = measure()
+    return _measured[key]
+
+
+def row_count(spark: SparkSession, sf: str, name: str) -> int:
+    """Rows of a table, read from the file footers; measured once per session."""
+    return _once(spark, sf, f"count {name}", lambda: table(spark, sf, name).count())
+
+
 def shape(spark: SparkSession, sf: str) -> Shape:
-    """Names are bounded by the supplier dimension (a footer count), sessions by
-    the date range of the fact table (a one-column scan); measured once."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _shapes:
-        names = table(spark, sf, "supplier").count()
-        weeks = (
+    """Names are bounded by the supplier dimension (a footer count), the calendar
+    by the date range of the fact table (a one-column scan); measured once."""
+
+    def measure():
+        lo, hi = (
             table(spark, sf, "lineitem")
-            .agg(F.date_diff(F.max("l_shipdate"), F.min("l_shipdate")).alias("d"))
-            .first()["d"]
+            .agg(F.min("l_shipdate").cast("date"), F.max("l_shipdate").cast("date"))
+            .first()
         )
-        _shapes[key] = Shape(names, (weeks or 0) // 7 + 2)
-    return _shapes[key]
+        monday = [d - timedelta(days=d.weekday()) for d in (lo, hi)]
+        return Shape(row_count(spark, sf, "supplier"), *monday)
+
+    return _once(spark, sf, "shape", measure)
 
 
 def attach(df: DataFrame, series: DataFrame, on, rows: int, how: str = "left") -> DataFrame:
@@ -61,18 +80,26 @@ def attach(df: DataFrame, series: DataFrame, on, rows: int, how: str = "left") -
     return df.join(side, on, how)
 
 
+def on_calendar(df: DataFrame, sessions: int, by=("security_id",)) -> DataFrame:
+    """One row per key and calendar session; a key expands on its own, no pairing."""
+    grid = df.select(*by).distinct().withColumn(
+        "session_idx", F.explode(F.sequence(F.lit(0), F.lit(sessions - 1)))
+    )
+    return grid.join(df, [*by, "session_idx"], "left")
+
+
 def _week(c: str):
     return F.to_date(F.date_trunc("week", F.col(c)))
 
 
 def calendar(spark: SparkSession, sf: str) -> DataFrame:
     """Weekly sessions between the first and the last shipment."""
-    span = table(spark, sf, "lineitem").agg(
-        F.min("l_shipdate").alias("l_shipdate"), F.max("l_shipdate").alias("hi")
+    sh = shape(spark, sf)
+    return (
+        spark.range(0, sh.sessions, 1, 1)
+        .select(F.col("id").cast("int").alias("session_idx"))
+        .withColumn("session", F.date_add(F.lit(sh.first), F.col("session_idx") * 7))
     )
-    return span.select(
-        F.posexplode(F.sequence(_week("l_shipdate"), _week("hi"), F.expr("interval 7 days")))
-    ).select(F.col("pos").alias("session_idx"), F.col("col").alias("session"))
 
 
 def weekly(spark: SparkSession, sf: str) -> DataFrame:
@@ -89,12 +116,9 @@ def weekly(spark: SparkSession, sf: str) -> DataFrame:
 
 def bars(spark: SparkSession, sf: str) -> DataFrame:
     """security_id, session, session_idx, open, high, low, close, volume."""
-    origin = table(spark, sf, "lineitem").agg(
-        F.to_date(F.date_trunc("week", F.min("l_shipdate"))).alias("origin")
-    )
-    # origin is one row by construction of a global aggregate
-    w = weekly(spark, sf).join(F.broadcast(origin)).withColumn(
-        "session_idx", (F.date_diff("session", "origin") / 7).cast("int")
+    first = F.lit(shape(spark, sf).first)
+    w = weekly(spark, sf).withColumn(
+        "session_idx", (F.date_diff("session", first) / 7).cast("int")
     )
     year = ts(26)
     w = w.withColumn(
