@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Moves exact halves off the rounding boundary, where engines round differently.
+NUDGE = 3e-10
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -30,7 +33,7 @@ def finish(df: DataFrame, digits: int = 6) -> DataFrame:
     for f in df.schema.fields:
         c = F.col(f.name)
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.round(c.cast("double"), digits) + F.lit(0.0)
+            c = F.round(c.cast("double") + F.lit(NUDGE), digits) + F.lit(0.0)
         elif isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
             c = c.cast("bigint")
         elif isinstance(f.dataType, T.DecimalType):
@@ -56,7 +59,7 @@ def out(ctes: str, body: str, cols: str, digits: int = 6) -> str:
         name, kind = item.split(":")
         sel.append(
             {
-                "f": f"round(CAST({name} AS DOUBLE), {digits}) + 0.0 AS {name}",
+                "f": f"round(CAST({name} AS DOUBLE) + {NUDGE}, {digits}) + 0.0 AS {name}",
                 "i": f"CAST({name} AS BIGINT) AS {name}",
                 "d": f"strftime(CAST({name} AS DATE), '%Y-%m-%d') AS {name}",
                 "t": f"strftime({name}, '%Y-%m-%d %H:%M:%S') AS {name}",
