@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelweft.plans import q_features, q_filters, q_temporal  # noqa: F401
+from panelweft.plans import q_features, q_filters, q_ledger, q_temporal  # noqa: F401
 from panelweft.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]
