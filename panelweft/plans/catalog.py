@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from panelweft.plans import q_features, q_filters, q_ledger, q_temporal  # noqa: F401
+from panelweft.plans import (  # noqa: F401
+    q_features,
+    q_filters,
+    q_ledger,
+    q_reports,
+    q_research,
+    q_temporal,
+)
+from panelweft.plans.q_research import flagship
 from panelweft.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]
-
-
-def flagship(spark, sf):
-    return q_features.w10(spark, sf)

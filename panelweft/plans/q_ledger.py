@@ -10,6 +10,7 @@ from panelweft.plans.q_features import ADV, PROJECT_SQL
 from panelweft.plans.q_filters import REGIME_SQL, regimes
 from panelweft.plans.registry import finish, out, query
 from panelweft.plans.sqlbase import RESIDUAL, pct_rank, roll, ts
+from panelweft.session import cut
 from panelweft.sources import tables as tb
 
 EVERY, START, NAV, MIN_NAMES, MAX_NAME = 4, 60, 10_000.0, 20, 0.05
@@ -43,8 +44,10 @@ def targets(spark, sf, df=None, every=EVERY):
 
 def ledger(spark, sf):
     sh = tb.shape(spark, sf)
-    t = targets(spark, sf).select("experiment", "session_idx", "security_id", "weight")
-    scored = scored_panel(spark, sf)
+    # read by targets, returns and risk: frozen once instead of derived three times
+    scored = cut(scored_panel(spark, sf).select(
+        "security_id", "session_idx", "sector", "ret", "beta", "vol", "adv", "score"))
+    t = targets(spark, sf, scored).select("experiment", "session_idx", "security_id", "weight")
     dense = tb.on_calendar(scored.select("security_id", "session_idx", "ret"), sh.sessions)
     risk = scored.select("security_id", "session_idx", "vol", "adv")
     return lg.pnl_ledger(t, dense, risk, sh.sessions - 1, 7, NAV, COSTS)
