@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Calendars longer than this are not broadcast: 100 years of daily sessions fit.
-MAX_CALENDAR = 40_000
+# Calendar-bounded tables up to this many rows may be broadcast.
+BROADCAST_ROWS = 200_000
 
 
 def add_business_days(day: Column, n: int) -> Column:
@@ -31,8 +31,6 @@ def index_sessions(calendar: DataFrame) -> DataFrame:
 
     One window without a partition key: a calendar is a few thousand rows.
     """
-    from pyspark.sql import Window
-
     return calendar.withColumn(
         "session_idx", (F.row_number().over(Window.orderBy("session")) - 1).cast("int")
     )
@@ -41,17 +39,16 @@ def index_sessions(calendar: DataFrame) -> DataFrame:
 def month_end_schedule(calendar: DataFrame, start: str, end: str) -> DataFrame:
     """Last session of each month in range; ``complete`` is false where the
     calendar does not reach into the following month."""
-    last_known = calendar.agg(F.max("session").alias("last_known"))
+    last_known = calendar.agg(F.max("session")).scalar()
     months = (
         calendar.where((F.col("session") >= F.to_date(F.lit(start))))
         .where(F.col("session") <= F.to_date(F.lit(end)))
         .groupBy(F.trunc("session", "month").alias("month"))
         .agg(F.max("session").alias("month_end"), F.count("*").alias("sessions"))
     )
-    # last_known is one row by construction of a global aggregate
-    return months.join(F.broadcast(last_known)).select(
+    return months.select(
         "month",
         "month_end",
         "sessions",
-        (F.col("last_known") > F.last_day("month")).alias("complete"),
+        (last_known > F.last_day("month")).alias("complete"),
     )

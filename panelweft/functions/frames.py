@@ -183,48 +183,58 @@ def xs_min_rank(
     return df.join(ranked, [*keys, value], "left").select(*df.columns, out)
 
 
-def xs_quantile(
-    df: DataFrame, value: str, out: str, q: float, by=SESSION, wide: bool = False, tiles: int = 256
+def xs_quantiles(
+    df: DataFrame, outs: dict[str, tuple[str, float]], by=SESSION, wide: bool = False, tiles: int = 256
 ) -> DataFrame:
-    """Attach the linear-interpolation quantile of the group to every row."""
+    """Attach linear-interpolation quantiles of the group (output -> value, q)."""
     keys = _cols(by)
     if not wide:
-        return df.withColumn(out, F.percentile(value, F.lit(q)).over(xs(keys)))
+        return df.withColumns({o: F.percentile(v, F.lit(q)).over(xs(keys)) for o, (v, q) in outs.items()})
     df = cut(df)
-    cum = _cumulative(df, keys, value, tiles)
-    pos = F.lit(q) * (F.col("__total") - 1)
-    below = F.col("__upto") - F.col("__n")
+    for value in dict.fromkeys(v for v, _ in outs.values()):
+        cum = _cumulative(df, keys, value, tiles)
+        below = F.col("__upto") - F.col("__n")
 
-    def pick(k):
-        return F.max(F.when((below <= k) & (k < F.col("__upto")), F.col(value)))
+        def pick(k):
+            return F.max(F.when((below <= k) & (k < F.col("__upto")), F.col(value)))  # noqa: B023
 
-    got = cum.groupBy(*keys).agg(
-        pick(F.floor(pos)).alias("__lo"),
-        pick(F.ceil(pos)).alias("__hi"),
-        F.max(pos - F.floor(pos)).alias("__frac"),
-    )
-    got = got.select(
-        *keys, (F.col("__lo") + (F.col("__hi") - F.col("__lo")) * F.col("__frac")).alias(out)
-    )
-    return df.join(got, keys, "left").select(*df.columns, out)
+        aggs = []
+        mine = {o: q for o, (v, q) in outs.items() if v == value}
+        for o, q in mine.items():
+            pos = F.lit(q) * (F.col("__total") - 1)
+            lo, hi, frac = pick(F.floor(pos)), pick(F.ceil(pos)), F.max(pos - F.floor(pos))
+            aggs.append((lo + (hi - lo) * frac).alias(o))
+        df = df.join(cum.groupBy(*keys).agg(*aggs), keys, "left")
+    return df
+
+
+def xs_quantile(
+    df: DataFrame, value: str, out: str, q: float, by=SESSION, wide: bool = False, tiles: int = 256
+) -> DataFrame:
+    return xs_quantiles(df, {out: (value, q)}, by, wide, tiles)
+
+
+def xs_zscores(
+    df: DataFrame, values: dict[str, str], by=SESSION, wide: bool = False, bound: float = 3.0, min_count: int = 2
+) -> DataFrame:
+    """Demean and scale each value (mapped to its output) by the sample deviation
+    of the group, then clip; one grouping step for all of them."""
+    aggs: dict[str, Column] = {}
+    for v in values:
+        aggs |= {f"__m_{v}": F.avg(v), f"__d_{v}": F.stddev_samp(v), f"__n_{v}": F.count(v)}
+    st = xs_stats(df, by, wide, **aggs)
+
+    def z(v):
+        scale = F.when((F.col(f"__n_{v}") >= min_count) & (F.col(f"__d_{v}") > 0), F.col(f"__d_{v}"))
+        return clip((F.col(v) - F.col(f"__m_{v}")) / scale, -bound, bound)
+
+    return st.withColumns({o: z(v) for v, o in values.items()}).drop(*aggs)
 
 
 def xs_zscore(
-    df: DataFrame,
-    value: str,
-    out: str,
-    by=SESSION,
-    wide: bool = False,
-    bound: float = 3.0,
-    min_count: int = 2,
+    df: DataFrame, value: str, out: str, by=SESSION, wide: bool = False, bound: float = 3.0, min_count: int = 2
 ) -> DataFrame:
-    """Demean and scale by the sample deviation of the group, then clip."""
-    st = xs_stats(
-        df, by, wide, __m=F.avg(value), __s=F.stddev_samp(value), __c=F.count(value)
-    )
-    scale = F.when((F.col("__c") >= min_count) & (F.col("__s") > 0), F.col("__s"))
-    z = clip((F.col(value) - F.col("__m")) / scale, -bound, bound)
-    return st.withColumn(out, z).drop("__m", "__s", "__c")
+    return xs_zscores(df, {value: out}, by, wide, bound, min_count)
 
 
 def peer_mean(

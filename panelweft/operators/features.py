@@ -29,7 +29,7 @@ from panelweft.functions.frames import (
     xs_quantile,
     xs_rank,
     xs_stats,
-    xs_zscore,
+    xs_zscores,
 )
 
 ALL = ()  # a session-level series: one row per session, bounded by the calendar
@@ -235,17 +235,23 @@ def bar_families(
     return df.withColumns(raw), list(raw)
 
 
-def sector_neutral(df: DataFrame, names: Sequence[str], wide: bool = False) -> DataFrame:
+def sector_neutral(df: DataFrame, names: Sequence[str], wide: bool = False, group: str = "sector", min_count: int = 3) -> DataFrame:
     """Each family less its sector peers, then standardised in the cross-section.
 
-    All families share the (session, sector) and the session grouping, so the
-    narrow plan needs one exchange by session for both steps.
+    All families share two grouping steps, (session, sector) and session, so the
+    narrow plan needs one exchange by session and two windows in total.
     """
-    for n in names:
-        df = less_peer_mean(df, n, n, wide=wide)
-    for n in names:
-        df = xs_zscore(df, n, n, wide=wide)
-    return df
+    df = df.withColumns({n: eligible_only(F.col(n)) for n in names})
+    sums = {f"__s_{n}": F.sum(n) for n in names} | {f"__c_{n}": F.count(n) for n in names}
+    df = xs_stats(df, ("session_idx", group), wide, **sums)
+
+    def less_peers(n):
+        others = F.col(f"__c_{n}") - 1
+        enough = F.col(group).isNotNull() & (others >= min_count - 1)
+        return F.col(n) - F.when(enough, ratio(F.col(f"__s_{n}") - F.col(n), others.cast("double")))
+
+    df = df.withColumns({n: less_peers(n) for n in names}).drop(*sums)
+    return xs_zscores(df, {n: n for n in names}, wide=wide)
 
 
 def log_moves(horizons: Mapping[int, float] | Sequence[int], skip: int) -> dict[int, Column]:
@@ -363,19 +369,34 @@ def asymmetric_tsmom(
     return df.withColumn("sizing_score", ratio(F.col("signal"), positive(F.col("effective_vol"))))
 
 
-def standardised_tail(
-    df: DataFrame, value: str, window: int, minimum: int, q: float = 0.70, sign: float = 1.0,
-    bound: float = 5.0, prefix: str = "",
+def standardised_tails(
+    df: DataFrame, values: Mapping[str, str], window: int, minimum: int, q: float = 0.70, sign: float = 1.0,
+    bound: float = 5.0,
 ) -> DataFrame:
-    """Prior z-score of ``value``, a prior quantile of its size as threshold, and
-    the tanh of values beyond it."""
-    z, th, sg = f"{prefix}z_score", f"{prefix}threshold", f"{prefix}signal"
+    """Per value (mapped to an output prefix): prior z-score, a prior quantile of
+    its size as threshold, and the tanh of values beyond it."""
     f = ts_prior(window)
-    mean, std = roll(F.avg, value, f, minimum), roll(F.stddev_samp, value, f, minimum)
-    df = df.withColumn(z, clip(ratio(F.col(value) - mean, positive(std)), -bound, bound))
-    df = df.withColumn(th, roll(quantile(q), F.abs(F.col(z)), f, minimum))
-    tail = F.when(truth(F.abs(F.col(z)) > F.col(th)), F.tanh(F.col(z)) * sign).otherwise(0.0)
-    return df.withColumn(sg, eligible_only(tail))
+
+    def z(v):
+        mean, std = roll(F.avg, v, f, minimum), roll(F.stddev_samp, v, f, minimum)
+        return clip(ratio(F.col(v) - mean, positive(std)), -bound, bound)
+
+    df = df.withColumns({f"{p}z_score": z(v) for v, p in values.items()})
+    df = df.withColumns(
+        {f"{p}threshold": roll(quantile(q), F.abs(F.col(f"{p}z_score")), f, minimum) for p in values.values()}
+    )
+
+    def tail(p):
+        zc = F.col(f"{p}z_score")
+        return eligible_only(F.when(truth(F.abs(zc) > F.col(f"{p}threshold")), F.tanh(zc) * sign).otherwise(0.0))
+
+    return df.withColumns({f"{p}signal": tail(p) for p in values.values()})
+
+
+def standardised_tail(
+    df: DataFrame, value: str, window: int, minimum: int, q: float = 0.70, sign: float = 1.0
+) -> DataFrame:
+    return standardised_tails(df, {value: ""}, window, minimum, q, sign)
 
 
 def symmetric_position(z: Column, threshold: Column, trend: Column) -> Column:
@@ -421,8 +442,7 @@ def dislocation_families(
     names = {"gap": "__gap", "intraday": "__day", "shock": "__shock"}
     for out, src in names.items():
         df = less_group_median(df, src, f"{out}_raw", wide=wide)
-    for out in names:
-        df = standardised_tail(df, f"{out}_raw", window, minimum, prefix=f"{out}_")
+    df = standardised_tails(df, {f"{out}_raw": f"{out}_" for out in names}, window, minimum)
     return df.drop("__gap", "__day", "__sur", "__grp", "__shock")
 
 
@@ -466,8 +486,7 @@ def core_reversal(df: DataFrame, spans=((1, 1), (3, 3), (5, 5)), wide: bool = Fa
     """-(0.5 z1 + 0.3 z3 + 0.2 z5) and -z3 of residual sums."""
     for n, k in spans:
         df = df.withColumn(f"__s{n}", eligible_only(roll(F.sum, "residual", ts(n), k)))
-    for n, _ in spans:
-        df = xs_zscore(df, f"__s{n}", f"__z{n}", wide=wide)
+    df = xs_zscores(df, {f"__s{n}": f"__z{n}" for n, _ in spans}, wide=wide)
     z1, z3, z5 = (F.col(f"__z{n}") for n, _ in spans)
     return df.withColumns({"core": -(0.5 * z1 + 0.3 * z3 + 0.2 * z5), "reference": -z3}).drop(
         *[f"__s{n}" for n, _ in spans], *[f"__z{n}" for n, _ in spans]
@@ -620,6 +639,4 @@ def equity_features(df: DataFrame, kalman: DataFrame, market_window, sector_wind
         "dislocation": ratio(-F.col("residual") * F.col("surprise"), positive(F.col("vol"))),
     }
     df = df.withColumns({n: eligible_only(c) for n, c in raw.items()}).drop("__ki", "__kp")
-    for n in raw:
-        df = xs_zscore(df, n, n, wide=wide)
-    return df
+    return xs_zscores(df, {n: n for n in raw}, wide=wide)

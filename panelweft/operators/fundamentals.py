@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelweft.functions.dates import add_business_days
-from panelweft.functions.frames import positive, ratio, xs_quantile, xs_rank, xs_stats
+from panelweft.functions.frames import positive, ratio, xs_quantiles, xs_rank, xs_stats
 from panelweft.operators.temporal import prior_vintage_growth, scd_join
 
 # Standard concept names and the measures they feed.
@@ -115,18 +115,24 @@ def fundamental_scores(
     ranked to [-1, 1] where five or more names are present, then averaged.
     """
     by = ("session_idx", "sector")
-    df = expanded
+    df = xs_quantiles(expanded, {f"__lo_{c}": (c, 0.01) for c in components} | {f"__hi_{c}": (c, 0.99) for c in components}, by, wide)
+
+    def winsorised(c):
+        v = F.least(F.greatest(F.col(c), F.col(f"__lo_{c}")), F.col(f"__hi_{c}"))
+        return F.round(F.when(F.col(c).isNotNull(), v), 9)
+
+    df = df.withColumns({f"__v_{c}": winsorised(c) for c in components})
+    df = df.drop(*[f"__{e}_{c}" for e in ("lo", "hi") for c in components])
     for c in components:
-        df = xs_quantile(df, c, "__lo", 0.01, by, wide)
-        df = xs_quantile(df, c, "__hi", 0.99, by, wide)
-        v = F.when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c), F.col("__lo")), F.col("__hi")))
-        df = df.withColumn("__v", F.round(v, 9)).drop("__lo", "__hi")
-        df = xs_rank(df, "__v", "__k", by, wide, pct=False)
-        df = xs_stats(df, by, wide, __n=F.count("__v"))
-        n = F.col("__n")
-        df = df.withColumn(f"{c}_rank", F.when(n >= 5, (F.col("__k") - (n + 1) / 2) / ((n - 1) / 2))).drop(
-            "__v", "__k", "__n"
-        )
+        df = xs_rank(df, f"__v_{c}", f"__k_{c}", by, wide, pct=False)
+    df = xs_stats(df, by, wide, **{f"__n_{c}": F.count(f"__v_{c}") for c in components})
+
+    def centred(c):
+        n = F.col(f"__n_{c}")
+        return F.when(n >= 5, (F.col(f"__k_{c}") - (n + 1) / 2) / ((n - 1) / 2))
+
+    df = df.withColumns({f"{c}_rank": centred(c) for c in components})
+    df = df.drop(*[f"__{e}_{c}" for e in ("v", "k", "n") for c in components])
     ranks = [F.col(f"{c}_rank") for c in components]
 
     def mean(cols, out):

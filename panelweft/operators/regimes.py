@@ -121,18 +121,11 @@ def state_cost_multipliers(series: DataFrame, reference: tuple[int, int]) -> Dat
 
 
 def train_cdf(series: DataFrame, value: str, train_end: int, out: str = "percentile") -> DataFrame:
-    """Share of train observations at or below each value of the series.
-
-    The sorted train sample is collected as one array of session values; the
-    series is bounded by the calendar.
-    """
+    """Share of train observations at or below each value of the series."""
     train = F.when(F.col("session_idx") <= train_end, F.col(value))
-    ref = F.collect_list(train).over(ts_all())
-    s = series.withColumn("__ref", ref)
-    hits = F.size(F.filter("__ref", lambda v: v <= F.col(value)))
-    return s.withColumn(
-        out, F.when(F.col(value).isNotNull(), ratio(hits.cast("double"), F.size("__ref").cast("double")))
-    ).drop("__ref")
+    upto = F.count(train).over(ts_all().orderBy(value))  # peers included
+    share = ratio(upto.cast("double"), F.count(train).over(ts_all()).cast("double"))
+    return series.withColumn(out, F.when(F.col(value).isNotNull(), share))
 
 
 def stress_scalar(p: Column) -> Column:

@@ -241,12 +241,11 @@ def interaction_summary(events: DataFrame, by: Sequence[str] = ("experiment",))
     )
 
 
-def metric_deltas(metrics: DataFrame, reference: str, values: Sequence[str], key: str = "experiment", by: Sequence[str] = ()) -> DataFrame:
-    """Candidate minus reference metrics."""
+def metric_deltas(metrics: DataFrame, reference: str, values: Sequence[str], by: Sequence[str], key: str = "experiment") -> DataFrame:
+    """Candidate minus reference metrics within each ``by`` group."""
     by = list(by)
     ref = metrics.where(F.col(key) == reference).select(*by, *[F.col(v).alias(f"__{v}") for v in values])
-    joined = metrics.join(F.broadcast(ref), by) if by else metrics.join(F.broadcast(ref))
-    return joined.select(key, *by, *[(F.col(v) - F.col(f"__{v}")).alias(f"{v}_delta") for v in values])
+    return metrics.join(ref, by).select(key, *by, *[(F.col(v) - F.col(f"__{v}")).alias(f"{v}_delta") for v in values])
 
 
 def selection_table(metrics: DataFrame, order: Sequence[Column], near: str | None = None, tolerance: float = 0.02, key: str = "experiment") -> DataFrame:

@@ -10,9 +10,25 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelweft.functions.dates import BROADCAST_ROWS
+
+
+class Bounded(NamedTuple):
+    """A small table with a measured bound on its rows."""
+
+    df: DataFrame
+    rows: int
+
+    def side(self, *cols) -> DataFrame:
+        """Columns for a join; broadcast only while the bound allows it."""
+        picked = self.df.select(*cols)
+        return F.broadcast(picked) if self.rows <= BROADCAST_ROWS else picked
+
 
 def visible_as_of(revisions: DataFrame, decision: Column, event: str = "event_id", ties: Sequence[str] = ()) -> DataFrame:
     """Rows known and effective at ``decision``, reduced to the latest revision
@@ -30,11 +46,11 @@ def current_state(events: DataFrame, key: str = "security_id", ties: Sequence[st
     return events.groupBy(key).agg(F.max_by(payload, order).alias("__p")).select(key, "__p.*")
 
 
-def day_map(calendar: DataFrame, lookback_days: int, sessions: int) -> DataFrame:
+def day_map(calendar: DataFrame, lookback_days: int, span_days: int) -> Bounded:
     """Every calendar day -> index of the first session on or after it.
 
-    Turns a date into a session position by an equality join; its size is the
-    day span of the calendar plus ``lookback_days``.
+    Turns a date into a session position by an equality join. ``span_days`` is
+    the measured length of the calendar.
     """
     w = Window.orderBy("session")  # calendar only
     prev = F.lag("session").over(w)
@@ -47,20 +63,20 @@ def day_map(calendar: DataFrame, lookback_days: int, sessions: int) -> DataFrame
         F.explode(F.sequence(F.date_add("m", 1), F.date_add("m", lookback_days))).alias("day"),
         (F.col("i") + 1).alias("from_idx"),
     )
-    return days.unionByName(beyond)
+    return Bounded(days.unionByName(beyond), span_days + 2 * lookback_days)
 
 
-def expand_intervals(df: DataFrame, days: DataFrame, start: str, stop: str, lookback: bool = True) -> DataFrame:
+def expand_intervals(df: DataFrame, days: Bounded, start: str, stop: str) -> DataFrame:
     """One row per session of ``[start, stop)``; both are dates inside the map."""
-    s = days.select(F.col("day").alias(start), F.col("from_idx").alias("__s"))
-    e = days.select(F.col("day").alias(stop), F.col("from_idx").alias("__e"))
-    df = df.join(F.broadcast(s), start).join(F.broadcast(e), stop)
+    s = days.side(F.col("day").alias(start), F.col("from_idx").alias("__s"))
+    e = days.side(F.col("day").alias(stop), F.col("from_idx").alias("__e"))
+    df = df.join(s, start).join(e, stop)
     df = df.where(F.col("__s") < F.col("__e"))
     return df.withColumn("session_idx", F.explode(F.sequence(F.col("__s"), F.col("__e") - 1))).drop("__s", "__e")
 
 
 def asof_events(
-    events: DataFrame, key: str, at: str, days: DataFrame, max_age_days: int | None,
+    events: DataFrame, key: str, at: str, days: Bounded, max_age_days: int | None,
     horizon: Column, ties: Sequence[str] = (),
 ) -> DataFrame:
     """Carry each key's latest event onto sessions while it is no older than
@@ -130,7 +146,7 @@ def scd_join(left: DataFrame, scd: DataFrame, key: str, day: str, inclusive: boo
 
 
 def membership_daily(
-    membership: DataFrame, scd: DataFrame, days: DataFrame, calendar: DataFrame, horizon: Column
+    membership: DataFrame, scd: DataFrame, days: Bounded, calendar: Bounded, horizon: Column
 ) -> DataFrame:
     """Members per session with the ticker valid that day, one row per member.
 
@@ -140,7 +156,7 @@ def membership_daily(
     m = membership.withColumn("__stop", F.least(F.coalesce("removal_date", horizon), horizon))
     m = m.where(F.col("effective_date") < F.col("__stop"))
     per_session = expand_intervals(m, days, "effective_date", "__stop").select("cik", "session_idx").distinct()
-    per_session = per_session.join(F.broadcast(calendar), "session_idx")
+    per_session = per_session.join(calendar.side("session_idx", "session"), "session_idx")
     primary = scd.where(F.coalesce("is_primary_ticker", F.lit(False)))
     got = scd_join(per_session, primary, "cik", "session")
     pick = F.min_by(F.struct("entity_id", "symbol", "sector"), F.struct("valid_from", "symbol"))

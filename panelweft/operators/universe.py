@@ -104,10 +104,10 @@ def select_top(audit: DataFrame, size: int, minimum: int, amount: str = "median_
     """Mark the ``size`` most liquid eligible names; none if fewer than
     ``minimum`` are eligible."""
     best = audit.where("eligible").orderBy(F.round(amount, 6).desc(), name).limit(size).select(name)
-    enough = best.agg((F.count("*") >= minimum).alias("__enough"))
-    # at most ``size`` names and one flag
-    marked = audit.join(F.broadcast(best.withColumn("__top", F.lit(True))), name, "left").join(F.broadcast(enough))
-    return marked.withColumn("selected", truth(F.col("__top") & F.col("__enough"))).drop("__top", "__enough")
+    enough = best.agg(F.count("*") >= minimum).scalar()
+    # at most ``size`` names
+    marked = audit.join(F.broadcast(best.withColumn("__top", F.lit(True))), name, "left")
+    return marked.withColumn("selected", truth(F.col("__top") & enough)).drop("__top")
 
 
 def screen(df: DataFrame, latest_idx: int, recent: int, policy: UniversePolicy) -> DataFrame:

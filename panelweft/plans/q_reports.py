@@ -571,7 +571,7 @@ def a37m(spark, sf):
         "experiment:s segment:s sharpe_delta:f max_drawdown_delta:f"),
 )
 def a38(spark, sf):
-    return finish(rp.metric_deltas(seg_metrics(spark, sf), "ASIA", ["sharpe", "max_drawdown"], by=["segment"]))
+    return finish(rp.metric_deltas(seg_metrics(spark, sf), "ASIA", ["sharpe", "max_drawdown"], ["segment"]))
 
 
 _SEL = _SEGM + ", se AS (SELECT *, sharpe > 0 AND max_drawdown > -0.9 AS eligible FROM sm WHERE segment = 'train')"

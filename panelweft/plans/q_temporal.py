@@ -46,7 +46,8 @@ md AS (SELECT c.session, c.session_idx, m.cik, s.entity_id, s.symbol, s.sector F
 
 
 def days(spark, sf, lookback=450):
-    return tp.day_map(tb.calendar(spark, sf), lookback, tb.shape(spark, sf).sessions)
+    sh = tb.shape(spark, sf)
+    return tp.day_map(tb.calendar(spark, sf), lookback, (sh.last - sh.first).days)
 
 
 def expanded_filings(spark, sf):
@@ -104,7 +105,8 @@ def j03(spark, sf):
 
 def members(spark, sf):
     return tp.membership_daily(
-        ev.membership(spark, sf), ev.scd_map(spark, sf), days(spark, sf, 3000), tb.calendar(spark, sf), ev.horizon(spark, sf)
+        ev.membership(spark, sf), ev.scd_map(spark, sf), days(spark, sf, 3000),
+        tp.Bounded(tb.calendar(spark, sf), tb.shape(spark, sf).sessions), ev.horizon(spark, sf),
     )
 
 
@@ -152,7 +154,7 @@ def j06(spark, sf):
     joined = tp.validated_left_join(li, od.where("o_orderstatus <> 'P'").select("key"), ["key"])
     a = joined.agg(F.count("*").alias("rows_left"), F.sum(F.col("matched").cast("int")).alias("matched"))
     b = tp.key_violations(od, ["key"]).agg(F.count("*").alias("duplicate_keys"))
-    return finish(a.join(F.broadcast(b)))  # one row each
+    return finish(a.withColumn("duplicate_keys", b.scalar()))
 
 
 @query(

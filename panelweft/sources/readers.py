@@ -192,7 +192,7 @@ def scan_ticker_map(spark: SparkSession, path: str) -> DataFrame:
 def parse_holdings_csv(lines: DataFrame, file: str = "file", line: str = "line", value: str = "value") -> DataFrame:
     """Issuer CSV with preamble: rows after the header line, equities only."""
     head = lines.where(F.col(value).startswith("Ticker,Name")).groupBy(file).agg(F.min(line).alias("__head"))
-    body = lines.join(F.broadcast(head), file).where(F.col(line) > F.col("__head"))  # one row per file
+    body = lines.join(head, file).where(F.col(line) > F.col("__head"))
     parts = F.split(F.col(value), ",")
     body = body.where(F.size(parts) == 4)
     cols = body.select(file, line, *[parts[i].alias(n) for i, n in enumerate(("ticker", "name", "sector", "asset_class"))])

@@ -13,12 +13,11 @@ from datetime import date, timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelweft.functions.dates import BROADCAST_ROWS
 from panelweft.functions.frames import at, ratio, ts, ts_between
 
 # A cross-section up to this many names is handled by one window task.
 WIDE_NAMES = 1_000_000
-# Session-level tables up to this many rows may be broadcast.
-BROADCAST_ROWS = 200_000
 
 
 @dataclass(frozen=True)
