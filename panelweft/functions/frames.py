@@ -102,6 +102,8 @@ def xs_stats(df: DataFrame, by, wide: bool = False, **aggs: Column) -> DataFrame
     keys = _cols(by)
     if not wide:
         return df.withColumns({n: a.over(xs(keys)) for n, a in aggs.items()})
+    # frozen: chained statistics would otherwise recompute their input twice each
+    df = cut(df)
     stats = df.groupBy(*keys).agg(*[a.alias(n) for n, a in aggs.items()])
     renamed = stats.select(*[F.col(k).alias(f"__{k}") for k in keys], *aggs)
     cond = None

@@ -1,0 +1,110 @@
+"""Cross-section helpers: narrow and wide plans agree with pandas."""
+
+import numpy as np
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from panelweft.functions import frames as fr
+from panelweft.operators import features as ft
+from panelweft.operators import folds as fo
+
+
+@pytest.fixture(scope="module")
+def panel():
+    rng = np.random.default_rng(3)
+    rows = []
+    for s in range(12):
+        for k in range(40):
+            v = None if rng.random() < 0.1 else float(np.round(rng.normal(), 1))
+            rows.append((s, f"n{k}", "ab"[k % 2], v))
+    # one session holds a third of all rows, with one very frequent value
+    rows += [(99, f"h{k}", "ab"[k % 2], 0.5 if k % 3 else float(k)) for k in range(240)]
+    return pd.DataFrame(rows, columns=["session_idx", "security_id", "sector", "x"])
+
+
+def _pandas(df):
+    out = df.toPandas().sort_values(["session_idx", "security_id"]).reset_index(drop=True)
+    return out
+
+
+@pytest.mark.parametrize("wide", [False, True])
+def test_rank_quantile_zscore(spark, panel, wide):
+    df = spark.createDataFrame(panel.astype(object).where(panel.notna(), None), "session_idx int, security_id string, sector string, x double")
+    got = fr.xs_rank(df, "x", "p", wide=wide, tiles=4)
+    got = fr.xs_quantiles(got, {"q": ("x", 0.3), "m": ("x", 0.5)}, wide=wide, tiles=4)
+    got = fr.xs_min_rank(got, "x", "d", wide=wide, tiles=4)
+    got = fr.xs_zscore(got, "x", "z", wide=wide)
+    got = fr.peer_mean(got, "x", "peer", wide=wide)
+    got = _pandas(got)
+    want = panel.sort_values(["session_idx", "security_id"]).reset_index(drop=True)
+    g = want.groupby("session_idx")["x"]
+    assert len(got) == len(want)
+    np.testing.assert_allclose(got["p"], g.rank(pct=True), equal_nan=True)
+    np.testing.assert_allclose(got["q"], g.transform(lambda v: v.quantile(0.3)))
+    np.testing.assert_allclose(got["m"], g.transform("median"))
+    np.testing.assert_allclose(got["d"].astype(float), g.rank(ascending=False, method="min"), equal_nan=True)
+    np.testing.assert_allclose(got["z"], ((want["x"] - g.transform("mean")) / g.transform("std")).clip(-3, 3), equal_nan=True)
+    gs = want.groupby(["session_idx", "sector"])["x"]
+    np.testing.assert_allclose(got["peer"], (gs.transform("sum") - want["x"]) / (gs.transform("count") - 1), equal_nan=True, atol=1e-12)
+
+
+@pytest.mark.parametrize("wide", [False, True])
+def test_projection_equals_least_squares(spark, wide):
+    rng = np.random.default_rng(5)
+    n = 60
+    pdf = pd.DataFrame({"session_idx": 1, "security_id": [f"s{i}" for i in range(n)], "sector": list("abc") * 20, "s": rng.normal(size=n), "beta": rng.normal(1, 0.3, n)})
+    got = ft.sector_projection(spark.createDataFrame(pdf), "s", "beta", "r", wide=wide).toPandas().sort_values("security_id")
+    pdf = pdf.sort_values("security_id")
+    x = np.column_stack([pd.get_dummies(pdf["sector"], dtype=float), pdf["beta"]])
+    want = pdf["s"] - x @ np.linalg.lstsq(x, pdf["s"], rcond=None)[0]
+    np.testing.assert_allclose(got["r"], want, atol=1e-10)
+
+
+def test_orthogonalise_equals_stepwise_least_squares(spark):
+    rng = np.random.default_rng(7)
+    n = 80
+    base = rng.normal(size=n)
+    pdf = pd.DataFrame({"session_idx": 1, "security_id": [f"s{i:02d}" for i in range(n)], "eligible": True,
+                        "a": base, "b": base + rng.normal(size=n), "c": rng.normal(size=n) - base})
+    got = fo.orthogonalise(spark.createDataFrame(pdf), ["a", "b", "c"], 50).toPandas().sort_values("security_id")
+    prior = []
+    for f in "abc":
+        v = pdf[f].to_numpy()
+        d = np.column_stack([np.ones(n), *prior])
+        r = v - d @ np.linalg.lstsq(d, v, rcond=None)[0]
+        z = np.clip((r - r.mean()) / r.std(ddof=1), -3, 3)
+        np.testing.assert_allclose(got[f], z, atol=1e-9)
+        prior.append(z)
+
+
+def test_tails_keep_thirty_of_a_hundred(spark):
+    pdf = pd.DataFrame({"session_idx": 1, "security_id": [f"s{i:03d}" for i in range(100)], "x": np.arange(100.0), "eligible": True})
+    kept = ft.kept_tails(spark.createDataFrame(pdf), "x", "k", 0.15).where("k IS NOT NULL").toPandas()["k"]
+    assert sorted(kept) == [*map(float, range(15)), *map(float, range(85, 100))]
+
+
+def test_past_does_not_move_when_the_future_changes(spark):
+    rng = np.random.default_rng(11)
+    pdf = pd.DataFrame([(s, f"n{k}", float(rng.normal(0, 0.02)), 0.01 * np.sin(s)) for s in range(80) for k in range(4)],
+                       columns=["session_idx", "security_id", "ret", "market"])
+
+    def run(p):
+        df = spark.createDataFrame(p)
+        df = df.withColumn("b", ft.prior_slope("ret", "market", 20, 20)).withColumn("v", fr.roll(F.stddev_samp, "ret", fr.ts_prior(10), 5))
+        k = fo.kalman_prior(df, "ret", "market", fo.KalmanSettings(warmup=5))
+        df = df.join(k, ["security_id", "session_idx"])
+        return df.where("session_idx <= 50").select("session_idx", "security_id", "b", "v", "kalman_beta", "innovation")
+
+    full, cutoff = run(pdf), run(pdf[pdf["session_idx"] <= 50])
+    shocked = pdf.copy()
+    shocked.loc[shocked["session_idx"] > 50, "ret"] = 9.0
+    assert full.exceptAll(cutoff).count() == 0
+    assert run(shocked).exceptAll(full).count() == 0
+
+
+def test_label_needs_every_component(spark):
+    pdf = pd.DataFrame({"security_id": "a", "session_idx": [0, 1, 2, 4, 5, 6], "ret": [0.1] * 6})
+    got = {r["session_idx"]: r["y"] for r in spark.createDataFrame(pdf).withColumn("y", ft.forward_label("ret", 2)).collect()}
+    assert got[0] == pytest.approx(0.21) and got[4] == pytest.approx(0.21)
+    assert got[1] is None and got[2] is None and got[6] is None
