@@ -82,6 +82,14 @@ def positive(col: Column) -> Column:
     return F.when(col > 0, col)
 
 
+def snap(col, digits: int) -> Column:
+    """Round half away from zero on a decimal grid in double arithmetic (``round``
+    on a double goes through a decimal object per value)."""
+    scale = float(10**digits)
+    c = F.col(col) if isinstance(col, str) else col
+    return F.signum(c) * F.floor(F.abs(c) * scale + 0.5) / scale
+
+
 def ratio(num: Column, den: Column) -> Column:
     return F.try_divide(num, den)
 

@@ -21,6 +21,7 @@ from panelweft.functions.frames import (
     quantile,
     ratio,
     roll,
+    snap,
     truth,
     ts,
     ts_between,
@@ -167,7 +168,7 @@ def candidate_scores(
         | {f"momentum_{n}_skip_{s}": trailing("residual", n, k, s) for n, s, k in momenta}
     )
     for name in blend:
-        df = df.withColumn(name, F.round(name, 9))
+        df = df.withColumn(name, snap(name, 9))
         df = xs_rank(df, name, f"__{name}", wide=wide)
     total = F.col(f"__{blend[0]}") + F.col(f"__{blend[1]}") - 1
     return df.withColumn("blend", total).drop(*[f"__{n}" for n in blend])
@@ -204,7 +205,7 @@ def path_signals(
         more[f"intraday_{n}"] = roll(F.sum, "__id", ts(n), k)
     df = df.withColumns(more).drop("__on", "__id")
     a, b = f"to_high_{high[0]}", f"low_vol_{vols[0][0]}"
-    df = df.withColumns({"__a": F.round(a, 9), "__b": F.round(b, 9)})
+    df = df.withColumns({"__a": snap(a, 9), "__b": snap(b, 9)})
     df = xs_rank(xs_rank(df, "__a", "__ra", wide=wide), "__b", "__rb", wide=wide)
     return df.withColumn("blend_high_defensive", F.col("__ra") + F.col("__rb") - 1).drop(
         "__a", "__b", "__ra", "__rb"
@@ -471,7 +472,7 @@ def distribution_carry(
 ) -> DataFrame:
     """Trailing event yield, centred percentile rank in the sleeve, inverse-vol size."""
     df = df.withColumn("trailing_yield", roll(F.sum, "event_yield", ts(window[0]), window[1]))
-    df = df.withColumn("__u", eligible_only(F.round("trailing_yield", 9)))
+    df = df.withColumn("__u", eligible_only(snap("trailing_yield", 9)))
     by = ("session_idx", group)
     df = xs_rank(df, "__u", "__r", by=by, wide=wide)
     df = xs_stats(df, by, wide, __n=F.count("__u"), __m=F.avg("__r"))

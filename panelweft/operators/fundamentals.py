@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelweft.functions.dates import add_business_days
-from panelweft.functions.frames import positive, ratio, xs_quantiles, xs_rank, xs_stats
+from panelweft.functions.frames import positive, ratio, snap, xs_quantiles, xs_rank, xs_stats
 from panelweft.operators.temporal import prior_vintage_growth, scd_join
 
 # Standard concept names and the measures they feed.
@@ -119,7 +119,7 @@ def fundamental_scores(
 
     def winsorised(c):
         v = F.least(F.greatest(F.col(c), F.col(f"__lo_{c}")), F.col(f"__hi_{c}"))
-        return F.round(F.when(F.col(c).isNotNull(), v), 9)
+        return snap(F.when(F.col(c).isNotNull(), v), 9)
 
     df = df.withColumns({f"__v_{c}": winsorised(c) for c in components})
     df = df.drop(*[f"__{e}_{c}" for e in ("lo", "hi") for c in components])

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelweft.functions.frames import positive, ratio, truth, xs_rank, xs_stats
+from panelweft.functions.frames import positive, ratio, snap, truth, xs_rank, xs_stats
 from panelweft.operators.features import sector_projection
 from panelweft.session import cut
 
@@ -319,7 +319,7 @@ def step_search(
         "objective", F.col("expected") - risk_aversion * F.col("variance") - F.col("cost")
     )
     # rounding keeps the choice among equal objectives with the smaller step
-    best = F.max_by(F.struct("step", "objective", "gross", "turnover", "cost", "expected", "variance"), F.struct(F.round("objective", 12), -F.col("k")))
+    best = F.max_by(F.struct("step", "objective", "gross", "turnover", "cost", "expected", "variance"), F.struct(snap("objective", 12), -F.col("k")))
     return agg.groupBy(*by).agg(best.alias("__b"), F.max("step").alias("largest_feasible_step")).select(*by, "__b.*", "largest_feasible_step")
 
 

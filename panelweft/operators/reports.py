@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelweft.functions.frames import finite, positive, ratio, truth
+from panelweft.functions.frames import finite, positive, ratio, snap, truth
 
 
 def segments(spark: SparkSession, table: Sequence[tuple[str, str, str]]) -> DataFrame:
@@ -135,7 +135,7 @@ def concentration(totals: DataFrame, by: Sequence[str], name: str = "value", amo
     only passes ``top`` rows on.
     """
     by = list(by)
-    w = Window.partitionBy(*by).orderBy(F.round(F.abs(F.col(amount)), 12).desc(), F.col(name))
+    w = Window.partitionBy(*by).orderBy(snap(F.abs(F.col(amount)), 12).desc(), F.col(name))
     lead = totals.withColumn("__rk", F.row_number().over(w)).where(F.col("__rk") <= top)
     names = lead.groupBy(*by).agg(
         F.sum(F.abs(F.col(amount))).alias("__top"),
@@ -143,8 +143,8 @@ def concentration(totals: DataFrame, by: Sequence[str], name: str = "value", amo
     )
     whole = totals.groupBy(*by).agg(
         F.sum(F.abs(F.col(amount))).alias("__all"),
-        F.max_by(name, F.struct(F.round(amount, 12), name)).alias("largest_positive"),
-        F.min_by(name, F.struct(F.round(amount, 12), name)).alias("largest_negative"),
+        F.max_by(name, F.struct(snap(amount, 12), name)).alias("largest_positive"),
+        F.min_by(name, F.struct(snap(amount, 12), name)).alias("largest_negative"),
     )
     return names.join(whole, by).withColumn("top_share", ratio(F.col("__top"), positive(F.col("__all")))).drop("__top", "__all")
 
@@ -152,7 +152,7 @@ def concentration(totals: DataFrame, by: Sequence[str], name: str = "value", amo
 def top_fraction(totals: DataFrame, by: Sequence[str], amount: str, name: str, fraction: float = 0.05, floor: bool = False) -> DataFrame:
     """The largest ``fraction`` of contributors (rounded up, or down)."""
     by = list(by)
-    w = Window.partitionBy(*by).orderBy(F.round(amount, 12).desc(), F.col(name))
+    w = Window.partitionBy(*by).orderBy(snap(amount, 12).desc(), F.col(name))
     n = F.count("*").over(Window.partitionBy(*by))
     most = F.floor(n * fraction) if floor else F.ceil(n * fraction)
     return totals.withColumn("__m", most).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= F.col("__m")).drop("__m")
@@ -277,7 +277,7 @@ def gate(metrics: DataFrame, rules: Sequence[tuple[str, str, str, float]]) -> Da
 
 def capped_greedy_mean(rows: DataFrame, value: str, name: str, by: Sequence[str], cap: float = 0.6) -> DataFrame:
     """Largest mean reachable with at most ``cap`` per sleeve: fill in order."""
-    w = Window.partitionBy(*by).orderBy(F.round(value, 12).desc(), F.col(name))
+    w = Window.partitionBy(*by).orderBy(snap(value, 12).desc(), F.col(name))
     rank = F.row_number().over(w)
     weight = F.greatest(F.least(F.lit(cap), 1 - cap * (rank - 1)), F.lit(0.0))
     ranked = rows.where(F.col(value).isNotNull()).withColumn("__w", weight)

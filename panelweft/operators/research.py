@@ -10,14 +10,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelweft.functions.frames import finite, positive, ratio, xs_rank
+from panelweft.functions.frames import finite, positive, ratio, snap, xs_rank
 
 
 def daily_ic(df: DataFrame, score: str, label: str, by: Sequence[str] = ("session_idx",), wide: bool = False) -> DataFrame:
     """Pearson and Spearman correlation per session over rows with both values."""
     by = list(by)
     both = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).select(*by, score, label)
-    both = both.withColumns({"__s": F.round(score, 9), "__l": F.round(label, 9)})
+    both = both.withColumns({"__s": snap(score, 9), "__l": snap(label, 9)})
     both = xs_rank(xs_rank(both, "__s", "__rs", by, wide), "__l", "__rl", by, wide)
     return both.groupBy(*by).agg(
         finite(F.corr(score, label)).alias("ic"),

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelweft.functions.dates import BROADCAST_ROWS
+from panelweft.session import cut
 
 
 class Bounded(NamedTuple):
@@ -206,6 +207,7 @@ def prior_vintage_growth(events: DataFrame, entity: str, known: str, measures: d
     calendar-bounded array); the prior vintage itself comes from an as-of join on
     (entity, period).
     """
+    events = cut(events)  # read four times below
     periods = events.groupBy(entity, "period_end").agg(F.min(known).alias("first_known"))
     lists = periods.groupBy(entity).agg(F.collect_list(F.struct("period_end", "first_known")).alias("__periods"))
     earlier = F.filter(

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelweft.functions.frames import at, roll, truth, ts
+from panelweft.functions.frames import at, roll, snap, truth, ts
 from panelweft.operators.quality import keep_latest
 from panelweft.operators.temporal import asof_events, current_state, visible_as_of
 
@@ -103,7 +103,7 @@ def with_reasons(df: DataFrame, reasons: dict[str, Column]) -> DataFrame:
 def select_top(audit: DataFrame, size: int, minimum: int, amount: str = "median_dollar_volume", name: str = "security_id") -> DataFrame:
     """Mark the ``size`` most liquid eligible names; none if fewer than
     ``minimum`` are eligible."""
-    best = audit.where("eligible").orderBy(F.round(amount, 6).desc(), name).limit(size).select(name)
+    best = audit.where("eligible").orderBy(snap(amount, 6).desc(), name).limit(size).select(name)
     enough = best.agg(F.count("*") >= minimum).scalar()
     # at most ``size`` names
     marked = audit.join(F.broadcast(best.withColumn("__top", F.lit(True))), name, "left")
@@ -144,7 +144,7 @@ def dynamic_eligibility(df: DataFrame, history: int, min_close: float, adv: tupl
     df = df.withColumns(
         {
             "history": F.count("ret").over(w),
-            "adv": F.round(roll(median, F.col("close") * F.col("volume"), ts(adv[0]), adv[1]), 6),
+            "adv": snap(roll(median, F.col("close") * F.col("volume"), ts(adv[0]), adv[1]), 6),
         }
     )
     df = xs_min_rank(df, "adv", "adv_rank", wide=wide)

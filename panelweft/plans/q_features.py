@@ -722,7 +722,7 @@ ADV = roll("median({})", "close * volume", ts(26), 13)
 )
 def w40(spark, sf):
     df = tb.returns(spark, sf)
-    df = df.withColumn("adv", F.round(fr.roll(fr.median, F.col("close") * F.col("volume"), fr.ts(26), 13), 6))
+    df = df.withColumn("adv", fr.snap(fr.roll(fr.median, F.col("close") * F.col("volume"), fr.ts(26), 13), 6))
     df = fr.xs_min_rank(df, "adv", "liquidity_rank", wide=tb.shape(spark, sf).wide)
     return pick(df, "adv", "liquidity_rank", fr.truth(F.col("liquidity_rank") <= 40).alias("liquid"))
 

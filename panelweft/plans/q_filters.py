@@ -114,7 +114,7 @@ akin AS (SELECT s.security_id, m.*, p.ret AS y FROM (SELECT DISTINCT security_id
 def w19a(spark, sf):
     sh = tb.shape(spark, sf)
     r = tb.returns(spark, sf)
-    series = tb.calendar(spark, sf).select("session_idx").join(tb.market_series(r), "session_idx", "left")
+    series = tb.calendar(spark, sf).select("session_idx").join(tb.market_series(tb.priced(spark, sf)), "session_idx", "left")
     series = fo.regime_inputs(series, "market", (), (26, 13), (8, 6), (26, 13))
     grid = tb.on_calendar(r.select("security_id", "session_idx", "ret"), sh.sessions)
     grid = tb.attach(grid, series, "session_idx", sh.sessions)
@@ -278,7 +278,7 @@ def regimes(spark, sf):
         liq = names.groupBy("session_idx").agg(F.max("__med").alias("liquidity"))
     else:
         liq = names.groupBy("session_idx").agg(F.percentile("__rel", F.lit(0.5)).alias("liquidity"))
-    s = tb.market_series(r).join(liq, "session_idx", "left")
+    s = tb.market_series(tb.priced(spark, sf)).join(liq, "session_idx", "left")
     s = rg.realised(rg.market_level(s), (13, 6), 52.0)
     s = rg.three_step_scaler(s, (52, 13))
     s = rg.train_quantile_scaler(s, TRAIN_END, (52, 26))

@@ -22,7 +22,7 @@ def scored_panel(spark, sf):
     df = tb.residual_panel(spark, sf)
     return df.withColumns(
         {
-            "score": F.round(-fr.roll(F.sum, "residual", fr.ts(3), 2), 9),
+            "score": fr.snap(-fr.roll(F.sum, "residual", fr.ts(3), 2), 9),
             "adv": fr.roll(fr.median, F.col("close") * F.col("volume"), fr.ts(26), 13),
         }
     )

@@ -696,7 +696,7 @@ def c01(spark, sf):
 @query("t01_top_by_liquidity", out(C01_SQL, "SELECT security_id, mdv AS median_dollar_volume FROM ubs WHERE eligible AND rk <= 30", "security_id:s median_dollar_volume:f", 4))
 def t01(spark, sf):
     a = universe_audit(spark, sf).where("eligible")
-    return finish(a.orderBy(F.round("median_dollar_volume", 6).desc(), "security_id").limit(30).select("security_id", "median_dollar_volume"), 4)
+    return finish(a.orderBy(fr.snap("median_dollar_volume", 6).desc(), "security_id").limit(30).select("security_id", "median_dollar_volume"), 4)
 
 
 @query(

@@ -152,7 +152,7 @@ _STREAM_SQL = (
 
 def streams(spark, sf):
     b = books(spark, sf).select("experiment", "session_idx", *_STREAMS)
-    b = tb.attach(b, tb.market_series(tb.returns(spark, sf)), "session_idx", tb.shape(spark, sf).sessions)
+    b = tb.attach(b, tb.market_series(tb.priced(spark, sf)), "session_idx", tb.shape(spark, sf).sessions)
     return b.unpivot(["experiment", "session_idx", "market"], _STREAMS, "stream", "value")
 
 
@@ -259,7 +259,7 @@ def t04(spark, sf):
 def a21(spark, sf):
     led = ledger(spark, sf)
     perf = rp.performance(led.daily, ["experiment"], periods=52.0)
-    m = tb.attach(led.daily, tb.market_series(tb.returns(spark, sf)), "session_idx", tb.shape(spark, sf).sessions)
+    m = tb.attach(led.daily, tb.market_series(tb.priced(spark, sf)), "session_idx", tb.shape(spark, sf).sessions)
     beta = m.groupBy("experiment").agg(
         F.regr_slope(F.col("net_return"), F.col("market")).alias("market_beta"), F.max("gross").alias("max_gross"), (F.avg("turnover") * 52).alias("annual_turnover")
     )
@@ -349,7 +349,7 @@ def a27c(spark, sf):
 )
 def a28(spark, sf):
     h = lg.attribute_pnl(ledger(spark, sf).held)
-    v = tb.research_panel(spark, sf).where(F.col("vol").isNotNull()).select("security_id", "session_idx", F.round("vol", 9).alias("v"))
+    v = tb.research_panel(spark, sf).where(F.col("vol").isNotNull()).select("security_id", "session_idx", fr.snap("vol", 9).alias("v"))
     h = fr.xs_rank(h.join(v, ["security_id", "session_idx"]), "v", "p", ("experiment", "session_idx"), tb.shape(spark, sf).wide)
     h = h.withColumn("bucket", F.ceil(5 * F.col("p") - 1e-12))
     return finish(h.groupBy("experiment", "bucket").agg(F.sum("contribution").alias("contribution"), F.count("*").alias("rows")))
@@ -550,7 +550,7 @@ _QN = ["q_min", "q_p01", "q_p05", "q_median", "q_p95", "q_p99", "q_max"]
     ),
 )
 def a37(spark, sf):
-    df = overlay(spark, sf).withColumns({"year": F.year("session"), "v": F.round("realized", 6)})
+    df = overlay(spark, sf).withColumns({"year": F.year("session"), "v": fr.snap("realized", 6)})
     # percentile keeps a counter per distinct rounded value, merged map-side
     g = df.groupBy("year").agg(F.percentile("v", F.array(*[F.lit(q) for q in _QS])).alias("q"), F.avg((F.col("multiplier") == 1).cast("double")).alias("pass_rate"))
     return finish(g.select("year", "pass_rate", *[F.col("q")[i].alias(n) for i, n in enumerate(_QN)]))
@@ -587,7 +587,7 @@ _SEL = _SEGM + ", se AS (SELECT *, sharpe > 0 AND max_drawdown > -0.9 AS eligibl
 )
 def a39(spark, sf):
     m = seg_metrics(spark, sf).where("segment = 'train'").withColumn("eligible", (F.col("sharpe") > 0) & (F.col("max_drawdown") > -0.9))
-    order = [F.col("eligible").desc(), F.round("sharpe", 9).desc_nulls_last(), F.col("worst_year").desc_nulls_last(), F.col("experiment")]
+    order = [F.col("eligible").desc(), fr.snap("sharpe", 9).desc_nulls_last(), F.col("worst_year").desc_nulls_last(), F.col("experiment")]
     a = rp.selection_table(m, order).withColumnRenamed("selected", "first_eligible")
     b = rp.selection_table(m, order, "sharpe", 0.5).select("experiment", F.col("selected").alias("near_tie_choice"))
     return finish(a.join(b, "experiment").select("experiment", "eligible", "rank", "first_eligible", "near_tie_choice"))
@@ -600,7 +600,7 @@ def a39(spark, sf):
 def t02(spark, sf):
     from pyspark.sql import Window
 
-    w = Window.partitionBy().orderBy("segment", F.round("sharpe", 9).desc_nulls_last(), F.col("worst_year").desc_nulls_last(), "experiment")
+    w = Window.partitionBy().orderBy("segment", fr.snap("sharpe", 9).desc_nulls_last(), F.col("worst_year").desc_nulls_last(), "experiment")
     return finish(seg_metrics(spark, sf).select("experiment", "segment", F.row_number().over(w).alias("position")))
 
 
@@ -650,7 +650,7 @@ def a42(spark, sf):
 def a47(spark, sf):
     d = sleeve_ledger(spark, sf)
     perf = rp.performance(d, ES, periods=52.0)
-    m = tb.attach(d, tb.market_series(tb.returns(spark, sf)), "session_idx", tb.shape(spark, sf).sessions)
+    m = tb.attach(d, tb.market_series(tb.priced(spark, sf)), "session_idx", tb.shape(spark, sf).sessions)
     c = m.groupBy(*ES).agg(fr.finite(F.corr("net_return", "market")).alias("market_correlation"))
     return finish(perf.join(c, ES).select(*ES, "sessions", "sharpe", "total_return", "market_correlation"))
 
@@ -682,7 +682,7 @@ def a48(spark, sf):
 )
 def a49(spark, sf):
     d = sleeve_ledger(spark, sf).where("session_idx < 126")
-    mk = tb.market_series(tb.returns(spark, sf)).where("session_idx < 126").agg(F.avg("market").alias("session_mean")).withColumn("floor", F.lit("market mean"))
+    mk = tb.market_series(tb.priced(spark, sf)).where("session_idx < 126").agg(F.avg("market").alias("session_mean")).withColumn("floor", F.lit("market mean"))
     zero = mk.select(F.lit(0.0).alias("session_mean"), F.lit("zero").alias("floor"))
     eq = d.groupBy("session_idx").agg(F.avg("net_return").alias("m")).agg(F.avg("m").alias("session_mean")).withColumn("floor", F.lit("equal-weight mean"))
     m = d.groupBy("experiment").agg(F.avg("net_return").alias("m")).withColumn("one", F.lit(1))

@@ -300,7 +300,7 @@ def a51(spark, sf):
         train = df.where(F.col("l_shipdate") <= cut_at)
         d = rs.content_digest(train, ["l_quantity", "l_discount"], ["one"])
         s = rs.zero_intercept_slope(train, "l_quantity", "l_discount", ["one"])
-        return d.join(s, "one").select("one", F.col("digest").alias(f"d{tag}"), F.round("slope", 12).alias(f"s{tag}"), F.col("rows").alias(f"n{tag}"))
+        return d.join(s, "one").select("one", F.col("digest").alias(f"d{tag}"), fr.snap("slope", 12).alias(f"s{tag}"), F.col("rows").alias(f"n{tag}"))
 
     a, b = fit(li, 1), fit(li.where(F.col("l_shipdate") <= F.lit("2001-01-01").cast("timestamp")), 2)
     return a.join(b, "one").select(
@@ -316,7 +316,7 @@ TOP, LOOK, DECISION_IDX = 40, 104, 260
 def universe(spark, sf, df):
     """Top names by trailing dollar volume at the decision (a top-k report)."""
     at = df.where(F.col("session_idx") == DECISION_IDX).where(F.col("adv").isNotNull())
-    top = at.orderBy(F.round("adv", 6).desc(), "security_id").limit(TOP)
+    top = at.orderBy(fr.snap("adv", 6).desc(), "security_id").limit(TOP)
     from pyspark.sql import Window
 
     w = Window.orderBy("security_id")  # at most TOP rows
@@ -327,7 +327,7 @@ def universe(spark, sf, df):
 
 def cov_inputs(spark, sf):
     df = tb.residual_panel(spark, sf).withColumns(
-        {"adv": fr.roll(fr.median, F.col("close") * F.col("volume"), fr.ts(26), 13), "alpha": F.round(-F.col("residual"), 9)}
+        {"adv": fr.roll(fr.median, F.col("close") * F.col("volume"), fr.ts(26), 13), "alpha": fr.snap(-F.col("residual"), 9)}
     )
     from panelweft.session import cut
 

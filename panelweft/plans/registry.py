@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panelweft.functions.frames import snap
+
 # Moves exact halves off the rounding boundary, where engines round differently.
 NUDGE = 3e-10
 
@@ -33,7 +35,7 @@ def finish(df: DataFrame, digits: int = 6) -> DataFrame:
     for f in df.schema.fields:
         c = F.col(f.name)
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.round(c.cast("double") + F.lit(NUDGE), digits) + F.lit(0.0)
+            c = snap(c.cast("double") + F.lit(NUDGE), digits) + F.lit(0.0)
         elif isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
             c = c.cast("bigint")
         elif isinstance(f.dataType, T.DecimalType):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelweft.session import cut
 from panelweft.sources.tables import shape, table
 
 # Day after which every open interval is cut; parameters of the derived tables.
@@ -12,7 +13,7 @@ DECISION = "1999-01-01"
 
 
 def cents(col: str):
-    return F.round(F.col(col) * 100).cast("bigint")
+    return F.rint(F.col(col) * 100).cast("bigint")
 
 
 def revisions(spark: SparkSession, sf: str) -> DataFrame:
@@ -149,6 +150,8 @@ def futures(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
         )
         .withColumn("contract", F.concat_ws("_", "root", F.date_format("expiry_date", "yyyyMM")))
     )
+    # both outputs and every caller read the aggregate: frozen once
+    daily = cut(daily)
     meta = daily.select("root", "contract", "expiry_date").distinct().withColumns(
         {
             "first_notice_date": F.when(F.month("expiry_date") != 7, F.date_sub("expiry_date", 10)),

@@ -108,7 +108,7 @@ def weekly(spark: SparkSession, sf: str) -> DataFrame:
         .groupBy(F.col("l_suppkey").cast("string").alias("security_id"), _week("l_shipdate").alias("session"))
         .agg(
             F.sum(F.col("l_quantity").cast("bigint")).alias("q"),
-            F.sum(F.round(F.col("l_extendedprice") * 100).cast("bigint")).alias("cents"),
+            F.sum(F.rint(F.col("l_extendedprice") * 100).cast("bigint")).alias("cents"),
         )
     )
 
@@ -153,13 +153,14 @@ def assets(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def priced(spark: SparkSession, sf: str) -> DataFrame:
+    """Bars with the simple return over one session."""
+    return bars(spark, sf).withColumn("ret", ratio(F.col("close"), at("close", -1)) - 1)
+
+
 def returns(spark: SparkSession, sf: str) -> DataFrame:
-    """Bars with sector and the simple return over one session."""
-    return (
-        bars(spark, sf)
-        .withColumn("ret", ratio(F.col("close"), at("close", -1)) - 1)
-        .join(assets(spark, sf), "security_id", "left")
-    )
+    """Priced bars with sector and sleeve."""
+    return priced(spark, sf).join(assets(spark, sf), "security_id", "left")
 
 
 def market_series(r: DataFrame) -> DataFrame:
@@ -171,8 +172,8 @@ def market_series(r: DataFrame) -> DataFrame:
 
 def panel(spark: SparkSession, sf: str) -> DataFrame:
     """Returns plus the market return of the session."""
-    r = returns(spark, sf)
-    return attach(r, market_series(r), "session_idx", shape(spark, sf).sessions)
+    series = market_series(priced(spark, sf))
+    return attach(returns(spark, sf), series, "session_idx", shape(spark, sf).sessions)
 
 
 def research_panel(spark: SparkSession, sf: str) -> DataFrame:
@@ -186,7 +187,7 @@ def research_panel(spark: SparkSession, sf: str) -> DataFrame:
     from panelweft.operators.features import market_moments, with_daily_vol
 
     r = returns(spark, sf)
-    series = market_moments(market_series(r), 26, 13)
+    series = market_moments(market_series(priced(spark, sf)), 26, 13)
     past = (
         Window.partitionBy("security_id")
         .orderBy("session_idx")
