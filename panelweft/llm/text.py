@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Text bytes that are worked on at once; one longer text is a piece of its own.
 PIECE = 2 << 20
@@ -48,7 +49,7 @@ def _powers(name: str, base: np.uint64, n: int) -> np.ndarray:
 
 def pieces(column: pa.Array | pa.ChunkedArray, size: int = PIECE) -> Iterator[tuple[int, int]]:
     """(first, stop) of runs of rows with about ``size`` bytes of text; a longer row stands alone."""
-    lengths = np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), 0)).astype(np.int64)
+    lengths = np.asarray(pc.fill_null(pc.binary_length(column), 0)).astype(np.int64)
     first = held = 0
     for i, n in enumerate(lengths):
         if i > first and held + n > size:
@@ -63,7 +64,7 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; null is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = pa.compute.fill_null(column.cast(pa.large_string()), "")
+    column = pc.fill_null(column.cast(pa.large_string()), "")
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     data = column.buffers()[2]
     body = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
