@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from panelweft.llm import bpe
+from panelweft.llm import bpe, fmindex, language, toxicity
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -14,9 +15,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fold(key: str, parts: int):
+    """The fold of a row by its key's checksum."""
+    return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(parts))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels.where(fold("doc_id", 5) != 0))
+    return toxicity.score(docs, model).select(
+        "doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.train(docs.where(fold("doc_id", 3) != 1))
+    return language.predict(docs, model).select("doc_id", F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
-QUERIES = {"op7_bpe": op7_bpe}
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fmindex.find_phrases(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+QUERIES = {"op4_toxicity": op4_toxicity, "op5_language": op5_language, "op7_bpe": op7_bpe, "op9_decontamination": op9_decontamination}
 ORACLES: dict[str, str] = {}

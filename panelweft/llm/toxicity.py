@@ -5,8 +5,9 @@ character n-grams with border marks, hashed into a fixed table. A document's vec
 mean of the embeddings of all its words' features, and a softmax over two classes reads it.
 Embeddings and softmax are learnt together, by full-batch gradient steps in numpy, on at most
 ``PER_CLASS`` labelled documents of each class (those of the smallest hash of doc_id, so the
-sample doesn't depend on the order of rows). Only features of at least ``MIN_DOCS`` sample
-documents are learnt; the rest stay neutral.
+sample doesn't depend on the order of rows). Features whose documents differ between the classes
+by a chi-square of ``CHI2`` or more are learnt (in small samples at least the 200 strongest); the
+rest stay neutral: each is rare, and together they would memorise the sample.
 
 Every whole text is scored. Null, empty and wordless texts have no features and score what the
 softmax's bias gives. Labels that are null or not 0 or 1 aren't learnt from; of repeated labels
@@ -25,7 +26,8 @@ from pyspark.sql import functions as F
 from panelweft.llm.storage import documents
 from panelweft.llm.text import NOT_WORD, Words, by_piece, mix
 
-PER_CLASS, MIN_DOCS, BUCKETS, DIM, STEPS, GRAMS = 1500, 4, 1 << 18, 6, 60, (3, 4, 5)
+PER_CLASS, CHI2, BUCKETS, DIM, STEPS, GRAMS = 1200, 20.0, 1 << 18, 4, 120, (3, 4, 5)
+SCALE, RATE = 300.0, 0.1
 
 
 def subwords(w: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -88,57 +90,81 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(logit, -50, 50)))
 
 
-def fit(words: pa.ListArray, counts: pa.ListArray, labels: np.ndarray, seed: int = 7) -> Model:
-    """Embeddings and softmax for documents given as lists of distinct words with their counts."""
-    share = float(labels.mean()) if len(labels) else 0.0
-    if share in (0.0, 1.0):
-        return Model(np.zeros(BUCKETS), np.log((share + 1e-9) / (1 - share + 1e-9)))
+def runs(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sum of each run of values; no run is empty."""
+    return np.add.reduceat(values, starts, axis=0) if len(starts) else np.zeros((0, *values.shape[1:]), values.dtype)
+
+
+def compact(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct values, number of each item's value, starts of runs) of sorted x."""
+    starts = np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, np.int64)
+    return x[starts], np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(x)))), starts
+
+
+def fit(words: pa.ListArray, counts: pa.ListArray, labels: np.ndarray, prior: float, seed: int = 7) -> Model:
+    """Embeddings and softmax for documents given as lists of distinct words with their counts.
+
+    prior: the share of label 1 among all labels that may be learnt from; the sample is weighted to it.
+    """
+    if len(np.unique(labels)) < 2:
+        return Model(np.zeros(BUCKETS), np.log((prior + 1e-9) / (1 - prior + 1e-9)))
     first = np.asarray(words.offsets).astype(np.int64)
     coded = words.values.dictionary_encode()
-    word, n = np.asarray(coded.indices).astype(np.int64), np.asarray(counts.values).astype(np.float64)
+    word, n = np.asarray(coded.indices).astype(np.int64), np.asarray(counts.values).astype(np.float32)
     doc = np.repeat(np.arange(len(labels)), np.diff(first))
     w = Words(coded.dictionary, np.zeros(256, bool))
     ids, wf = subwords(w)
     per_word = np.diff(wf)
-    size = np.maximum(sums(n * per_word[word], first), 1)
-    # document frequency of features: pairs of (document, feature), each once
-    df = np.zeros(BUCKETS, np.int64)
+    size = np.maximum(np.bincount(doc, n * per_word[word], len(labels)), 1)[:, None].astype(np.float32)
+    seen = np.zeros((2, BUCKETS))  # documents of each class that hold a feature
     for a in range(0, len(labels), 200):
-        b = min(a + 200, len(labels))
-        own = word[first[a] : first[b]]
-        of = np.repeat(doc[first[a] : first[b]], per_word[own])
+        own = word[first[a] : first[min(a + 200, len(labels))]]
+        of = np.repeat(doc[first[a] : first[min(a + 200, len(labels))]], per_word[own])
         f = ids[np.repeat(wf[own] - (np.cumsum(per_word[own]) - per_word[own]), per_word[own]) + np.arange(len(of))]
-        df += np.bincount(pd.unique(of * BUCKETS + f) % BUCKETS, minlength=BUCKETS)
-    used = np.flatnonzero(df >= MIN_DOCS)
-    number = np.full(BUCKETS, -1)
-    number[used] = np.arange(len(used))
-    keep = number[ids] >= 0
-    feature, owner = number[ids[keep]], np.repeat(np.arange(len(w)), per_word)[keep]
+        pair = pd.unique(of * BUCKETS + f)
+        for c in (0, 1):
+            seen[c] += np.bincount(pair[labels[pair // BUCKETS] == c] % BUCKETS, minlength=BUCKETS)
+    df, whole = seen.sum(0), np.bincount(labels, minlength=2)
+    odds = (seen[1] * whole[0] - seen[0] * whole[1]) ** 2 * len(labels) / np.maximum(df * (len(labels) - df) * whole[0] * whole[1], 1)
+    learnt = (df >= 2) & (odds >= max(min(CHI2, np.sort(odds)[-200]), 3))
+    keep = learnt[ids]
+    feature, owner = ids[keep], np.repeat(np.arange(len(w)), per_word)[keep]
+    used_words, owner, o_start = compact(owner)
+    number = np.full(len(w), -1)
+    number[used_words] = np.arange(len(used_words))
+    has = number[word] >= 0
+    word, n, doc = number[word[has]], n[has][:, None], doc[has]
+    used_docs, row, d_start = compact(doc)
     by_feature, by_word = np.argsort(feature, kind="stable"), np.argsort(word, kind="stable")
-    f_first, w_first, o_first = (np.searchsorted(x, np.arange(m + 1)) for x, m in ((feature[by_feature], len(used)), (word[by_word], len(w)), (owner, len(w))))
+    used, feature_sorted, f_start = compact(feature[by_feature])
+    feature = np.empty(len(by_feature), np.int64)
+    feature[by_feature] = feature_sorted
+    _, _, w_start = compact(word[by_word])
     rng = np.random.default_rng(seed)
-    scale = 100.0
-    e, soft, bias = rng.normal(0, 0.01, (len(used), DIM)), rng.normal(0, 1, (DIM, 2)), np.zeros(2)
+    e, soft, bias = rng.normal(0, 0.01, (len(used), DIM)).astype(np.float32), rng.normal(0, 1, (DIM, 2)).astype(np.float32), np.log([1 - prior, prior]).astype(np.float32)
     held = rng.random(len(labels)) < 0.15
-    truth = np.eye(2)[labels]
-    weight = np.where(held, 0.0, 0.5 / np.bincount(labels[~held], minlength=2).clip(1)[labels])[:, None]
+    truth = np.eye(2, dtype=np.float32)[labels]
+    share = np.array([1 - prior, prior]) / np.bincount(labels[~held], minlength=2).clip(1)
+    check = (np.array([1 - prior, prior]) / np.bincount(labels[held], minlength=2).clip(1))[labels] * held
+    weight = np.where(held, 0, share[labels])[:, None].astype(np.float32)
     moments = [[np.zeros_like(x), np.zeros_like(x)] for x in (e, soft, bias)]
-    best, out = np.inf, None
-    # step sizes of a feature follow its document frequency, so that rare ones can't memorise documents
-    pace = np.minimum(1, df[used] / (0.02 * len(labels)))[:, None]
+    best, out = np.inf, (np.zeros(len(used)), np.log(prior / (1 - prior)))
+    pace = np.minimum(1, df[used] / (0.03 * len(labels)))[:, None].astype(np.float32)  # rare features move slowly: they could memorise documents
     for step in range(1, STEPS + 1):
-        h = scale * sums(sums(e[feature], o_first)[word] * n[:, None], first) / size[:, None]
+        h = np.zeros((len(labels), DIM), np.float32)
+        h[used_docs] = runs(runs(e[feature], o_start)[word] * n, d_start)
+        h *= SCALE / size
         z = h @ soft + bias
         z -= z.max(1, keepdims=True)
         p = np.exp(z) / np.exp(z).sum(1, keepdims=True)
-        loss = -np.log((p * truth).sum(1) + 1e-12)[held].mean() if held.any() else -step
+        loss = -(np.log((p * truth).sum(1) + 1e-9) * check).sum()
         if loss < best:
-            best, out = loss, (e @ (soft[:, 1] - soft[:, 0]) * scale, bias[1] - bias[0])
+            best, out = loss, (e @ (soft[:, 1] - soft[:, 0]) * SCALE, bias[1] - bias[0])
         dz = (p - truth) * weight
-        dh = scale * dz @ soft.T / size[:, None]
-        dw = sums((dh[doc] * n[:, None])[by_word], w_first)
-        grads = sums(dw[owner[by_feature]], f_first), h.T @ dz, dz.sum(0)
-        for x, g, m, rate in zip((e, soft, bias), grads, moments, (0.1 * pace, 0.05, 0.05)):
+        dh = SCALE * dz @ soft.T / size
+        dw = runs((dh[doc] * n)[by_word], w_start)
+        grads = runs(dw[owner[by_feature]], f_start), h.T @ dz, dz.sum(0)
+        for x, g, m, rate in zip((e, soft, bias), grads, moments, (RATE * pace, RATE / 2, RATE / 2)):
             m[0] += 0.1 * (g - m[0])
             m[1] += 0.01 * (g * g - m[1])
             x -= rate * (m[0] / (1 - 0.9**step)) / (np.sqrt(m[1] / (1 - 0.99**step)) + 1e-9)
@@ -161,12 +187,13 @@ def bags(batch: pa.RecordBatch) -> pa.RecordBatch:
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
     """Learns from labels (doc_id, toxic); rows that must not be learnt from are left out by the caller."""
     known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
+    prior = known.agg(F.avg("toxic")).first()[0] or 0.0
     order = F.xxhash64("doc_id")
     picked = [known.where(F.col("toxic") == c).orderBy(order, "doc_id").limit(per_class) for c in (0, 1)]
     sample = picked[0].unionByName(picked[1])  # at most 2 * per_class rows
-    rows = documents(docs).join(F.broadcast(sample), "doc_id").select("toxic", "text").mapInArrow(by_piece(bags), "toxic int, words array<string>, counts array<long>").toArrow().combine_chunks()
-    lists = [rows.column(c).combine_chunks() if rows.num_rows else pa.array([], rows.schema.field(c).type) for c in ("words", "counts")]
-    return fit(*lists, np.asarray(rows.column("toxic")).astype(np.int64))
+    rows = documents(docs).join(F.broadcast(sample), "doc_id").select("toxic", "text").mapInArrow(by_piece(bags), "toxic int, words array<string>, counts array<long>").toArrow()
+    lists = [pa.concat_arrays(rows.column(c).chunks) if rows.num_rows else pa.array([], rows.schema.field(c).type) for c in ("words", "counts")]
+    return fit(*lists, np.asarray(rows.column("toxic")).astype(np.int64), prior)
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
