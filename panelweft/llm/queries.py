@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelweft.llm import bpe, fmindex, language, toxicity
+from panelweft.llm import bpe, fmindex, html, language, topk, toxicity, warc
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -20,6 +20,10 @@ def fold(key: str, parts: int):
     return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(parts))
 
 
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.train(docs, labels.where(fold("doc_id", 5) != 0))
@@ -34,6 +38,13 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, model).select("doc_id", F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r, fields = F.col("response"), F.col("metadata.fields")
+    return warc.round_trip(table(spark, sf_dir, "pages")).select(
+        F.nullif(fields["page-id"], F.lit("")).cast("long").alias("page_id"), r["payload_bytes"].alias("payload_bytes"), r["payload_digest"].alias("payload_digest"), r["type"].alias("record_type"), fields["refers-to-page"].cast("long").alias("refers_to")
+    )
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), BYTE_BPE)
 
@@ -44,5 +55,9 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
-QUERIES = {"op4_toxicity": op4_toxicity, "op5_language": op5_language, "op7_bpe": op7_bpe, "op9_decontamination": op9_decontamination}
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {"op3_html": op3_html, "op4_toxicity": op4_toxicity, "op5_language": op5_language, "op6_warc": op6_warc, "op7_bpe": op7_bpe, "op9_decontamination": op9_decontamination, "op10_topk": op10_topk}
 ORACLES: dict[str, str] = {}
