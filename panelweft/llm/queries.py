@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelweft.llm import bpe, fmindex, html, language, substrings, topk, toxicity, warc
+from panelweft.llm import bpe, fmindex, html, language, neardup, substrings, topk, toxicity, warc
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -24,6 +24,10 @@ def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.join(table(spark, sf_dir, "documents"))
+
+
 def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
 
@@ -63,5 +67,5 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {"op1_substrings": op1_substrings, "op3_html": op3_html, "op4_toxicity": op4_toxicity, "op5_language": op5_language, "op6_warc": op6_warc, "op7_bpe": op7_bpe, "op9_decontamination": op9_decontamination, "op10_topk": op10_topk}
+QUERIES = {"op1_substrings": op1_substrings, "op2_jaccard": op2_jaccard, "op3_html": op3_html, "op4_toxicity": op4_toxicity, "op5_language": op5_language, "op6_warc": op6_warc, "op7_bpe": op7_bpe, "op9_decontamination": op9_decontamination, "op10_topk": op10_topk}
 ORACLES: dict[str, str] = {}
