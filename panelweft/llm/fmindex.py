@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelweft.llm.storage import documents
+from panelweft.llm.storage import along, documents, with_rest
 from panelweft.llm.text import NOT_WORD, Words, by_piece, cover
 
 SHARD, BLOCK, SAMPLE = 3 << 20, 1_000_000, 8
@@ -197,18 +197,18 @@ def _spans(covered: np.ndarray, first: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), spans)
 
 
-def find_phrases(docs: DataFrame, benchmark: DataFrame, width: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
+def find_phrases(docs: DataFrame, benchmark: DataFrame, width: int = 10, key: str = "doc_id", text: str = "text", rest: list[str] | None = None) -> DataFrame:
     """(doc_id, text, spans, items, n_words) of every row.
 
     ``spans`` are the merged runs of words (start, stop) inside an occurrence of a phrase, ``items`` the
     item_ids whose phrases occur, sorted as strings. Words are runs of digits, ASCII letters (case
-    ignored) and non-ASCII characters.
+    ignored) and non-ASCII characters. Columns named in ``rest`` go along in a struct.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).where("item is not null and text is not null")
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-size // (4 * BLOCK)))
-    out = documents(docs, key, text).withColumns({"spans": F.expr("cast(array() as array<struct<start:int,stop:int>>)"), "items": F.expr("cast(array() as array<string>)"), "n_words": F.lit(0).cast("long")})
+    out = documents(docs, key, text, rest).withColumns({"spans": F.expr("cast(array() as array<struct<start:int,stop:int>>)"), "items": F.expr("cast(array() as array<string>)"), "n_words": F.lit(0).cast("long")})
     for block in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).distinct().collect()  # about BLOCK words
         shared = spark.sparkContext.broadcast(Phrases.of([r["item"] for r in rows], [r["text"] for r in rows], width))
@@ -227,12 +227,11 @@ def find_phrases(docs: DataFrame, benchmark: DataFrame, width: int = 10, key: st
                 a, b = (np.asarray(flat_.field(c)).astype(np.int64) + base for c in ("start", "stop"))
                 covered = covered | cover(a, b - a, len(w))
             found = [sorted({*x, *y}) for x, y in zip(found, batch.column("items").to_pylist())]
-            return pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), column, _spans(covered, w.first), pa.array(found, pa.list_(pa.string())), pa.array(w.counts().astype(np.int64))],
-                names=["doc_id", "text", "spans", "items", "n_words"],
+            return with_rest(
+                batch, [batch.column("doc_id"), column, _spans(covered, w.first), pa.array(found, pa.list_(pa.string())), pa.array(w.counts().astype(np.int64))], ["doc_id", "text", "spans", "items", "n_words"]
             )
 
-        out = out.mapInArrow(by_piece(run, size=SHARD), SCHEMA)
+        out = out.mapInArrow(by_piece(run, size=SHARD), along(SCHEMA, out))
     return out
 
 
@@ -251,6 +250,6 @@ def cut_spans(found: DataFrame) -> DataFrame:
                     at = b
                 x = b"".join([*kept, raw[at:]]).decode("utf-8", "replace").strip()
             out.append(x)
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.string()), batch.column("n_words")], names=["doc_id", "text", "n_words"])
+        return with_rest(batch, [batch.column("doc_id"), pa.array(out, pa.string()), batch.column("n_words")], ["doc_id", "text", "n_words"])
 
-    return found.mapInArrow(by_piece(run), "doc_id long, text string, n_words long")
+    return found.mapInArrow(by_piece(run), along("doc_id long, text string, n_words long", found))

@@ -6,9 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelweft.llm import bpe, fmindex, html, language, neardup, substrings, topk, toxicity, warc
+from panelweft.llm import bpe, fmindex, html, language, neardup, substrings, topk, toxicity, unigram, warc
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +58,10 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram.count(table(spark, sf_dir, "documents"), PIECES)
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fmindex.find_phrases(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
@@ -67,5 +72,15 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {"op1_substrings": op1_substrings, "op2_jaccard": op2_jaccard, "op3_html": op3_html, "op4_toxicity": op4_toxicity, "op5_language": op5_language, "op6_warc": op6_warc, "op7_bpe": op7_bpe, "op9_decontamination": op9_decontamination, "op10_topk": op10_topk}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {
+    "op1_substrings": op1_substrings, "op2_jaccard": op2_jaccard, "op3_html": op3_html, "op4_toxicity": op4_toxicity, "op5_language": op5_language,
+    "op6_warc": op6_warc, "op7_bpe": op7_bpe, "op8_token_counts": op8_token_counts, "op9_decontamination": op9_decontamination, "op10_topk": op10_topk,
+    "pipeline": pipeline,
+}
 ORACLES: dict[str, str] = {}

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelweft.llm.storage import documents, kept
+from panelweft.llm.storage import along, documents, kept, with_rest
 from panelweft.llm.text import Words, by_piece, cover, mix, window_starts, windows
 
 RUN = 3 << 20
@@ -244,16 +244,16 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.asarray(column.flatten()).astype(np.int64), np.repeat(np.arange(len(column)), n)
 
 
-def dedup(docs: DataFrame, width: int = 13, key: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, width: int = 13, key: str = "doc_id", text: str = "text", rest: list[str] | None = None) -> DataFrame:
     """(doc_id, text, n_words, n_removed) of every row, the text being the kept words joined by one space.
 
     A word goes if it lies in a window of ``width`` words that also starts in a document with a smaller
-    doc_id, all judged on the input.
+    doc_id, all judged on the input. Columns named in ``rest`` go along in a struct.
     """
     spark = docs.sparkSession
     buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = documents(docs, key, text).withColumn("tag", F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(1 << 16)).cast("int"))
-    found = paths(occurrences(edges(rows, width, buckets), buckets))
+    rows = documents(docs, key, text, rest).withColumn("tag", F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(1 << 16)).cast("int"))
+    found = paths(occurrences(edges(rows.select("doc_id", "text", "tag"), width, buckets), buckets))
     lists = ["start", "length", "src", "src_tag", "src_start", "asked_start", "asked_length"]
     found = kept(
         found.groupBy("doc_id", "tag").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in lists)), "paths"
@@ -311,6 +311,6 @@ def dedup(docs: DataFrame, width: int = 13, key: str = "doc_id", text: str = "te
         raw = body.tobytes()
         texts = [raw[i : max(i, j - 1)] for i, j in zip(ends.tolist(), ends[1:].tolist())]
         removed = w.counts() - np.diff(n_kept)
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(w.counts().astype(np.int64)), pa.array(removed.astype(np.int64))], names=["doc_id", "text", "n_words", "n_removed"])
+        return with_rest(batch, [batch.column("doc_id"), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(w.counts().astype(np.int64)), pa.array(removed.astype(np.int64))], ["doc_id", "text", "n_words", "n_removed"])
 
-    return whole.join(refused, ["doc_id", "tag"], "left").mapInArrow(by_piece(remove), "doc_id long, text string, n_words long, n_removed long")
+    return whole.join(refused, ["doc_id", "tag"], "left").mapInArrow(by_piece(remove), along("doc_id long, text string, n_words long, n_removed long", rows))

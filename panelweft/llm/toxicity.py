@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelweft.llm.storage import documents
+from panelweft.llm.storage import along, documents, with_rest
 from panelweft.llm.text import NOT_WORD, Words, by_piece, mix
 
 PER_CLASS, CHI2, BUCKETS, DIM, STEPS, GRAMS = 1200, 20.0, 1 << 18, 4, 120, (3, 4, 5)
@@ -196,12 +196,13 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     return fit(*lists, np.asarray(rows.column("toxic")).astype(np.int64), prior)
 
 
-def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, score) of every row."""
+def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", rest: list[str] | None = None) -> DataFrame:
+    """(doc_id, score) of every row. Columns named in ``rest`` go along in a struct."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(shared.value.scores(batch.column("text")), pa.float64())], names=["doc_id", "score"])
+        return with_rest(batch, [batch.column("doc_id"), pa.array(shared.value.scores(batch.column("text")), pa.float64())], ["doc_id", "score"])
 
-    return documents(docs, key, text).mapInArrow(by_piece(run), "doc_id long, score double")
+    rows = documents(docs, key, text, rest)
+    return rows.mapInArrow(by_piece(run), along("doc_id long, score double", rows))
