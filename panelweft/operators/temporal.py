@@ -9,7 +9,7 @@ whose last state is carried forward on its own small table.
 from __future__ import annotations
 
 from collections.abc import Sequence
-
+from datetime import date
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
@@ -47,37 +47,41 @@ def current_state(events: DataFrame, key: str = "security_id", ties: Sequence[st
     return events.groupBy(key).agg(F.max_by(payload, order).alias("__p")).select(key, "__p.*")
 
 
-def day_map(calendar: DataFrame, lookback_days: int, span_days: int) -> Bounded:
-    """Every calendar day -> index of the first session on or after it.
+class DayMap(NamedTuple):
+    """Every day of a calendar's span with the index of the first session on or after it; the day after the last session has the next index."""
 
-    Turns a date into a session position by an equality join. ``span_days`` is
-    the measured length of the calendar.
-    """
+    days: Bounded
+    first: date
+    last: date
+
+    def index(self, day: Column) -> Column:
+        """The mapped day that stands for ``day``: earlier days act from the first session on, later ones end after the last."""
+        return F.least(F.greatest(day, F.lit(self.first)), F.date_add(F.lit(self.last), 1))
+
+
+def day_map(calendar: DataFrame, first: date, last: date) -> DayMap:
+    """Turns dates into session positions by an equality join. ``first`` and ``last`` are the calendar's measured ends."""
     w = Window.orderBy("session")  # calendar only
-    prev = F.lag("session").over(w)
-    start = F.coalesce(F.date_add(prev, 1), F.date_sub("session", lookback_days))
+    start = F.coalesce(F.date_add(F.lag("session").over(w), 1), F.col("session"))
     days = calendar.withColumn("__start", start).select(
         F.explode(F.sequence("__start", "session")).alias("day"), F.col("session_idx").alias("from_idx")
     )
-    last = calendar.agg(F.max("session").alias("m"), F.max("session_idx").alias("i"))
-    beyond = last.select(
-        F.explode(F.sequence(F.date_add("m", 1), F.date_add("m", lookback_days))).alias("day"),
-        (F.col("i") + 1).alias("from_idx"),
-    )
-    return Bounded(days.unionByName(beyond), span_days + 2 * lookback_days)
+    beyond = calendar.agg(F.date_add(F.max("session"), 1).alias("day"), (F.max("session_idx") + 1).alias("from_idx"))
+    return DayMap(Bounded(days.unionByName(beyond), (last - first).days + 2), first, last)
 
 
-def expand_intervals(df: DataFrame, days: Bounded, start: str, stop: str) -> DataFrame:
-    """One row per session of ``[start, stop)``; both are dates inside the map."""
-    s = days.side(F.col("day").alias(start), F.col("from_idx").alias("__s"))
-    e = days.side(F.col("day").alias(stop), F.col("from_idx").alias("__e"))
-    df = df.join(s, start).join(e, stop)
+def expand_intervals(df: DataFrame, days: DayMap, start: str, stop: str) -> DataFrame:
+    """One row per session of ``[start, stop)``, wherever the interval begins and ends; without a date there are none."""
+    s = days.days.side(F.col("day").alias("__from"), F.col("from_idx").alias("__s"))
+    e = days.days.side(F.col("day").alias("__to"), F.col("from_idx").alias("__e"))
+    df = df.where(F.col(start).isNotNull() & F.col(stop).isNotNull())
+    df = df.withColumns({"__from": days.index(F.col(start)), "__to": days.index(F.col(stop))}).join(s, "__from").join(e, "__to")
     df = df.where(F.col("__s") < F.col("__e"))
-    return df.withColumn("session_idx", F.explode(F.sequence(F.col("__s"), F.col("__e") - 1))).drop("__s", "__e")
+    return df.withColumn("session_idx", F.explode(F.sequence(F.col("__s"), F.col("__e") - 1))).drop("__s", "__e", "__from", "__to")
 
 
 def asof_events(
-    events: DataFrame, key: str, at: str, days: Bounded, max_age_days: int | None,
+    events: DataFrame, key: str, at: str, days: DayMap, max_age_days: int | None,
     horizon: Column, ties: Sequence[str] = (),
 ) -> DataFrame:
     """Carry each key's latest event onto sessions while it is no older than
@@ -146,15 +150,23 @@ def scd_join(left: DataFrame, scd: DataFrame, key: str, day: str, inclusive: boo
     return left.join(scd, key).where(cond)
 
 
+def plain_name(name: Column) -> Column:
+    """An index name without case and blanks."""
+    return F.replace(F.upper(name), F.lit(" "), F.lit(""))
+
+
 def membership_daily(
-    membership: DataFrame, scd: DataFrame, days: Bounded, calendar: Bounded, horizon: Column
+    membership: DataFrame, scd: DataFrame, days: DayMap, calendar: Bounded, horizon: Column, names: Sequence[str]
 ) -> DataFrame:
     """Members per session with the ticker valid that day, one row per member.
 
-    ``membership``: cik, effective_date, removal_date (exclusive). ``scd``: cik,
+    Only rows whose index is one of ``names``, up to case and blanks, count.
+    ``membership``: index_name, cik, effective_date, removal_date (exclusive). ``scd``: cik,
     entity_id, symbol, sector, valid_from, valid_to (inclusive), is_primary_ticker.
     """
-    m = membership.withColumn("__stop", F.least(F.coalesce("removal_date", horizon), horizon))
+    wanted = [n.upper().replace(" ", "") for n in names]
+    m = membership.where(plain_name(F.col("index_name")).isin(wanted))
+    m = m.withColumn("__stop", F.least(F.coalesce("removal_date", horizon), horizon))
     m = m.where(F.col("effective_date") < F.col("__stop"))
     per_session = expand_intervals(m, days, "effective_date", "__stop").select("cik", "session_idx").distinct()
     per_session = per_session.join(calendar.side("session_idx", "session"), "session_idx")

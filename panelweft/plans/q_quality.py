@@ -659,7 +659,7 @@ def universe_audit(spark, sf):
     b = b.select("security_id", "session", "session_idx", "volume", close_at.alias("effective_at"), F.explode(F.when(i % 3 == 0, F.array(first, revised)).otherwise(F.array(first))).alias("v"))
     b = b.select("security_id", "session", "session_idx", "volume", "effective_at", "v.available_at", F.col("v.c").alias("close"), F.lit(False).alias("is_stale"), (i % 50 == 49).alias("is_suspended"))
     dec = F.date_add(F.lit(tb.shape(spark, sf).first), DEC_IDX * 7 + 5).cast("timestamp")
-    return un.build_universe(master, b, tb.calendar(spark, sf), days(spark, sf, 3000), dec, DEC_IDX, ev.horizon(spark, sf), POLICY)
+    return un.build_universe(master, b, tb.calendar(spark, sf), days(spark, sf), dec, DEC_IDX, ev.horizon(spark, sf), POLICY)
 
 
 C01_SQL = (

@@ -39,24 +39,22 @@ scd AS (SELECT c_custkey AS entity_id, CAST(c_custkey AS VARCHAR) AS cik, c_mkts
     'A' || c_custkey AS symbol, DATE '1990-01-01' AS valid_from, DATE '1996-01-01' + CAST(c_custkey % 700 AS INTEGER) - 1 AS valid_to FROM customer
   UNION ALL
   SELECT c_custkey, CAST(c_custkey AS VARCHAR), c_mktsegment, (c_custkey % 10) <> 9, 'B' || c_custkey, DATE '1996-01-01' + CAST(c_custkey % 700 AS INTEGER), CAST(NULL AS DATE) FROM customer),
-mem AS (SELECT CAST(o_custkey AS VARCHAR) AS cik, e AS effective_date, CASE WHEN o_custkey % 4 <> 0 THEN e + CAST((o_custkey % 5 + 1) * 200 AS INTEGER) END AS removal_date
+mem AS (SELECT CASE WHEN o_custkey % 6 = 0 THEN 'Mid Cap' WHEN o_custkey % 6 = 1 THEN 'large cap' WHEN o_custkey % 6 = 2 THEN 'LargeCap' ELSE 'Large Cap' END AS index_name, CAST(o_custkey AS VARCHAR) AS cik,
+   CASE WHEN o_custkey % 11 = 0 THEN e - 18262 ELSE e END AS effective_date, CASE WHEN o_custkey % 4 <> 0 THEN e + CAST((o_custkey % 5 + 1) * 200 AS INTEGER) END AS removal_date
   FROM (SELECT o_custkey, min(CAST(o_orderdate AS DATE)) AS e FROM orders GROUP BY 1)),
-md AS (SELECT c.session, c.session_idx, m.cik, s.entity_id, s.symbol, s.sector FROM mem m JOIN cal c ON m.effective_date <= c.session AND (m.removal_date IS NULL OR m.removal_date > c.session)
+md AS (SELECT c.session, c.session_idx, m.cik, s.entity_id, s.symbol, s.sector FROM mem m JOIN cal c ON upper(replace(m.index_name, ' ', '')) = 'LARGECAP' AND m.effective_date <= c.session AND (m.removal_date IS NULL OR m.removal_date > c.session)
   JOIN scd s ON s.cik = m.cik AND s.is_primary_ticker AND s.valid_from <= c.session AND (s.valid_to IS NULL OR s.valid_to >= c.session))"""
 
 
-def days(spark, sf, lookback=450):
+def days(spark, sf):
     sh = tb.shape(spark, sf)
-    return tp.day_map(tb.calendar(spark, sf), lookback, (sh.last - sh.first).days)
+    return tp.day_map(tb.calendar(spark, sf), sh.first, sh.last)
 
 
 def expanded_filings(spark, sf):
     """Latest filing per symbol and session, at most 400 days old."""
     sh = tb.shape(spark, sf)
     f = ev.filing_events(spark, sf)
-    # filings after the last session can never be carried; earlier ones beyond the map are too old
-    f = f.where(F.col("available_at") < ev.horizon(spark, sf))
-    f = f.where(F.col("available_at") > F.date_sub(F.lit(sh.first), 450))
     e = tp.asof_events(f, "symbol", "available_at", days(spark, sf), 400, ev.horizon(spark, sf), ("accession",))
     e = tb.attach(e, tb.calendar(spark, sf), "session_idx", sh.sessions)
     return e.withColumn("age", F.date_diff("session", "available_at"))
@@ -105,8 +103,8 @@ def j03(spark, sf):
 
 def members(spark, sf):
     return tp.membership_daily(
-        ev.membership(spark, sf), ev.scd_map(spark, sf), days(spark, sf, 3000),
-        tp.Bounded(tb.calendar(spark, sf), tb.shape(spark, sf).sessions), ev.horizon(spark, sf),
+        ev.membership(spark, sf), ev.scd_map(spark, sf), days(spark, sf),
+        tp.Bounded(tb.calendar(spark, sf), tb.shape(spark, sf).sessions), ev.horizon(spark, sf), ["Large Cap"],
     )
 
 
@@ -190,7 +188,7 @@ def j07b(spark, sf):
 def j08(spark, sf):
     v = tp.visible_as_of(ev.revisions(spark, sf), F.lit(ev.DECISION).cast("timestamp"), ties=("status", "price"))
     v = v.select("security_id", F.to_date("effective_at").alias("day"), "event_id", "status")
-    e = tp.asof_events(v, "security_id", "day", days(spark, sf, 3000), None, ev.horizon(spark, sf), ("event_id",))
+    e = tp.asof_events(v, "security_id", "day", days(spark, sf), None, ev.horizon(spark, sf), ("event_id",))
     e = tb.attach(e, tb.calendar(spark, sf), "session_idx", tb.shape(spark, sf).sessions)
     return finish(e.select("security_id", "session", "status"))
 

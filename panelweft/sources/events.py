@@ -95,11 +95,12 @@ def scd_map(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def membership(spark: SparkSession, sf: str) -> DataFrame:
-    """Index membership from each customer's first order; some are removed."""
+    """Membership of two indices, names spelt in several ways, from each customer's first order; some joined 50 years earlier, some are removed."""
     o = table(spark, sf, "orders").groupBy("o_custkey").agg(F.min(F.to_date("o_orderdate")).alias("effective_date"))
     k = F.col("o_custkey")
+    name = F.element_at(F.array(*map(F.lit, ["Mid Cap", "large cap", "LargeCap", "Large Cap", "Large Cap", "Large Cap"])), (k % 6 + 1).cast("int"))
     return o.select(
-        k.cast("string").alias("cik"), "effective_date",
+        name.alias("index_name"), k.cast("string").alias("cik"), F.when(k % 11 == 0, F.date_sub("effective_date", 18262)).otherwise(F.col("effective_date")).alias("effective_date"),
         F.when(k % 4 != 0, F.date_add("effective_date", ((k % 5 + 1) * 200).cast("int"))).alias("removal_date"),
     )
 

@@ -81,13 +81,28 @@ def test_asof_spreads_a_hot_key(spark):
 
 def test_membership_removal_is_exclusive(spark):
     cal = spark.createDataFrame([(i, D(2020, 1, 6 + i)) for i in range(5)], "session_idx int, session date")
-    days = tp.day_map(cal, 30, 5)
-    mem = spark.createDataFrame([("1", D(2020, 1, 1), D(2020, 1, 8))], "cik string, effective_date date, removal_date date")
+    days = tp.day_map(cal, D(2020, 1, 6), D(2020, 1, 10))
+    mem = spark.createDataFrame([("Large cap", "1", D(1970, 1, 1), D(2020, 1, 8)), ("Other", "1", D(2020, 1, 1), None)], "index_name string, cik string, effective_date date, removal_date date")
     scd = spark.createDataFrame([("1", 1, "AA", "x", D(2019, 1, 1), None, True)], "cik string, entity_id int, symbol string, sector string, valid_from date, valid_to date, is_primary_ticker boolean")
-    got = tp.membership_daily(mem, scd, days, tp.Bounded(cal, 5), F.lit("2020-01-11").cast("date"))
+    got = tp.membership_daily(mem, scd, days, tp.Bounded(cal, 5), F.lit("2020-01-11").cast("date"), ["LARGE CAP"])
     assert sorted(r["session"] for r in got.collect()) == [D(2020, 1, 6), D(2020, 1, 7)]
 
 
+def test_intervals_reach_beyond_the_calendar(spark):
+    cal = spark.createDataFrame([(i, D(2020, 1, 6 + 2 * i)) for i in range(3)], "session_idx int, session date")
+    days = tp.day_map(cal, D(2020, 1, 6), D(2020, 1, 10))
+    rows = [
+        ("old", D(1960, 1, 1), D(1961, 1, 1)), ("all", D(1960, 1, 1), D(2090, 1, 1)), ("until", D(1960, 1, 1), D(2020, 1, 8)), ("between", D(2020, 1, 7), D(2020, 1, 8)),
+        ("late", D(2020, 1, 9), D(2090, 1, 1)), ("after", D(2020, 1, 11), D(2090, 1, 1)), ("open", None, D(2090, 1, 1)),
+    ]
+    got = tp.expand_intervals(spark.createDataFrame(rows, "k string, a date, b date"), days, "a", "b").collect()
+    found = {k: sorted(r["session_idx"] for r in got if r["k"] == k) for k, _, _ in rows}
+    assert found == {"old": [], "all": [0, 1, 2], "until": [0], "between": [], "late": [2], "after": [], "open": []}
+    events = spark.createDataFrame([("x", D(1970, 5, 1), "listed"), ("x", D(2020, 1, 8), "gone")], "k string, day date, status string")
+    carried = tp.asof_events(events, "k", "day", days, None, F.lit(D(2020, 1, 11)))
+    assert sorted((r["session_idx"], r["status"]) for r in carried.collect()) == [(0, "listed"), (1, "gone"), (2, "gone")]
+
+
 def test_ledger_equals_a_session_loop(spark):
     rng = np.random.default_rng(9)
     names, T, every, nav = 6, 13, 4, 1e6

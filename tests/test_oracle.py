@@ -9,6 +9,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from panelweft.plans import catalog
 from tests.compare import compare, connect
 
 SAMPLE = [
@@ -18,21 +19,24 @@ SAMPLE = [
     "p17_hash_drop", "s06_scan_company_facts", "s07_scan_holdings_json", "t05_keep_last_per_key", "e02_set_difference", "d62_business_days",
 ]
 
+#: Reports of violations, of which the smallest tables have none.
+EMPTY: set[str] = set()
+
 
 @pytest.fixture(scope="module")
 def con(small):
     return connect(small)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()) if os.environ.get("PANELWEFT_FULL") else SAMPLE)
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES) if os.environ.get("PANELWEFT_FULL") else SAMPLE)
 def test_matches_oracle(spark, con, small, name):
     got = entry.queries()[name](spark, small)
     sql = entry.oracle_sql().get(name)
     if sql is None:
-        assert got.count() >= 0
+        assert got.count() > 0
         return
     ok, msg = compare(spark, con, small, entry.queries()[name], sql)
-    assert ok or msg.startswith("rows=0"), msg
+    assert ok or (name in EMPTY and msg.startswith("rows=0")), msg
 
 
 def test_entry_runs(spark):
