@@ -270,7 +270,8 @@ def dedup(docs: DataFrame, width: int = 13, key: str = "doc_id", text: str = "te
         size = _flat(batch.column("asked_length"))[0]
         b = w.first[asked_row] + asked
         fits = b + size + width - 1 <= w.first[asked_row + 1]  # always, unless a checksum misled
-        b, size, asked, asked_row = b[fits], size[fits], asked[fits], asked_row[fits]
+        once = np.unique(np.stack([asked_row, asked, size, b])[:, fits], axis=1)  # several buckets may ask for one place
+        asked_row, asked, size, b = once
         there = span_hashes(w, b, b + size + width - 1)
         ids, tags = np.asarray(batch.column("doc_id").fill_null(0)), np.asarray(batch.column("tag")).astype(np.int64)
         col = lambda x, y: np.concatenate([x, y])
