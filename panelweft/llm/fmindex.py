@@ -248,7 +248,7 @@ def cut_spans(found: DataFrame) -> DataFrame:
                     a, b = w.begin[w.first[r] + s["start"]] - base, w.end[w.first[r] + s["stop"] - 1] - base
                     kept += [raw[at:a], b" "]
                     at = b
-                x = b"".join([*kept, raw[at:]]).decode("utf-8", "replace").strip()
+                x = b"".join([*kept, raw[at:]]).strip().decode("utf-8", "replace")
             out.append(x)
         return with_rest(batch, [batch.column("doc_id"), pa.array(out, pa.string()), batch.column("n_words")], ["doc_id", "text", "n_words"])
 

@@ -38,6 +38,8 @@ NAMES = re.compile(
     r"comments?|commentlist|disqus|replies|reply|respond|discussion|cookies?|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|"
     r"related|recommend\w*|pagination|pager|copyright|disclaimer|legal|skip|search|searchform|tags|tagcloud|complementary|contentinfo|alert)(?:$|[\s_-]|\d)", re.I
 )
+#: Dropped parts that stand in the middle of an article as well; they leave one empty line, others end a body.
+PASSING = re.compile(r"(?:^|[\s\"'=_-])(?:ad|ads|advert\w*|adsense|banner|sponsor\w*|promo\w*|share|sharing|social|newsletter|related|widget\w*|popup|notice)", re.I)
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 
 
@@ -64,7 +66,7 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
     text: list[str] = []
     links = held = 0
     open_: list[str] = []  # elements that are open, without inline ones
-    skipped, depth = "", 0  # the element that is being dropped, and how often it is open inside itself
+    skipped, depth, gap = "", 0, 1  # the element that is being dropped, how often it is open inside itself, and the empty lines it leaves
     articles = anchors = 0
     at, end = 0, len(page)
 
@@ -106,13 +108,13 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
             if depth:
                 continue
             ended, skipped = skipped, ""
-            out.extend([("", 0, False)] * WINDOW)
+            out.extend([("", 0, False)] * gap)
             if name == ended:
                 continue
         if name in INLINE and name not in VOID:
             if not closing and boilerplate(name, m[4], articles > 0) and not m[5]:
                 if re.compile(rf"</{name}\s*>", re.I).search(page, at):
-                    skipped, depth = name, 1
+                    skipped, depth, gap = name, 1, 1
             elif name == "a":
                 anchors = 0 if closing else 1
             continue
@@ -129,7 +131,7 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
         if name in VOID or m[5]:
             continue
         if boilerplate(name, m[4], articles > 0):
-            skipped, depth = name, 1
+            skipped, depth, gap = name, 1, 1 if name not in ("nav", "header", "footer") and PASSING.search(m[4] or "") else WINDOW
         elif name in ("article", "main"):
             articles += 1
     close()
