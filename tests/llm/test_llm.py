@@ -369,7 +369,7 @@ def test_topk(spark, monkeypatch, block):
 def test_pipeline_stages(spark, tmp_path):
     """Each stage takes awkward rows, keeps clean documents and the columns of documents."""
     toxic = [(100 + i, " ".join([*words_of(300 + i, 20), "idiot", "moron"]), "en", "s", 1) for i in range(40)]
-    clean = [(200 + i, " ".join(words_of(400 + i, 60)), "en", "s", 1) for i in range(40)]
+    clean = [(200 + i, " ".join(words_of(400 + i, 60)), "en", "s", 1) for i in range(160)]
     docs = [r[:5] for r in corpus()] + toxic + clean
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     spark.createDataFrame(docs, schema).write.parquet(f"{tmp_path}/documents.parquet")
