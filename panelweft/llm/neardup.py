@@ -296,7 +296,8 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     label = components(found)
     size = label.groupBy("root").agg(F.count("*").alias("n"))
     member = label.join(size, "root")
-    texts = rows.join(member.withColumnRenamed("id", "doc_id"), "doc_id").select("root", "n", F.col("doc_id").alias("id"), "text")
+    # merged at every size: how many documents have a neighbour grows with the corpus
+    texts = rows.join(member.withColumnRenamed("id", "doc_id").hint("merge"), "doc_id").select("root", "n", F.col("doc_id").alias("id"), "text")
     small = texts.where(F.col("n") <= SPLIT).withColumn("side", F.lit(0)).withColumn("bucket", F.pmod(F.xxhash64("root"), F.lit(4 * width)))
     cells = blocks(texts.where(F.col("n") > SPLIT), "n", "id", SPLIT)
     links = "a long, b long, n long"
