@@ -420,8 +420,11 @@ def symmetric_tsmom(
     return df.withColumn("sizing_score", ratio(F.col("signal"), positive(F.col("effective_vol"))))
 
 
-def less_group_median(df: DataFrame, value: str, out: str, group: str = "sector", wide: bool = False) -> DataFrame:
-    df = df.withColumn("__v", eligible_only(F.col(value)))
+def less_group_median(
+    df: DataFrame, value: str, out: str, group: str = "sector", wide: bool = False, all_names: bool = False
+) -> DataFrame:
+    """Value less the median of its group, among eligible names or, for a reading masked later, among all."""
+    df = df.withColumn("__v", F.col(value) if all_names else eligible_only(F.col(value)))
     df = xs_quantile(df, "__v", "__med", 0.5, by=("session_idx", group), wide=wide)
     return df.withColumn(out, F.col("__v") - F.col("__med")).drop("__v", "__med")
 
@@ -540,14 +543,14 @@ def kept_tails(df: DataFrame, score: str, out: str, fraction: float, wide: bool
 
 
 def cost_hurdle(
-    forecast: Column, vol: Column, adv: Column, nav: float = 100_000.0, one_way: float = 0.005
+    forecast: Column, vol: Column, adv: Column, costs, nav: float = 100_000.0, traded: float = 0.005, borrow_days: int = 3
 ) -> Column:
-    """Round-trip commission, spread and slippage (3.5 bps one way), square-root
-    impact, and three sessions of borrow for negative forecasts."""
-    base = 2 * (0.5 + 2.0 + 1.0) / 10_000
-    impact = 2 * 0.10 * vol * F.sqrt(ratio(F.lit(one_way * nav), positive(adv)))
-    borrow = F.when(truth(forecast < 0), 0.03 * 3 / 365).otherwise(0.0)
-    return base + impact + borrow
+    """What a round trip of ``traded`` of the book costs per unit: both ways at the rates of the ledger's ``costs``,
+    and a loan of ``borrow_days`` calendar days for negative forecasts."""
+    participation = ratio(F.lit(traded * nav), positive(adv))
+    one_way = costs.linear + costs.impact * vol * F.sqrt(participation)
+    loan = costs.borrow_annual * borrow_days / 365 * truth(forecast < 0).cast("double")
+    return one_way * 2 + loan
 
 
 def confident(forecast: Column, hurdle: Column, multiplier: float) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from panelweft.functions import frames as fr
 from panelweft.operators import features as ft
+from panelweft.operators.ledger import Costs
 from panelweft.plans.registry import finish, out, query
 from panelweft.plans.sqlbase import (
     PANEL,
@@ -462,16 +463,17 @@ def w18(spark, sf):
     "w21_group_relative",
     out(
         DEFENSIVE_SQL
-        + ", g0 AS (SELECT *, CASE WHEN eligible THEN raw_signal END AS er FROM (SELECT * EXCLUDE (signal) FROM def)),"
-        + " g1 AS (SELECT *, er - median(er) OVER (PARTITION BY session_idx, sector) AS rel FROM g0),"
+        + ", g1 AS (SELECT * EXCLUDE (signal), raw_signal - median(raw_signal) OVER (PARTITION BY session_idx, sector) AS rel FROM def),"
         + _tail_sql("g1", "g2", "rel", 52, 13),
-        "SELECT session, security_id, rel, z_score, threshold, signal FROM g2",
+        """SELECT session, security_id, CASE WHEN eligible THEN rel END AS rel, CASE WHEN eligible THEN z_score END AS z_score,
+        CASE WHEN eligible THEN threshold END AS threshold, CASE WHEN eligible THEN signal END AS signal FROM g2""",
         f"{K} rel:f z_score:f threshold:f signal:f",
     ),
 )
 def w21(spark, sf):
-    df = ft.less_group_median(defensive(spark, sf), "raw_signal", "rel", wide=tb.shape(spark, sf).wide)
-    return pick(ft.standardised_tail(df, "rel", 52, 13), "rel", "z_score", "threshold", "signal")
+    df = ft.less_group_median(defensive(spark, sf), "raw_signal", "rel", wide=tb.shape(spark, sf).wide, all_names=True)
+    df = ft.standardised_tail(df, "rel", 52, 13)
+    return pick(df, *(ft.eligible_only(F.col(c)).alias(c) for c in ("rel", "z_score", "threshold", "signal")))
 
 
 DISLOC_SQL = (
@@ -591,7 +593,7 @@ def w27(spark, sf):
     df = defensive(spark, sf)
     df = df.withColumn("adv", fr.roll(fr.median, F.col("close") * F.col("volume"), fr.ts_prior(26), 13))
     df = df.withColumn("forecast", F.col("signal") * 0.002)
-    df = df.withColumn("hurdle", ft.cost_hurdle(F.col("forecast"), F.col("vol"), F.col("adv")))
+    df = df.withColumn("hurdle", ft.cost_hurdle(F.col("forecast"), F.col("vol"), F.col("adv"), Costs()))
     df = df.withColumn("passed", ft.confident(F.col("forecast"), F.col("hurdle"), 0.05))
     return pick(df, "hurdle", "passed", F.when(F.col("passed"), F.col("signal")).alias("score"))
 

@@ -32,7 +32,7 @@ KCFG = fo.KalmanSettings(1e-5, 1e-4, 13)
 
 
 def kalman(spark, sf):
-    return fo.kalman_prior(tb.research_panel(spark, sf), "ret", "market", KCFG)
+    return fo.kalman_prior(tb.research_panel(spark, sf), "ret", "market", KCFG, names=tb.shape(spark, sf).names)
 
 
 @query(
@@ -44,7 +44,7 @@ def kalman(spark, sf):
     ),
 )
 def w19(spark, sf):
-    df = fo.kalman_prior(tb.panel(spark, sf).withColumn("session_idx", F.col("session_idx")), "ret", "market", KCFG)
+    df = fo.kalman_prior(tb.panel(spark, sf), "ret", "market", KCFG, names=tb.shape(spark, sf).names)
     first = F.lit(tb.shape(spark, sf).first)
     return pick(df.withColumn("session", F.date_add(first, F.col("session_idx") * 7)), "kalman_beta", "innovation")
 
@@ -118,7 +118,7 @@ def w19a(spark, sf):
     series = fo.regime_inputs(series, "market", (), (26, 13), (8, 6), (26, 13))
     grid = tb.on_calendar(r.select("security_id", "session_idx", "ret"), sh.sessions)
     grid = tb.attach(grid, series, "session_idx", sh.sessions)
-    df = fo.adaptive_kalman(grid, "ret", "market", ACFG)
+    df = fo.adaptive_kalman(grid, "ret", "market", ACFG, names=sh.names)
     return finish(df.select("security_id", "session_idx", "signal", "beta_prior", "q_prior", "r_prior"))
 
 
@@ -159,7 +159,7 @@ def w20(spark, sf):
     grid = grid.withColumn("log_ratio", F.col("__a") - F.col("__b"))
     grid = fo.regime_inputs(grid, "x", key, (26, 13), (8, 6), (26, 13))
     grid = grid.withColumn("ratio_value", fo.pair_ratio_signal(grid, 26, 13, key))
-    kal = fo.adaptive_kalman(grid, "y", "x", ACFG, by=key).select(*key, "session_idx", F.col("signal").alias("kalman_value"))
+    kal = fo.adaptive_kalman(grid, "y", "x", ACFG, by=key, names=sh.names).select(*key, "session_idx", F.col("signal").alias("kalman_value"))
     both = grid.select(*key, "session_idx", "ratio_value").join(kal, [*key, "session_idx"])
     return finish(fo.net_pair_scores(both, ["kalman_value", "ratio_value"]))
 
@@ -220,7 +220,7 @@ ew AS (
     ),
 )
 def w29(spark, sf):
-    df = fo.ewm_mean(tb.returns(spark, sf), "ret", 3.0)
+    df = fo.ewm_mean(tb.returns(spark, sf), "ret", 3.0, names=tb.shape(spark, sf).names)
     first = F.lit(tb.shape(spark, sf).first)
     return pick(df.withColumn("session", F.date_add(first, F.col("session_idx") * 7)), "ewm")
 
@@ -297,9 +297,12 @@ _RG = ["risk_scaler", "stress_scaler", "volatility_ratio", "liquidity_ratio", "p
         f"""SELECT session_idx, {', '.join(_RG)}, risk_off, CASE WHEN vol_pct IS NULL THEN NULL WHEN vol_pct <= 0.8 THEN 1.0 WHEN vol_pct <= 0.95 THEN 1 - (vol_pct - 0.8) / 0.15 * 0.5
           WHEN vol_pct <= 0.99 THEN 0.5 - (vol_pct - 0.95) / 0.04 * 0.25 ELSE 0.25 END AS stress_gross,
         CASE WHEN vol_pct IS NULL THEN 0.0 ELSE least(1.0, greatest(0.35, (0.8 + 0.3 * vol_pct) * CASE WHEN prior_drawdown >= -0.05 THEN 0.8
-          WHEN prior_drawdown >= -0.10 THEN 0.8 + (-prior_drawdown - 0.05) / 0.05 * 0.2 WHEN prior_drawdown >= -0.15 THEN 1.0 + (-prior_drawdown - 0.10) / 0.05 * (-0.6) ELSE 0.4 END)) END AS mild_gross
+          WHEN prior_drawdown >= -0.10 THEN 0.8 + (-prior_drawdown - 0.05) / 0.05 * 0.2 WHEN prior_drawdown >= -0.15 THEN 1.0 + (-prior_drawdown - 0.10) / 0.05 * (-0.6) ELSE 0.4 END)) END AS mild_gross,
+        CASE WHEN vol_pct IS NULL THEN 0.0 ELSE least(0.9, greatest(0.25, (0.7 + 0.3 * vol_pct) * CASE WHEN prior_drawdown >= -0.05 THEN 0.7
+          WHEN prior_drawdown >= -0.10 THEN 0.7 + (-prior_drawdown - 0.05) / 0.05 * 0.2 WHEN prior_drawdown >= -0.15 THEN 0.9 + (-prior_drawdown - 0.10) / 0.05 * (-0.65) ELSE 0.25 END)) END AS defensive_gross,
+        0.75 + 0.5 * vol_pct AS vol_mild, 0.5 + vol_pct AS vol_strong, CASE WHEN vol_pct IS NOT NULL THEN least(1.3, greatest(0.7, 0.6 + 0.8 * vol_pct)) END AS vol_capped
         FROM rgm""",
-        "session_idx:i " + " ".join(f"{c}:f" for c in _RG) + " risk_off:b stress_gross:f mild_gross:f",
+        "session_idx:i " + " ".join(f"{c}:f" for c in _RG) + " risk_off:b stress_gross:f mild_gross:f defensive_gross:f vol_mild:f vol_strong:f vol_capped:f",
     ),
 )
 def w16(spark, sf):
@@ -308,7 +311,8 @@ def w16(spark, sf):
         s.select(
             "session_idx", *_RG, "risk_off",
             rg.stress_scalar(F.col("vol_pct")).alias("stress_gross"),
-            rg.gross_scalar(F.col("vol_pct"), F.col("prior_drawdown"), "mild").alias("mild_gross"),
+            *(rg.gross_scalar(F.col("vol_pct"), F.col("prior_drawdown"), m).alias(f"{m}_gross") for m in ("mild", "defensive")),
+            *(rg.residual_vol_multiplier(F.col("vol_pct"), m).alias(f"vol_{m}") for m in ("mild", "strong", "capped")),
         )
     )
 

@@ -131,9 +131,9 @@ def holdings_docs(spark, sf):
     """Part catalogue in snapshots of 500: dates, gaps and a wrong date by block."""
     p = tb.table(spark, sf, "part")
     k = F.col("p_partkey")
-    p = p.withColumns({"block": F.floor(k / 500), "isin": F.when(k % 9 == 0, "--").otherwise(F.concat(F.lit("IS"), k)), "cusip": F.when(k % 27 == 0, "").otherwise(F.concat(F.lit("CU"), k))})
+    p = p.withColumns({"block": F.floor(k / 500), "isin": F.when(k % 9 == 0, "--").otherwise(F.concat(F.lit("IS"), k % 400)), "cusip": F.when(k % 27 == 0, "").otherwise(F.concat(F.lit("CU"), k))})
     # part keys are unique, so a block holds at most 500 rows
-    rows = F.array_sort(F.collect_list(F.struct(k.alias("k"), "p_name", "p_type", "p_brand", "cusip", "isin")))
+    rows = F.array_sort(F.collect_list(F.struct(k.alias("k"), "p_name", "p_type", "p_brand", "p_size", "p_retailprice", "cusip", "isin")))
     b = p.groupBy("block").agg(rows.alias("r"))
     asof = F.date_add(F.lit("2020-01-01").cast("date"), F.col("block").cast("int"))
 
@@ -145,6 +145,9 @@ def holdings_docs(spark, sf):
         col(lambda r: F.concat(F.lit("T"), r["k"])).alias("ticker"), col(lambda r: r["p_name"]).alias("issueName"),
         col(lambda r: F.when(r["k"] % 50 == 0, "Cash").otherwise("Equity")).alias("assetClass"), col(lambda r: r["p_type"]).alias("sectorName"),
         col(lambda r: r["cusip"]).alias("cusip"), col(lambda r: r["isin"]).alias("isin"),
+        col(lambda r: F.when(r["k"] % 10 == 0, "N/A").otherwise(F.concat(F.lit(" SE"), r["k"]))).alias("sedol"), col(lambda r: F.lit("United States")).alias("countryOfRisk"),
+        col(lambda r: r["p_brand"]).alias("exchange"), col(lambda r: r["p_size"] / 4).alias("holdingPercent"), col(lambda r: F.floor(r["p_retailprice"])).alias("unitPrice"),
+        col(lambda r: r["p_size"]).alias("unitsHeld"), col(lambda r: F.floor(r["p_retailprice"]) * r["p_size"]).alias("marketValue"), col(lambda r: F.lit("USD")).alias("currencyCode"),
     )
     nest = points
     for name in ("dataPointsByNameMap", "all", "containersByNameMap", "holdings", "componentsByNameMap"):
@@ -153,16 +156,20 @@ def holdings_docs(spark, sf):
 
 
 _HOLD = """
-hd AS (SELECT *, CAST(floor(p_partkey / 500.0) AS INTEGER) AS block, CASE WHEN p_partkey % 9 = 0 THEN '' ELSE 'IS' || p_partkey END AS isin, CASE WHEN p_partkey % 27 = 0 THEN '' ELSE 'CU' || p_partkey END AS cusip,
+hd AS (SELECT *, CAST(floor(p_partkey / 500.0) AS INTEGER) AS block, CASE WHEN p_partkey % 9 = 0 THEN '' ELSE 'IS' || (p_partkey % 400) END AS isin, CASE WHEN p_partkey % 27 = 0 THEN '' ELSE 'CU' || p_partkey END AS cusip, CASE WHEN p_partkey % 10 = 0 THEN '' ELSE 'SE' || p_partkey END AS sedol,
   CASE WHEN p_partkey % 50 = 0 THEN 'Cash' ELSE 'Equity' END AS asset_class FROM part),
 hb AS (SELECT block, sum(CASE WHEN asset_class = 'Equity' THEN 1 ELSE 0 END) AS eq FROM hd GROUP BY 1),
 hg AS (SELECT hd.*, DATE '2020-01-01' + block AS requested_asof, CASE WHEN isin <> '' THEN 'ISIN:' || isin WHEN cusip <> '' THEN 'CUSIP:' || cusip ELSE '' END AS reference_id FROM hd JOIN hb USING (block) WHERE block % 4 <> 3 AND eq BETWEEN 450 AND 550)"""
 
 
-@query("s07_scan_holdings_json", out(_HOLD, "SELECT requested_asof, 'T' || p_partkey AS ticker, asset_class, p_type AS sector, reference_id FROM hg", "requested_asof:d ticker:s asset_class:s sector:s reference_id:s"))
+@query("s07_scan_holdings_json", out(_HOLD, """SELECT requested_asof, 'T' || p_partkey AS ticker, asset_class, p_type AS sector, reference_id, sedol, 'United States' AS country_of_risk, p_brand AS exchange, p_size / 4.0 AS weight_percent,
+    floor(p_retailprice) AS issuer_valuation_price, p_size AS shares_held, floor(p_retailprice) * p_size AS market_value, 'USD' AS currency FROM hg""",
+    "requested_asof:d ticker:s asset_class:s sector:s reference_id:s sedol:s country_of_risk:s exchange:s weight_percent:f issuer_valuation_price:f shares_held:f market_value:f currency:s"))
 def s07(spark, sf):
     good, _ = rd.parse_holdings(holdings_docs(spark, sf))
-    return finish(good.select("requested_asof", "ticker", "asset_class", "sector", "reference_id"))
+    numbers = ("weight_percent", "issuer_valuation_price", "shares_held", "market_value")
+    good = good.withColumns({c: F.col(c).try_cast("double") for c in numbers})
+    return finish(good.select("requested_asof", "ticker", "asset_class", "sector", "reference_id", "sedol", "country_of_risk", "exchange", *numbers, "currency"))
 
 
 @query("s07_holdings_quarantine", out(_HOLD, "SELECT DATE '2020-01-01' + block AS requested_asof, CASE WHEN block % 4 = 3 THEN 'DATE_MISMATCH' ELSE 'UNEXPECTED_EQUITY_COUNT' END AS reason FROM hb WHERE block % 4 = 3 OR eq NOT BETWEEN 450 AND 550", "requested_asof:d reason:s"))
@@ -191,22 +198,45 @@ def s08(spark, sf):
     return finish(m.select("cik", "canonical_symbol", "exchange", "mapping_ambiguous"))
 
 
-@query(
-    "s09_scan_holdings_csv",
-    out("", "SELECT 'F' || (c_nationkey % 3) AS file, 'C' || c_custkey AS ticker, c_mktsegment AS sector FROM customer WHERE c_custkey % 20 <> 0 AND c_custkey % 33 <> 0", "file:s ticker:s sector:s"),
-)
-def s09(spark, sf):
+_CSV = """
+hc AS (SELECT *, 'F' || CAST(floor(c_custkey / 500.0) AS BIGINT) AS file, c_custkey % 20 <> 0 AS equity, c_custkey % 33 = 0 AS broken FROM customer),
+hn AS (SELECT file, sum(CASE WHEN equity AND NOT broken THEN 1 ELSE 0 END) AS n FROM hc GROUP BY 1)"""
+
+
+def holdings_lines(spark, sf):
+    """Customers as issuer files of 500: names with commas and quotes, five columns, rows that are too wide."""
     c = tb.table(spark, sf, "customer")
     k = F.col("c_custkey")
-    file = F.concat(F.lit("F"), F.col("c_nationkey") % 3)
-    text = F.concat_ws(",", F.concat(F.lit("C"), k), F.col("c_name"), F.col("c_mktsegment"), F.when(k % 20 == 0, "Cash").otherwise("Equity"))
+    file = F.concat(F.lit("F"), F.floor(k / 500))
+    name = F.concat(F.lit('"'), "c_name", F.lit(', ""Inc"" "'))
+    text = F.concat_ws(",", F.concat(F.lit("C"), k), name, F.col("c_mktsegment"), F.when(k % 20 == 0, "Cash").otherwise("Equity"), F.concat(F.lit('"1,'), (k % 900 + 100).cast("string"), F.lit('"')))
     body = c.select(file.alias("file"), (k + 10).alias("line"), F.when(k % 33 == 0, F.concat(text, F.lit(",x"))).otherwise(text).alias("value"))
-    files = c.select(file.alias("file")).distinct()
-    pre = files.select("file", F.explode(F.array(
-        F.struct(F.lit(0).cast("bigint").alias("line"), F.lit("Fund Holdings as of,2020-01-01").alias("value")),
-        F.struct(F.lit(1).cast("bigint").alias("line"), F.lit("Ticker,Name,Sector,Asset Class").alias("value")),
+    pre = c.select(file.alias("file")).distinct().select("file", F.explode(F.array(
+        F.struct(F.lit(0).cast("bigint").alias("line"), F.lit('\ufeffFund Holdings as of,"Jan 02, 2020"').alias("value")),
+        F.struct(F.lit(1).cast("bigint").alias("line"), F.lit("Ticker,Name,Sector,Asset Class,Market Value").alias("value")),
     )).alias("x")).select("file", "x.*")
-    return finish(rd.parse_holdings_csv(pre.unionByName(body)).select("file", "ticker", "sector"))
+    return pre.unionByName(body)
+
+
+@query(
+    "s09_scan_holdings_csv",
+    out(_CSV, """SELECT file, 'Jan 02, 2020' AS as_of, 'C' || c_custkey AS ticker, c_name || ', "Inc" ' AS name, c_mktsegment AS sector, '1,' || (c_custkey % 900 + 100) AS market_value
+        FROM hc JOIN hn USING (file) WHERE equity AND NOT broken AND n BETWEEN 450 AND 550""", "file:s as_of:s ticker:s name:s sector:s market_value:s"),
+)
+def s09(spark, sf):
+    good, _ = rd.parse_holdings_csv(holdings_lines(spark, sf))
+    cells = {"ticker": "Ticker", "name": "Name", "sector": "Sector", "market_value": "Market Value"}
+    return finish(good.select("file", F.col("asof").alias("as_of"), *[F.col("cells")[h].alias(c) for c, h in cells.items()]))
+
+
+@query(
+    "s09_csv_rejects",
+    out(_CSV, """SELECT file, c_custkey + 10 AS line, 'WIDTH' AS reason FROM hc WHERE broken
+        UNION SELECT file, NULL, 'UNEXPECTED_EQUITY_COUNT' FROM hn WHERE n NOT BETWEEN 450 AND 550""", "file:s line:i reason:s"),
+)
+def s09r(spark, sf):
+    _, bad = rd.parse_holdings_csv(holdings_lines(spark, sf))
+    return finish(bad.select("file", "line", "reason"))
 
 
 @query("s10_scan_corporate_actions", out("", "SELECT CAST(floor(event_id / 100.0) AS BIGINT) AS page, event_type AS action_type, count(*) AS actions FROM events GROUP BY 1, 2", "page:i action_type:s actions:i"))
@@ -264,16 +294,30 @@ def s12(spark, sf):
 
 @query("s13_scan_sleeve_returns", out(RETURNS, "SELECT session, count(*) AS present, avg(r) AS mean_return, count(*) < 5 AS incomplete FROM (SELECT session, sector, avg(ret) AS r FROM rets WHERE ret IS NOT NULL GROUP BY 1, 2) GROUP BY 1", "session:d present:i mean_return:f incomplete:b"))
 def s13(spark, sf):
+    """One CSV file per sleeve, written to the shared folder and read back."""
     r = sleeve_ledger(spark, sf).select(F.col("experiment").alias("sleeve"), "session", F.col("gross_return").alias("ret"))
+    names = [x[0] for x in tb.table(spark, sf, "region").select("r_name").collect()]  # a sleeve per region
+    paths = {n: f"{_shared(spark)}/sleeve-{uuid.uuid4().hex}.csv" for n in names}
+    for n, path in paths.items():
+        rd.write_table(r.where(F.col("sleeve") == n).select("session", "ret"), path, "csv")
+    r = rd.scan_sleeve_returns(spark, paths)
     g = r.groupBy("session").agg(F.count("ret").alias("present"), F.avg("ret").alias("mean_return"))
     bad = rd.incomplete_sessions(r, 5).select("session", F.lit(True).alias("incomplete"))
     return finish(g.join(bad, "session", "left").fillna(False, ["incomplete"]))
 
 
-# content hashes of the input files; tests compare them with hashlib
-@query("s14_file_manifest")
+def _shared(spark):
+    from panelweft.session import _checkpoint_dir
+
+    _checkpoint_dir(spark)
+    return spark.sparkContext.getCheckpointDir()
+
+
+@query("s14_file_manifest", out("", "SELECT CAST(page_id AS VARCHAR) AS file, octet_length(encode(html)) AS bytes, sha256(html) AS sha256 FROM pages", "file:s bytes:i sha256:s"))
 def s14(spark, sf):
-    return finish(rd.file_manifest(spark, sf, "*.parquet"))
+    """Pages as the files of a snapshot."""
+    pages = tb.table(spark, sf, "pages").select(F.col("page_id").cast("string").alias("file"), "html")
+    return finish(rd.content_manifest(pages, "file", "html"))
 
 
 @query(
@@ -304,10 +348,7 @@ def s16(spark, sf):
 @query("s17_sink_round_trip", out(WEEKLY, "SELECT year(session) AS year, count(*) AS rows, sum(q) AS quantity FROM lw GROUP BY 1", "year:i rows:i quantity:i"))
 def s17(spark, sf):
     """Write a year-partitioned table to the shared folder and read it back."""
-    from panelweft.session import _checkpoint_dir
-
-    _checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/sink-{uuid.uuid4().hex}"
+    path = f"{_shared(spark)}/sink-{uuid.uuid4().hex}"
     rd.write_table(tb.weekly(spark, sf).withColumn("year", F.year("session")), path, "parquet", ["year"])
     return finish(spark.read.parquet(path).groupBy("year").agg(F.count("*").alias("rows"), F.sum("q").alias("quantity")))
 
@@ -595,21 +636,24 @@ def a42y(spark, sf):
     "a43_equity_union",
     out(
         _HOLD + ", hl AS (SELECT max(requested_asof) AS last FROM hg)",
-        """SELECT p_name AS name, string_agg(DISTINCT p_brand, '|' ORDER BY p_brand) AS brands, string_agg(DISTINCT p_type, '|' ORDER BY p_type) AS sectors, min(requested_asof) AS first_snapshot, max(requested_asof) AS last_snapshot,
-        count(DISTINCT requested_asof) AS snapshots, bool_or(requested_asof = last) AS in_latest FROM hg, hl WHERE asset_class = 'Equity' GROUP BY 1""",
-        "name:s brands:s sectors:s first_snapshot:d last_snapshot:d snapshots:i in_latest:b",
-    ).replace("p_brand", "p_type").replace("AS brands", "AS brands"),
+        """SELECT reference_id, string_agg(DISTINCT isin, '|' ORDER BY isin) AS isin, string_agg(DISTINCT cusip, '|' ORDER BY cusip) AS cusips_observed, string_agg(DISTINCT 'T' || p_partkey, '|' ORDER BY 'T' || p_partkey) AS tickers_observed,
+        string_agg(DISTINCT p_name, '|' ORDER BY p_name) AS names_observed, string_agg(DISTINCT p_type, '|' ORDER BY p_type) AS sectors_observed, min(requested_asof) AS first_snapshot, max(requested_asof) AS last_snapshot,
+        count(DISTINCT requested_asof) AS snapshot_count, bool_or(requested_asof = last) AS present_in_latest_snapshot, 'not_inferred_from_holdings_absence' AS delisting_status, false AS permanent_lineage_verified
+        FROM hg, hl WHERE asset_class = 'Equity' AND reference_id <> '' GROUP BY 1""",
+        "reference_id:s isin:s cusips_observed:s tickers_observed:s names_observed:s sectors_observed:s first_snapshot:d last_snapshot:d snapshot_count:i present_in_latest_snapshot:b delisting_status:s permanent_lineage_verified:b",
+    ),
 )
 def a43(spark, sf):
     good, _ = rd.parse_holdings(holdings_docs(spark, sf))
-    last = good.agg(F.max("requested_asof")).scalar()
-    e = good.where("asset_class = 'Equity'").withColumn("last", last)
-    # values per name are few labels; dates are bounded by the snapshots
-    g = e.groupBy("name").agg(
-        rp.distinct_text("sector").alias("brands"), rp.distinct_text("sector").alias("sectors"), F.min("requested_asof").alias("first_snapshot"), F.max("requested_asof").alias("last_snapshot"),
-        F.countDistinct("requested_asof").alias("snapshots"), F.max(F.col("requested_asof") == F.col("last")).alias("in_latest"),
+    # the latest snapshot of all, not only of those with equities
+    e = good.withColumn("last", good.agg(F.max("returned_asof")).scalar()).where("asset_class = 'Equity' AND reference_id <> ''")
+    # a reference has a few labels per snapshot
+    seen = {"isin": "isin", "cusips_observed": "cusip", "tickers_observed": "ticker", "names_observed": "name", "sectors_observed": "sector"}
+    g = e.groupBy("reference_id").agg(
+        *(rp.distinct_text(c).alias(n) for n, c in seen.items()), F.min("returned_asof").alias("first_snapshot"), F.max("returned_asof").alias("last_snapshot"),
+        F.countDistinct("returned_asof").alias("snapshot_count"), F.max(F.col("returned_asof") == F.col("last")).alias("present_in_latest_snapshot"),
     )
-    return finish(g)
+    return finish(g.withColumns({"delisting_status": F.lit("not_inferred_from_holdings_absence"), "permanent_lineage_verified": F.lit(False)}))
 
 
 @query(

@@ -515,24 +515,35 @@ def a35(spark, sf):
 @query(
     "a34_group_risk_contribution",
     out(
-        TARGET_SQL + "," + _GP_SQL[_GP_SQL.index("\ngp AS"):]
-        + """, gw AS (SELECT experiment, session_idx AS decision, sector, sum(abs(weight)) AS w FROM tgt GROUP BY 1, 2, 3),
-        gf AS (SELECT decision, i, j, covariance FROM gc UNION ALL SELECT decision, j, i, covariance FROM gc WHERE i <> j),
-        gr AS (SELECT a.experiment, a.decision, a.sector, a.w * sum(f.covariance * b.w) AS risk FROM gw a JOIN gf f ON f.decision = a.decision AND f.i = a.sector JOIN gw b ON b.experiment = a.experiment AND b.decision = a.decision AND b.sector = f.j GROUP BY a.experiment, a.decision, a.sector, a.w)""",
-        "SELECT experiment, decision, sector, risk / sum(risk) OVER (PARTITION BY experiment, decision) AS risk_share FROM gr", "experiment:s decision:i sector:s risk_share:f",
+        TARGET_SQL
+        + """, rw AS (SELECT t.experiment, t.session_idx AS decision, c.session_idx AS day, t.sector, sum(t.weight * coalesce(r.ret, 0)) AS g
+          FROM tgt t JOIN cal c ON c.session_idx BETWEEN t.session_idx - 60 AND t.session_idx - 1 LEFT JOIN rets r ON r.security_id = t.security_id AND r.session_idx = c.session_idx
+          WHERE t.session_idx >= 60 GROUP BY 1, 2, 3, 4),
+        rb AS (SELECT *, sum(g) OVER (PARTITION BY experiment, decision, day) AS b FROM rw)""",
+        "SELECT experiment, decision, sector, covar_samp(g, b) / var_samp(b) AS risk_share FROM rb GROUP BY 1, 2, 3 HAVING var_samp(b) > 0", "experiment:s decision:i sector:s risk_share:f",
     ),
 )
 def a34(spark, sf):
+    """Share of each group in the variance of the signed book, held fixed over the 60 sessions before its decision.
+
+    A missing return counts as no move. Sums over the sessions present suffice, as absent ones add nothing.
+    """
     from pyspark.sql import Window
 
-    w = targets(spark, sf).groupBy("experiment", F.col("session_idx").alias("decision"), "sector").agg(F.sum(F.abs("weight")).alias("w"))
-    c = group_covariance(spark, sf).select("decision", "i", "j", "covariance")
-    full = c.unionByName(c.where("i <> j").select("decision", F.col("j").alias("i"), F.col("i").alias("j"), "covariance"))
-    a = w.withColumnRenamed("sector", "i").withColumnRenamed("w", "wi")
-    b = w.withColumnRenamed("sector", "j").withColumnRenamed("w", "wj")
-    m = a.join(full, ["decision", "i"]).join(b, ["experiment", "decision", "j"])
-    r = m.groupBy("experiment", "decision", F.col("i").alias("sector")).agg((F.max("wi") * F.sum(F.col("covariance") * F.col("wj"))).alias("risk"))
-    return finish(r.select("experiment", "decision", "sector", (F.col("risk") / F.sum("risk").over(Window.partitionBy("experiment", "decision"))).alias("risk_share")))
+    sh = tb.shape(spark, sf)
+    r = tb.returns(spark, sf).where(F.col("ret").isNotNull()).select("security_id", "session_idx", "ret")
+    first = (F.floor(F.col("session_idx") / EVERY) + 1) * EVERY
+    last = F.least(F.col("session_idx") + 60, F.lit(sh.sessions - 1))
+    r = r.withColumn("decision", F.explode(F.when(first <= last, F.sequence(first.cast("int"), last.cast("int"), F.lit(EVERY)))))
+    w = targets(spark, sf).select("experiment", F.col("session_idx").alias("decision"), "security_id", "sector", "weight").where("decision >= 60")
+    g = w.join(r, ["security_id", "decision"]).groupBy("experiment", "decision", "session_idx", "sector").agg(F.sum(F.col("weight") * F.col("ret")).alias("g"))
+    # a handful of groups per session
+    g = g.withColumn("b", F.sum("g").over(Window.partitionBy("experiment", "decision", "session_idx")))
+    own = g.groupBy("experiment", "decision", "sector").agg(F.sum("g").alias("g"), F.sum("b").alias("own_b"), F.sum(F.col("g") * F.col("b")).alias("gb"))
+    book = g.groupBy("experiment", "decision", "session_idx").agg(F.first("b").alias("b")).groupBy("experiment", "decision").agg(F.sum("b").alias("b"), F.sum(F.col("b") ** 2).alias("bb"))
+    n = 60.0
+    j = own.join(book, ["experiment", "decision"]).withColumn("variance", F.col("bb") - F.col("b") ** 2 / n).where("variance > 0")
+    return finish(j.select("experiment", "decision", "sector", ((F.col("gb") - F.col("g") * F.col("b") / n) / F.col("variance")).alias("risk_share")))
 
 
 # --- distributions, selection, gates -----------------------------------------------------------

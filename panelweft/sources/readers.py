@@ -117,8 +117,11 @@ def scan_company_facts(spark: SparkSession, path: str) -> DataFrame:
     return parse_company_facts(spark.read.text(path, wholetext=True))
 
 
+# The vendor's data points and their columns.
 HOLDING_FIELDS = {
     "ticker": "ticker", "issueName": "name", "assetClass": "asset_class", "sectorName": "sector", "cusip": "cusip", "isin": "isin",
+    "sedol": "sedol", "countryOfRisk": "country_of_risk", "exchange": "exchange", "holdingPercent": "weight_percent",
+    "unitPrice": "issuer_valuation_price", "unitsHeld": "shares_held", "marketValue": "market_value", "currencyCode": "currency",
 }
 _COLUMN = "STRUCT<value: ARRAY<STRING>>"
 _POINTS = "asOfDate: STRUCT<value: STRING>, " + ", ".join(f"{f}: {_COLUMN}" for f in HOLDING_FIELDS)
@@ -156,7 +159,7 @@ def parse_holdings(docs: DataFrame, requested: str = "requested_asof", value: st
     zipped = F.arrays_zip(*[a.alias(t) for a, t in zip(arrays, HOLDING_FIELDS.values())])
     good = d.where("reason IS NULL").select(requested, "returned_asof", F.posexplode(zipped).alias("line", "h"))
     good = good.select(requested, "returned_asof", "line", *[F.col("h")[t].alias(t) for t in HOLDING_FIELDS.values()])
-    for c in ("ticker", "cusip", "isin"):
+    for c in ("ticker", "cusip", "isin", "sedol"):
         good = good.withColumn(c, clean_identifier(F.col(c)))
     ref = F.when(F.col("isin") != "", F.concat(F.lit("ISIN:"), "isin")).when(F.col("cusip") != "", F.concat(F.lit("CUSIP:"), "cusip")).otherwise("")
     return good.withColumn("reference_id", ref), d.where("reason IS NOT NULL").select(requested, "returned_asof", "reason")
@@ -189,14 +192,38 @@ def scan_ticker_map(spark: SparkSession, path: str) -> DataFrame:
     return parse_ticker_map(spark.read.text(path, wholetext=True))
 
 
-def parse_holdings_csv(lines: DataFrame, file: str = "file", line: str = "line", value: str = "value") -> DataFrame:
-    """Issuer CSV with preamble: rows after the header line, equities only."""
-    head = lines.where(F.col(value).startswith("Ticker,Name")).groupBy(file).agg(F.min(line).alias("__head"))
-    body = lines.join(head, file).where(F.col(line) > F.col("__head"))
-    parts = F.split(F.col(value), ",")
-    body = body.where(F.size(parts) == 4)
-    cols = body.select(file, line, *[parts[i].alias(n) for i, n in enumerate(("ticker", "name", "sector", "asset_class"))])
-    return cols.where(F.col("asset_class") == "Equity")
+def csv_cells(line: Column) -> Column:
+    """Cells of one CSV line: commas inside quotes don't part cells, doubled quotes stand for one."""
+    raw = F.split(line, ',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1)
+    quoted = lambda c: c.startswith('"') & c.endswith('"') & (F.length(c) > 1)
+    return F.transform(raw, lambda c: F.when(quoted(c), F.replace(c.substr(F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c))
+
+
+def parse_holdings_csv(
+    lines: DataFrame, file: str = "file", line: str = "line", value: str = "value", low: int = 450, high: int = 550
+) -> tuple[DataFrame, DataFrame]:
+    """Issuer CSV files to (equity rows, rejects).
+
+    The header is the first line that starts with Ticker and Name; its own names and width hold for the file.
+    Rows: file, asof (from the preamble) and ``cells``, a map by header name. Rejects: file, line and reason, for
+    rows of another width and, without a line, for files lacking a header or with an unlikely number of equities.
+    """
+    parts = csv_cells(F.regexp_replace(F.col(value), "^\ufeff|\r$", ""))
+    rows = lines.select(F.col(file).alias("file"), F.col(line).alias("line"), parts.alias("__c"))
+    first = F.get("__c", F.lit(0))
+    is_head = (first == "Ticker") & (F.get("__c", F.lit(1)) == "Name")
+    heads = rows.groupBy("file").agg(
+        F.min(F.when(is_head, F.struct("line", "__c"))).alias("__h"), F.min(F.when(first == "Fund Holdings as of", F.struct("line", F.get("__c", F.lit(1)).alias("day")))).alias("__d")
+    )
+    body = rows.join(heads, "file").where(F.col("line") > F.col("__h.line"))
+    fits = F.size("__c") == F.size("__h.__c")
+    named = body.where(fits).select("file", F.col("__d.day").alias("asof"), "line", F.map_from_arrays("__h.__c", "__c").alias("cells"))
+    equity = named.where(F.col("cells")["Asset Class"] == "Equity")
+    counted = heads.join(equity.groupBy("file").agg(F.count("*").alias("n")), "file", "left").select("file", F.col("__h").isNull().alias("headless"), F.coalesce("n", F.lit(0)).alias("n"))
+    judged = counted.withColumn("reason", F.when(F.col("headless"), "NOT_HOLDINGS_CSV").when(~F.col("n").between(low, high), "UNEXPECTED_EQUITY_COUNT"))
+    rejects = judged.where("reason is not null").select("file", F.lit(None).cast("bigint").alias("line"), "reason")
+    rejects = rejects.unionByName(body.where(~fits & (F.trim(F.array_join("__c", "")) != "")).select("file", F.col("line").cast("bigint").alias("line"), F.lit("WIDTH").alias("reason")))
+    return equity.join(judged.where("reason is null").select("file"), "file"), rejects
 
 
 def parse_corporate_actions(docs: DataFrame, page: str = "page", value: str = "value") -> DataFrame:
@@ -256,10 +283,16 @@ def incomplete_sessions(rows: DataFrame, sleeves: int) -> DataFrame:
     return rows.groupBy("session").agg(F.count("ret").alias("present")).where(F.col("present") < sleeves)
 
 
+def content_manifest(df: DataFrame, name: str, content: str) -> DataFrame:
+    """Name, size and SHA-256 of every row's content."""
+    raw = F.col(content).cast("binary")
+    return df.select(F.col(name).alias("file"), F.octet_length(raw).alias("bytes"), F.sha2(raw, 256).alias("sha256"))
+
+
 def file_manifest(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Name, size and SHA-256 of every file."""
+    """:func:`content_manifest` of the files below a folder."""
     b = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
-    return b.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    return content_manifest(b.withColumn("file", F.element_at(F.split("path", "/"), -1)), "file", "content")
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = ()) -> None:
