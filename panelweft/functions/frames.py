@@ -105,6 +105,15 @@ def truth(cond: Column) -> Column:
     return F.coalesce(cond, F.lit(False))
 
 
+def join_safe(df: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Join on keys of which NULL equals NULL, as in grouping; the keys stay once."""
+    right = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & df[k].eqNullSafe(right[f"__r_{k}"])
+    return df.join(right, cond, how).drop(*[f"__r_{k}" for k in keys])
+
+
 def xs_stats(df: DataFrame, by, wide: bool = False, **aggs: Column) -> DataFrame:
     """Attach group aggregates to every row of the group."""
     keys = _cols(by)
@@ -112,13 +121,7 @@ def xs_stats(df: DataFrame, by, wide: bool = False, **aggs: Column) -> DataFrame
         return df.withColumns({n: a.over(xs(keys)) for n, a in aggs.items()})
     # frozen: chained statistics would otherwise recompute their input twice each
     df = cut(df)
-    stats = df.groupBy(*keys).agg(*[a.alias(n) for n, a in aggs.items()])
-    renamed = stats.select(*[F.col(k).alias(f"__{k}") for k in keys], *aggs)
-    cond = None
-    for k in keys:
-        c = df[k].eqNullSafe(renamed[f"__{k}"])
-        cond = c if cond is None else cond & c
-    return df.join(renamed, cond, "left").drop(*[f"__{k}" for k in keys])
+    return join_safe(df, df.groupBy(*keys).agg(*[a.alias(n) for n, a in aggs.items()]), keys)
 
 
 def _cumulative(df: DataFrame, keys: list[str], value: str, tiles: int) -> DataFrame:
@@ -133,7 +136,7 @@ def _cumulative(df: DataFrame, keys: list[str], value: str, tiles: int) -> DataF
         F.percentile_approx(value, probs, 20 * tiles).alias("__borders")
     )
     tiled = cut(
-        counts.join(borders, keys)
+        join_safe(counts, borders, keys, "inner")
         .withColumn("__tile", F.size(F.filter("__borders", lambda b: b < F.col(value))))
         .drop("__borders")
     )
@@ -147,7 +150,7 @@ def _cumulative(df: DataFrame, keys: list[str], value: str, tiles: int) -> DataF
     )
     inside = Window.partitionBy(*keys, "__tile").orderBy(value)
     return (
-        tiled.join(before, [*keys, "__tile"])
+        join_safe(tiled, before, [*keys, "__tile"], "inner")
         .withColumn("__upto", F.col("__before") + F.sum("__n").over(inside))
         .drop("__tile", "__before")
     )
@@ -176,7 +179,7 @@ def xs_rank(
     if pct:
         rank = rank / F.col("__total")
     ranked = cum.select(*keys, value, rank.alias(out))
-    return df.join(ranked, [*keys, value], "left").select(*df.columns, out)
+    return join_safe(df, ranked, [*keys, value]).select(*df.columns, out)
 
 
 def xs_min_rank(
@@ -190,7 +193,7 @@ def xs_min_rank(
     df = cut(df)
     cum = _cumulative(df, keys, value, tiles)
     ranked = cum.select(*keys, value, (F.col("__total") - F.col("__upto") + 1).alias(out))
-    return df.join(ranked, [*keys, value], "left").select(*df.columns, out)
+    return join_safe(df, ranked, [*keys, value]).select(*df.columns, out)
 
 
 def xs_quantiles(
@@ -214,7 +217,7 @@ def xs_quantiles(
             pos = F.lit(q) * (F.col("__total") - 1)
             lo, hi, frac = pick(F.floor(pos)), pick(F.ceil(pos)), F.max(pos - F.floor(pos))
             aggs.append((lo + (hi - lo) * frac).alias(o))
-        df = df.join(cum.groupBy(*keys).agg(*aggs), keys, "left")
+        df = join_safe(df, cum.groupBy(*keys).agg(*aggs), keys)
     return df
 
 

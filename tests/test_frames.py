@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from panelweft.functions import frames as fr
 from panelweft.operators import features as ft
 from panelweft.operators import folds as fo
+from panelweft.operators import regimes as rg
 
 
 @pytest.fixture(scope="module")
@@ -61,6 +62,48 @@ def test_projection_equals_least_squares(spark, wide):
     np.testing.assert_allclose(got["r"], want, atol=1e-10)
 
 
+def test_a_missing_group_is_a_group_in_both_plans(spark):
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame({"session_idx": np.repeat([1, 2], 30), "sector": np.tile(["a", "b", None], 20), "x": rng.integers(0, 9, 60).astype(float)})
+    pdf["i"] = range(60)
+    df = spark.createDataFrame(pdf.astype({"sector": object}).where(pdf.notna(), None))
+    by, found = ("session_idx", "sector"), []
+    for wide in (False, True):
+        got = fr.xs_stats(df, by, wide, m=F.avg("x"))
+        got = fr.xs_rank(got, "x", "p", by, wide, tiles=3)
+        got = fr.xs_min_rank(got, "x", "d", by, wide, tiles=3)
+        got = fr.xs_quantiles(got, {"q": ("x", 0.3)}, by, wide, tiles=3)
+        found.append(got.orderBy("i").toPandas()[["i", "m", "p", "d", "q"]].astype(float))
+    pd.testing.assert_frame_equal(*found)
+    assert not found[0].isna().any().any()
+    want = pdf.groupby(["session_idx", "sector"], dropna=False)["x"].transform("mean")
+    np.testing.assert_allclose(found[0]["m"], want)
+
+
+def test_filters_in_buckets_equal_a_loop(spark):
+    """More names than a bucket, gaps and missing values: each name as if it were alone."""
+    rng = np.random.default_rng(12)
+    pdf = pd.DataFrame([(s, f"n{k}", float(rng.normal()) if rng.random() > 0.1 else None, float(rng.normal())) for k in range(20) for s in range(40) if rng.random() > 0.2], columns=["session_idx", "security_id", "y", "x"])
+    df = spark.createDataFrame(pdf.astype({"y": object}).where(pdf.notna(), None), "session_idx int, security_id string, y double, x double")
+    cfg = fo.KalmanSettings(1e-3, 0.1, 4)
+    got = fo.kalman_prior(df, "y", "x", cfg, names=2000).join(fo.ewm_mean(df, "y", 3.0, names=2000), ["security_id", "session_idx"]).toPandas().set_index(["security_id", "session_idx"])
+    for name, one in pdf.groupby("security_id"):
+        cov, slope, n, mean, weight, rows = 1.0, 1.0, 0, None, 0.0, one.set_index("session_idx")
+        for t in range(40):
+            cov, weight = cov + 1e-3, weight * 0.5 ** (1 / 3)
+            if t not in rows.index:
+                continue
+            y, x, r = rows.loc[t, "y"], rows.loc[t, "x"], got.loc[(name, t)]
+            assert r["kalman_beta"] == pytest.approx(slope)
+            if not np.isnan(y):
+                k = cov * x / (0.1 + cov * x * x)
+                assert np.isnan(r["innovation"]) if n < 4 else r["innovation"] == pytest.approx(y - slope * x)
+                slope, cov, n = slope + k * (y - slope * x), cov - k * x * cov, n + 1
+                new = 1 - 0.5 ** (1 / 3)
+                mean, weight = (y if mean is None else (weight * mean + new * y) / (weight + new)), 1.0
+            assert (np.isnan(r["ewm"]) if mean is None else r["ewm"] == pytest.approx(mean))
+
+
 def test_orthogonalise_equals_stepwise_least_squares(spark):
     rng = np.random.default_rng(7)
     n = 80
@@ -78,6 +121,12 @@ def test_orthogonalise_equals_stepwise_least_squares(spark):
         prior.append(z)
 
 
+def test_knots(spark):
+    x = [None, -1.0, 0.0, 0.25, 1.0, 1.5, 2.0, 9.0]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x)], "i int, v double").withColumn("y", rg.piecewise(F.col("v"), ((0.0, 1.0), (1.0, 3.0), (2.0, 0.0))))
+    assert [r["y"] for r in df.orderBy("i").collect()] == [None, 1.0, 1.0, 1.5, 3.0, 1.5, 0.0, 0.0]
+
+
 def test_tails_keep_thirty_of_a_hundred(spark):
     pdf = pd.DataFrame({"session_idx": 1, "security_id": [f"s{i:03d}" for i in range(100)], "x": np.arange(100.0), "eligible": True})
     kept = ft.kept_tails(spark.createDataFrame(pdf), "x", "k", 0.15).where("k IS NOT NULL").toPandas()["k"]
