@@ -28,7 +28,7 @@ from panelweft.llm.text import pieces
 #: How the vocabulary's own library splits text, and how it spells bytes.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Stretches and token pairs that a worker keeps before it starts anew.
-WORDS, NODES = 500_000, 600_000
+WORDS, NODES = 200_000, 200_000
 #: A mark that follows letters is a word by itself.
 ENDS = (",", ".", ";", ":", "!", "?")
 

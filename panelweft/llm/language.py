@@ -29,7 +29,7 @@ from panelweft.llm.text import LOWER, by_piece, flat
 
 ORDER, PER_LANG, UNDECIDED = 4, 400, "und"
 #: Grams whose code lengths a worker keeps before it starts anew.
-KEPT = 1_500_000
+KEPT = 1_000_000
 FOLD = LOWER.copy()
 FOLD[:0x20] = 0x20
 

@@ -36,13 +36,13 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _powers(name: str, base: np.uint64, n: int) -> np.ndarray:
-    """base ** (0..n) mod 2**64; kept up to a few pieces' length."""
+    """base ** (0..n) mod 2**64; kept for the usual length of pieces."""
     have = _POWERS.get(name)
     if have is None or len(have) <= n:
-        full = np.full(max(n, PIECE) + 1, base, np.uint64)
-        full[0] = 1
-        have = np.cumprod(full)
-        if n <= 4 * PIECE:
+        have = np.full(max(n, PIECE) + 1, base, np.uint64)
+        have[0] = 1
+        np.cumprod(have, out=have)
+        if n <= PIECE:
             _POWERS[name] = have
     return have
 
@@ -103,6 +103,15 @@ class Words:
     def __len__(self) -> int:
         return len(self.begin)
 
+    def some(self, which) -> Words:
+        """A choice of the words, without rows; hashes and spans are theirs alone."""
+        out = Words.__new__(Words)
+        begin, size = self.begin[which], (self.end - self.begin)[which]
+        at = np.cumsum(size) - size
+        out.body = self.body[np.repeat(begin - at, size) + np.arange(int(size.sum()))]
+        out.begin, out.end = at, at + size
+        return out
+
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 

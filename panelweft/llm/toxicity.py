@@ -26,11 +26,18 @@ from pyspark.sql import functions as F
 from panelweft.llm.storage import along, documents, with_rest
 from panelweft.llm.text import NOT_WORD, Words, by_piece, mix
 
-PER_CLASS, CHI2, BUCKETS, DIM, STEPS, GRAMS = 1200, 20.0, 1 << 18, 4, 120, (3, 4, 5)
+PER_CLASS, CHI2, BUCKETS, DIM, STEPS, GRAMS = 2000, 20.0, 1 << 18, 4, 120, (3, 4, 5)
 SCALE, RATE = 300.0, 0.1
 
 
-def subwords(w: Words) -> tuple[np.ndarray, np.ndarray]:
+def subwords(w: Words, at_once: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`_subwords` of some words at a time, which bounds what it holds besides its result."""
+    parts = [_subwords(w.some(slice(a, a + at_once))) for a in range(0, max(len(w), 1), at_once)]
+    shift = np.cumsum([0, *(len(i) for i, _ in parts)])
+    return np.concatenate([i for i, _ in parts]), np.concatenate([*(f[:-1] + s for (_, f), s in zip(parts, shift)), shift[-1:]])
+
+
+def _subwords(w: Words) -> tuple[np.ndarray, np.ndarray]:
     """(feature ids, first feature of each word and the end): n-grams over characters, marked at the borders, and the word."""
     size = w.end - w.begin
     total = int(size.sum()) + 2 * len(w)
@@ -40,7 +47,7 @@ def subwords(w: Words) -> tuple[np.ndarray, np.ndarray]:
     inner = np.repeat(at + 1 - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
     body[inner] = w.body[np.repeat(w.begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
     lead = np.flatnonzero((body & 0xC0) != 0x80)  # where characters start
-    word = np.repeat(np.arange(len(w)), size + 2)[lead]
+    word = np.repeat(np.arange(len(w), dtype=np.int32), size + 2)[lead]
     stop = np.append(lead[1:], total)
     n = len(lead)
     table = mix(np.arange(1, 257, dtype=np.uint64))
@@ -48,7 +55,7 @@ def subwords(w: Words) -> tuple[np.ndarray, np.ndarray]:
     for j in range(4):
         here = lead + j < stop
         char[here] = char[here] * np.uint64(0x100000001B3) + table[body[(lead + j)[here]]]
-    ids, owner = [(w.hashes(3) % np.uint64(BUCKETS)).astype(np.int64)], [np.arange(len(w))]
+    ids, owner = [(w.hashes(3) % np.uint64(BUCKETS)).astype(np.int32)], [np.arange(len(w), dtype=np.int32)]
     gram = np.zeros(n, np.uint64)
     for k in range(1, max(GRAMS) + 1):
         m = n - k + 1
@@ -57,7 +64,7 @@ def subwords(w: Words) -> tuple[np.ndarray, np.ndarray]:
         gram = gram[:m] * np.uint64(0xD1342543DE82EF95) + char[k - 1 : k - 1 + m]
         if k in GRAMS:
             whole = word[:m] == word[k - 1 : k - 1 + m]
-            ids.append((mix(gram[whole] + np.uint64(k)) % np.uint64(BUCKETS)).astype(np.int64))
+            ids.append((mix(gram[whole] + np.uint64(k)) % np.uint64(BUCKETS)).astype(np.int32))
             owner.append(word[:m][whole])
     owner_all = np.concatenate(owner)
     order = np.argsort(owner_all, kind="stable")
@@ -82,9 +89,7 @@ class Model:
         code, kinds = pd.factorize(w.hashes())
         one = np.zeros(len(kinds), np.int64)
         one[code[::-1]] = np.arange(len(code))[::-1]  # an instance of each distinct word
-        each = Words.__new__(Words)
-        each.body, each.begin, each.end = w.body, w.begin[one], w.end[one]
-        ids, first = subwords(each)
+        ids, first = subwords(w.some(one))
         weight, count = sums(self.weight[ids], first), np.diff(first)
         logit = sums(weight[code], w.first) / np.maximum(sums(count[code].astype(float), w.first), 1) + self.bias
         return 1 / (1 + np.exp(-np.clip(logit, -50, 50)))
@@ -117,9 +122,9 @@ def fit(words: pa.ListArray, counts: pa.ListArray, labels: np.ndarray, prior: fl
     per_word = np.diff(wf)
     size = np.maximum(np.bincount(doc, n * per_word[word], len(labels)), 1)[:, None].astype(np.float32)
     seen = np.zeros((2, BUCKETS))  # documents of each class that hold a feature
-    for a in range(0, len(labels), 200):
-        own = word[first[a] : first[min(a + 200, len(labels))]]
-        of = np.repeat(doc[first[a] : first[min(a + 200, len(labels))]], per_word[own])
+    for a in range(0, len(labels), 50):
+        own = word[first[a] : first[min(a + 50, len(labels))]]
+        of = np.repeat(doc[first[a] : first[min(a + 50, len(labels))]], per_word[own])
         f = ids[np.repeat(wf[own] - (np.cumsum(per_word[own]) - per_word[own]), per_word[own]) + np.arange(len(of))]
         pair = pd.unique(of * BUCKETS + f)
         for c in (0, 1):
@@ -128,7 +133,8 @@ def fit(words: pa.ListArray, counts: pa.ListArray, labels: np.ndarray, prior: fl
     odds = (seen[1] * whole[0] - seen[0] * whole[1]) ** 2 * len(labels) / np.maximum(df * (len(labels) - df) * whole[0] * whole[1], 1)
     learnt = (df >= 2) & (odds >= max(min(CHI2, np.sort(odds)[-200]), 3))
     keep = learnt[ids]
-    feature, owner = ids[keep], np.repeat(np.arange(len(w)), per_word)[keep]
+    feature, owner = ids[keep], np.repeat(np.arange(len(w), dtype=np.int32), per_word)[keep]
+    del ids, keep
     used_words, owner, o_start = compact(owner)
     number = np.full(len(w), -1)
     number[used_words] = np.arange(len(used_words))
@@ -205,4 +211,4 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
         return with_rest(batch, [batch.column("doc_id"), pa.array(shared.value.scores(batch.column("text")), pa.float64())], ["doc_id", "score"])
 
     rows = documents(docs, key, text, rest)
-    return rows.mapInArrow(by_piece(run), along("doc_id long, score double", rows))
+    return rows.mapInArrow(by_piece(run, size=1 << 20), along("doc_id long, score double", rows))

@@ -29,7 +29,7 @@ from panelweft.llm.text import pieces
 
 MARK, UNKNOWN = "▁", 10.0
 #: Pre-tokens that a worker keeps before it starts anew.
-WORDS = 500_000
+WORDS = 250_000
 
 
 class Model:
