@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from panelweft.functions.dates import add_business_days
 from panelweft.functions.frames import positive, ratio, snap, xs_quantiles, xs_rank, xs_stats
-from panelweft.operators.temporal import prior_vintage_growth, scd_join
+from panelweft.operators.temporal import prior_vintage_growth, scd_join, sole
 
 # Standard concept names and the measures they feed.
 CONCEPTS = {
@@ -39,7 +39,7 @@ def annual_facts(facts: DataFrame, filings: DataFrame) -> DataFrame:
     annual = filings.where(F.upper("form_type").isin(*ANNUAL_FORMS)).withColumnRenamed(
         "accepted_at", "filing_accepted_at"
     )
-    j = facts.join(annual, ["entity_id", "accession_id"])
+    j = facts.join(sole(annual, ["entity_id", "accession_id"]), ["entity_id", "accession_id"])
     j = j.withColumns(
         {
             "accepted_at": F.greatest("accepted_at", "filing_accepted_at"),

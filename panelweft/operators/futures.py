@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from panelweft.functions.dates import add_business_days
 from panelweft.functions.frames import at, clip, positive, ratio, roll, ts_between, ts_prior
-from panelweft.operators.temporal import attach_asof
+from panelweft.operators.temporal import attach_asof, sole
 
 
 def with_last_eligible(metadata: DataFrame, buffer_days: int = 5) -> DataFrame:
@@ -23,7 +23,7 @@ def with_last_eligible(metadata: DataFrame, buffer_days: int = 5) -> DataFrame:
 def contract_curve(daily: DataFrame, metadata: DataFrame, buffer_days: int = 5) -> DataFrame:
     """Front and next contract per date and root, with annualised log carry."""
     m = with_last_eligible(metadata, buffer_days).select("root", "contract", "expiry_date", "last_eligible_date")
-    ok = daily.join(m, ["root", "contract"]).where(
+    ok = daily.join(sole(m, ["root", "contract"]), ["root", "contract"]).where(
         F.col("expiry_date").isNotNull() & (F.col("settlement") > 0) & (F.col("date") < F.col("last_eligible_date"))
     )
     w = Window.partitionBy("date", "root").orderBy("expiry_date", "contract")

@@ -61,18 +61,47 @@ def panel_violations(df: DataFrame, keys: Sequence[str] = ("security_id", "sessi
     return dup.unionByName(violations(df, key, rules))
 
 
-def check_policy(scope: str, master_kind: str, includes_terminated: bool, availability_basis: str) -> None:
-    """Driver-side rules over parameters: a historical universe needs dated,
-    verified history including terminated names."""
-    if scope not in ("historical_verified", "prospective_only"):
-        raise ValueError("scope must be historical_verified or prospective_only")
-    if scope == "historical_verified":
-        if master_kind == "current_snapshot":
-            raise ValueError("a current snapshot cannot describe history")
-        if not includes_terminated:
-            raise ValueError("a historical master must include terminated securities")
-        if availability_basis == "inferred":
-            raise ValueError("historical availability must be evidenced")
+# What a manifest may say of its master and of how availability is known.
+HISTORY_KINDS = ("historical_event_history", "archived_snapshots")
+SCOPES = ("historical_verified", "prospective_only")
+AVAILABILITY = "evidenced_publication_or_capture"
+EVIDENCE_TYPES = ("source_publication", "contemporaneous_capture")
+
+
+def manifest_rules(decision: Column) -> dict[str, Column]:
+    """Rules over a table of manifests (source, calendar_source, security_id_kind, availability_basis, scope,
+    master_kind, includes_terminated, valid_from): what a universe decided at ``decision`` may rest on."""
+    c = F.col
+    historical, prospective = c("scope") == "historical_verified", c("scope") == "prospective_only"
+    said = lambda x: F.length(F.trim(c(x))) > 0
+    return {
+        "sources_named": said("source") & said("calendar_source"),
+        "identifier_permanent": c("security_id_kind") == "permanent",
+        "availability_evidenced": c("availability_basis") == AVAILABILITY,
+        "scope_known": c("scope").isin(*SCOPES),
+        "history_kind": ~historical | c("master_kind").isin(*HISTORY_KINDS),
+        "terminated_included": ~historical | truth(c("includes_terminated")),
+        "snapshot_kind": ~prospective | c("master_kind").isin("current_snapshot", *HISTORY_KINDS),
+        "decision_covered": ~prospective | truth(c("valid_from") <= decision),
+    }
+
+
+def evidence_violations(rows: DataFrame, publications: DataFrame, key: Column) -> DataFrame:
+    """Rows (publication_id, available_at) without a publication, with an unverified one, or available before it;
+    and publications that aren't unique or of an accepted type."""
+    known = publications.groupBy("publication_id").agg(
+        F.count("*").alias("__copies"), F.min("published_at").alias("__published"), F.bool_and("verified").alias("__verified"),
+        F.bool_and(truth(F.col("evidence_type").isin(*EVIDENCE_TYPES))).alias("__typed"),
+    )
+    linked = rows.join(known, "publication_id", "left")
+    there = F.col("__copies").isNotNull()
+    rules = {
+        "publication_present": there,
+        "publication_verified": ~there | F.col("__verified"),
+        "available_after_publication": ~there | (F.col("available_at") >= F.col("__published")),
+    }
+    own = {"publication_unique": F.col("__copies") == 1, "evidence_type": F.col("__typed")}
+    return violations(linked, key, rules).unionByName(violations(known, F.col("publication_id"), own))
 
 
 def ohlcv_flags(bars: DataFrame, calendar: DataFrame, keys: Sequence[str] = ("security_id", "session")) -> DataFrame:

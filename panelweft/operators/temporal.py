@@ -192,9 +192,18 @@ def key_violations(right: DataFrame, keys: Sequence[str]) -> DataFrame:
     return right.groupBy(*keys).agg(F.count("*").alias("copies")).where("copies > 1")
 
 
+def sole(right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The table, which fails when it is read if a key comes twice."""
+    rest = [c for c in right.columns if c not in keys]
+    once = right.groupBy(*keys).agg(F.count("*").alias("__n"), F.any_value(F.struct(*rest) if rest else F.lit(1)).alias("__p"))
+    message = F.concat(F.lit("the right side of a many-to-one join repeats "), F.to_json(F.struct(*keys)))
+    fine = F.assert_true(F.col("__n") == 1, message).isNull()
+    return once.where(fine).select(*keys, *([f"__p.{c}" for c in rest]))
+
+
 def validated_left_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Left join that marks unmatched rows; callers check :func:`key_violations`."""
-    marked = right.withColumn("__hit", F.lit(True))
+    """Left join to unique keys that marks unmatched rows; repeated right keys fail the query."""
+    marked = sole(right, list(keys)).withColumn("__hit", F.lit(True))
     return left.join(marked, list(keys), "left").withColumn("matched", F.coalesce("__hit", F.lit(False))).drop("__hit")
 
 

@@ -397,19 +397,55 @@ def p03(spark, sf):
     return finish(qa.panel_violations(b))
 
 
-@query("p04_policy_check", out("", "SELECT o_orderstatus AS scope, count(*) AS rows, o_orderstatus <> 'P' AS accepted FROM orders GROUP BY 1", "scope:s rows:i accepted:b"))
+MANIFEST_DAY = "1998-01-01"
+
+
+@query(
+    "p04_policy_check",
+    out(
+        f"""mf AS (SELECT o_orderkey AS k, o_orderkey % 41 <> 0 AS sources, o_orderkey % 43 <> 0 AS permanent, o_orderkey % 47 <> 0 AS evidenced,
+          CASE WHEN o_orderstatus = 'F' THEN 'historical_verified' WHEN o_orderstatus = 'O' THEN 'prospective_only' ELSE 'P' END AS scope,
+          ['historical_event_history', 'archived_snapshots', 'current_snapshot', 'dated'][CAST(o_orderkey % 4 AS INTEGER) + 1] AS kind, o_orderkey % 5 <> 0 AS terminated, CAST(o_orderdate AS DATE) AS valid_from FROM orders)""",
+        f"""SELECT k, unnest(list_filter([CASE WHEN NOT sources THEN 'sources_named' END, CASE WHEN NOT permanent THEN 'identifier_permanent' END, CASE WHEN NOT evidenced THEN 'availability_evidenced' END,
+          CASE WHEN scope = 'P' THEN 'scope_known' END, CASE WHEN scope = 'historical_verified' AND kind IN ('current_snapshot', 'dated') THEN 'history_kind' END,
+          CASE WHEN scope = 'historical_verified' AND NOT terminated THEN 'terminated_included' END, CASE WHEN scope = 'prospective_only' AND kind = 'dated' THEN 'snapshot_kind' END,
+          CASE WHEN scope = 'prospective_only' AND valid_from > DATE '{MANIFEST_DAY}' THEN 'decision_covered' END], lambda z: z IS NOT NULL)) AS rule FROM mf""",
+        "k:s rule:s",
+    ),
+)
 def p04(spark, sf):
-    """Parameters are validated before any plan; rows of accepted scopes count."""
-    ok = {}
-    for status in ("F", "O", "P"):
-        try:
-            qa.check_policy("historical_verified", "current_snapshot" if status == "P" else "dated", True, "evidenced")
-            ok[status] = True
-        except ValueError:
-            ok[status] = False
-    flag = F.element_at(F.create_map(*[F.lit(x) for kv in ok.items() for x in kv]), F.col("scope"))
-    o = tb.table(spark, sf, "orders").groupBy(F.col("o_orderstatus").alias("scope")).agg(F.count("*").alias("rows"))
-    return finish(o.withColumn("accepted", flag))
+    """A manifest per order; what each breaks."""
+    o, k = tb.table(spark, sf, "orders"), F.col("o_orderkey")
+    kinds = F.array(*map(F.lit, ["historical_event_history", "archived_snapshots", "current_snapshot", "dated"]))
+    m = o.select(
+        k, F.when(k % 41 != 0, "issuer").otherwise(" ").alias("source"), F.lit("exchange").alias("calendar_source"), F.when(k % 43 != 0, "permanent").otherwise("ticker").alias("security_id_kind"),
+        F.when(k % 47 != 0, "evidenced_publication_or_capture").otherwise("evidenced").alias("availability_basis"),
+        F.when(F.col("o_orderstatus") == "F", "historical_verified").when(F.col("o_orderstatus") == "O", "prospective_only").otherwise("P").alias("scope"),
+        F.get(kinds, (k % 4).cast("int")).alias("master_kind"), (k % 5 != 0).alias("includes_terminated"), F.to_date("o_orderdate").alias("valid_from"),
+    )
+    return finish(qa.violations(m, k, qa.manifest_rules(F.lit(MANIFEST_DAY).cast("date"))).select(F.col("key").alias("k"), "rule"))
+
+
+@query(
+    "c01_publication_evidence",
+    out(
+        """pu AS (SELECT o_orderkey AS p, CAST(o_orderdate AS DATE) AS published, o_orderstatus <> 'P' AS verified, o_orderkey % 37 <> 0 AS typed, CASE WHEN o_orderkey % 53 = 0 THEN 2 ELSE 1 END AS n FROM orders WHERE o_orderkey % 29 <> 0),
+        ln AS (SELECT l_orderkey || '/' || l_linenumber AS key, CAST(l_shipdate AS DATE) - 20 AS available, pu.* FROM lineitem LEFT JOIN pu ON p = l_orderkey)""",
+        """SELECT key, 'publication_present' AS rule FROM ln WHERE p IS NULL UNION ALL SELECT key, 'publication_verified' FROM ln WHERE NOT verified
+        UNION ALL SELECT key, 'available_after_publication' FROM ln WHERE available < published
+        UNION ALL SELECT CAST(p AS VARCHAR), 'publication_unique' FROM pu WHERE n > 1 UNION ALL SELECT CAST(p AS VARCHAR), 'evidence_type' FROM pu WHERE NOT typed""",
+        "key:s rule:s",
+    ),
+)
+def c01e(spark, sf):
+    """Line items as facts, orders as their publications: some absent, unverified, repeated, late or of an unknown type."""
+    o, k = tb.table(spark, sf, "orders"), F.col("o_orderkey")
+    p = o.where(k % 29 != 0).select(
+        k.alias("publication_id"), F.to_date("o_orderdate").alias("published_at"), (F.col("o_orderstatus") != "P").alias("verified"),
+        F.when(k % 37 != 0, "source_publication").otherwise("retrospective").alias("evidence_type"), F.explode(F.sequence(F.lit(1), F.when(k % 53 == 0, 2).otherwise(1))).alias("copy"),
+    )
+    li = tb.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("publication_id"), F.concat_ws("/", "l_orderkey", "l_linenumber").alias("fact"), F.date_sub(F.to_date("l_shipdate"), 20).alias("available_at"))
+    return finish(qa.evidence_violations(li, p.drop("copy"), F.col("fact")).select("key", "rule"))
 
 
 _OH = (

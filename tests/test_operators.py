@@ -174,8 +174,23 @@ def test_gate_fails_closed(spark):
 def test_policies_and_columns(spark):
     with pytest.raises(ValueError):
         un.UniversePolicy(min_members=500)
-    with pytest.raises(ValueError):
-        qa.check_policy("historical_verified", "current_snapshot", True, "evidenced")
+    schema = "source string, calendar_source string, security_id_kind string, availability_basis string, scope string, master_kind string, includes_terminated boolean, valid_from date"
+    basis = "evidenced_publication_or_capture"
+    rows = [
+        ("a", "b", "permanent", basis, "historical_verified", "archived_snapshots", True, None), ("a", "b", "permanent", basis, "historical_verified", "current_snapshot", None, None),
+        (" ", None, "ticker", "inferred", "unknown", "dated", True, None), ("a", "b", "permanent", basis, "prospective_only", "current_snapshot", False, D(2021, 1, 1)),
+        ("a", "b", "permanent", basis, "prospective_only", "current_snapshot", False, D(2019, 1, 1)),
+    ]
+    m = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, " + schema)
+    found = sorted((r["key"], r["rule"]) for r in qa.violations(m, F.col("i"), qa.manifest_rules(F.lit("2020-01-01").cast("date"))).collect())
+    assert found == [
+        ("1", "history_kind"), ("1", "terminated_included"), ("2", "availability_evidenced"), ("2", "identifier_permanent"), ("2", "scope_known"), ("2", "sources_named"), ("3", "decision_covered"),
+    ]
+    twice = spark.createDataFrame([(1, "x"), (1, "y"), (2, "z")], "k int, v string")
+    with pytest.raises(Exception, match="repeats"):
+        tp.validated_left_join(spark.range(3).select(F.col("id").cast("int").alias("k")), twice, ["k"]).collect()
+    ok = tp.validated_left_join(spark.range(3).select(F.col("id").cast("int").alias("k")), twice.where("v != 'x'"), ["k"]).orderBy("k").collect()
+    assert [(r["k"], r["v"], r["matched"]) for r in ok] == [(0, None, False), (1, "y", True), (2, "z", True)]
     with pytest.raises(ValueError):
         qa.require_columns(spark.range(1), ["x"], "t")
     bad = qa.violations(spark.range(3), F.col("id"), {"small": F.col("id") < 2})
