@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from panelweft.functions import frames as fr
 from panelweft.operators import ledger as lg
+from panelweft.operators.quality import hash_dropped
 from panelweft.plans.q_features import ADV, PROJECT_SQL
 from panelweft.plans.q_filters import REGIME_SQL, regimes
 from panelweft.plans.registry import finish, out, query
@@ -53,6 +57,44 @@ def ledger(spark, sf):
     return lg.pnl_ledger(t, dense, risk, sh.sessions - 1, 7, NAV, COSTS)
 
 
+#: Robustness scenarios of the rank book: sessions between rebalances, sessions by which the score is late, cost multiplier.
+SCENARIOS = {
+    "base": (EVERY, 0, 1.0), "costs_x2": (EVERY, 0, 2.0), "signal_delay_1": (EVERY, 1, 1.0), "rebalance_10": (10, 0, 1.0), "rebalance_21": (21, 0, 1.0),
+    "drop_deterministic_20pct": (EVERY, 0, 1.0), "remove_best_5pct": (EVERY, 0, 1.0),
+}
+BEST = 0.05
+#: Sessions whose contributions choose the names that ``remove_best_5pct`` leaves out.
+BEST_FROM, BEST_TO = 179, 260
+
+
+def scenario_ledgers(spark, sf):
+    """Daily returns of every scenario, each rebuilt from its own targets through its own costs."""
+    sh = tb.shape(spark, sf)
+    scored = scored_panel(spark, sf).withColumn("late", fr.at("score", -1))
+    scored = cut(scored.select("security_id", "session_idx", "sector", "ret", "beta", "vol", "adv", "score", "late"))
+    dense = cut(tb.on_calendar(scored.select("security_id", "session_idx", "ret"), sh.sessions))
+    risk = scored.select("security_id", "session_idx", "vol", "adv")
+    first = scored.where(F.col("session_idx") >= START)
+
+    def run(df, names, costs):
+        rows = F.array(*[F.struct(F.lit(n).alias("experiment"), F.lit(SCENARIOS[n][0]).alias("every"), F.lit(SCENARIOS[n][1]).alias("lag")) for n in names])
+        df = df.withColumn("__e", F.explode(rows)).select("*", "__e.*").where(F.col("session_idx") % F.col("every") == 0)
+        df = df.where((F.col("experiment") != "drop_deterministic_20pct") | ~hash_dropped(F.col("security_id"), full=True))
+        df = df.withColumn("score", F.when(F.col("lag") == 1, F.col("late")).otherwise(F.col("score")))
+        t = lg.neutral_target(df, min_names=MIN_NAMES, max_name=MAX_NAME, wide=sh.wide).select("experiment", "session_idx", "security_id", "weight")
+        return lg.pnl_ledger(t, dense, risk, sh.sessions - 1, 7, NAV, costs)
+
+    plain = run(first, [n for n in SCENARIOS if n not in ("costs_x2", "remove_best_5pct")], COSTS)
+    dear = run(first, ["costs_x2"], replace(COSTS, multiplier=SCENARIOS["costs_x2"][2]))
+    held = plain.held.where((F.col("experiment") == "base") & F.col("session_idx").between(BEST_FROM, BEST_TO))
+    gains = lg.attribute_pnl(held).groupBy("security_id").agg(F.sum("contribution").alias("gain"))
+    count = max(1, int(BEST * sh.names))
+    best = gains.orderBy(fr.snap("gain", 9).desc(), "security_id").limit(count).select("security_id")
+    rest = run(first.join(best, "security_id", "left_anti"), ["remove_best_5pct"], COSTS)
+    parts = [x.daily.select("experiment", "session_idx", "net_return") for x in (plain, dear, rest)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 TARGET_SQL = (
     RESIDUAL
     + f""",
@@ -109,6 +151,31 @@ dly AS (SELECT *, gross_return - transaction_cost - borrow_cost AS net_return FR
 hld AS (SELECT p.experiment, p.session_idx, p.security_id, p.u / d.v AS weight, p.ret FROM pth p JOIN dly d USING (experiment, block, session_idx))"""
 )
 
+
+
+def scenario_sql():
+    """The ledger's oracle over the scenarios; the best names come from a first run of the base alone."""
+    books = "(SELECT 'rank' AS experiment, CAST(NULL AS DOUBLE) AS tail UNION ALL SELECT 'tail', 0.2) e"
+    every = f"session_idx % {EVERY} = 0"
+    dropped = "list_sum(list_transform(string_split(sha256(security_id), ''), lambda z: CASE WHEN z = '' THEN 0 ELSE CAST(concat('0x', z) AS BIGINT) END)) % 5 = 0"
+    late = f"at1 AS (SELECT * EXCLUDE (score), score AS plain, first_value(score) OVER (PARTITION BY security_id ORDER BY session_idx RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING) AS late FROM scd0)"
+    own = ["bk0", "bk1", "bk2", "bk3", "pj0", "pj1", "tgt", "lastc", "sch", "pth0", "pth", "sms", "bsum", "trd0", "trd", "val1", "cst1", "val2", "cst2", "val3", "cst3", "dl0", "dl1", "dly0", "dly", "hld"]
+    shared = LEDGER_SQL[: LEDGER_SQL.index("bk0 AS")]
+    body = LEDGER_SQL[LEDGER_SQL.index("bk0 AS") :]
+    base = body.replace(books, "(SELECT 'base' AS experiment, CAST(NULL AS DOUBLE) AS tail) e")
+    rows = " UNION ALL ".join(f"SELECT '{n}' AS experiment, CAST(NULL AS DOUBLE) AS tail, {e} AS every, {d} AS lag" for n, (e, d, _) in SCENARIOS.items())
+    again = re.sub(r"\b(" + "|".join(own) + r")\b", r"\1_s", body.replace(books, f"({rows}) e").replace(every, "session_idx % every = 0"))
+    again = again.replace("SELECT e.experiment, e.tail, s.* FROM scd0 s", "SELECT * FROM (SELECT e.experiment, e.tail, e.every, CASE WHEN e.lag = 1 THEN late ELSE plain END AS score, s.* FROM at1 s")
+    again = again.replace("WHERE session_idx % every = 0", f") WHERE (experiment <> 'drop_deterministic_20pct' OR NOT ({dropped})) AND (experiment <> 'remove_best_5pct' OR security_id NOT IN (SELECT security_id FROM best)) AND session_idx % every = 0")
+    twice = "CASE WHEN experiment = 'costs_x2' THEN 2.0 ELSE 1.0 END"
+    again = again.replace(f"* {COSTS.borrow_annual} * 7 / 365 AS b", f"* {COSTS.borrow_annual} * 7 / 365 * {twice} AS b")
+    for k in (1, 2, 3):
+        again = again.replace(f"cst{k}_s AS (SELECT t.experiment, t.block, sum(", f"cst{k}_s AS (SELECT t.experiment, t.block, {twice.replace('experiment', 't.experiment')} * sum(")
+    best = f"""best AS (SELECT security_id FROM (SELECT security_id, sum(weight * coalesce(ret, 0)) AS gain FROM hld WHERE session_idx BETWEEN {BEST_FROM} AND {BEST_TO} GROUP BY 1)
+      ORDER BY round(gain, 9) DESC, security_id LIMIT (SELECT greatest(1, CAST(floor({BEST} * count(*)) AS BIGINT)) FROM supplier))"""
+    return shared + base + ",\n" + late + ",\n" + best + ",\n" + again
+
+
 B = "experiment:s session_idx:i"
 
 

@@ -12,7 +12,7 @@ from panelweft.operators import reports as rp
 from panelweft.operators import research as rs
 from panelweft.plans.q_features import CARRY_SQL, DEFENSIVE_SQL, K, OVERLAY_SQL, carry, defensive, overlay, pick
 from panelweft.plans.q_filters import _AKAL, ALPHA, REGIME_SQL, regimes, w19a
-from panelweft.plans.q_ledger import BOOKS_SQL, EVERY, LEDGER_SQL, TARGET_SQL, _STATE_SQL, books, ledger, state_ledger, targets
+from panelweft.plans.q_ledger import BOOKS_SQL, EVERY, LEDGER_SQL, TARGET_SQL, _STATE_SQL, books, ledger, scenario_ledgers, scenario_sql, state_ledger, targets
 from panelweft.plans.q_research import TRAIN_END, _hac_sql
 from panelweft.plans.registry import finish, out, query
 from panelweft.plans.sqlbase import RESEARCH, RESIDUAL, RETURNS, at, pct_rank, roll, ts, tsp
@@ -708,29 +708,12 @@ def a50(spark, sf):
 
 @query(
     "c10_robustness_sweep",
-    out(
-        LEDGER_SQL
-        + """, rbw AS (SELECT *, CAST(concat('0x', substr(sha256(security_id), 1, 8)) AS BIGINT) % 5 = 0 AS dropped FROM hld),
-        rb0 AS (SELECT h.experiment, h.session_idx, sum(CASE WHEN NOT dropped THEN weight * coalesce(ret, 0) ELSE 0 END) AS kept FROM rbw h GROUP BY 1, 2),
-        rb AS (SELECT experiment, session_idx, 'base' AS scenario, net_return AS r FROM dly UNION ALL SELECT experiment, session_idx, 'double_cost', gross_return - 2 * transaction_cost - borrow_cost FROM dly
-          UNION ALL SELECT experiment, session_idx, 'half_cost', gross_return - 0.5 * transaction_cost - borrow_cost FROM dly UNION ALL SELECT d.experiment, d.session_idx, 'hashed_removal', k.kept - d.transaction_cost - d.borrow_cost FROM dly d JOIN rb0 k USING (experiment, session_idx)),"""
-        + perf_sql("rb", "experiment, scenario", "r"),
-        "SELECT experiment, scenario, sessions, sharpe, total_return FROM pf", "experiment:s scenario:s sessions:i sharpe:f total_return:f",
-    ),
+    out(scenario_sql() + "," + perf_sql("dly_s", "experiment"), "SELECT experiment AS scenario, sessions, sharpe, total_return, max_drawdown FROM pf", "scenario:s sessions:i sharpe:f total_return:f max_drawdown:f"),
 )
 def c10(spark, sf):
-    """Cost, and name-removal scenarios of every experiment in one job."""
-    from panelweft.operators.quality import hash_dropped
-
-    led = ledger(spark, sf)
-    kept = lg.attribute_pnl(led.held).withColumn("drop", hash_dropped(F.col("security_id")))
-    kept = kept.groupBy("experiment", "session_idx").agg(F.sum(F.when(~F.col("drop"), F.col("contribution")).otherwise(0.0)).alias("kept"))
-    d = led.daily.join(kept, ["experiment", "session_idx"])
-    g, t, b = F.col("gross_return"), F.col("transaction_cost"), F.col("borrow_cost")
-    grid = {"base": g - t - b, "double_cost": g - 2 * t - b, "half_cost": g - 0.5 * t - b, "hashed_removal": F.col("kept") - t - b}
-    d = d.select("experiment", "session_idx", F.explode(F.array(*[F.struct(F.lit(n).alias("scenario"), c.alias("r")) for n, c in grid.items()])).alias("s"))
-    p = rp.performance(d.select("experiment", "session_idx", "s.*"), ["experiment", "scenario"], "r", 52.0)
-    return finish(p.select("experiment", "scenario", "sessions", "sharpe", "total_return"))
+    """Costs, delay, rebalance interval and removals, each through targets and ledger of its own."""
+    p = rp.performance(scenario_ledgers(spark, sf), ["experiment"], "net_return", 52.0)
+    return finish(p.select(F.col("experiment").alias("scenario"), "sessions", "sharpe", "total_return", "max_drawdown"))
 
 
 @query(
