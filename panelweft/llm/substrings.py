@@ -261,6 +261,8 @@ def dedup(docs: DataFrame, width: int = 13, key: str = "doc_id", text: str = "te
     whole = rows.join(found, ["doc_id", "tag"], "left")
 
     def check(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lists_ = [pc.fill_null(pc.list_value_length(batch.column(c)), 0) for c in ("start", "asked_start")]
+        batch = batch.filter(pc.greater(pc.add(*lists_), 0))
         w = Words(batch.column("text"))
         start, row = _flat(batch.column("start"))
         length = _flat(batch.column("length"))[0]
@@ -282,7 +284,8 @@ def dedup(docs: DataFrame, width: int = 13, key: str = "doc_id", text: str = "te
             names=["path", "src", "src_tag", "src_start", "length", "hash", "doc_id", "tag", "start"],
         )
 
-    sides = whole.where("size(start) > 0 or size(asked_start) > 0").mapInArrow(by_piece(check), "path boolean, src long, src_tag int, src_start int, length int, hash long, doc_id long, tag int, start int")
+    # both uses of the texts read the same rows, so that they are shuffled once
+    sides = whole.mapInArrow(by_piece(check), "path boolean, src long, src_tag int, src_start int, length int, hash long, doc_id long, tag int, start int")
     place = ["src", "src_tag", "src_start", "length"]
     refused = (
         sides.where("path").drop("path").join(sides.where("not path").select(*place, F.col("hash").alias("there")), place, "left")
