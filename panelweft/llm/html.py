@@ -38,6 +38,10 @@ NAMES = re.compile(
     r"comments?|commentlist|disqus|replies|reply|respond|discussion|cookies?|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|"
     r"related|recommend\w*|pagination|pager|copyright|disclaimer|legal|skip|search|searchform|tags|tagcloud|complementary|contentinfo|alert)(?:$|[\s_-]|\d)", re.I
 )
+#: Names of what readers wrote; such parts may hold articles of their own.
+READERS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|disqus|replies|reply|respond|discussion)(?:$|[\s_-]|\d)", re.I)
+#: Parts of a class that say what else a page has.
+ABOUT_PAGE = re.compile(r"(?<![\w-])(?:has|with|no|without|is)-[\w-]+", re.I)
 #: Dropped parts that stand in the middle of an article as well; they leave one empty line, others end a body.
 PASSING = re.compile(r"(?:^|[\s\"'=_-])(?:ad|ads|advert\w*|adsense|banner|sponsor\w*|promo\w*|share|sharing|social|newsletter|related|widget\w*|popup|notice)", re.I)
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
@@ -49,13 +53,15 @@ def boilerplate(name: str, attributes: str, inside: bool) -> bool:
         return True
     if name == "header":
         return not inside
-    if not attributes or name in LANDMARK or name in VOID:
+    if not attributes or name in ("main", "body", "html") or name in VOID:
         return False
+    names = READERS if name == "article" else NAMES
     for key, value in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'")
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
             return True
-        if key in ("class", "id", "role") and NAMES.search(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value)) and not (inside and re.search(r"header|title", value, re.I)):
+        value = ABOUT_PAGE.sub("", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value))
+        if key in ("class", "id", "role") and names.search(value) and not (inside and re.search(r"header|title", value, re.I)):
             return True
     return False
 
@@ -67,6 +73,7 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
     links = held = 0
     open_: list[str] = []  # elements that are open, without inline ones
     skipped, depth, gap = "", 0, 1  # the element that is being dropped, how often it is open inside itself, and the empty lines it leaves
+    readers = False  # it holds what readers wrote
     articles = anchors = 0
     at, end = 0, len(page)
 
@@ -103,7 +110,7 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
         if skipped:
             if name == skipped:
                 depth += -1 if closing else 1
-            elif name in LANDMARK and (not closing and name in ("article", "main") or closing):
+            elif not readers and name in LANDMARK and (not closing and name in ("article", "main") or closing):
                 depth = 0  # it was never closed
             if depth:
                 continue
@@ -114,7 +121,7 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
         if name in INLINE and name not in VOID:
             if not closing and boilerplate(name, m[4], articles > 0) and not m[5]:
                 if re.compile(rf"</{name}\s*>", re.I).search(page, at):
-                    skipped, depth, gap = name, 1, 1
+                    skipped, depth, gap, readers = name, 1, 1, False
             elif name == "a":
                 anchors = 0 if closing else 1
             continue
@@ -131,6 +138,7 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
         if name in VOID or m[5]:
             continue
         if boilerplate(name, m[4], articles > 0):
+            readers = bool(READERS.search(re.sub(r"[\"'=]", " ", m[4] or "")))
             skipped, depth, gap = name, 1, 1 if name not in ("nav", "header", "footer") and PASSING.search(m[4] or "") else WINDOW
         elif name in ("article", "main"):
             articles += 1

@@ -134,6 +134,8 @@ def test_neardup_large_groups(spark, monkeypatch):
 PAGES = {
     "<html><head><title>T</title><script>if (a < b) { x('<p>no</p>') }</script></head><body><nav><ul><li><a href=/x>Home</a></li></ul></nav><div class='ad'>Buy this now</div><article><h1>Head  &amp;\n line</h1><p><b>Bold. <br>A first paragraph.<p>A second one.</p></article><footer>&copy; x</footer>": "Head & line Bold. A first paragraph. A second one.",
     "<header><h1>Site</h1></header><div id=cookie-notice>We use cookies, please accept them all.</div><div class=content><h2>Title</h2><p>A long paragraph with quite a few words, so that it counts as text.</p><div class='sponsored ad'>An advert with many words that has to go away now.</div><p>Another long paragraph with quite a few words.</p></div><div class=sidebar><p>Side text that is long enough to be taken for an article.</p></div><form><p>Name <input></p></form><section id=comments><p>Reader: I don't agree with what is said in the text.</p></section>": "Title A long paragraph with quite a few words, so that it counts as text. Another long paragraph with quite a few words.",
+    "<div class='layout has-sidebar'><article><header><h1>Title</h1></header><p>Text of it.</p></article><section id='comments'><article><p>I think so too.</p></article><article class='comment'>Me too.</article></section></div><article class='comment-1'>And me.</article>": "Title Text of it.",
+    "<nav><ul><li>Never closed<article><p>Text.</p></article><aside>Side</aside>": "Text.", "<main><table><tr><td>a<td>b</table><p hidden>no<p>c</main>": "a b",
     "plain text only": "plain text only", "": "", "<p>a <b>b</b>c</p><script>x": "a bc", "<!-- only a comment": "", "<article><p>x": "x", "<<<>>>&&&;<p": "<<<>>>&&&;<p",
 }
 
