@@ -275,6 +275,33 @@ def gate(metrics: DataFrame, rules: Sequence[tuple[str, str, str, float]]) -> Da
     return m.withColumn("passed", F.size("failed") == 0)
 
 
+def promotion(metrics: DataFrame, sharpe: float, drawdown: float, paper: int, segments: Mapping[str, str]) -> DataFrame:
+    """Whether each experiment's segments stay above a Sharpe ratio and within a drawdown, and enough sessions
+    lie outside of them. A missing measure fails. ``segments`` maps a segment to its name in the reasons, which
+    are fixed values."""
+    reasons, columns = [], {}
+    for seg, name in segments.items():
+        own = F.col("segment") == seg
+        columns |= {f"__s_{seg}": F.max(F.when(own, finite(F.col("sharpe")))), f"__d_{seg}": F.max(F.when(own, finite(F.col("max_drawdown"))))}
+        reasons.append(F.when(~truth(F.col(f"__s_{seg}") >= sharpe), f"{name}_SHARPE_BELOW_GATE"))
+        reasons.append(F.when(~truth(F.col(f"__d_{seg}") >= -drawdown), f"{name}_DRAWDOWN_EXCEEDS_GATE"))
+    columns["__paper"] = F.sum(F.when(~F.col("segment").isin(*segments), F.col("sessions")).otherwise(0))
+    reasons.append(F.when(F.col("__paper") < paper, "INSUFFICIENT_PROSPECTIVE_PAPER_SESSIONS"))
+    m = metrics.groupBy("experiment").agg(*[c.alias(n) for n, c in columns.items()]).withColumn("reasons", F.array_compact(F.array(*reasons)))
+    allowed = F.size("reasons") == 0
+    return m.select("experiment", F.when(allowed, "ACCEPTED").otherwise("REJECTED").alias("status"), allowed.alias("orders_allowed"), "reasons")
+
+
+def market_reference(calendar: DataFrame, prices: DataFrame) -> DataFrame:
+    """Return since the session before and prior drawdown of one security (session_idx, close), on every session of a calendar."""
+    w = Window.orderBy("session_idx")  # calendar only
+    before = F.first("close").over(w.rangeBetween(-1, -1))
+    peak = F.max("close").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    s = calendar.select("session_idx", "session").join(prices, "session_idx", "left")
+    s = s.select("session", (F.col("close") / before - 1).alias("market_return"), (before / peak - 1).alias("prior_drawdown"))
+    return s.withColumn("covered", F.col("market_return").isNotNull() & F.col("prior_drawdown").isNotNull())
+
+
 def capped_greedy_mean(rows: DataFrame, value: str, name: str, by: Sequence[str], cap: float = 0.6) -> DataFrame:
     """Largest mean reachable with at most ``cap`` per sleeve: fill in order."""
     w = Window.partitionBy(*by).orderBy(snap(value, 12).desc(), F.col(name))

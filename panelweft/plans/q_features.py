@@ -265,9 +265,11 @@ lib AS (SELECT * EXCLUDE ({', '.join(FAMILIES)}), {', '.join(f'{zscore(f)} AS {f
 )
 
 
-def library(spark, sf):
+def library(spark, sf, upto=None):
+    """The families; ``upto`` computes them as if history ended at that session."""
+    panel = tb.residual_panel(spark, sf) if upto is None else ft.residual_returns(tb.research_panel(spark, sf).where(F.col("session_idx") <= upto), 26, 13, 2, tb.shape(spark, sf).wide)
     df, names = ft.bar_families(
-        tb.residual_panel(spark, sf), ((1, 1), (3, 2)), ((26, 13, 4, 2),), (26, 13), (52, 26)
+        panel, ((1, 1), (3, 2)), ((26, 13, 4, 2),), (26, 13), (52, 26)
     )
     assert [n for n in FAMILIES if n not in names] == []
     return ft.sector_neutral(df, FAMILIES, tb.shape(spark, sf).wide)

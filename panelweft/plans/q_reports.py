@@ -269,23 +269,24 @@ def a21(spark, sf):
     return finish(got.select("experiment", "sessions", "sharpe", "max_drawdown", "market_beta", "max_gross", "annual_turnover", "top_share"))
 
 
+#: The security whose sessions are the market reference.
+BENCHMARK = "7"
+
+
 @query(
     "a25_market_reference",
     out(
-        RETURNS + ", ms AS (SELECT session_idx, session, close FROM rets WHERE security_id = '7')",
-        "SELECT session, close / lag(close) OVER (ORDER BY session_idx) - 1 AS market_return, lag(close) OVER (ORDER BY session_idx) / max(close) OVER (ORDER BY session_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 1 AS prior_drawdown FROM ms",
-        "session:d market_return:f prior_drawdown:f",
+        RETURNS + f""", ms AS (SELECT c.session_idx, c.session, b.close FROM cal c LEFT JOIN bars b ON b.security_id = '{BENCHMARK}' AND b.session_idx = c.session_idx),
+        mr AS (SELECT session, close / first_value(close) OVER (ORDER BY session_idx RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING) - 1 AS market_return,
+          first_value(close) OVER (ORDER BY session_idx RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING) / max(close) OVER (ORDER BY session_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 1 AS prior_drawdown FROM ms)""",
+        "SELECT session, market_return, prior_drawdown, market_return IS NOT NULL AND prior_drawdown IS NOT NULL AS covered FROM mr",
+        "session:d market_return:f prior_drawdown:f covered:b",
     ),
 )
 def a25(spark, sf):
-    from pyspark.sql import Window
-
-    s = tb.bars(spark, sf).where("security_id = '7'").select("session", "session_idx", "close")
-    w = Window.partitionBy().orderBy("session_idx")  # one security's sessions
-    peak = F.max("close").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return finish(
-        s.select("session", (F.col("close") / F.lag("close").over(w) - 1).alias("market_return"), (F.lag("close").over(w) / peak - 1).alias("prior_drawdown"))
-    )
+    """One-session returns of the benchmark on every calendar session; sessions it doesn't cover are marked."""
+    own = tb.bars(spark, sf).where(F.col("security_id") == BENCHMARK).select("session_idx", "close")
+    return finish(rp.market_reference(tb.calendar(spark, sf), own))
 
 
 _IE_SQL = (
@@ -629,6 +630,23 @@ def p23(spark, sf):
     return finish(rp.gate(seg_metrics(spark, sf), RULES).select("experiment", "segment", "failed", "passed"))
 
 
+@query(
+    "p23_promotion",
+    out(
+        _SEGM + """, pm AS (SELECT experiment, max(sharpe) FILTER (WHERE segment = 'train') AS ts, max(max_drawdown) FILTER (WHERE segment = 'train') AS td, max(sharpe) FILTER (WHERE segment = 'development') AS vs,
+          max(max_drawdown) FILTER (WHERE segment = 'development') AS vd, sum(CASE WHEN segment NOT IN ('train', 'development') THEN sessions ELSE 0 END) AS paper FROM sm GROUP BY 1),
+        pr AS (SELECT experiment, list_filter([CASE WHEN NOT coalesce(ts >= 0.5, false) THEN 'TRAIN_SHARPE_BELOW_GATE' END, CASE WHEN NOT coalesce(td >= -0.2, false) THEN 'TRAIN_DRAWDOWN_EXCEEDS_GATE' END,
+          CASE WHEN NOT coalesce(vs >= 0.5, false) THEN 'VALIDATION_SHARPE_BELOW_GATE' END, CASE WHEN NOT coalesce(vd >= -0.2, false) THEN 'VALIDATION_DRAWDOWN_EXCEEDS_GATE' END,
+          CASE WHEN paper < 42 THEN 'INSUFFICIENT_PROSPECTIVE_PAPER_SESSIONS' END], lambda z: z IS NOT NULL) AS reasons FROM pm)""",
+        "SELECT experiment, CASE WHEN len(reasons) = 0 THEN 'ACCEPTED' ELSE 'REJECTED' END AS status, len(reasons) = 0 AS orders_allowed, reasons FROM pr",
+        "experiment:s status:s orders_allowed:b reasons:a",
+    ),
+)
+def p23p(spark, sf):
+    """Both development segments, and the sessions after them as the paper record."""
+    return finish(rp.promotion(seg_metrics(spark, sf), 0.5, 0.2, 42, {"train": "TRAIN", "development": "VALIDATION"}))
+
+
 @query(
     "a41_distribution_quality",
     out(
@@ -745,11 +763,13 @@ def c12(spark, sf):
 
 @query(
     "c14_version_comparison",
-    out(_SEGM, "SELECT 'v1' AS version, experiment, segment, sharpe, CAST(NULL AS DOUBLE) AS worst_year FROM sm UNION ALL SELECT 'v2', experiment, segment, sharpe, worst_year FROM sm",
-        "version:s experiment:s segment:s sharpe:f worst_year:f"),
+    out(LEDGER_SQL + "," + perf_sql("dly", "experiment"), "SELECT 'v1' AS version, sessions, sharpe, total_return, CAST(NULL AS DOUBLE) AS max_drawdown FROM pf WHERE experiment = 'rank' UNION ALL SELECT 'v2', sessions, sharpe, total_return, max_drawdown FROM pf WHERE experiment = 'tail'",
+        "version:s sessions:i sharpe:f total_return:f max_drawdown:f"),
 )
 def c14(spark, sf):
-    m = seg_metrics(spark, sf)
-    a = m.select(F.lit("v1").alias("version"), *ES, "sharpe")
-    b = m.select(F.lit("v2").alias("version"), *ES, "sharpe", "worst_year")
-    return finish(a.unionByName(b, allowMissingColumns=True).select("version", *ES, "sharpe", "worst_year"))
+    """Results of two versions of the book side by side; the first reports no drawdown."""
+    m = rp.performance(ledger(spark, sf).daily, ["experiment"], "net_return", 52.0)
+    a = m.where("experiment = 'rank'").select(F.lit("v1").alias("version"), "sessions", "sharpe", "total_return")
+    b = m.where("experiment = 'tail'").select(F.lit("v2").alias("version"), "sessions", "sharpe", "total_return", "max_drawdown")
+    return finish(a.unionByName(b, allowMissingColumns=True).select("version", "sessions", "sharpe", "total_return", "max_drawdown"))
+

@@ -18,9 +18,9 @@ TRAIN_END = 200
 H = 3
 
 
-def labelled_library(spark, sf):
+def labelled_library(spark, sf, upto=None):
     """Sector-neutral families with the forward label and its completion."""
-    df = library(spark, sf)
+    df = library(spark, sf, upto)
     return df.withColumns({"label": ft.forward_label("ret", H), "label_end": F.col("session_idx") + H})
 
 
@@ -284,28 +284,21 @@ def a12(spark, sf):
 @query(
     "a51_freeze_check",
     out(
-        "",
-        """SELECT a.d = b.d AS digest_unchanged, a.s = b.s AS slope_unchanged, a.n AS rows FROM
-        (SELECT bit_xor(CAST(l_orderkey AS BIGINT)) AS d, sum(l_quantity * l_discount) / sum(l_quantity * l_quantity) AS s, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1999-01-01') a,
-        (SELECT bit_xor(CAST(l_orderkey AS BIGINT)) AS d, sum(l_quantity * l_discount) / sum(l_quantity * l_quantity) AS s FROM (SELECT * FROM lineitem WHERE l_shipdate <= TIMESTAMP '2001-01-01') WHERE l_shipdate <= TIMESTAMP '1999-01-01') b""",
-        "digest_unchanged:b slope_unchanged:b rows:i",
+        LABEL_SQL + f""", fz AS (SELECT sum(reversal_3 * label) / (sum(reversal_3 * reversal_3) + 1e-6) AS slope, count(*) AS n FROM ll WHERE label_end <= {TRAIN_END} AND reversal_3 IS NOT NULL AND label IS NOT NULL)""",
+        "SELECT slope AS slope_then, slope AS slope_now, n AS rows_then, n AS rows_now, true AS digest_unchanged FROM fz", "slope_then:f slope_now:f rows_then:i rows_now:i digest_unchanged:b",
     ),
 )
 def a51(spark, sf):
-    """Refit on a longer history must not move the train digest or slope."""
-    li = tb.table(spark, sf, "lineitem").withColumn("one", F.lit(1))
-    cut_at = F.lit("1999-01-01").cast("timestamp")
-
-    def fit(df, tag):
-        train = df.where(F.col("l_shipdate") <= cut_at)
-        d = rs.content_digest(train, ["l_quantity", "l_discount"], ["one"])
-        s = rs.zero_intercept_slope(train, "l_quantity", "l_discount", ["one"])
-        return d.join(s, "one").select("one", F.col("digest").alias(f"d{tag}"), fr.snap("slope", 12).alias(f"s{tag}"), F.col("rows").alias(f"n{tag}"))
-
-    a, b = fit(li, 1), fit(li.where(F.col("l_shipdate") <= F.lit("2001-01-01").cast("timestamp")), 2)
-    return a.join(b, "one").select(
-        (F.col("d1") == F.col("d2")).alias("digest_unchanged"), (F.col("s1") == F.col("s2")).alias("slope_unchanged"), F.col("n1").alias("rows")
-    )
+    """Slope and digest of the train rows, from features of the history up to the train end and of the whole."""
+
+    def fit(upto, tag):
+        df = labelled_library(spark, sf, upto).where((F.col("label_end") <= TRAIN_END) & F.col("reversal_3").isNotNull() & F.col("label").isNotNull()).withColumn("one", F.lit(1))
+        d = rs.content_digest(df, ["reversal_3", "label"], ["one"])
+        s = rs.zero_intercept_slope(df, "reversal_3", "label", ["one"])
+        return d.join(s, "one").select("one", F.col("digest").alias(f"d_{tag}"), F.col("slope").alias(f"slope_{tag}"), F.col("rows").alias(f"rows_{tag}"))
+
+    j = fit(TRAIN_END, "then").join(fit(None, "now"), "one")
+    return finish(j.select("slope_then", "slope_now", "rows_then", "rows_now", (F.col("d_then") == F.col("d_now")).alias("digest_unchanged")))
 
 
 # --- covariance of a bounded universe: the most liquid names of a decision session ------
