@@ -330,7 +330,7 @@ def budget_audit(
 
     ``loadings``: security_id, kind, name, loading (a factor's loading, or 1 for
     membership of a sleeve). ``caps``: kind, name, cap. Kinds gross, net, long,
-    short and name need no loading.
+    short and name need no loading. A budget without a cap has no usage ratio.
     """
     by = list(by)
     w = F.col("weight")
@@ -344,6 +344,9 @@ def budget_audit(
     by_load = weights.join(loadings, "security_id").groupBy(*by, "kind", "name").agg(
         F.abs(F.sum(w * F.col("loading"))).alias("used")
     )
-    return total.select(*by, "kind", "name", "used").unionByName(by_load).join(F.broadcast(caps), ["kind", "name"]).withColumn(
-        "usage", ratio(F.col("used"), F.col("cap"))
-    )
+    # a holding without a loading of a kind uses none of its budgets: what it weighs is shown, without a cap
+    kinds = loadings.select("security_id", "kind").distinct()
+    weighed = weights.join(kinds, "security_id", "left").groupBy(*by).agg(F.sum(F.when(F.col("kind").isNull(), F.abs(w)).otherwise(0.0)).alias("used"))
+    bare = weighed.where("used > 0").select(*by, F.lit("unloaded").alias("kind"), F.lit("all").alias("name"), "used")
+    used = total.select(*by, "kind", "name", "used").unionByName(by_load).unionByName(bare)
+    return used.join(caps, ["kind", "name"], "left").withColumn("usage", ratio(F.col("used"), F.col("cap")))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelweft.functions.frames import finite, positive, ratio, snap, truth
+from panelweft.operators.quality import violations
 
 
 def segments(spark: SparkSession, table: Sequence[tuple[str, str, str]]) -> DataFrame:
@@ -320,9 +321,15 @@ def distinct_text(col: str) -> Column:
     return F.array_join(F.array_sort(F.collect_set(col)), "|")
 
 
+def order_violations(book: DataFrame, key: Column, allowed: Column) -> DataFrame:
+    """Allowed rows that no order can be made of: any of them makes the plan invalid."""
+    price, weight = finite(F.col("price").cast("double")), finite(F.col("weight").cast("double"))
+    return violations(book.where(allowed), key, {"price_positive": price > 0, "weight_known": weight.isNotNull()})
+
+
 def order_plan(book: DataFrame, nav: float, allowed: Column) -> DataFrame:
     """Whole-share deltas from target weights, prices and current shares; empty
-    unless allowed. Shares round half to even."""
+    unless allowed. Shares round half to even. Check :func:`order_violations` first."""
     goal = F.bround(ratio(F.col("weight") * nav, positive(F.col("price"))), 0)
     held = F.bround(F.coalesce("shares", F.lit(0.0)), 0)
     b = book.where(allowed).withColumn("target_shares", goal).withColumn("delta", F.col("target_shares") - held)

@@ -269,13 +269,18 @@ def _square(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def repair_covariance(pairs: DataFrame, by: Sequence[str] = ("decision",), floor_ratio: float = 1e-8) -> DataFrame:
-    """Raise eigenvalues below the floor; one bounded N x N block per decision."""
+    """Raise eigenvalues below the floor; one bounded N x N block per decision.
+
+    A decision with a missing pair can't be repaired: its covariances are all missing and ``repaired`` is -1.
+    """
     by = list(by)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pos, mat = _square(pdf)
-        repaired = 0
-        if np.isfinite(mat).all():
+        repaired = -1
+        if not np.isfinite(mat).all():
+            mat = np.full_like(mat, np.nan)
+        else:
             val, vec = np.linalg.eigh(mat)
             floor = mat.diagonal().max() * floor_ratio
             repaired = int((val < floor).sum())
@@ -285,10 +290,11 @@ def repair_covariance(pairs: DataFrame, by: Sequence[str] = ("decision",), floor
         out = pd.DataFrame({"i": pos[r], "j": pos[c], "covariance": mat[r, c], "repaired": repaired})
         for k in by:
             out[k] = pdf[k].iloc[0]
-        return out[[*by, "i", "j", "covariance", "repaired"]].dropna(subset=["covariance"])
+        return out[[*by, "i", "j", "covariance", "repaired"]]
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.select(*by).schema)
-    return pairs.groupBy(*by).applyInPandas(run, f"{kinds}, i int, j int, covariance double, repaired int")
+    got = pairs.groupBy(*by).applyInPandas(run, f"{kinds}, i int, j int, covariance double, repaired int")
+    return got.withColumn("covariance", finite(F.col("covariance")))
 
 
 def mv_direction(pairs: DataFrame, names: DataFrame, exposures: Sequence[str], risk_aversion: float = 5.0, by: Sequence[str] = ("decision",)) -> DataFrame:

@@ -794,7 +794,7 @@ def t01(spark, sf):
 )
 def c02(spark, sf):
     b = dirty_bars(spark, sf).where(F.col("session_idx") <= DEC_IDX)
-    b = b.dropDuplicates(["security_id", "session"])  # repeated bars are unusable either way
+    b = qa.keep_latest(b, ["security_id", "session"], ["close", "volume", "open", "high", "low"])  # repeated bars are unusable either way
     a = un.screen(b, DEC_IDX, 26, POLICY)
     return finish(a.select("security_id", "valid_observations", "coverage", "median_dollar_volume", "exclusion_reasons"), 4)
 

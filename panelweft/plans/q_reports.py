@@ -748,6 +748,22 @@ def c11(spark, sf):
     return finish(rp.order_plan(t, 1e7, F.col("experiment") == "rank").select("experiment", "session_idx", "security_id", "delta"))
 
 
+@query(
+    "c11_order_violations",
+    out(
+        TARGET_SQL
+        + """, ov AS (SELECT t.experiment || '/' || t.session_idx || '/' || t.security_id AS key, CASE WHEN t.session_idx % 8 = 4 AND CAST(t.security_id AS BIGINT) % 9 = 0 THEN NULL WHEN CAST(t.security_id AS BIGINT) % 31 = 0 THEN 0.0 ELSE b.close END AS price
+          FROM tgt t JOIN bars b USING (security_id, session_idx) WHERE experiment = 'rank')""",
+        "SELECT key, 'price_positive' AS rule FROM ov WHERE NOT coalesce(price > 0, false)", "key:s rule:s",
+    ),
+)
+def c11v(spark, sf):
+    k = F.col("security_id").cast("bigint")
+    price = F.when((F.col("session_idx") % 8 == 4) & (k % 9 == 0), F.lit(None)).when(k % 31 == 0, 0.0).otherwise(F.col("close"))
+    t = targets(spark, sf).withColumn("price", price)
+    return finish(rp.order_violations(t, F.concat_ws("/", "experiment", "session_idx", "security_id"), F.col("experiment") == "rank").select("key", "rule"))
+
+
 @query(
     "c12_shadow_targets",
     out(
