@@ -47,8 +47,8 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages of benchmark items."""
-    found = fmindex.find_phrases(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), rest=[c for c in COLUMNS if c != "text"])
-    return _columns(fmindex.cut_spans(found), F.col("text"))
+    found = fmindex.find_phrases(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), rest=[c for c in COLUMNS if c != "text"], cut=True)
+    return _columns(found, F.col("text"))
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

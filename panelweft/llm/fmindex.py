@@ -197,12 +197,13 @@ def _spans(covered: np.ndarray, first: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), spans)
 
 
-def find_phrases(docs: DataFrame, benchmark: DataFrame, width: int = 10, key: str = "doc_id", text: str = "text", rest: list[str] | None = None) -> DataFrame:
+def find_phrases(docs: DataFrame, benchmark: DataFrame, width: int = 10, key: str = "doc_id", text: str = "text", rest: list[str] | None = None, cut: bool = False) -> DataFrame:
     """(doc_id, text, spans, items, n_words) of every row.
 
     ``spans`` are the merged runs of words (start, stop) inside an occurrence of a phrase, ``items`` the
     item_ids whose phrases occur, sorted as strings. Words are runs of digits, ASCII letters (case
-    ignored) and non-ASCII characters. Columns named in ``rest`` go along in a struct.
+    ignored) and non-ASCII characters. Columns named in ``rest`` go along in a struct. With ``cut`` the text
+    comes without the words of ``spans``, one space where they stood, trimmed; other texts are unchanged.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).where("item is not null and text is not null")
@@ -213,7 +214,7 @@ def find_phrases(docs: DataFrame, benchmark: DataFrame, width: int = 10, key: st
         rows = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).distinct().collect()  # about BLOCK words
         shared = spark.sparkContext.broadcast(Phrases.of([r["item"] for r in rows], [r["text"] for r in rows], width))
 
-        def run(batch: pa.RecordBatch, shared=shared) -> pa.RecordBatch:
+        def run(batch: pa.RecordBatch, shared=shared, last=block == blocks - 1) -> pa.RecordBatch:
             p, column = shared.value, batch.column("text")
             if len(p.phrases):
                 w, covered, found = hits(column, p)
@@ -227,29 +228,26 @@ def find_phrases(docs: DataFrame, benchmark: DataFrame, width: int = 10, key: st
                 a, b = (np.asarray(flat_.field(c)).astype(np.int64) + base for c in ("start", "stop"))
                 covered = covered | cover(a, b - a, len(w))
             found = [sorted({*x, *y}) for x, y in zip(found, batch.column("items").to_pylist())]
+            spans = _spans(covered, w.first)
+            if cut and last:
+                column = without(column, w, spans)
             return with_rest(
-                batch, [batch.column("doc_id"), column, _spans(covered, w.first), pa.array(found, pa.list_(pa.string())), pa.array(w.counts().astype(np.int64))], ["doc_id", "text", "spans", "items", "n_words"]
+                batch, [batch.column("doc_id"), column, spans, pa.array(found, pa.list_(pa.string())), pa.array(w.counts().astype(np.int64))], ["doc_id", "text", "spans", "items", "n_words"]
             )
 
         out = out.mapInArrow(by_piece(run, size=SHARD), along(SCHEMA, out))
     return out
 
 
-def cut_spans(found: DataFrame) -> DataFrame:
-    """``find_phrases``' rows with the words of ``spans`` taken out of the text, one space where they stood."""
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        w = Words(batch.column("text"), NOT_WORD, lower=True)
-        out = []
-        for r, (x, spans) in enumerate(zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist())):
-            if spans:
-                raw, base, at, kept = x.encode(), w.offsets[r], 0, []
-                for s in spans:
-                    a, b = w.begin[w.first[r] + s["start"]] - base, w.end[w.first[r] + s["stop"] - 1] - base
-                    kept += [raw[at:a], b" "]
-                    at = b
-                x = b"".join([*kept, raw[at:]]).strip().decode("utf-8", "replace")
-            out.append(x)
-        return with_rest(batch, [batch.column("doc_id"), pa.array(out, pa.string()), batch.column("n_words")], ["doc_id", "text", "n_words"])
-
-    return found.mapInArrow(by_piece(run), along("doc_id long, text string, n_words long", found))
+def without(column: pa.Array, w: Words, spans: pa.ListArray) -> pa.Array:
+    """The texts without the words of their spans, one space where they stood, trimmed; other texts are unchanged."""
+    many = np.asarray(pc.list_value_length(spans))
+    out = column.to_pylist()
+    for r in np.flatnonzero(many).tolist():
+        raw, base, at, kept = out[r].encode(), w.offsets[r], 0, []
+        for s in spans[r].as_py():
+            a, b = w.begin[w.first[r] + s["start"]] - base, w.end[w.first[r] + s["stop"] - 1] - base
+            kept += [raw[at:a], b" "]
+            at = b
+        out[r] = b"".join([*kept, raw[at:]]).strip().decode("utf-8", "replace")
+    return pa.array(out, pa.string())

@@ -323,7 +323,7 @@ def test_fmindex(spark, docs, empty, monkeypatch, block):
     found = fmindex.find_phrases(docs, bench)
     got = [(r["doc_id"], r["n_words"], sum(s["stop"] - s["start"] for s in r["spans"]), r["items"]) for r in found.collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr)
-    for r in fmindex.cut_spans(found).collect():
+    for r in fmindex.find_phrases(docs, bench, cut=True).collect():
         hits = next(x[2] for x in want if x[0] == r["doc_id"])
         assert len(plain(r["text"])) == r["n_words"] - hits or r["doc_id"] is None
     assert fmindex.find_phrases(empty, bench).count() == 0
