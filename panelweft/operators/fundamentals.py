@@ -22,6 +22,7 @@ CONCEPTS = {
 MEASURES = tuple(CONCEPTS.values())
 FLOWS = ("revenue", "gross_profit", "net_income", "operating_cash_flow")
 ANNUAL_FORMS = ("10-K", "10-K/A")
+# Names of the scored components.
 COMPONENTS = (
     "profitability", "gross_profitability", "cash_profitability", "accrual_quality",
     "asset_growth", "revenue_growth",
@@ -79,6 +80,7 @@ def pivot_concepts(facts: DataFrame, index: Sequence[str]) -> DataFrame:
     )
 
 
+# Columns that identify an event.
 EVENT_INDEX = (
     "symbol", "cik", "sector", "entity_id", "accession_id", "form_type", "is_amendment", "filing_date",
     "availability_date", "period_end", "fiscal_year",

@@ -134,13 +134,13 @@ def ridge_calibration(
 ) -> Calibration:
     """One aggregation on Spark, a k x k solve (k <= 4) on the driver."""
     if ridge < 0 or min_samples < 2:
-        raise ValueError("ridge must be nonnegative and min_samples at least 2")
+        raise ValueError("a ridge below 0 or fewer than two rows allow no fit")
     row = training_rows(df, families, label, label_end, start, end).agg(*moment_columns(families, label)).first()
     if row["n"] < min_samples:
-        raise ValueError(f"only {row['n']} completed training samples; {min_samples} required")
+        raise ValueError(f"a fit needs {min_samples} labelled rows with all families; there are {row['n']}")
     fit = solve_moments(row.asDict(), len(families), ridge)
     if fit is None:
-        raise ValueError("training signal is degenerate; cannot calibrate")
+        raise ValueError("the families of the train rows do not vary: no coefficients follow from them")
     return Calibration(
         tuple(families), fit["intercept"], tuple(map(float, fit["mean"])), tuple(map(float, fit["scale"])),
         tuple(map(float, fit["coef"])), fit["n"], end,
