@@ -124,7 +124,7 @@ def xs_stats(df: DataFrame, by, wide: bool = False, **aggs: Column) -> DataFrame
     return join_safe(df, df.groupBy(*keys).agg(*[a.alias(n) for n, a in aggs.items()]), keys)
 
 
-def _cumulative(df: DataFrame, keys: list[str], value: str, tiles: int) -> DataFrame:
+def cumulative(df: DataFrame, keys: list[str], value: str, tiles: int = 256) -> DataFrame:
     """Per group and distinct value: multiplicity ``__n``, rows at or below it
     ``__upto`` and the group's size ``__total``, without gathering a group.
 
@@ -174,7 +174,7 @@ def xs_rank(
             rank = rank / F.count(value).over(Window.partitionBy(*keys))
         return df.withColumn(out, F.when(F.col(value).isNotNull(), rank))
     df = cut(df)
-    cum = _cumulative(df, keys, value, tiles)
+    cum = cumulative(df, keys, value, tiles)
     rank = F.col("__upto") - (F.col("__n") - 1) / 2.0
     if pct:
         rank = rank / F.col("__total")
@@ -191,7 +191,7 @@ def xs_min_rank(
         w = Window.partitionBy(*keys).orderBy(F.col(value).desc_nulls_last())
         return df.withColumn(out, F.when(F.col(value).isNotNull(), F.rank().over(w)))
     df = cut(df)
-    cum = _cumulative(df, keys, value, tiles)
+    cum = cumulative(df, keys, value, tiles)
     ranked = cum.select(*keys, value, (F.col("__total") - F.col("__upto") + 1).alias(out))
     return join_safe(df, ranked, [*keys, value]).select(*df.columns, out)
 
@@ -205,7 +205,7 @@ def xs_quantiles(
         return df.withColumns({o: F.percentile(v, F.lit(q)).over(xs(keys)) for o, (v, q) in outs.items()})
     df = cut(df)
     for value in dict.fromkeys(v for v, _ in outs.values()):
-        cum = _cumulative(df, keys, value, tiles)
+        cum = cumulative(df, keys, value, tiles)
         below = F.col("__upto") - F.col("__n")
 
         def pick(k):

@@ -11,8 +11,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelweft.functions.frames import finite, positive, ratio, snap, truth
+from panelweft.functions.frames import cumulative, finite, join_safe, positive, ratio, snap, truth
 from panelweft.operators.quality import violations
+from panelweft.session import cut
 
 
 def segments(spark: SparkSession, table: Sequence[tuple[str, str, str]]) -> DataFrame:
@@ -151,12 +152,19 @@ def concentration(totals: DataFrame, by: Sequence[str], name: str = "value", amo
 
 
 def top_fraction(totals: DataFrame, by: Sequence[str], amount: str, name: str, fraction: float = 0.05, floor: bool = False) -> DataFrame:
-    """The largest ``fraction`` of contributors (rounded up, or down)."""
+    """The largest ``fraction`` of contributors (rounded up, or down), ties by name; missing amounts don't count.
+
+    Ranks come from cumulative counts over tiles of distinct amounts, so that only equal amounts meet in a task.
+    """
     by = list(by)
-    w = Window.partitionBy(*by).orderBy(snap(amount, 12).desc(), F.col(name))
-    n = F.count("*").over(Window.partitionBy(*by))
+    v = cut(totals.where(F.col(amount).isNotNull()).withColumn("__v", snap(amount, 12)))
+    placed = join_safe(v, cumulative(v, by, "__v"), [*by, "__v"], "inner")
+    n = F.col("__total")
     most = F.floor(n * fraction) if floor else F.ceil(n * fraction)
-    return totals.withColumn("__m", most).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= F.col("__m")).drop("__m")
+    above = n - F.col("__upto")
+    ties = Window.partitionBy(*by, "__v").orderBy(name)
+    ranked = placed.where(above < most).withColumn("rank", (above + F.row_number().over(ties)).cast("int"))
+    return ranked.where(F.col("rank") <= most).drop("__v", "__n", "__upto", "__total")
 
 
 def cost_waterfall(metrics: DataFrame, periods: float = 252.0) -> DataFrame:

@@ -171,6 +171,17 @@ def test_gate_fails_closed(spark):
     assert rows["a"]["passed"] and not rows["b"]["passed"] and rows["b"]["failed"] == ["s", "d"]
 
 
+def test_largest_fraction_of_a_hot_experiment(spark):
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({"e": np.where(rng.random(500) < 0.6, "hot", rng.choice(["a", "b", "c"], 500)), "name": [f"n{i:03d}" for i in range(500)], "x": rng.integers(-9, 9, 500) / 4.0})
+    got = rp.top_fraction(spark.createDataFrame(pdf), ["e"], "x", "name", 0.1).toPandas()
+    want = pdf.sort_values(["x", "name"], ascending=[False, True])
+    want["rank"] = want.groupby("e").cumcount() + 1
+    want = want[want["rank"] <= np.ceil(want.groupby("e")["x"].transform("size") * 0.1)]
+    cols = ["e", "rank", "name"]
+    assert sorted(map(tuple, got[cols].values)) == sorted(map(tuple, want[cols].values))
+
+
 def test_policies_and_columns(spark):
     with pytest.raises(ValueError):
         un.UniversePolicy(min_members=500)
