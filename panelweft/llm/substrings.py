@@ -244,14 +244,15 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.asarray(column.flatten()).astype(np.int64), np.repeat(np.arange(len(column)), n)
 
 
-def dedup(docs: DataFrame, width: int = 13, key: str = "doc_id", text: str = "text", rest: list[str] | None = None) -> DataFrame:
+def dedup(docs: DataFrame, width: int = 13, key: str = "doc_id", text: str = "text", rest: list[str] | None = None, buckets: int | None = None) -> DataFrame:
     """(doc_id, text, n_words, n_removed) of every row, the text being the kept words joined by one space.
 
     A word goes if it lies in a window of ``width`` words that also starts in a document with a smaller
-    doc_id, all judged on the input. Columns named in ``rest`` go along in a struct.
+    doc_id, all judged on the input. Columns named in ``rest`` go along in a struct. ``buckets`` deal the
+    edges, by default two for each shuffle partition; one should hold some millions of words at most.
     """
     spark = docs.sparkSession
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = documents(docs, key, text, rest).withColumn("tag", F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(1 << 16)).cast("int"))
     found = paths(occurrences(edges(rows.select("doc_id", "text", "tag"), width, buckets), buckets))
     lists = ["start", "length", "src", "src_tag", "src_start", "asked_start", "asked_length"]
