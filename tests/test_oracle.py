@@ -19,8 +19,8 @@ SAMPLE = [
     "p17_hash_drop", "s06_scan_company_facts", "s07_scan_holdings_json", "t05_keep_last_per_key", "e02_set_difference", "d62_business_days",
 ]
 
-#: Reports of violations, of which the smallest tables have none.
-EMPTY: set[str] = set()
+#: Snapshots of fewer than 450 equities are quarantined, and the smallest tables have no larger ones.
+EMPTY = {"s07_scan_holdings_json", "s09_scan_holdings_csv", "a43_equity_union", "a44_snapshot_audit"}
 
 
 @pytest.fixture(scope="module")
