@@ -9,7 +9,8 @@ the page's ``article`` or ``main``, if it has one with text, and otherwise the b
 fair share of the longest one.
 
 Null and empty pages have empty text. Nothing is cut from long pages. Broken markup never fails:
-an element that is never closed ends where a landmark or the page does. Repeated rows give
+an element whose end tag may be left out (a paragraph, item or cell) ends where HTML ends it, another
+one that is never closed where a landmark or the page does. Repeated rows give
 repeated results.
 """
 
@@ -32,6 +33,15 @@ DROPPED = {"nav", "footer", "aside", "form", "select", "button", "svg", "canvas"
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img"}
 LANDMARK = {"article", "main", "body", "html"}
+#: Parts of tables by depth: a tag ends what is open of its own depth and deeper.
+CELLS = {"colgroup": 1, "caption": 1, "thead": 1, "tbody": 1, "tfoot": 1, "tr": 2, "td": 3, "th": 3}
+#: Elements whose end tag may be left out.
+OMITTED = {"p", "li", "dt", "dd", "option", "optgroup", *CELLS}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: Elements whose start ends an open paragraph.
+BLOCK = HEADINGS | {"address", "article", "aside", "blockquote", "center", "details", "dialog", "dir", "div", "dl", "dt", "dd", "fieldset", "figcaption", "figure", "footer", "form", "header", "hgroup", "hr", "li", "listing", "main", "menu", "nav", "ol", "p", "pre", "search", "section", "summary", "table", "ul"}
+#: Elements that a tag inside them doesn't end.
+SCOPE = {"table", "td", "th", "caption", "object", "button", "marquee", "html"}
 #: Words of classes, ids and roles that name what isn't the article.
 NAMES = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|aside|widget\w*|footer|foot|header|masthead|topbar|toolbar|"
@@ -66,6 +76,42 @@ def boilerplate(name: str, attributes: str, inside: bool) -> bool:
     return False
 
 
+def staying(stack: list[str], name: str, closing: bool) -> int:
+    """How many of the open elements are still open after a tag, by HTML's rules for end tags that are left out."""
+    n = len(stack)
+    if closing:
+        same = HEADINGS if name in HEADINGS else {name}
+        bounds = {"table"} if name == "table" or name in CELLS else SCOPE | {"ul", "ol"} if name == "li" else SCOPE
+        for k in range(n - 1, -1, -1):
+            if stack[k] in same:
+                return k
+            if stack[k] in bounds:
+                break
+        return n
+    if name in CELLS:
+        table = max((k for k in range(n) if stack[k] == "table"), default=-1)
+        return next((k for k in range(table + 1, n) if stack[k] in ("caption", "colgroup") or CELLS.get(stack[k], 0) >= CELLS[name]), n)
+    if name in ("option", "optgroup"):
+        while n and (stack[n - 1] == "option" or stack[n - 1] == name):
+            n -= 1
+        return n
+    if name in ("li", "dt", "dd"):
+        same = {"li"} if name == "li" else {"dt", "dd"}
+        for k in range(n - 1, -1, -1):
+            if stack[k] in same:
+                n = k
+                break
+            if stack[k] not in ("div", "p", "address") and "-" not in stack[k]:
+                break
+    if name in BLOCK:
+        for k in range(n - 1, -1, -1):
+            if stack[k] == "p":
+                return k
+            if stack[k] in SCOPE:
+                break
+    return n
+
+
 def lines(page: str) -> list[tuple[str, int, bool]]:
     """(text, characters in links, inside an article) of each block, "" where something was taken away."""
     out: list[tuple[str, int, bool]] = []
@@ -73,6 +119,7 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
     links = held = 0
     open_: list[str] = []  # elements that are open, without inline ones
     skipped, depth, gap = "", 0, 1  # the element that is being dropped, how often it is open inside itself, and the empty lines it leaves
+    base = 0  # its place among the open elements
     readers = False  # it holds what readers wrote
     articles = anchors = 0
     at, end = 0, len(page)
@@ -107,21 +154,34 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
                 stop = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
                 at = stop.end() if stop else (at if name in ("noscript", "title") else end)
             continue
+        left = len(open_) if name in INLINE else staying(open_, name, closing)
         if skipped:
-            if name == skipped:
+            if skipped in OMITTED:
+                own = closing and left == base and name == skipped
+                depth = int(left > base)
+            elif name == skipped:
                 depth += -1 if closing else 1
-            elif not readers and name in LANDMARK and (not closing and name in ("article", "main") or closing):
+                own = not depth
+            else:
+                own = False
+            if name != skipped and not readers and name in LANDMARK and (not closing and name in ("article", "main") or closing):
                 depth = 0  # it was never closed
             if depth:
+                if skipped in OMITTED and name not in INLINE:
+                    del open_[left:]
+                    if not closing and not m[5] and name not in VOID:
+                        open_.append(name)
                 continue
-            ended, skipped = skipped, ""
+            skipped = ""
+            del open_[base:]
+            left = min(left, base)
             out.extend([("", 0, False)] * gap)
-            if name == ended:
+            if own:
                 continue
         if name in INLINE and name not in VOID:
             if not closing and boilerplate(name, m[4], articles > 0) and not m[5]:
                 if re.compile(rf"</{name}\s*>", re.I).search(page, at):
-                    skipped, depth, gap, readers = name, 1, 1, False
+                    skipped, depth, gap, readers, base = name, 1, 1, False, len(open_)
             elif name == "a":
                 anchors = 0 if closing else 1
             continue
@@ -131,15 +191,17 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
         if name == "img" or name == "wbr":
             continue
         close()
+        del open_[left:]
         if closing:
             if name in ("article", "main"):
                 articles = max(0, articles - 1)
             continue
         if name in VOID or m[5]:
             continue
+        open_.append(name)
         if boilerplate(name, m[4], articles > 0):
             readers = bool(READERS.search(re.sub(r"[\"'=]", " ", m[4] or "")))
-            skipped, depth, gap = name, 1, 1 if name not in ("nav", "header", "footer") and PASSING.search(m[4] or "") else WINDOW
+            skipped, depth, base, gap = name, 1, len(open_) - 1, 1 if name not in ("nav", "header", "footer") and PASSING.search(m[4] or "") else WINDOW
         elif name in ("article", "main"):
             articles += 1
     close()

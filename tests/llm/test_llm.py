@@ -149,6 +149,22 @@ def test_html(spark, empty):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+OPEN_ENDED = {
+    "<article><p class='ad'>Buy<p>Real text</p><p>More</p></article>": "Real text More", "<main><p>a<p hidden>no<p>c</main>": "a c", "<article><p class=ad>Buy<div>b</div>c</article>": "b c",
+    "<article><ul><li>a<li class=share>no<ul><li>no</ul>no<li>b</ul>c</article>": "a b c", "<article><dl><dt class=ad>no<dd>a<dt hidden>no</dl>b</article>": "a b",
+    "<article><ul><li class=share>no<section><li>no</section>no<p>no</ul>a</article>": "a", "<article><ul><li class=promo><p>no</li><li>a</ul></article>": "a",
+    "<article><table><tr><td>a<td class=promo>no<table><tr><td>no</table>no<td>b<tr hidden><td>no<tr><td>c<th class=ad>no</table>d</article>": "a b c d",
+    "<article><table><caption class=ad>no<tbody hidden><tr><td>no<tbody><tr><td>a</table></article>": "a", "<article><div><p class=ad>no</div>a</p>b</article>": "a b",
+    "<article><p class=ad>no<b>no</b><br>no<img src=x>no</p>a</article>": "a", "<article><div class=ad>no<p>no</div>a</article>": "a", "<main><p class=ad>no<hr>a</main>": "a",
+}
+
+
+def test_html_end_tags_left_out():
+    """A dropped part whose end tag is left out ends where HTML ends it."""
+    for page, text in OPEN_ENDED.items():
+        assert html.main_text(page) == text
+
+
 def test_toxicity(spark, docs, empty):
     r = random.Random(2)
     bad = ["stupid", "idiot", "moron", "loser", "scum"]
