@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelweft.functions.frames import at, roll, snap, truth, ts
+from panelweft.functions.frames import at, finite, roll, snap, truth, ts
 from panelweft.operators.quality import keep_latest
 from panelweft.operators.temporal import asof_events, current_state, visible_as_of
 
@@ -78,7 +80,11 @@ def build_universe(
         F.coalesce(F.max(F.when(latest, F.col("stale"))), F.lit(False)).alias("is_stale"),
         F.coalesce(F.max(F.when(latest, F.col("valid"))), F.lit(False)).alias("__latest_ok"),
     )
-    a = state.join(stats, "security_id", "left").fillna(
+    return _audit(state.join(stats, "security_id", "left"), policy)
+
+
+def _audit(a: DataFrame, policy: UniversePolicy) -> DataFrame:
+    a = a.fillna(
         {"coverage": 0.0, "valid_observations": 0, "is_stale": False, "__latest_ok": False}
     )
     reasons = {
@@ -95,6 +101,63 @@ def build_universe(
     return with_reasons(a, reasons).drop("__latest_ok")
 
 
+def build_universes(master: DataFrame, bars: DataFrame, decisions: DataFrame, policy: UniversePolicy) -> DataFrame:
+    """``build_universe`` at every row of ``decisions``: decision, the last session closed by it, and decision_at, its time.
+
+    Each decision sees its own versions of events and bars. Events are few and meet every decision; the bars of a
+    security travel once, and a task walks the decisions over them.
+    """
+    d = F.broadcast(decisions.select("decision", "decision_at"))  # at most one row per session
+    m = master.crossJoin(d).withColumn("event_id", F.struct("decision", "event_id"))
+    events = visible_as_of(m, F.col("decision_at"), "event_id", ("status",))
+    own = events.withColumn("security_id", F.struct("decision", "security_id"))
+    state = current_state(own, "security_id", ("event_id",)).withColumn("security_id", F.col("security_id.security_id"))
+    late = Window.partitionBy("decision", "security_id", "day").orderBy(F.col("event_id").desc())
+    dated = events.select("security_id", "decision", F.unix_date(F.to_date("effective_at")).alias("day"), "event_id", truth(F.col("status") == "ACTIVE").alias("active"))
+    dated = dated.withColumn("__n", F.row_number().over(late)).where("__n = 1").select("security_id", "decision", "day", "active")
+    when = sorted((r["decision"], r["at"]) for r in decisions.select("decision", F.unix_micros("decision_at").alias("at")).collect())
+    cols = ["security_id", "session_idx", F.unix_date("session").alias("day"), F.unix_micros("effective_at").alias("effective"), F.unix_micros("available_at").alias("available"),
+            F.col("close").cast("double").alias("close"), F.col("volume").cast("double").alias("volume"), truth(F.col("is_stale")).alias("is_stale"), truth(F.col("is_suspended")).alias("is_suspended")]
+    n, most = policy.stale_sessions, policy.liquidity_sessions
+
+    def run(b: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(b) and len(e):
+            b = b.assign(__close=b["close"].fillna(-np.inf)).sort_values(["session_idx", "available", "__close"])
+            known = np.maximum(b["available"].to_numpy(), b["effective"].to_numpy())
+            known = np.where(b[["available", "effective"]].notna().all(axis=1), known, np.inf)
+            idx, day, close, volume, said, halted = (b[c].to_numpy() for c in ("session_idx", "day", "close", "volume", "is_stale", "is_suspended"))
+            events_of = {k: (g["day"].to_numpy(), g["active"].to_numpy(bool)) for k, g in e.sort_values("day").groupby("decision")}
+            for decision, at_ in when:
+                v = np.flatnonzero((known <= at_) & (idx <= decision))
+                if not len(v) or decision not in events_of:
+                    continue
+                v = v[np.append(idx[v][1:] != idx[v][:-1], True)]  # the last version of each session
+                i, c, vol = idx[v], close[v], volume[v]
+                same = np.append(False, (np.diff(i) == 1) & (np.diff(c) == 0))
+                total = np.append(0, np.cumsum(same))
+                stale = said[v] | (total[1:] - total[np.searchsorted(i, i - n + 1)] == n)
+                days_, active = events_of[decision]
+                k = np.searchsorted(days_, day[v], side="right") - 1
+                valid = (c > 0) & (vol > 0) & ~halted[v] & ~stale & (k >= 0) & active[np.maximum(k, 0)]
+                recent = valid & (i > decision - most)
+                last = i[-1] == decision
+                out.append((b["security_id"].iloc[0], decision, c[-1] if last else None, float(np.median((c * vol)[recent])) if recent.any() else None, recent.sum() / float(most), int(valid.sum()), bool(last and stale[-1]), bool(last and valid[-1])))
+        return pd.DataFrame(out, columns=["security_id", "decision", "latest_close", "median_dollar_volume", "coverage", "valid_observations", "is_stale", "__latest_ok"])
+
+    kinds = "security_id string, decision int, latest_close double, median_dollar_volume double, coverage double, valid_observations long, is_stale boolean, __latest_ok boolean"
+    stats = bars.select(*cols).groupBy("security_id").cogroup(dated.groupBy("security_id")).applyInPandas(run, kinds)
+    return _audit(state.join(stats.withColumns({c: finite(F.col(c)) for c in ("latest_close", "median_dollar_volume")}), ["decision", "security_id"], "left"), policy)
+
+
+def top_of_each(audit: DataFrame, size: int, minimum: int, amount: str = "median_dollar_volume", name: str = "security_id") -> DataFrame:
+    """(decision, name, position, size) of the ``size`` most liquid eligible names of each decision; none where fewer than ``minimum`` are eligible."""
+    w = Window.partitionBy("decision")
+    best = audit.where("eligible").withColumns({"__rank": F.row_number().over(w.orderBy(snap(amount, 6).desc(), name)), "__n": F.count("*").over(w)})
+    best = best.where((F.col("__rank") <= size) & (F.col("__n") >= minimum)).select("decision", name)
+    return best.withColumns({"position": F.row_number().over(w.orderBy(name)) - 1, "size": F.count("*").over(w)})
+
+
 def with_reasons(df: DataFrame, reasons: dict[str, Column]) -> DataFrame:
     df = df.withColumn("exclusion_reasons", F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in reasons.items()])))
     return df.withColumn("eligible", F.size("exclusion_reasons") == 0)

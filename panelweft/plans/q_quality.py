@@ -717,8 +717,8 @@ POLICY = un.UniversePolicy(target_size=30, min_members=10, liquidity_sessions=26
 DEC_IDX = 240
 
 
-def universe_audit(spark, sf):
-    """Suppliers as securities: a listing event each, some suspended or delisted;
+def universe_inputs(spark, sf):
+    """Master and bars. Suppliers as securities: a listing event each, some suspended or delisted;
     every bar has a first version and some a later revision."""
     s = tb.table(spark, sf, "supplier")
     k = F.col("s_suppkey")
@@ -738,6 +738,11 @@ def universe_audit(spark, sf):
     revised = F.struct(F.date_add("session", 60).cast("timestamp").alias("available_at"), (F.col("close") * 1.01).alias("c"))
     b = b.select("security_id", "session", "session_idx", "volume", close_at.alias("effective_at"), F.explode(F.when(i % 3 == 0, F.array(first, revised)).otherwise(F.array(first))).alias("v"))
     b = b.select("security_id", "session", "session_idx", "volume", "effective_at", "v.available_at", F.col("v.c").alias("close"), F.lit(False).alias("is_stale"), (i % 50 == 49).alias("is_suspended"))
+    return master, b
+
+
+def universe_audit(spark, sf):
+    master, b = universe_inputs(spark, sf)
     dec = F.date_add(F.lit(tb.shape(spark, sf).first), DEC_IDX * 7 + 5).cast("timestamp")
     return un.build_universe(master, b, tb.calendar(spark, sf), days(spark, sf), dec, DEC_IDX, ev.horizon(spark, sf), POLICY)
 

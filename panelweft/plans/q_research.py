@@ -8,8 +8,9 @@ from pyspark.sql import types as T
 from panelweft.functions import frames as fr
 from panelweft.operators import features as ft
 from panelweft.operators import research as rs
+from panelweft.operators import universe as un
 from panelweft.plans.q_features import FAMILIES, LIBRARY_SQL, label_sql, library
-from panelweft.plans.q_ledger import BOOKS_SQL, books, ledger
+from panelweft.plans.q_ledger import BOOKS_SQL, EVERY, START, books, ledger
 from panelweft.plans.registry import finish, out, query
 from panelweft.plans.sqlbase import RESIDUAL, pct_rank, roll, ts
 from panelweft.sources import tables as tb
@@ -301,13 +302,18 @@ def a51(spark, sf):
     return finish(j.select("slope_then", "slope_now", "rows_then", "rows_now", (F.col("d_then") == F.col("d_now")).alias("digest_unchanged")))
 
 
-# --- covariance of a bounded universe: the most liquid names of a decision session ------
+# --- covariance of a bounded universe: the C1 universe of every rebalance decision. The oracles of
+# a13_shrinkage_covariance and c13_optimized_target_inputs have the most liquid names of one session ------
+
+#: Most names of a decision's universe, as in C1's policy of the blueprint, and fewest: a covariance needs no gate on the
+#: number of names to trade, so decisions below C1's gate are covered too. All else is the policy of c01_build_universe.
+UNIVERSE_SIZE, UNIVERSE_LEAST = 400, 2
 
 TOP, LOOK, DECISION_IDX = 40, 104, 260
 
 
 def universe(spark, sf, df):
-    """Top names by trailing dollar volume at the decision (a top-k report)."""
+    """Top names by trailing dollar volume at one decision."""
     at = df.where(F.col("session_idx") == DECISION_IDX).where(F.col("adv").isNotNull())
     top = at.orderBy(fr.snap("adv", 6).desc(), "security_id").limit(TOP)
     from pyspark.sql import Window
@@ -331,6 +337,24 @@ def cov_inputs(spark, sf):
     return p, u
 
 
+def decision_inputs(spark, sf):
+    """Past returns, and names with alpha and beta, of the universes of all rebalance decisions."""
+    from panelweft.plans.q_quality import POLICY, universe_inputs  # imports this module
+    from panelweft.session import cut
+
+    dec = tb.calendar(spark, sf).where((F.col("session_idx") % EVERY == 0) & (F.col("session_idx") >= START)).select(
+        F.col("session_idx").alias("decision"), F.date_add("session", 5).cast("timestamp").alias("decision_at")
+    )
+    master, bars = universe_inputs(spark, sf)
+    audit = un.build_universes(master, bars, dec, POLICY)
+    u = cut(un.top_of_each(audit, UNIVERSE_SIZE, UNIVERSE_LEAST))
+    df = cut(tb.residual_panel(spark, sf).select("security_id", "session_idx", "ret", "beta", fr.snap(-F.col("residual"), 9).alias("alpha")))
+    past = (F.col("session_idx") < F.col("decision")) & (F.col("session_idx") >= F.col("decision") - LOOK)
+    # at most UNIVERSE_SIZE names a decision
+    p = df.select("security_id", "session_idx", "ret").join(F.broadcast(u), "security_id").where(past)
+    return p, df.join(F.broadcast(u), "security_id").where("session_idx = decision")
+
+
 COV_SQL = (
     RESIDUAL
     + f""",
@@ -354,15 +378,15 @@ def a13(spark, sf):
 # eigenvalue repair has no SQL form; tests compare it with a dense solve
 @query("a13_repaired_covariance")
 def a13r(spark, sf):
-    p, _ = cov_inputs(spark, sf)
-    rep = rs.repair_covariance(rs.shrink(rs.pair_covariance(p, block=16)))
-    return finish(rep.select("i", "j", "covariance", "repaired"), 9)
+    p, _ = decision_inputs(spark, sf)
+    rep = rs.repair_covariance(rs.shrink(rs.pair_covariance(p, block=128)))
+    return finish(rep.select("decision", "i", "j", "covariance", "repaired"), 9)
 
 
 def mv_inputs(spark, sf):
-    p, u = cov_inputs(spark, sf)
-    names = u.select("decision", F.col("position").cast("int").alias("position"), "alpha", "beta", F.lit(1.0).alias("one"), "security_id", "adv")
-    return rs.shrink(rs.pair_covariance(p, block=16)), names
+    p, u = decision_inputs(spark, sf)
+    names = u.select("decision", F.col("position").cast("int").alias("position"), "alpha", "beta", F.lit(1.0).alias("one"))
+    return rs.shrink(rs.pair_covariance(p, block=128)), names
 
 
 @query("c08_mv_direction")

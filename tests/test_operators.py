@@ -18,7 +18,9 @@ from panelweft.operators import reports as rp
 from panelweft.operators import research as rs
 from panelweft.operators import temporal as tp
 from panelweft.operators import universe as un
+from panelweft.plans import q_quality, q_research
 from panelweft.sources import readers as rd
+from panelweft.sources import tables as tb
 
 D = dt.date
 
@@ -156,6 +158,33 @@ def test_covariance_blocks_repair_and_direction(spark):
     assert abs(d.sum()) < 1e-6 * np.abs(d).sum() + 1e-9 and abs((d * beta[d.index]).sum()) < 1e-6 * np.abs(d).sum() + 1e-9
 
 
+def test_universes_of_all_decisions(spark, small):
+    """Each decision's audit is that of the decision alone, and the covariance and direction cover all decisions."""
+    master, bars = q_quality.universe_inputs(spark, small)
+    first = tb.shape(spark, small).first
+    at = {d: F.date_add(F.lit(first), d * 7 + 5).cast("timestamp") for d in (160, 240)}
+    dec = spark.createDataFrame([(d,) for d in at], "decision int").withColumn("decision_at", F.date_add(F.lit(first), F.col("decision") * 7 + 5).cast("timestamp"))
+    rest = tb.calendar(spark, small), q_quality.days(spark, small)
+    horizon = q_quality.ev.horizon(spark, small)
+    audit = un.build_universes(master, bars, dec, q_quality.POLICY)
+    cols = ["security_id", "status", "latest_close", "median_dollar_volume", "coverage", "valid_observations", "eligible", "exclusion_reasons"]
+    for d, when in at.items():
+        one = un.build_universe(master, bars, *rest, when, d, horizon, q_quality.POLICY)
+        assert sorted(map(str, audit.where(F.col("decision") == d).select(*cols).collect())) == sorted(map(str, one.select(*cols).collect()))
+    rows = [(d, f"s{i}", float(i), i != 3) for d, n in ((1, 6), (2, 2)) for i in range(n)]
+    top = un.top_of_each(spark.createDataFrame(rows, "decision int, security_id string, median_dollar_volume double, eligible boolean"), 3, 3)
+    assert sorted(map(tuple, top.collect())) == [(1, "s2", 0, 3), (1, "s4", 1, 3), (1, "s5", 2, 3)]
+
+
+def test_covariance_of_every_rebalance_decision(spark, small):
+    p, u = q_research.decision_inputs(spark, small)
+    n = {r["decision"]: r["n"] for r in u.groupBy("decision").agg(F.count("*").alias("n")).collect()}
+    assert len(n) > 20 and all(d % q_research.EVERY == 0 for d in n)
+    got = q_research.a13r(spark, small).groupBy("decision").count().collect()
+    assert {r["decision"]: r["count"] for r in got} == {d: k * (k + 1) // 2 for d, k in n.items()}
+    assert q_research.c08(spark, small).select("decision").distinct().count() > 20
+
+
 def test_hac_recovers_a_known_beta(spark):
     rng = np.random.default_rng(8)
     x = rng.normal(0, 0.01, 400)
