@@ -4,9 +4,10 @@ Markup is stripped into lines, one per block of the page. Scripts, styles, forms
 without prose vanish; so do menus, headers, footers, sidebars, notices, adverts and comments that
 their element or its class, id or role names. They leave empty lines behind, as do lines of links.
 Over a sliding window of ``WINDOW`` lines the text lengths are summed: where the sum surges over
-the threshold a body of text begins, where it falls to nothing it ends. Kept are all bodies inside
-the page's ``article`` or ``main``, if it has one with text, and otherwise the bodies that hold a
-fair share of the longest one.
+the threshold a body of text begins, where it falls to nothing it ends. All text inside the page's
+``article`` or ``main`` is kept, if it has one with text, also what is a link. Otherwise bodies that hold
+a fair share of the longest one are kept with all lines between the first and the last of them, and
+all lines in the element that holds most of the longest one; lines of links aren't.
 
 Null and empty pages have empty text. Nothing is cut from long pages. Broken markup never fails:
 an element whose end tag may be left out (a paragraph, item or cell) ends where HTML ends it, another
@@ -38,6 +39,8 @@ CELLS = {"colgroup": 1, "caption": 1, "thead": 1, "tbody": 1, "tfoot": 1, "tr":
 #: Elements whose end tag may be left out.
 OMITTED = {"p", "li", "dt", "dd", "option", "optgroup", *CELLS}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: Elements that are a part of what their parent holds.
+PARTS = {"section", "ul", "ol", "dl", "blockquote", "figure"}
 #: Elements whose start ends an open paragraph.
 BLOCK = HEADINGS | {"address", "article", "aside", "blockquote", "center", "details", "dialog", "dir", "div", "dl", "dt", "dd", "fieldset", "figcaption", "figure", "footer", "form", "header", "hgroup", "hr", "li", "listing", "main", "menu", "nav", "ol", "p", "pre", "search", "section", "summary", "table", "ul"}
 #: Elements that a tag inside them doesn't end.
@@ -112,9 +115,12 @@ def staying(stack: list[str], name: str, closing: bool) -> int:
     return n
 
 
-def lines(page: str) -> list[tuple[str, int, bool]]:
-    """(text, characters in links, inside an article) of each block, "" where something was taken away."""
+def lines(page: str) -> tuple[list[tuple[str, int, bool]], list[int], list[tuple[int, str]]]:
+    """(text, characters in links, inside an article) of each block, "" where something was taken away; the element of each block; (parent, name) of the elements."""
     out: list[tuple[str, int, bool]] = []
+    owner: list[int] = []
+    tree = [(0, "")]  # the page itself; parents come before their children
+    where: list[int] = []  # numbers of the open elements
     text: list[str] = []
     links = held = 0
     open_: list[str] = []  # elements that are open, without inline ones
@@ -129,6 +135,7 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
         line = " ".join("".join(text).split())
         if line:
             out.append((line, links, articles > 0))
+            owner.append(where[len(open_) - 1] if open_ else 0)
         text.clear()
         links = 0
 
@@ -176,6 +183,7 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
             del open_[base:]
             left = min(left, base)
             out.extend([("", 0, False)] * gap)
+            owner.extend([0] * gap)
             if own:
                 continue
         if name in INLINE and name not in VOID:
@@ -198,14 +206,17 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
             continue
         if name in VOID or m[5]:
             continue
+        del where[len(open_) :]
+        tree.append((where[-1] if where else 0, name))
         open_.append(name)
+        where.append(len(tree) - 1)
         if boilerplate(name, m[4], articles > 0):
             readers = bool(READERS.search(re.sub(r"[\"'=]", " ", m[4] or "")))
             skipped, depth, base, gap = name, 1, len(open_) - 1, 1 if name not in ("nav", "header", "footer") and PASSING.search(m[4] or "") else WINDOW
         elif name in ("article", "main"):
             articles += 1
     close()
-    return out
+    return out, owner, tree
 
 
 def bodies(blocks: list[tuple[str, int, bool]], surge: int) -> list[tuple[int, int]]:
@@ -227,15 +238,29 @@ def bodies(blocks: list[tuple[str, int, bool]], surge: int) -> list[tuple[int, i
 
 def main_text(page: str | None) -> str:
     """The article of a page, its blocks joined by one space."""
-    blocks = lines(page or "")
-    inside = [b if b[2] or not b[0] else ("", 0, False) for b in blocks]
-    if any(t for t, links, _ in inside if 2 * links <= len(t)):
-        kept = [(a, b, inside) for a, b in bodies(inside, 1)]
-    else:
-        found = bodies(blocks, SURGE) or bodies(blocks, 1)
-        size = [sum(len(t) for t, _, _ in blocks[a:b]) for a, b in found]
-        kept = [(a, b, blocks) for (a, b), n in zip(found, size) if n >= SHARE * max(size)]
-    return " ".join(t for a, b, x in kept for t, links, _ in x[a:b] if t and 2 * links <= len(t))
+    blocks, owner, tree = lines(page or "")
+    inside = [t for t, _, article in blocks if t and article]
+    if inside:
+        return " ".join(inside)
+    found = bodies(blocks, SURGE) or bodies(blocks, 1)
+    if not found:
+        return ""
+    size = [sum(len(t) for t, _, _ in blocks[a:b]) for a, b in found]
+    strong = [x for x, n in zip(found, size) if n >= SHARE * max(size)]
+    # the element that holds most of the longest body
+    a, b = found[size.index(max(size))]
+    held: dict[int, int] = {}
+    for k in range(a, b):
+        if blocks[k][0]:
+            parent = tree[owner[k]][0]
+            held[parent] = held.get(parent, 0) + len(blocks[k][0])
+    top = max(held, key=held.__getitem__)
+    while tree[top][1] in PARTS:
+        top = tree[top][0]
+    under = [top == 0]
+    for k in range(1, len(tree)):
+        under.append(k == top or under[tree[k][0]])
+    return " ".join(t for k, (t, links, _) in enumerate(blocks) if t and 2 * links <= len(t) and (strong[0][0] <= k < strong[-1][1] or under[owner[k]]))
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

@@ -165,6 +165,24 @@ def test_html_end_tags_left_out():
         assert html.main_text(page) == text
 
 
+LONG = "A paragraph of the article that has a good many words, so that it holds most of what the page says. " * 8
+SHORT = "A closing section of the text that is rather short, but not so short as a line."
+LINKED = {
+    "<article><p>Text.</p><p>See <a href=x>the whole of the report</a></p><ul><li><a href=y>Source</a></ul></article>": "Text. See the whole of the report Source",
+    "<main><p><a href=x>Only a link</a></p></main><p>Outside.</p>": "Only a link",
+    f"<div><div><h2>Head</h2><p>Sub</p><aside>no</aside><p>{LONG}</p><form>no</form><p>{SHORT}</p><aside>no</aside><p>End.</p></div></div>": f"Head Sub {LONG.strip()} {SHORT} End.",
+    f"<div><section><p>{LONG}</p></section><aside>no</aside><section><p>{SHORT}</p></section></div>": f"{LONG.strip()} {SHORT}",
+    f"<div><div><p>{LONG}</p></div><aside>no</aside><div><p>{SHORT}</p></div><aside>no</aside><div><p>{LONG}</p></div></div>": f"{LONG.strip()} {SHORT} {LONG.strip()}",
+    f"<body><div><p>Site</p></div><aside>no</aside><div><p>{LONG}</p><p><a href=x>More</a></p></div><aside>no</aside><div><p>{SHORT}</p></div>": LONG.strip(),
+}
+
+
+def test_html_links_and_short_parts():
+    """Links of an article stay, and short parts of a page without one between or beside its long ones."""
+    for page, text in LINKED.items():
+        assert html.main_text(page) == text
+
+
 def test_toxicity(spark, docs, empty):
     r = random.Random(2)
     bad = ["stupid", "idiot", "moron", "loser", "scum"]
