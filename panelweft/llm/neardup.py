@@ -8,8 +8,8 @@ A run starts with all sets in one bucket. A bucket is split on one or two coordi
 own path, so on average 1 / threshold branches lead on, and sets with the same token there stay
 together. Buckets of one set end; small ones are compared pair by pair on their tokens; large ones
 are split again, up to ``DEPTH`` times, and what is still large then is compared in blocks. A pair at
-the threshold survives ``DEPTH`` splits with probability ``SURVIVAL ** DEPTH``; runs are repeated until
-all of them miss it with less than 1 - ``RECALL``.
+the threshold is missed by all runs with the chance ``missed``, in the mean over the agreement of its
+tokens; ``RUNS`` is the least number of runs for which that is less than 1 - ``RECALL``.
 
 Buckets only say which classes belong together: each yields a spanning tree of its likely pairs, and
 connected trees are components. Within a component every pair is checked once against its whole
@@ -36,8 +36,19 @@ from panelweft.llm.text import Words, by_piece, mix, window_starts, windows
 SHINGLE, THRESHOLD, T, LIMIT, DEPTH, SPLIT, RECALL = 5, 0.8, 48, 256, 3, 1024, 0.999
 #: A split takes one coordinate, and a second one of a quarter of the buckets: 1 / THRESHOLD on average.
 SECOND = 1 / THRESHOLD - 1
-SURVIVAL = 1 - (1 - THRESHOLD) * (1 - SECOND + SECOND * (1 - THRESHOLD))
-RUNS = math.ceil(math.log(1 - RECALL) / math.log(1 - SURVIVAL**DEPTH))
+
+
+def missed(runs: int, similarity: float = THRESHOLD) -> float:
+    """Chance that no run holds a pair together over DEPTH splits. All runs sample the same T tokens, so it is the mean over how many of them agree."""
+    out = 0.0
+    for k in range(T + 1):
+        apart = 1 - k / T
+        survival = 1 - apart * (1 - SECOND + SECOND * apart)
+        out += math.comb(T, k) * similarity**k * (1 - similarity) ** (T - k) * (1 - survival**DEPTH) ** runs
+    return out
+
+
+RUNS = next(r for r in range(1, 1000) if missed(r) < 1 - RECALL)
 #: Shared tokens from which a pair counts as likely: a pair at the threshold falls below with a chance of some millionths.
 LIKELY = math.ceil(T * THRESHOLD - 4.5 * math.sqrt(T * THRESHOLD * (1 - THRESHOLD)))
 

@@ -114,6 +114,13 @@ def test_neardup(docs, empty):
     assert rows(neardup.join(empty)) == []
 
 
+def test_neardup_recall():
+    """The chance that all runs miss a pair at the threshold, drawn over the tokens that all of them share."""
+    share = np.random.default_rng(1).binomial(neardup.T, neardup.THRESHOLD, 400_000) / neardup.T
+    survival = 1 - (1 - share) * (1 - neardup.SECOND + neardup.SECOND * (1 - share))
+    assert np.mean((1 - survival**neardup.DEPTH) ** neardup.RUNS) < 1 - neardup.RECALL
+
+
 def test_neardup_large_groups(spark, monkeypatch):
     """More near copies than a bucket or a block holds, and chains of them: no link is lost."""
     monkeypatch.setattr(neardup, "LIMIT", 8)
