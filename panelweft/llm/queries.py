@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelweft.llm import bpe, fmindex, html, language, neardup, substrings, topk, toxicity, unigram, warc
+from panelweft.llm import bpe, divergence, fmindex, html, language, lexical, neardup, simhash, substrings, topk, toxicity, unigram, warc
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -72,6 +72,18 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -81,6 +93,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_substrings": op1_substrings, "op2_jaccard": op2_jaccard, "op3_html": op3_html, "op4_toxicity": op4_toxicity, "op5_language": op5_language,
     "op6_warc": op6_warc, "op7_bpe": op7_bpe, "op8_token_counts": op8_token_counts, "op9_decontamination": op9_decontamination, "op10_topk": op10_topk,
-    "pipeline": pipeline,
+    "op11_divergence": op11_divergence, "op12_simhash": op12_simhash, "op13_lexical": op13_lexical, "pipeline": pipeline,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op11_divergence": divergence.ORACLE, "op13_lexical": lexical.ORACLE}

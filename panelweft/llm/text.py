@@ -21,9 +21,10 @@ def _lut(chars) -> np.ndarray:
     return t
 
 
-#: Bytes between words: white space alone, or everything but digits, small letters and non-ASCII (after lower-casing).
+#: Bytes between words: white space alone, or everything but digits, small letters and non-ASCII (after lower-casing), or digits too.
 WHITE = _lut([0x20, *range(0x09, 0x0E)])
 NOT_WORD = _lut([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
+NOT_LETTER = _lut([*range(0x00, 0x61), *range(0x7B, 0x80)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
@@ -127,6 +128,16 @@ class Words:
         np.cumsum(table[self.body] * up[: len(self.body)], out=total[1:])
         return mix((total[self.end] - total[self.begin]) * down[self.begin] + (self.end - self.begin).astype(np.uint64))
 
+    def coded(self) -> tuple[np.ndarray, pa.Array]:
+        """(code of each word, the distinct words as strings)."""
+        step = np.zeros(len(self.body) + 1, np.int8)
+        step[self.begin] += 1
+        step[self.end] -= 1  # where words of neighbouring rows touch, both cancel out
+        data = self.body[np.cumsum(step[:-1], dtype=np.int8).view(bool)]
+        offsets = np.append(0, np.cumsum(self.end - self.begin)).astype(np.int64)
+        words = pa.Array.from_buffers(pa.large_string(), len(self), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+        return np.asarray(words.indices).astype(np.int64), words.dictionary
+
     def text(self, i: int) -> str:
         return self.body[self.begin[i] : self.end[i]].tobytes().decode("utf-8", "replace")
 
