@@ -10,9 +10,9 @@ order of their bounds, only annuli that could still hold a score as high as its
 
 Queries and vectors meet by annulus (and by group of ``GROUP`` queries): whoever asks more than a
 fixed number of queries gets more groups, not larger ones. Vectors that are null or hold null or
-non-finite components, and null ids, take no part; shorter vectors count as padded by zeros; of
-rows with the same id the smallest vector counts. Ties go to the smaller id. Bounds are widened
-by far more than rounding can cost.
+non-finite components, and null ids, take no part; shorter vectors count as padded by zeros. Rows
+that share an id are vectors of their own: each is found, and each asks if its id does. Ties go to the
+smaller id. Bounds are widened by far more than rounding can cost.
 """
 
 from __future__ import annotations
@@ -90,7 +90,7 @@ def matrix(column: pa.Array, width: int) -> np.ndarray:
 
 
 def prepared(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """(vec_id, v) with v the integer components, for the rows that take part."""
+    """(vec_id, row, v) with v the integer components and a number for each of the rows that take part; to be written before use."""
     rows = vectors.select(F.col(f"`{key}`").cast("long").alias("vec_id"), F.col(f"`{embedding}`").cast("array<double>").alias("x")).where(
         "vec_id is not null and x is not null and forall(x, c -> c is not null and not isnan(c) and abs(c) < double('Infinity'))"
     )
@@ -101,7 +101,7 @@ def prepared(vectors: DataFrame, key: str = "vec_id", embedding: str = "embeddin
             flat, at = whole(np.asarray(x.flatten())).astype("<i8").tobytes(), np.cumsum([0, *pc.list_value_length(x).to_pylist()]).tolist()
             yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array([flat[8 * i : 8 * j] for i, j in zip(at, at[1:])], pa.binary())], names=["vec_id", "v"])
 
-    return rows.groupBy("vec_id").agg(F.min("x").alias("x")).mapInArrow(run, "vec_id long, v binary")
+    return rows.mapInArrow(run, "vec_id long, v binary").select("vec_id", F.monotonically_increasing_id().alias("row"), "v")
 
 
 def search(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
@@ -117,16 +117,16 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
 
     total = rows.mapInArrow(measure, "n long, long double, vec_id long").agg(F.count("*"), F.max("n"), F.max("long"), F.count_if(F.col("vec_id") % every == 0)).first()
     many, width, longest, asking = total[0], total[1] or 0, total[2] or 0.0, total[3]
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toArrow()
+    sample = rows.orderBy(F.xxhash64("row"), "row").limit(SAMPLE).select("v").toArrow()
     points = matrix(pa.concat_arrays(sample.column("v").chunks) if sample.num_rows else pa.array([], pa.binary()), width)
     pivots = spark.sparkContext.broadcast(Pivots(points, longest, many))
 
     def key(batches):
         for b in batches:
             pivot, ring, r = pivots.value.keys(matrix(b.column("v"), width))
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array(pivot.astype(np.int32)), pa.array(ring.astype(np.int32)), pa.array(r)], names=["vec_id", "v", "pivot", "ring", "r"])
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("row"), b.column("v"), pa.array(pivot.astype(np.int32)), pa.array(ring.astype(np.int32)), pa.array(r)], names=["vec_id", "row", "v", "pivot", "ring", "r"])
 
-    keyed = kept(rows.mapInArrow(key, "vec_id long, v binary, pivot int, ring int, r double"), "keyed")
+    keyed = kept(rows.mapInArrow(key, "vec_id long, row long, v binary, pivot int, ring int, r double"), "keyed")
     # at most ANNULI + PIVOTS rows, however many vectors there are
     rings = keyed.groupBy("pivot", "ring").agg(F.min("r").alias("low"), F.max("r").alias("high"), F.count("*").alias("n")).toPandas()
     rings["parts"] = -(-rings["n"] // (2 * BLOCK))
@@ -134,9 +134,9 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     number = F.broadcast(spark.createDataFrame(rings[["pivot", "ring", "parts"]].astype("int32").assign(annulus=np.arange(len(rings), dtype="int32")), "pivot int, ring int, parts int, annulus int"))
     groups = max(1, -(-asking // GROUP))
     stored = (
-        keyed.join(number, ["pivot", "ring"]).select("annulus", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int").alias("part"), "vec_id", "v", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("crowd"))
+        keyed.join(number, ["pivot", "ring"]).select("annulus", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int").alias("part"), "vec_id", "row", "v", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("crowd"))
     )
-    queries = keyed.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "v", F.pmod(F.hash("vec_id"), F.lit(groups)).alias("crowd"))
+    queries = keyed.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("row").alias("asker"), "v", F.pmod(F.hash("row"), F.lit(groups)).alias("crowd"))
 
     def visits(with_bar: bool):
         """Where each query goes: its nearest annulus, or all others that may beat its bar."""
@@ -163,24 +163,24 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
                     part = np.arange(len(who)) - np.repeat(np.cumsum(parts) - parts, parts)
                     at = pa.array(who)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(where.astype(np.int32)), pa.array(part.astype(np.int32)), s.column("crowd").take(at), s.column("query_id").take(at), s.column("v").take(at)], names=["annulus", "part", "crowd", "query_id", "v"]
+                        [pa.array(where.astype(np.int32)), pa.array(part.astype(np.int32)), s.column("crowd").take(at), s.column("query_id").take(at), s.column("asker").take(at), s.column("v").take(at)], names=["annulus", "part", "crowd", "query_id", "asker", "v"]
                     )
 
         return run
 
     def best(here: pa.Table, asked: pa.Table) -> pa.Table:
         """The k best of this part of an annulus for each query that came."""
-        out = [[], [], []]
+        out = [[], [], [], []]
         if here.num_rows and asked.num_rows:
             ids, order = np.asarray(here.column("vec_id")), np.argsort(np.asarray(here.column("vec_id")), kind="stable")
-            ids = ids[order]
+            ids, numbers = ids[order], np.asarray(here.column("row"))[order]
             v = matrix(here.column("v").combine_chunks(), width)[order]
             for i in range(0, asked.num_rows, 512):
                 s = asked.slice(i, 512)
-                own = np.asarray(s.column("query_id"))
+                own, asker = np.asarray(s.column("query_id")), np.asarray(s.column("asker"))
                 score = product(matrix(s.column("v").combine_chunks(), width), v)
                 low = np.iinfo(np.int64).min
-                score[own[:, None] == ids] = low
+                score[asker[:, None] == numbers] = low
                 m = min(k, len(ids))
                 edge = np.partition(score, len(ids) - m, axis=1)[:, len(ids) - m]
                 for j, (x, e) in enumerate(zip(score, edge)):
@@ -189,19 +189,20 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
                     out[0] += [own[j]] * len(at)
                     out[1] += ids[at].tolist()
                     out[2] += x[at].tolist()
-        return pa.table([pa.array(c, pa.int64()) for c in out], names=["query_id", "vec_id", "score"])
+                    out[3] += [asker[j]] * len(at)
+        return pa.table([pa.array(c, pa.int64()) for c in out], names=["query_id", "vec_id", "score", "asker"])
 
     place = ["annulus", "part", "crowd"]
 
     def searched(visiting: DataFrame) -> DataFrame:
-        found = stored.groupBy(*place).cogroup(visiting.groupBy(*place)).applyInArrow(best, "query_id long, vec_id long, score long")
-        w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        found = stored.groupBy(*place).cogroup(visiting.groupBy(*place)).applyInArrow(best, "query_id long, vec_id long, score long, asker long")
+        w = Window.partitionBy("asker").orderBy(F.desc("score"), "vec_id")
         return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
-    visit = "annulus int, part int, crowd int, query_id long, v binary"
-    near = kept(searched(queries.select("query_id", "v", "crowd").mapInArrow(visits(False), visit)), "near")
-    bars = near.where(F.col("rank") == k).select("query_id", F.col("score").alias("bar"))
-    far = searched(queries.join(bars, "query_id", "left").mapInArrow(visits(True), visit))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    both = near.select("query_id", "vec_id", "score").unionByName(far.select("query_id", "vec_id", "score"))
+    visit = "annulus int, part int, crowd int, query_id long, asker long, v binary"
+    near = kept(searched(queries.select("query_id", "asker", "v", "crowd").mapInArrow(visits(False), visit)), "near")
+    bars = near.where(F.col("rank") == k).select("asker", F.col("score").alias("bar"))
+    far = searched(queries.join(bars, "asker", "left").mapInArrow(visits(True), visit))
+    w = Window.partitionBy("asker").orderBy(F.desc("score"), "vec_id")
+    both = near.drop("rank").unionByName(far.drop("rank"))
     return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
