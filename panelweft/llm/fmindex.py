@@ -133,15 +133,15 @@ class Phrases:
     words: np.ndarray  # sorted word hashes
     phrases: np.ndarray
     lengths: np.ndarray
-    items: list[list[str]]
+    items: list[list[str | None]]
 
     @staticmethod
-    def of(ids: list[str], texts: list[str | None], width: int) -> Phrases:
+    def of(ids: list[str | None], texts: list[str | None], width: int) -> Phrases:
         w = Words(pa.array(texts, pa.string()), NOT_WORD, lower=True)
         hashes = w.hashes()
         words = np.unique(hashes)
         number = (np.searchsorted(words, hashes) + 1).tolist()
-        found: dict[tuple, dict[str, None]] = {}
+        found: dict[tuple, dict[str | None, None]] = {}
         for item, a, b in zip(ids, w.first, w.first[1:]):
             for i in range(a, max(b - width, a) + 1 if b > a else a):
                 found.setdefault(tuple(number[i : min(i + width, b)]), {})[item] = None
@@ -174,11 +174,11 @@ def hits(column: pa.Array, p: Phrases) -> tuple[Words, np.ndarray, list[list[str
     rows = np.repeat(low - (np.cumsum(many) - many), many) + np.arange(len(which))
     begin = word[index.locate(rows)]
     covered = cover(begin, p.lengths[which], len(w))
-    found: list[dict[str, None]] = [{} for _ in range(len(column))]
+    found: list[dict[str | None, None]] = [{} for _ in range(len(column))]
     pair = np.unique(np.searchsorted(w.first, begin, side="right") * np.int64(len(many) + 1) + which)
     for row, phrase in zip((pair // (len(many) + 1) - 1).tolist(), (pair % (len(many) + 1)).tolist()):
         found[row].update(dict.fromkeys(p.items[phrase]))
-    return w, covered, [sorted(x) for x in found]
+    return w, covered, [sorted(i for i in x if i is not None) for x in found]
 
 
 SCHEMA = "doc_id long, text string, spans array<struct<start:int,stop:int>>, items array<string>, n_words long"
@@ -201,12 +201,12 @@ def find_phrases(docs: DataFrame, benchmark: DataFrame, width: int = 10, key: st
     """(doc_id, text, spans, items, n_words) of every row.
 
     ``spans`` are the merged runs of words (start, stop) inside an occurrence of a phrase, ``items`` the
-    item_ids whose phrases occur, sorted as strings. Words are runs of digits, ASCII letters (case
+    item_ids whose phrases occur, sorted as strings; phrases of items without item_id are found too, and add no id. Words are runs of digits, ASCII letters (case
     ignored) and non-ASCII characters. Columns named in ``rest`` go along in a struct. With ``cut`` the text
     comes without the words of ``spans``, one space where they stood, trimmed; other texts are unchanged.
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).where("item is not null and text is not null")
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).where("text is not null")
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-size // (4 * BLOCK)))
     out = documents(docs, key, text, rest).withColumns({"spans": F.expr("cast(array() as array<struct<start:int,stop:int>>)"), "items": F.expr("cast(array() as array<string>)"), "n_words": F.lit(0).cast("long")})
