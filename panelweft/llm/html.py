@@ -18,6 +18,7 @@ repeated results.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from html import unescape
 
 import pyarrow as pa
@@ -27,7 +28,8 @@ from pyspark.sql import functions as F
 from panelweft.llm.text import by_piece
 
 WINDOW, SURGE, SHARE = 3, 60, 0.2
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(/?)>", re.S)
+#: A comment, character data, a declaration or a tag; each ends where the page does at the latest, so nothing is read twice. A quote opens a value only after "=".
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))?+)*+)(?:>|\Z)", re.S)
 #: Elements whose content is text for nobody; their content may hold anything that looks like markup.
 RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "title", "xmp", "noembed", "noframes"}
 DROPPED = {"nav", "footer", "aside", "form", "select", "button", "svg", "canvas", "object", "audio", "video", "map", "menu", "dialog", "fieldset", "datalist", "math", "head"}
@@ -60,6 +62,22 @@ PASSING = re.compile(r"(?:^|[\s\"'=_-])(?:ad|ads|advert\w*|adsense|banner|sponso
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 
 
+#: Words that make a name of such a part longer without naming anything else.
+FORMS = set("area bar block box bottom button buttons container content disclosure group header heading icons inner item label left line link links list module outer panel placement post posts region right row section slot space text title top unit us widget wrap wrapper".split()) - {"text", "content", "title", "header", "heading", "item"}
+
+
+def named(value: str, names: re.Pattern, inside: bool) -> bool:
+    """Whether a class, id or role names a part that isn't the article. inside: only if a name has no other word, as "share-buttons", not "side-effects"."""
+    value = ABOUT_PAGE.sub("", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value))
+    if not inside:
+        return bool(names.search(value))
+    for name in value.lower().split():
+        words = [w for w in re.split(r"[-_\d]+", name) if w]
+        if words and any(map(names.search, words)) and all(w in FORMS or names.search(w) for w in words):
+            return True
+    return False
+
+
 def boilerplate(name: str, attributes: str, inside: bool) -> bool:
     """Whether an element isn't part of the article. inside: it stands in an article, where a header is the article's own."""
     if name in DROPPED:
@@ -73,45 +91,80 @@ def boilerplate(name: str, attributes: str, inside: bool) -> bool:
         key, value = key.lower(), value.strip("\"'")
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
             return True
-        value = ABOUT_PAGE.sub("", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value))
-        if key in ("class", "id", "role") and names.search(value) and not (inside and re.search(r"header|title", value, re.I)):
+        if inside and (name in HEADINGS or key == "id" and name in PARTS):
+            continue  # what a heading or section of the article is about
+        if key in ("class", "id", "role") and named(value, names, inside):
             return True
     return False
 
 
-def staying(stack: list[str], name: str, closing: bool) -> int:
+class Open:
+    """The elements that are open, without inline ones; ``last`` and ``first_after`` don't walk through them."""
+
+    def __init__(self):
+        self.names: list[str] = []
+        self.places: dict[str, list[int]] = {}
+        self.firm: list[int] = []  # places of elements that an open item doesn't reach through
+
+    def __len__(self) -> int:
+        return len(self.names)
+
+    def push(self, name: str) -> None:
+        self.places.setdefault(name, []).append(len(self.names))
+        if name not in ("div", "p", "address") and "-" not in name:
+            self.firm.append(len(self.names))
+        self.names.append(name)
+
+    def cut(self, n: int) -> None:
+        while len(self.names) > n:
+            self.places[self.names.pop()].pop()
+        while self.firm and self.firm[-1] >= n:
+            self.firm.pop()
+
+    def last(self, names, below: int) -> int:
+        """The innermost place below ``below`` of any of the names, or -1."""
+        out = -1
+        for x in names:
+            places = self.places.get(x)
+            if places:
+                k = bisect_left(places, below)
+                if k:
+                    out = max(out, places[k - 1])
+        return out
+
+    def first_after(self, names, place: int) -> int:
+        """The outermost place after ``place`` of any of the names, or the number of open elements."""
+        out = len(self.names)
+        for x in names:
+            places = self.places.get(x)
+            if places:
+                k = bisect_right(places, place)
+                if k < len(places):
+                    out = min(out, places[k])
+        return out
+
+
+def staying(stack: Open, name: str, closing: bool) -> int:
     """How many of the open elements are still open after a tag, by HTML's rules for end tags that are left out."""
     n = len(stack)
     if closing:
         same = HEADINGS if name in HEADINGS else {name}
         bounds = {"table"} if name == "table" or name in CELLS else SCOPE | {"ul", "ol"} if name == "li" else SCOPE
-        for k in range(n - 1, -1, -1):
-            if stack[k] in same:
-                return k
-            if stack[k] in bounds:
-                break
-        return n
+        k = stack.last(same, n)
+        return k if k >= 0 and k >= stack.last(bounds, n) else n
     if name in CELLS:
-        table = max((k for k in range(n) if stack[k] == "table"), default=-1)
-        return next((k for k in range(table + 1, n) if stack[k] in ("caption", "colgroup") or CELLS.get(stack[k], 0) >= CELLS[name]), n)
+        ended = ["caption", "colgroup", *(c for c, depth in CELLS.items() if depth >= CELLS[name])]
+        return stack.first_after(ended, stack.last(("table",), n))
     if name in ("option", "optgroup"):
-        while n and (stack[n - 1] == "option" or stack[n - 1] == name):
+        while n and (stack.names[n - 1] == "option" or stack.names[n - 1] == name):
             n -= 1
         return n
-    if name in ("li", "dt", "dd"):
-        same = {"li"} if name == "li" else {"dt", "dd"}
-        for k in range(n - 1, -1, -1):
-            if stack[k] in same:
-                n = k
-                break
-            if stack[k] not in ("div", "p", "address") and "-" not in stack[k]:
-                break
+    if name in ("li", "dt", "dd") and stack.firm and stack.names[stack.firm[-1]] in ({"li"} if name == "li" else {"dt", "dd"}):
+        n = stack.firm[-1]
     if name in BLOCK:
-        for k in range(n - 1, -1, -1):
-            if stack[k] == "p":
-                return k
-            if stack[k] in SCOPE:
-                break
+        k = stack.last(("p",), n)
+        if k >= 0 and k > stack.last(SCOPE, n):
+            return k
     return n
 
 
@@ -123,7 +176,8 @@ def lines(page: str) -> tuple[list[tuple[str, int, bool]], list[int], list[tuple
     where: list[int] = []  # numbers of the open elements
     text: list[str] = []
     links = held = 0
-    open_: list[str] = []  # elements that are open, without inline ones
+    open_ = Open()
+    endless: set[str] = set()  # elements that no further tag ends
     skipped, depth, gap = "", 0, 1  # the element that is being dropped, how often it is open inside itself, and the empty lines it leaves
     base = 0  # its place among the open elements
     readers = False  # it holds what readers wrote
@@ -139,8 +193,16 @@ def lines(page: str) -> tuple[list[tuple[str, int, bool]], list[int], list[tuple
         text.clear()
         links = 0
 
+    def ended(name: str, at: int) -> re.Match | None:
+        stop = None if name in endless else re.compile(rf"</{name}\b[^>]*+>", re.I).search(page, at)
+        if not stop:
+            endless.add(name)
+        return stop
+
     while at < end:
         m = TOKEN.search(page, at)
+        if m and m[3] and not m[4] and m.end() == end and page[-1] != ">":
+            m = None  # a page that ends in a tag's name: it may be text
         piece = page[at : m.start() if m else end]
         if piece and not skipped:
             piece = unescape(piece)
@@ -155,10 +217,10 @@ def lines(page: str) -> tuple[list[tuple[str, int, bool]], list[int], list[tuple
         name = (m[3] or "").lower()
         if not name:
             continue
-        closing = bool(m[2])
+        closing, alone = bool(m[2]), m[4].endswith("/")
         if name in RAW:
-            if not closing and not m[5]:
-                stop = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
+            if not closing and not alone:
+                stop = ended(name, at)
                 at = stop.end() if stop else (at if name in ("noscript", "title") else end)
             continue
         left = len(open_) if name in INLINE else staying(open_, name, closing)
@@ -175,20 +237,20 @@ def lines(page: str) -> tuple[list[tuple[str, int, bool]], list[int], list[tuple
                 depth = 0  # it was never closed
             if depth:
                 if skipped in OMITTED and name not in INLINE:
-                    del open_[left:]
-                    if not closing and not m[5] and name not in VOID:
-                        open_.append(name)
+                    open_.cut(left)
+                    if not closing and not alone and name not in VOID:
+                        open_.push(name)
                 continue
             skipped = ""
-            del open_[base:]
+            open_.cut(base)
             left = min(left, base)
             out.extend([("", 0, False)] * gap)
             owner.extend([0] * gap)
             if own:
                 continue
         if name in INLINE and name not in VOID:
-            if not closing and boilerplate(name, m[4], articles > 0) and not m[5]:
-                if re.compile(rf"</{name}\s*>", re.I).search(page, at):
+            if not closing and boilerplate(name, m[4], articles > 0) and not alone:
+                if ended(name, at):
                     skipped, depth, gap, readers, base = name, 1, 1, False, len(open_)
             elif name == "a":
                 anchors = 0 if closing else 1
@@ -199,16 +261,16 @@ def lines(page: str) -> tuple[list[tuple[str, int, bool]], list[int], list[tuple
         if name == "img" or name == "wbr":
             continue
         close()
-        del open_[left:]
+        open_.cut(left)
         if closing:
             if name in ("article", "main"):
                 articles = max(0, articles - 1)
             continue
-        if name in VOID or m[5]:
+        if name in VOID or alone:
             continue
         del where[len(open_) :]
         tree.append((where[-1] if where else 0, name))
-        open_.append(name)
+        open_.push(name)
         where.append(len(tree) - 1)
         if boilerplate(name, m[4], articles > 0):
             readers = bool(READERS.search(re.sub(r"[\"'=]", " ", m[4] or "")))

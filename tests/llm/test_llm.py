@@ -5,6 +5,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 
 import duckdb
 import numpy as np
@@ -142,7 +143,7 @@ PAGES = {
     "<html><head><title>T</title><script>if (a < b) { x('<p>no</p>') }</script></head><body><nav><ul><li><a href=/x>Home</a></li></ul></nav><div class='ad'>Buy this now</div><article><h1>Head  &amp;\n line</h1><p><b>Bold. <br>A first paragraph.<p>A second one.</p></article><footer>&copy; x</footer>": "Head & line Bold. A first paragraph. A second one.",
     "<header><h1>Site</h1></header><div id=cookie-notice>We use cookies, please accept them all.</div><div class=content><h2>Title</h2><p>A long paragraph with quite a few words, so that it counts as text.</p><div class='sponsored ad'>An advert with many words that has to go away now.</div><p>Another long paragraph with quite a few words.</p></div><div class=sidebar><p>Side text that is long enough to be taken for an article.</p></div><form><p>Name <input></p></form><section id=comments><p>Reader: I don't agree with what is said in the text.</p></section>": "Title A long paragraph with quite a few words, so that it counts as text. Another long paragraph with quite a few words.",
     "<div class='layout has-sidebar'><article><header><h1>Title</h1></header><p>Text of it.</p></article><section id='comments'><article><p>I think so too.</p></article><article class='comment'>Me too.</article></section></div><article class='comment-1'>And me.</article>": "Title Text of it.",
-    "<nav><ul><li>Never closed<article><p>Text.</p></article><aside>Side</aside>": "Text.", "<main><table><tr><td>a<td>b</table><p hidden>no<p>c</main>": "a b",
+    "<nav><ul><li>Never closed<article><p>Text.</p></article><aside>Side</aside>": "Text.", "<main><table><tr><td>a<td>b</table><p hidden>no<p>c</main>": "a b c",
     "plain text only": "plain text only", "": "", "<p>a <b>b</b>c</p><script>x": "a bc", "<!-- only a comment": "", "<article><p>x": "x", "<<<>>>&&&;<p": "<<<>>>&&&;<p",
 }
 
@@ -172,6 +173,33 @@ def test_html_end_tags_left_out():
         assert html.main_text(page) == text
 
 
+CUT = {
+    "<article><p>x</p></article><a " + 'b="c" ' * 1000: "x", "<article><p>x" + "<a b='" * 20000: "x", "<article><p>x</p><p class=\"y>z": "x", "<article>a<b c=d": "a", "<article><p>x</p>" + "<![CDATA[" * 20000: "x " + "<![CDATA[" * 19999,
+    "<article>" + "<div>a" * 50000: " ".join("a" * 50000), "<article>" + "<p><table>" + "<div>" * 50000 + "a": "a", "<article><table>" + "<div>" * 25000 + "<td>a" * 25000: " ".join("a" * 25000), "<title>" * 50000 + "<article>a": "a",
+    "<article>" + "<li><div>a" * 20000: " ".join("a" * 20000), "<article>" + "<span class=ad>a" * 20000: "a" * 20000, "</p>" * 50000 + "<article>a<p title=a>b": "a b", '<article><a title="it\'s > that">a</a> <i x="">b</i>': "a b",
+}
+
+
+def test_html_cut_and_unclosed():
+    """Pages that end inside a tag and elements that are never closed cost no more than their length."""
+    for page, text in CUT.items():
+        began = time.monotonic()
+        assert html.main_text(page) == text, page[:80]
+        assert time.monotonic() - began < 2, page[:80]
+
+
+ABOUT = "Body of it."
+
+
+def test_html_names_inside_an_article():
+    """Inside an article only names that say nothing else drop a part; headings and sections aren't judged by what they are about."""
+    keeps = ["<section id='related-work'><h2>Related work</h2><p>{}</p></section>", "<h2 id='side-effects'>Side effects</h2>{}", "<h2 id=search class=nav-title>Search</h2>{}", "<div class='legal-text'>{}</div>", "<p class='social-theory'>{}</p>", "<div id='menu-of-the-day'>{}</div>"]
+    for k in keeps:
+        assert html.main_text(f"<article><p>a</p>{k.format(ABOUT)}</article>").endswith(ABOUT), k
+    for k in ["ad", "share-buttons", "adBox", "related_posts", "newsletter-signup", "comments", "notice", "social share-links", "sidebar-left", "ad-300"]:
+        assert html.main_text(f"<article><p>a</p><div class='{k}'>{ABOUT}</div></article>") == "a", k
+
+
 LONG = "A paragraph of the article that has a good many words, so that it holds most of what the page says. " * 8
 SHORT = "A closing section of the text that is rather short, but not so short as a line."
 LINKED = {
@@ -344,13 +372,13 @@ def plain(t):
 def test_fmindex(spark, docs, empty, monkeypatch, block):
     monkeypatch.setattr(fmindex, "BLOCK", block)
     base = words_of(1, 200)
-    items = [(1, " ".join(base[10:40]).upper().replace("É", "é").replace("Ñ", "ñ")), (2, "one, TWO three"), (3, None), (4, "..."), (5, " ".join(words_of(50, 30))), (6, "same " * 12), (7, " ".join(base[20:35])), (7, " ".join(base[20:35])), (10, "x")]
+    items = [(1, " ".join(base[10:40]).upper().replace("É", "é").replace("Ñ", "ñ")), (2, "one, TWO three"), (3, None), (4, "..."), (5, " ".join(words_of(50, 30))), (6, "same " * 12), (7, " ".join(base[20:35])), (7, " ".join(base[20:35])), (10, "x"), (None, " ".join(base[150:175])), (None, "fünf 5")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     phrases = collections.defaultdict(set)
     for i, t in items:
         w = plain(t)
         for k in range(max(len(w) - 10, 0) + 1 if w else 0):
-            phrases[tuple(w[k : k + 10])].add(str(i))
+            phrases[tuple(w[k : k + 10])] |= {str(i)} - {"None"}
     want = []
     for r in corpus():
         w = plain(r[1])
@@ -393,15 +421,15 @@ def test_topk(spark, monkeypatch, block):
     rng = np.random.default_rng(3)
     data = [(int(i), rng.normal(0, 0.2, 8).round(3).tolist()) for i in range(0, 900)]
     data += [(1000 + i, [0.125] * 8) for i in range(120)]  # copies, one of them asked for
+    again = [data[50], (7, [0.9] * 8), (7, [0.05] * 8), (100, [0.3] * 8)]  # rows that share an id
     bad = [(2000, None), (2050, [0.1, None]), (2100, [float("nan")] * 8), (2150, [float("inf")] * 8), (None, [0.1] * 8), (2200, []), (2250, [0.5])]
-    df = spark.createDataFrame([(i, v, "clash") for i, v in [*data, *bad, data[50]]], "vec_id long, embedding array<double>, score string").repartition(3)
-    known = dict([*data, (2200, []), (2250, [0.5])])
-    ids = sorted(known)
-    q = np.array([[*topk.whole(np.array(known[i])), *[0] * (8 - len(known[i]))] for i in ids])
+    df = spark.createDataFrame([(i, v, "clash") for i, v in [*data, *bad, *again]], "vec_id long, embedding array<double>, score string").repartition(3)
+    known = [*data, (2200, []), (2250, [0.5]), *again]
+    q = np.array([[*topk.whole(np.array(v)), *[0] * (8 - len(v))] for _, v in known])
     want = []
-    for i, v in zip(ids, q):
+    for n, (i, _) in enumerate(known):
         if i % 50 == 0:
-            best = sorted((-int(s), j) for s, j in zip(q @ v, ids) if j != i)[:5]
+            best = sorted((-int(s), j) for m, (s, (j, _)) in enumerate(zip(q @ q[n], known)) if m != n)[:5]
             want += [(i, k + 1, j, -s) for k, (s, j) in enumerate(best)]
     assert rows(topk.search(df)) == sorted(want, key=repr)
     few = spark.createDataFrame([(0, [1.0, 2.0]), (50, [3.0, 1.0])], "vec_id long, embedding array<float>")
@@ -413,7 +441,8 @@ def test_pipeline_stages(spark, tmp_path):
     """Each stage takes awkward rows, keeps clean documents and the columns of documents."""
     toxic = [(100 + i, " ".join([*words_of(300 + i, 20), "idiot", "moron"]), "en", "s", 1) for i in range(40)]
     clean = [(200 + i, " ".join(words_of(400 + i, 60)), "en", "s", 1) for i in range(160)]
-    docs = [r[:5] for r in corpus()] + toxic + clean
+    twice = [(500, " ".join(words_of(900, 60)), "en", "s", 1), (500, " ".join(words_of(901, 60)), "en", "s", 1), (500, corpus()[0][1], "en", "s", 1), (501, " ".join(words_of(901, 60)), "en", "s", 1)]
+    docs = [r[:5] for r in corpus()] + toxic + clean + twice
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     spark.createDataFrame(docs, schema).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(r[0], 1, 1) for r in toxic] + [(r[0], 1, 0) for r in clean], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
@@ -424,6 +453,8 @@ def test_pipeline_stages(spark, tmp_path):
         stage(spark, df, str(tmp_path)).write.parquet(f"{tmp_path}/stage{i}")
         df = spark.read.parquet(f"{tmp_path}/stage{i}")
         assert df.columns == list(r.split(" ")[0] for r in schema.split(", ")) or i == len(pipe.STAGES) - 1
+        if i == 1:  # rows that share a doc_id are documents of their own
+            assert sorted(r["text"] for r in df.where("doc_id in (500, 501)").collect()) == sorted(x[1] for x in twice[:2])
         kept[name] = {r["doc_id"]: r["text"] if i < len(pipe.STAGES) - 1 else r["ids"] for r in df.collect()}
     steps = [kept[n] for n, _ in pipe.STAGES]
     assert not any(100 <= (i or 0) < 140 for i in steps[0]) and all(200 + i in steps[0] for i in range(40))
