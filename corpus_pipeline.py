@@ -33,10 +33,14 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each group of near duplicates; rows without doc_id stay."""
-    first = neardup.join(docs).where(F.col("doc_id") == F.col("group_id")).select("doc_id").distinct()
-    rows = docs.select(*COLUMNS)
-    return rows.join(first, "doc_id").dropDuplicates(["doc_id"]).select(*COLUMNS).unionByName(rows.where("doc_id is null"))
+    """The document of the smallest doc_id of each group of near duplicates; rows without doc_id stay.
+
+    Rows that share a doc_id are documents of their own: one that is nobody's near duplicate stays.
+    """
+    rows = kept(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "numbered")
+    group = neardup.join(rows.where("doc_id is not null"), key="row").select(F.col("doc_id").alias("row"), "group_id")
+    first = rows.select("doc_id", "row").join(group, "row").groupBy("group_id").agg(F.min(F.struct("doc_id", "row")).alias("first"))
+    return rows.join(first.select("first.row"), "row").select(*COLUMNS).unionByName(rows.where("doc_id is null").select(*COLUMNS))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
