@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -189,6 +190,66 @@ def walk_forward(
     return pred.withColumn("prediction", total).withColumnRenamed("n", "train_samples").drop(*out_cols)
 
 
+FIT = "version int, train_end int, observations long, intercept double, means array<double>, scales array<double>, coefficients array<double>"
+
+
+def _canonical() -> Column:
+    """What a fit says, as text; numbers to nine digits."""
+    def text(xs: Column) -> Column:
+        return F.concat_ws(",", F.transform(xs, lambda x: F.format_string("%.9e", x)))
+
+    return F.concat_ws("|", F.col("version").cast("string"), F.col("train_end").cast("string"), F.col("observations").cast("string"), text(F.array("intercept")), text(F.col("means")), text(F.col("scales")), text(F.col("coefficients")))
+
+
+def fit_table(
+    df: DataFrame, families: Sequence[str], label: str, label_end: str, ends: Sequence[int], ridge: float = 0.1, min_samples: int = 500,
+) -> DataFrame:
+    """One fit for each of ``ends``, from the labels complete by then, with its version (from 1) and digest.
+
+    Rows are summed once, by the first end that may see them; ends are few, so running sums over them give all fits.
+    An end with too few rows, or families that don't vary, has no fit.
+    """
+    k, ends = len(families), sorted(ends)
+    version = F.lit(None).cast("int")
+    for v, end in reversed(list(enumerate(ends, 1))):
+        version = F.when(F.col(label_end) <= end, v).otherwise(version)
+    rows = training_rows(df, families, label, label_end, 0, ends[-1]).withColumn("version", version)
+    sums = rows.groupBy("version").agg(*moment_columns(families, label))
+    cols = [c for c in sums.columns if c != "version"]
+    every = df.sparkSession.range(1, len(ends) + 1, 1, 1).select(F.col("id").cast("int").alias("version")).join(sums, "version", "left")
+    upto = Window.orderBy("version").rowsBetween(Window.unboundedPreceding, 0)  # one row a fit
+    every = every.select("version", *[F.coalesce(F.sum(c).over(upto), F.lit(0)).cast("double").alias(c) for c in cols])
+
+    def solve(batches):
+        for pdf in batches:
+            res = []
+            for m in pdf.to_dict("records"):
+                fit = solve_moments(m, k, ridge) if m["n"] >= min_samples else None
+                if fit:
+                    v = int(m["version"])
+                    res.append([v, ends[v - 1], fit["n"], fit["intercept"], fit["mean"].tolist(), fit["scale"].tolist(), fit["coef"].tolist()])
+            yield pd.DataFrame(res, columns=["version", "train_end", "observations", "intercept", "means", "scales", "coefficients"])
+
+    return every.mapInPandas(solve, FIT).withColumn("digest", F.sha2(_canonical(), 256))
+
+
+def apply_fits(df: DataFrame, fits: DataFrame, families: Sequence[str], sessions: int, when: str = "decision") -> DataFrame:
+    """Adds alpha, version and digest from the last fit whose train rows end before the decision.
+
+    A fit holds for the sessions after its end up to the next fit's, and meets decisions by equality, so none sees a
+    later one. A fit that its digest doesn't belong to fails the query when it is read.
+    """
+    until = F.coalesce(F.lead("train_end").over(Window.orderBy("train_end")), F.lit(sessions - 1))  # one row a fit
+    same = F.assert_true(F.sha2(_canonical(), 256) == F.col("digest"), F.concat(F.lit("the digest isn't that of fit "), F.col("version").cast("string"))).isNull()
+    valid = fits.where(same).withColumn("__until", until).where("train_end < __until")
+    valid = valid.select(F.explode(F.sequence(F.col("train_end") + 1, "__until")).alias(when), "version", "digest", "intercept", "means", "scales", "coefficients")
+    out = df.join(valid, when, "left")
+    alpha = F.col("intercept")
+    for i, f in enumerate(families):
+        alpha = alpha + (F.col(f) - F.col("means")[i]) / F.col("scales")[i] * F.col("coefficients")[i]
+    return out.withColumn("alpha", alpha).drop("intercept", "means", "scales", "coefficients")
+
+
 def zero_intercept_slope(df: DataFrame, score: str, label: str, by: Sequence[str] = (), penalty: float = 1e-6) -> DataFrame:
     """sum(xy) / (sum(xx) + penalty), pooled correlation, directional accuracy."""
     x, y = F.col(score), F.col(label)
@@ -214,43 +275,105 @@ def content_digest(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), s
 # --- covariance ---------------------------------------------------------------------------
 
 
-def pair_covariance(panel: DataFrame, value: str = "ret", by: Sequence[str] = ("decision",), block: int = 64, minimum: int = 2) -> DataFrame:
-    """Pairwise-complete sample covariance of a bounded universe.
+@dataclass(frozen=True)
+class CovariancePolicy:
+    """``lookback`` sessions strictly before the decision; a pair needs ``least`` sessions with both returns."""
 
-    Names hash to blocks; a row travels once per block pair, and each task forms
-    the covariances of two blocks by matrix products. ``panel``: keys, position
-    (0-based rank of the name in its universe), session_idx, value.
-    """
-    by = list(by)
-    nb = F.floor((F.col("size") - 1) / block).cast("int")
-    own = F.floor(F.col("position") / block).cast("int")
-    p = panel.where(F.col(value).isNotNull()).withColumn("__own", own)
-    p = p.withColumn("__other", F.explode(F.sequence(F.lit(0), nb)))
-    p = p.withColumns({"__a": F.least("__own", "__other"), "__b": F.greatest("__own", "__other")})
+    lookback: int = 252
+    least: int = 126
+    shrinkage: float = 0.2
+    floor_ratio: float = 1e-8
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        key = pdf.iloc[0][by]
-        wide = pdf.pivot_table(index="session_idx", columns="position", values=value, aggfunc="first").sort_index(axis=1)
-        pos = wide.columns.to_numpy()
-        mat = wide.to_numpy(dtype=float)
-        has = np.isfinite(mat).astype(float)
-        mat = np.where(has > 0, mat, 0.0)
-        n = has.T @ has
-        with np.errstate(all="ignore"):
-            mi = (mat.T @ has) / n
-            cov = (mat.T @ mat - n * mi * mi.T) / (n - 1)
-        a, b = pdf["__a"].iloc[0], pdf["__b"].iloc[0]
-        rows, cols = np.meshgrid(np.arange(len(pos)), np.arange(len(pos)), indexing="ij")
-        lo, hi = pos[rows] // block, pos[cols] // block
-        keep = (pos[rows] <= pos[cols]) & (lo == a) & (hi == b) & (n >= minimum)
-        out = pd.DataFrame({"i": pos[rows][keep], "j": pos[cols][keep], "covariance": cov[keep], "pairs": n[keep].astype("int64")})
-        for c in by:
-            out[c] = key[c]
-        return out[[*by, "i", "j", "covariance", "pairs"]]
-
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in panel.select(*by).schema)
-    src = p.select(*by, F.col("position").cast("int"), "session_idx", F.col(value).cast("double"), "__a", "__b")
-    return src.groupBy(*by, "__a", "__b").applyInPandas(run, f"{kinds}, i int, j int, covariance double, pairs long")
+    def __post_init__(self):
+        if not 2 <= self.least <= self.lookback:
+            raise ValueError("a pair needs at least two sessions and at most the lookback")
+        if not 0 <= self.shrinkage <= 1 or self.floor_ratio <= 0:
+            raise ValueError("shrinkage lies in [0, 1] and the eigenvalue floor is positive")
+
+
+class _Returns:
+    """Returns of a tile of names by session, with what is missing as zeros and a mask of what is there."""
+
+    def __init__(self, names: np.ndarray, sessions: np.ndarray, values: np.ndarray, first: int, count: int):
+        self.names, column = np.unique(names, return_inverse=True)
+        self.x, self.there = np.zeros((count, len(self.names))), np.zeros((count, len(self.names)))
+        self.x[sessions - first, column] = values
+        self.there[sessions - first, column] = 1.0
+
+
+def _prefixes(a: np.ndarray, b: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Products of two tiles summed over all sessions before each cut."""
+    out = np.zeros((len(cuts), a.shape[1], b.shape[1]))
+    for k in range(1, len(cuts)):
+        out[k] = out[k - 1] + a[cuts[k - 1] : cuts[k]].T @ b[cuts[k - 1] : cuts[k]]
+    return out
+
+
+def window_covariance(returns: DataFrame, members: DataFrame, lookback: int, tile: int = 64) -> DataFrame:
+    """(decision, i, j, covariance, pairs): pairwise-complete sample covariances of the members of each decision (i <= j).
+
+    ``returns``: security_id, session_idx, ret. ``members``: decision (a session), security_id, position (0, 1, ...).
+    Windows of neighbouring decisions overlap, so co-moments (count, sums, products) are summed up to every border of a
+    window once, and a window is the difference of two of these prefixes. Names are dealt to tiles of about ``tile`` by
+    hash; a return travels once for each tile that its own meets, whatever the number of decisions, and a task holds the
+    calendar of two tiles.
+    """
+    names = members.select("security_id").distinct()
+    tiles = max(1, -(-names.count() // tile))
+    own = F.pmod(F.xxhash64("security_id"), F.lit(tiles)).cast("int")
+
+    def dealt(df: DataFrame) -> DataFrame:
+        df = df.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
+        return df.withColumns({"a": F.least("own", "other"), "b": F.greatest("own", "other")}).drop("other")
+
+    left = dealt(returns.where(F.col("ret").isNotNull()).join(names, "security_id", "left_semi").select("security_id", F.col("session_idx").cast("int"), F.col("ret").cast("double")))
+    right = dealt(members.select("security_id", F.col("decision").cast("int"), F.col("position").cast("int")))
+
+    def run(r: pa.Table, m: pa.Table) -> pa.Table:
+        out = {"decision": [], "i": [], "j": [], "covariance": [], "pairs": []}
+        if r.num_rows and m.num_rows:
+            a, b = (m.column(c)[0].as_py() for c in "ab")
+            side, session, name, value = (np.asarray(r.column(c)) for c in ("own", "session_idx", "security_id", "ret"))
+            first, count = int(session.min()), int(session.max() - session.min()) + 1
+            x, y = (_Returns(name[side == t], session[side == t], value[side == t], first, count) for t in (a, b))
+            decision, place, who, of = (np.asarray(m.column(c)) for c in ("decision", "position", "security_id", "own"))
+            at = np.clip(np.unique(np.concatenate([decision, decision - lookback])) - first, 0, count)
+            cuts = np.unique(np.append(0, at))
+            n, sx, sy, sxy = (_prefixes(p, q, cuts) for p, q in ((x.there, y.there), (x.x, y.there), (x.there, y.x), (x.x, y.x)))
+            for d in np.unique(decision):
+                lo, hi = (int(np.searchsorted(cuts, np.clip(s - first, 0, count))) for s in (d - lookback, d))
+                rows = [(t.names, decision == d, of == tile_) for t, tile_ in ((x, a), (y, b))]
+                where, pos = [], []
+                for known, now, mine in rows:
+                    k = np.searchsorted(known, who[now & mine])
+                    there = (k < len(known)) & (known[np.minimum(k, max(len(known) - 1, 0))] == who[now & mine]) if len(known) else np.zeros(int((now & mine).sum()), bool)
+                    where.append(k[there])
+                    pos.append(place[now & mine][there])
+                cell = np.ix_(*where)
+                c, p, q, pq = ((z[hi] - z[lo])[cell] for z in (n, sx, sy, sxy))
+                i, j = np.meshgrid(*pos, indexing="ij")
+                keep = (c > 1.5) & ((i <= j) if a == b else True)
+                with np.errstate(all="ignore"):
+                    cov = (pq - p * q / c) / (c - 1)
+                out["decision"].append(np.full(int(keep.sum()), d, np.int32))
+                out["i"].append(np.minimum(i, j)[keep].astype(np.int32))
+                out["j"].append(np.maximum(i, j)[keep].astype(np.int32))
+                out["covariance"].append(cov[keep])
+                out["pairs"].append(np.rint(c[keep]).astype(np.int64))
+        kinds = {"decision": np.int32, "i": np.int32, "j": np.int32, "covariance": np.float64, "pairs": np.int64}
+        return pa.table({c: np.concatenate(v) if v else np.zeros(0, kinds[c]) for c, v in out.items()})
+
+    return left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(run, "decision int, i int, j int, covariance double, pairs long")
+
+
+def covariance_status(pairs: DataFrame, members: DataFrame, least: int) -> DataFrame:
+    """(decision, names, short_pairs, ready): a decision with a pair of fewer than ``least`` sessions, or a name without variance, has no covariance."""
+    names = members.groupBy("decision").agg(F.count("*").alias("names"))
+    fine = (F.col("pairs") >= least) & ((F.col("i") != F.col("j")) | (F.col("covariance") > 0))
+    enough = pairs.where(fine).groupBy("decision").agg(F.count("*").alias("__fine"))
+    all_ = F.expr("names * (names + 1) div 2")
+    out = names.join(enough, "decision", "left").withColumn("short_pairs", all_ - F.coalesce("__fine", F.lit(0)))
+    return out.select("decision", "names", "short_pairs", (F.col("short_pairs") == 0).alias("ready"))
 
 
 def shrink(pairs: DataFrame, shrinkage: float = 0.2) -> DataFrame:

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
+from datetime import date
+from typing import NamedTuple
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelweft.functions.frames import at, finite, roll, snap, truth, ts
-from panelweft.operators.quality import keep_latest
-from panelweft.operators.temporal import asof_events, current_state, visible_as_of
+from panelweft.operators.quality import EVIDENCE_TYPES, manifest_rules
+from panelweft.operators.temporal import Bounded
 
 
 @dataclass(frozen=True)
@@ -35,7 +36,7 @@ class UniversePolicy:
 
 
 # Exchanges of listed common stock.
-US_EXCHANGES = ("XNAS", "XNYS", "XASE", "ARCX", "BATS")
+US_EXCHANGES = ("XNAS", "XNYS", "XASE", "ARCX", "BATS", "IEXG")
 
 
 def unchanged() -> Column:
@@ -43,44 +44,282 @@ def unchanged() -> Column:
     return F.when(F.col("close") - at("close", -1) == 0, 1).otherwise(0)
 
 
-def build_universe(
-    master: DataFrame, bars: DataFrame, calendar: DataFrame, days: DataFrame, decision: Column, latest_idx: int,
-    horizon: Column, policy: UniversePolicy,
+class Instants(NamedTuple):
+    """Sorted instants of a calendar-bounded table, by day: how many lie before it, and those of the day."""
+
+    days: Bounded
+    first: date
+    last: date
+    count: int
+
+    def before(self, df: DataFrame, time: Column, name: str) -> DataFrame:
+        """Adds how many of the instants lie before ``time``; all of them where it is missing."""
+        day = F.least(F.greatest(F.to_date(time), F.lit(self.first)), F.date_add(F.lit(self.last), 1))
+        df = df.withColumn("__day", F.when(time.isNotNull(), day)).join(self.days.side(F.col("day").alias("__day"), "__base", "__times"), "__day", "left")
+        n = F.col("__base") + F.size(F.filter("__times", lambda t: t < time))
+        return df.withColumn(name, F.coalesce(n, F.lit(self.count)).cast("int")).drop("__day", "__base", "__times")
+
+
+def instants(df: DataFrame, time: str) -> Instants:
+    """``df`` holds one row an instant, as many as a calendar has."""
+    first, last, count = df.agg(F.to_date(F.min(time)), F.to_date(F.max(time)), F.count(time)).first()
+    if not count:
+        raise ValueError("a universe needs at least one decision and one session")
+    per_day = df.groupBy(F.to_date(time).alias("day")).agg(F.collect_list(time).alias("__times"))
+    n = (last - first).days + 2
+    spread = df.sparkSession.range(0, n, 1, 1).select(F.date_add(F.lit(first), F.col("id").cast("int")).alias("day")).join(per_day, "day", "left")
+    ahead = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)  # days of the calendar
+    size = F.coalesce(F.size("__times"), F.lit(0))
+    spread = spread.withColumn("__base", F.coalesce(F.sum(F.when(F.col("__times").isNull(), 0).otherwise(size)).over(ahead), F.lit(0)))
+    return Instants(Bounded(spread.withColumn("__times", F.coalesce("__times", F.array().cast("array<timestamp>"))), n), first, last, count)
+
+
+class Timeline(NamedTuple):
+    """Decisions in order (``place``, decision, decision_at, latest_idx), and which of them have closed a session."""
+
+    decisions: Bounded
+    instants: Instants
+    closes: Instants
+    sessions: Bounded  # session_idx, opens: the first place that has closed it; left: that has closed ``recent`` more
+    count: int
+
+
+def timeline(calendar: DataFrame, decisions: DataFrame, recent: int) -> Timeline:
+    """``calendar``: session_idx from 0 on without gaps, close_at. ``decisions``: decision, decision_at."""
+    order = Window.orderBy("decision_at", "decision")  # at most some decisions a session
+    d = decisions.select("decision", "decision_at", (F.row_number().over(order) - 1).alias("place"))
+    closes, made = instants(calendar, "close_at"), instants(decisions, "decision_at")
+    # a session that closes at the decision counts
+    d = closes.before(d.withColumn("__after", F.col("decision_at") + F.expr("interval 1 microsecond")), F.col("__after"), "__closed").drop("__after")
+    d = d.withColumn("latest_idx", F.col("__closed") - 1).drop("__closed")
+    sessions = made.before(calendar, F.col("close_at"), "opens").select("session_idx", "opens")
+    later = F.lead("opens", recent, made.count).over(Window.orderBy("session_idx"))
+    following = F.lead("opens", 1, made.count).over(Window.orderBy("session_idx"))
+    sessions = sessions.select("session_idx", "opens", later.alias("left"), following.alias("next"))
+    return Timeline(Bounded(d, made.count), made, closes, Bounded(sessions, closes.count), made.count)
+
+
+def versions(df: DataFrame, line: Timeline, key: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Adds the places ``from`` and ``to`` between which each version is the latest of its key that a decision knows.
+
+    A version is known once it is available and effective. One without either time never is.
+    """
+    known = F.when(F.col("available_at").isNotNull() & F.col("effective_at").isNotNull(), F.greatest("available_at", "effective_at"))
+    df = line.instants.before(df, known, "from")
+    after = Window.partitionBy(*key).orderBy(*order).rowsBetween(1, Window.unboundedFollowing)
+    return df.withColumn("to", F.coalesce(F.min("from").over(after), F.lit(line.count))).where("from < to")
+
+
+def pieces(df: DataFrame, cuts: Column) -> DataFrame:
+    """One row for each two neighbours ``p``, ``q`` of the sorted distinct cuts."""
+    df = df.withColumn("__cuts", F.array_sort(F.array_distinct(cuts))).where(F.size("__cuts") > 1)
+    spans = F.expr("transform(sequence(0, size(__cuts) - 2), i -> struct(__cuts[i] AS p, __cuts[i + 1] AS q))")
+    return df.withColumn("__span", F.explode(spans)).select("*", "__span.*").drop("__cuts", "__span")
+
+
+def _of_bar(v: Column) -> Column:
+    return F.get(F.filter(v, lambda x: (x["from"] <= F.col("p")) & (F.col("p") < x["to"])), F.lit(0))
+
+
+def _cuts(v: Column) -> Column:
+    return F.coalesce(F.flatten(F.transform(v, lambda x: F.array(x["from"], x["to"]))), F.array().cast("array<int>"))
+
+
+def universes(
+    master: DataFrame, bars: DataFrame, calendar: DataFrame, decisions: DataFrame, policy: UniversePolicy, historical: bool = True,
 ) -> DataFrame:
-    """Audit of every security at a decision time, with its exclusion reasons.
+    """Audit of every security known at each decision, with its exclusion reasons.
 
-    ``master``: security_id, event_id, effective_at, available_at, ticker,
-    security_type, listing_country, exchange, status. ``bars``: security_id,
-    session, session_idx, effective_at, available_at, close, volume, is_stale,
-    is_suspended. ``latest_idx`` is the last session closed by the decision.
+    ``master``: security_id, event_id, effective_at, available_at, ticker, security_type, listing_country, exchange,
+    status. ``bars``: security_id, session_idx, effective_at, available_at, close, volume, is_stale, is_suspended.
+    ``calendar``: session_idx (0, 1, ...), close_at. ``decisions``: decision (any integer), decision_at.
+
+    No row meets every decision. A version of an event or bar is the latest known one between two decisions, so what
+    a bar is worth (its close, whether it is valid) is a step function over decisions with a step where a version of
+    it, of the bars before it or of its security's events becomes known. Valid observations are running sums of the
+    steps; only the ``liquidity_sessions`` of a decision are expanded, for their median. All of it is partitioned by
+    security, once: a security has the bars of a calendar and a few events, and sessions without a bar stay gaps.
     """
-    events = visible_as_of(master, decision, "event_id", ("status",))
-    state = current_state(events, "security_id", ("event_id",))
-    dated = events.select("security_id", F.to_date("effective_at").alias("day"), "event_id", F.col("status").alias("status_then"))
-    status = asof_events(dated, "security_id", "day", days, None, horizon, ("event_id",)).select(
-        "security_id", "session_idx", "status_then"
-    )
-    seen = bars.where((F.col("available_at") <= decision) & (F.col("effective_at") <= decision))
-    seen = keep_latest(seen, ["security_id", "session_idx"], ["available_at", "close"])
-    seen = seen.where(F.col("session_idx") <= latest_idx).withColumn("__same", unchanged())
-    run = F.sum("__same").over(ts(policy.stale_sessions)) == policy.stale_sessions
-    seen = seen.withColumn("stale", truth(F.col("is_stale")) | truth(run))
-    seen = seen.join(status, ["security_id", "session_idx"], "left")
-    ok = truth((F.col("close") > 0) & (F.col("volume") > 0)) & ~truth(F.col("is_suspended")) & ~F.col("stale")
-    seen = seen.withColumn("valid", ok & truth(F.col("status_then") == "ACTIVE"))
-    recent = F.col("session_idx") > latest_idx - policy.liquidity_sessions
-    latest = F.col("session_idx") == latest_idx
+    line = timeline(calendar, decisions, policy.liquidity_sessions)
+    e = versions(master, line, ["event_id"], ["available_at", "status"])
+    e = line.closes.before(e, F.col("effective_at"), "eff_idx")
+    state = F.struct("effective_at", "event_id", "status", "ticker", "security_type", "listing_country", "exchange")
+    e = e.groupBy("security_id").agg(F.collect_list(F.struct("from", "to", "eff_idx", state.alias("state"))).alias("__e"))
+
+    def known_state(session: Column | None) -> Column:
+        """The latest state effective by a session's close, or at all, as known at ``p``."""
+        live = F.filter("__e", lambda x: (x["from"] <= F.col("p")) & (F.col("p") < x["to"]) & (F.lit(True) if session is None else x["eff_idx"] <= session))
+        return F.array_max(F.transform(live, lambda x: x["state"]))
+
+    grid = pieces(e, _cuts(F.col("__e"))).withColumn("state", known_state(None)).where("state is not null")
+    grid = grid.select("security_id", F.explode(F.sequence("p", F.col("q") - 1)).alias("place"), "state")
+
+    b = bars.select("security_id", "session_idx", "available_at", "effective_at", F.col("close").cast("double").alias("close"), F.col("volume").cast("double").alias("volume"), truth(F.col("is_stale")).alias("said"), truth(F.col("is_suspended")).alias("halted"))
+    b = b.join(line.sessions.side("session_idx", "opens", "left", "next"), "session_idx")
+    b = versions(b.repartition("security_id"), line, ["security_id", "session_idx"], ["available_at", "close"])
+    value = F.struct("from", "to", "close", "volume", "said", "halted")
+    b = b.groupBy("security_id", "session_idx").agg(F.first("opens").alias("opens"), F.first("left").alias("left"), F.first("next").alias("next"), F.collect_list(value).alias("__v"))
+    back = range(1, policy.stale_sessions + 1)
+    b = b.withColumns({f"__v{k}": at("__v", -k) for k in back}).join(e, "security_id", "left")
+    so_far = F.filter("__e", lambda x: x["eff_idx"] <= F.col("session_idx"))
+    cuts = F.flatten(F.array(*(_cuts(F.col(c)) for c in ("__v", *(f"__v{k}" for k in back))), _cuts(so_far)))
+    b = pieces(b, F.transform(cuts, lambda c: F.greatest(c, F.col("opens"))))
+    b = b.withColumns({"__now": _of_bar(F.col("__v")), **{f"__c{k}": _of_bar(F.col(f"__v{k}"))["close"] for k in back}}).where("__now is not null")
+    closes = [F.col("__now")["close"], *(F.col(f"__c{k}") for k in back)]
+    same = F.lit(True)
+    for x, y in zip(closes, closes[1:]):
+        same = same & truth(x - y == 0)
+    b = b.withColumn("stale", F.col("__now")["said"] | same)
+    number = lambda c: truth((c > 0) & (c < float("inf")))
+    ok = number(F.col("__now")["close"]) & number(F.col("__now")["volume"]) & ~F.col("__now")["halted"] & ~F.col("stale")
+    if historical:
+        ok = ok & truth(known_state(F.col("session_idx"))["status"] == "ACTIVE")
+    b = b.select("security_id", "session_idx", "p", "q", "left", "next", F.col("__now")["close"].alias("close"), F.col("__now")["volume"].alias("volume"), "stale", ok.alias("valid"))
+    steps = b.where("valid").select("security_id", F.explode(F.array(F.struct(F.col("p").alias("place"), F.lit(1).alias("step")), F.struct(F.col("q").alias("place"), F.lit(-1).alias("step")))).alias("s")).select("security_id", "s.*")
+    recent = b.withColumn("__until", F.least("q", "left")).where("p < __until").select("security_id", F.explode(F.sequence("p", F.col("__until") - 1)).alias("place"), "next", "close", "volume", "stale", "valid")
+    recent = recent.withColumn("last", F.col("place") < F.col("next")).drop("next")
+
+    rows = grid.unionByName(steps, allowMissingColumns=True).unionByName(recent, allowMissingColumns=True)
     n = policy.liquidity_sessions
-    stats = seen.groupBy("security_id").agg(
-        F.max(F.when(latest, F.col("close"))).alias("latest_close"),
+    g = rows.groupBy("security_id", "place").agg(
+        F.max("state").alias("state"), F.coalesce(F.sum("step"), F.lit(0)).alias("__step"),
+        F.max(F.when(F.col("last"), F.col("close"))).alias("latest_close"),
         # at most one value per recent session
-        F.percentile(F.when(recent & F.col("valid"), F.col("close") * F.col("volume")), F.lit(0.5)).alias("median_dollar_volume"),
-        (F.sum((recent & F.col("valid")).cast("int")) / F.lit(float(n))).alias("coverage"),
-        F.sum(F.col("valid").cast("int")).alias("valid_observations"),
-        F.coalesce(F.max(F.when(latest, F.col("stale"))), F.lit(False)).alias("is_stale"),
-        F.coalesce(F.max(F.when(latest, F.col("valid"))), F.lit(False)).alias("__latest_ok"),
+        F.percentile(F.when(F.col("valid"), F.col("close") * F.col("volume")), F.lit(0.5)).alias("median_dollar_volume"),
+        (F.coalesce(F.sum(F.col("valid").cast("int")), F.lit(0)) / F.lit(float(n))).alias("coverage"),
+        F.coalesce(F.max(F.when(F.col("last"), F.col("stale"))), F.lit(False)).alias("is_stale"),
+        F.coalesce(F.max(F.when(F.col("last"), F.col("valid"))), F.lit(False)).alias("__latest_ok"),
+    )
+    upto = Window.partitionBy("security_id").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    g = g.withColumn("valid_observations", F.sum("__step").over(upto)).where("state is not null").drop("__step")
+    g = g.withColumns({c: finite(F.col(c)) for c in ("latest_close", "median_dollar_volume")})
+    g = g.join(line.decisions.side("place", "decision", "decision_at", "latest_idx"), "place").select("*", "state.*").drop("state", "place")
+    return _audit(g, policy)
+
+
+def build_universe(master: DataFrame, bars: DataFrame, calendar: DataFrame, decision_at: Column, policy: UniversePolicy, historical: bool = True) -> DataFrame:
+    """:func:`universes` at a single time."""
+    one = master.sparkSession.range(1).select(F.lit(0).alias("decision"), decision_at.alias("decision_at"))
+    return universes(master, bars, calendar, one, policy, historical).drop("decision")
+
+
+# Statuses of a security, and those after which its id can't come back.
+STATUSES = ("ACTIVE", "SUSPENDED", "DELISTED", "MERGED", "LIQUIDATED")
+TERMINAL = STATUSES[2:]
+FEED = "SIP"
+
+
+def _seen(broken: DataFrame, rule: str, start: str = "from", stop: Column | None = None) -> DataFrame:
+    """When a rule is broken: from the first decision that sees the row, to the end unless the row is replaced."""
+    return broken.select(F.lit(rule).alias("rule"), F.col(start).alias("start"), (F.lit(None).cast("int") if stop is None else stop).alias("stop"))
+
+
+def gate_rules(
+    master: DataFrame, bars: DataFrame, publications: DataFrame, calendar: DataFrame, decisions: DataFrame, manifest: DataFrame, policy: UniversePolicy,
+) -> DataFrame:
+    """(decision, rule, rows) of what forbids a universe at each decision.
+
+    Adds to the inputs of :func:`universes` the columns publication_id (both), session and feed of bars, session of the calendar, the
+    publications (publication_id, published_at, verified, evidence_type) and a ``manifest`` of one row.
+    Only rows visible at a decision count against it. A broken rule is broken from the decision on that first sees all
+    rows it takes, and, where a rule is about states, until one of them is replaced; so each broken row is looked at
+    once, in the join that its rule needs, and becomes an interval of decisions.
+    """
+    line = timeline(calendar, decisions, policy.liquidity_sessions)
+    n = F.lit(line.count)
+    known = F.when(F.col("available_at").isNotNull() & F.col("effective_at").isNotNull(), F.greatest("available_at", "effective_at"))
+    m = line.instants.before(master, known, "from").where(F.col("from") < n)
+    b = line.instants.before(bars, known, "from").where(F.col("from") < n)
+    found = []
+
+    # evidence: one row a publication, joined by its hash
+    p = publications.groupBy("publication_id").agg(
+        F.count("*").alias("__copies"), F.min("published_at").alias("__published"), F.bool_and(truth(F.col("verified"))).alias("__verified"), F.bool_and(truth(F.col("evidence_type").isin(*EVIDENCE_TYPES))).alias("__typed"),
     )
-    return _audit(state.join(stats, "security_id", "left"), policy)
+    for name, df in (("master", m), ("bar", b)):
+        linked = df.select("publication_id", "available_at", "from").join(p, "publication_id", "left")
+        verdict = F.when(F.col("__copies").isNull(), "missing").when(F.col("__copies") > 1, "repeated").when(~F.col("__typed"), "of_unknown_type").when(~F.col("__verified"), "unverified").when(F.col("available_at") < F.col("__published"), "late")
+        found.append(linked.withColumn("__verdict", verdict).where("__verdict is not null").select(F.concat_ws("_", F.lit(name), F.lit("evidence"), "__verdict").alias("rule"), F.col("from").alias("start"), F.lit(None).cast("int").alias("stop")))
+
+    # revisions and identity of events; a rule over several rows holds once the second of them is seen
+    second = lambda: F.get(F.array_sort(F.collect_list("from")), F.lit(1))
+    again = m.groupBy("event_id", "available_at").agg(second().alias("from")).where("`from` is not null")
+    found.append(_seen(again, "master_revision_ambiguous"))
+    first = m.groupBy("event_id", "security_id", "effective_at").agg(F.min("from").alias("from")).groupBy("event_id").agg(second().alias("from")).where("`from` is not null")
+    found.append(_seen(first, "event_identity_changed"))
+    e = versions(master, line, ["event_id"], ["available_at", "status"])
+    found.append(_seen(e.where(~truth(F.col("status").isin(*STATUSES))), "status_unknown", stop=F.col("to")))
+    e = e.select("security_id", "effective_at", "event_id", "status", "from", "to")
+    # a security's events, few, side by side: two states at one time, or life after a terminal one
+    events = e.groupBy("security_id").agg(F.collect_list(F.struct("effective_at", "event_id", "status", "from", "to")).alias("__e"))
+    pair = events.select(F.explode("__e").alias("x"), "__e").select("x", F.explode(F.filter("__e", lambda y: y["event_id"] != F.col("x.event_id"))).alias("y"))
+    pair = pair.withColumns({"from": F.greatest("x.from", "y.from"), "to": F.least("x.to", "y.to")}).where("`from` < `to`")
+    found.append(_seen(pair.where("x.effective_at = y.effective_at and x.event_id < y.event_id"), "state_ambiguous", stop=F.col("to")))
+    revived = pair.where(F.col("x.status").isin(*TERMINAL) & ~F.col("y.status").isin(*TERMINAL) & (F.col("x.effective_at") < F.col("y.effective_at")))
+    found.append(_seen(revived, "security_reactivated", stop=F.col("to")))
+
+    # bars
+    found.append(_seen(b.where(~truth(F.col("feed") == FEED)), "feed_not_consolidated"))
+    again = b.groupBy("security_id", "session", "available_at").agg(second().alias("from")).where("`from` is not null")
+    found.append(_seen(again, "bar_revision_ambiguous"))
+    born = m.groupBy("security_id").agg(F.min("from").alias("__born"))
+    early = b.groupBy("security_id").agg(F.min("from").alias("from")).join(born, "security_id", "left").where("__born is null or `from` < __born")
+    found.append(_seen(early, "bar_without_master", stop=F.coalesce("__born", n)))
+    dated = b.join(calendar.select("session", "close_at"), "session", "left")
+    rules = {
+        "bar_off_calendar": F.col("close_at").isNull(),
+        "bar_not_at_close": F.col("close_at").isNotNull() & (F.col("effective_at") != F.col("close_at")),
+        "bar_before_close": F.col("close_at").isNotNull() & (F.col("available_at") < F.col("effective_at")),
+    }
+    broken = F.array_compact(F.array(*(F.when(bad, F.lit(name)) for name, bad in rules.items())))
+    found.append(dated.select(F.explode(broken).alias("rule"), F.col("from").alias("start"), F.lit(None).cast("int").alias("stop")))
+
+    spans = found[0]
+    for f in found[1:]:
+        spans = spans.unionByName(f)
+    # rows by interval first: as many as pairs of places, however many rows are broken
+    spans = spans.groupBy("rule", "start", F.coalesce("stop", n).alias("stop")).agg(F.count("*").alias("rows")).where("start < stop")
+    steps = spans.select("rule", F.explode(F.array(F.struct(F.col("start").alias("place"), F.col("rows").alias("step")), F.struct(F.col("stop").alias("place"), (-F.col("rows")).alias("step")))).alias("s")).select("rule", "s.*").groupBy("rule", "place").agg(F.sum("step").alias("step"))
+    d = line.decisions
+    grid = spans.select("rule").distinct().select("rule", F.explode(F.sequence(F.lit(0), n - 1)).alias("place"), F.lit(0).cast("long").alias("step"))
+    upto = Window.partitionBy("rule").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)  # a row a decision
+    per = grid.unionByName(steps).groupBy("rule", "place").agg(F.sum("step").alias("step")).withColumn("rows", F.sum("step").over(upto)).where("rows > 0").where(F.col("place") < n)
+    held = per.join(d.side("place", "decision"), "place").select("decision", "rule", "rows")
+
+    # the state of the whole: manifest, calendar
+    made = d.df.select("decision", "decision_at", "latest_idx")
+    declared = made.withColumn("__one", F.lit(1)).join(manifest.withColumn("__one", F.lit(1)), "__one")  # one row
+    wrong = F.array_compact(F.array(*(F.when(~truth(ok), F.lit(f"manifest_{name}")) for name, ok in manifest_rules(F.col("decision_at")).items())))
+    whole = {
+        "calendar_ends_before_decision": F.col("__open") <= 0,
+        "too_few_completed_sessions": F.col("latest_idx") + 1 < max(policy.min_observations, policy.liquidity_sessions),
+    }
+    ends = line.closes.count
+    sized = declared.withColumn("__open", F.lit(ends) - (F.col("latest_idx") + 1))
+    short = F.array_compact(F.array(*(F.when(bad, F.lit(name)) for name, bad in whole.items())))
+    return held.unionByName(sized.select("decision", F.explode(F.concat(wrong, short)).alias("rule"), F.lit(1).cast("long").alias("rows")))
+
+
+def universe_status(audit: DataFrame, gates: DataFrame, decisions: DataFrame, policy: UniversePolicy) -> DataFrame:
+    """(decision, status, gates, audited, eligible, members): READY, or DATA_GATE with the broken rules and no members.
+
+    Two live securities with one ticker, and fewer eligible names than ``min_members``, are gates too.
+    """
+    live = audit.where(F.col("status").isin("ACTIVE", "SUSPENDED")).groupBy("decision", "ticker").agg(F.count("*").alias("n")).where("n > 1")
+    unclear = live.groupBy("decision").agg(F.lit("ticker_ambiguous").alias("rule"))
+    counts = audit.groupBy("decision").agg(F.count("*").alias("audited"), F.sum(F.col("eligible").cast("int")).alias("eligible"))
+    counts = decisions.select("decision").join(counts, "decision", "left").fillna(0, ["audited", "eligible"])
+    few = counts.where(F.col("eligible") < policy.min_members).select("decision", F.lit("too_few_members").alias("rule"))
+    rules = gates.select("decision", "rule").unionByName(unclear).unionByName(few).groupBy("decision").agg(F.array_sort(F.collect_set("rule")).alias("gates"))
+    out = counts.join(rules, "decision", "left").withColumn("gates", F.coalesce("gates", F.array().cast("array<string>")))
+    ready = F.size("gates") == 0
+    return out.select("decision", F.when(ready, "READY").otherwise("DATA_GATE").alias("status"), "gates", "audited", "eligible", F.when(ready, F.least("eligible", F.lit(policy.target_size))).otherwise(0).alias("members"))
+
+
+def members(audit: DataFrame, status: DataFrame, policy: UniversePolicy) -> DataFrame:
+    """(decision, security_id, position, size) of the universes of decisions that are READY."""
+    ready = status.where("status = 'READY'").select("decision")
+    return top_of_each(audit, policy.target_size, policy.min_members).join(ready, "decision", "left_semi")
 
 
 def _audit(a: DataFrame, policy: UniversePolicy) -> DataFrame:
@@ -101,55 +340,6 @@ def _audit(a: DataFrame, policy: UniversePolicy) -> DataFrame:
     return with_reasons(a, reasons).drop("__latest_ok")
 
 
-def build_universes(master: DataFrame, bars: DataFrame, decisions: DataFrame, policy: UniversePolicy) -> DataFrame:
-    """``build_universe`` at every row of ``decisions``: decision, the last session closed by it, and decision_at, its time.
-
-    Each decision sees its own versions of events and bars. Events are few and meet every decision; the bars of a
-    security travel once, and a task walks the decisions over them.
-    """
-    d = F.broadcast(decisions.select("decision", "decision_at"))  # at most one row per session
-    m = master.crossJoin(d).withColumn("event_id", F.struct("decision", "event_id"))
-    events = visible_as_of(m, F.col("decision_at"), "event_id", ("status",))
-    own = events.withColumn("security_id", F.struct("decision", "security_id"))
-    state = current_state(own, "security_id", ("event_id",)).withColumn("security_id", F.col("security_id.security_id"))
-    late = Window.partitionBy("decision", "security_id", "day").orderBy(F.col("event_id").desc())
-    dated = events.select("security_id", "decision", F.unix_date(F.to_date("effective_at")).alias("day"), "event_id", truth(F.col("status") == "ACTIVE").alias("active"))
-    dated = dated.withColumn("__n", F.row_number().over(late)).where("__n = 1").select("security_id", "decision", "day", "active")
-    when = sorted((r["decision"], r["at"]) for r in decisions.select("decision", F.unix_micros("decision_at").alias("at")).collect())
-    cols = ["security_id", "session_idx", F.unix_date("session").alias("day"), F.unix_micros("effective_at").alias("effective"), F.unix_micros("available_at").alias("available"),
-            F.col("close").cast("double").alias("close"), F.col("volume").cast("double").alias("volume"), truth(F.col("is_stale")).alias("is_stale"), truth(F.col("is_suspended")).alias("is_suspended")]
-    n, most = policy.stale_sessions, policy.liquidity_sessions
-
-    def run(b: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(b) and len(e):
-            b = b.assign(__close=b["close"].fillna(-np.inf)).sort_values(["session_idx", "available", "__close"])
-            known = np.maximum(b["available"].to_numpy(), b["effective"].to_numpy())
-            known = np.where(b[["available", "effective"]].notna().all(axis=1), known, np.inf)
-            idx, day, close, volume, said, halted = (b[c].to_numpy() for c in ("session_idx", "day", "close", "volume", "is_stale", "is_suspended"))
-            events_of = {k: (g["day"].to_numpy(), g["active"].to_numpy(bool)) for k, g in e.sort_values("day").groupby("decision")}
-            for decision, at_ in when:
-                v = np.flatnonzero((known <= at_) & (idx <= decision))
-                if not len(v) or decision not in events_of:
-                    continue
-                v = v[np.append(idx[v][1:] != idx[v][:-1], True)]  # the last version of each session
-                i, c, vol = idx[v], close[v], volume[v]
-                same = np.append(False, (np.diff(i) == 1) & (np.diff(c) == 0))
-                total = np.append(0, np.cumsum(same))
-                stale = said[v] | (total[1:] - total[np.searchsorted(i, i - n + 1)] == n)
-                days_, active = events_of[decision]
-                k = np.searchsorted(days_, day[v], side="right") - 1
-                valid = (c > 0) & (vol > 0) & ~halted[v] & ~stale & (k >= 0) & active[np.maximum(k, 0)]
-                recent = valid & (i > decision - most)
-                last = i[-1] == decision
-                out.append((b["security_id"].iloc[0], decision, c[-1] if last else None, float(np.median((c * vol)[recent])) if recent.any() else None, recent.sum() / float(most), int(valid.sum()), bool(last and stale[-1]), bool(last and valid[-1])))
-        return pd.DataFrame(out, columns=["security_id", "decision", "latest_close", "median_dollar_volume", "coverage", "valid_observations", "is_stale", "__latest_ok"])
-
-    kinds = "security_id string, decision int, latest_close double, median_dollar_volume double, coverage double, valid_observations long, is_stale boolean, __latest_ok boolean"
-    stats = bars.select(*cols).groupBy("security_id").cogroup(dated.groupBy("security_id")).applyInPandas(run, kinds)
-    return _audit(state.join(stats.withColumns({c: finite(F.col(c)) for c in ("latest_close", "median_dollar_volume")}), ["decision", "security_id"], "left"), policy)
-
-
 def top_of_each(audit: DataFrame, size: int, minimum: int, amount: str = "median_dollar_volume", name: str = "security_id") -> DataFrame:
     """(decision, name, position, size) of the ``size`` most liquid eligible names of each decision; none where fewer than ``minimum`` are eligible."""
     w = Window.partitionBy("decision")

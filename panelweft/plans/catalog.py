@@ -6,6 +6,7 @@ from panelweft.plans import (  # noqa: F401
     q_features,
     q_filters,
     q_ledger,
+    q_portfolio,
     q_quality,
     q_reports,
     q_research,

@@ -14,10 +14,12 @@ from panelweft.operators import reports as rp
 from panelweft.operators import temporal as tp
 from panelweft.operators import universe as un
 from panelweft.plans.q_features import ADV, K, pick
+from panelweft.plans.q_ledger import EVERY, START
 from panelweft.plans.q_reports import SLEEVE_SQL, sleeve_ledger
 from panelweft.plans.q_temporal import FACT_SQL, FIL_SQL, FUT_SQL, SCD_SQL, days, filing_table, members
 from panelweft.plans.registry import finish, out, query
 from panelweft.plans.sqlbase import BARS, PANEL, RESEARCH, RETURNS, WEEKLY, at, pct_rank, roll, ts, tsp
+from panelweft.session import cut
 from panelweft.sources import events as ev
 from panelweft.sources import readers as rd
 from panelweft.sources import tables as tb
@@ -741,10 +743,14 @@ def universe_inputs(spark, sf):
     return master, b
 
 
+def closes(spark, sf):
+    return tb.calendar(spark, sf).withColumn("close_at", F.date_add("session", 4).cast("timestamp"))
+
+
 def universe_audit(spark, sf):
     master, b = universe_inputs(spark, sf)
     dec = F.date_add(F.lit(tb.shape(spark, sf).first), DEC_IDX * 7 + 5).cast("timestamp")
-    return un.build_universe(master, b, tb.calendar(spark, sf), days(spark, sf), dec, DEC_IDX, ev.horizon(spark, sf), POLICY)
+    return un.build_universe(master, b, closes(spark, sf), dec, POLICY)
 
 
 C01_SQL = (
@@ -778,6 +784,141 @@ def c01(spark, sf):
     return finish(a.select("security_id", "status", "latest_close", "median_dollar_volume", "coverage", "valid_observations", "eligible", "exclusion_reasons", "selected"), 4)
 
 
+# --- the universe of every rebalance decision, its gate and its evidence --------------------------------
+
+#: Sessions whose bars lack a publication, have an unverified one, are available before it, or come from another feed.
+MISSING_AT, UNVERIFIED_AT, LATE_AT, FEED_AT = 340, 345, 350, 352
+
+
+def rebalance_decisions(spark, sf):
+    d = tb.calendar(spark, sf).where((F.col("session_idx") % EVERY == 0) & (F.col("session_idx") >= START))
+    return d.select(F.col("session_idx").alias("decision"), F.date_add("session", 5).cast("timestamp").alias("decision_at"))
+
+
+def universe_history(spark, sf):
+    """Master with suspensions known late or corrected later, delistings, and a few securities that come back; bars of which
+    some are revised, with the publication and the feed of each version."""
+    t = lambda day: F.lit(day).cast("timestamp")
+    k = F.col("s_suppkey")
+
+    def event(n, effective, available, status, when):
+        return F.when(when, F.struct(F.lit(n).alias("n"), t(effective).alias("effective_at"), t(available).alias("available_at"), F.lit(status).alias("status")))
+
+    all_ = [
+        event(0, "1994-12-01", "1994-12-01", "ACTIVE", F.lit(True)), event(1, "1997-03-03", "1997-03-13", "SUSPENDED", k % 7 == 0), event(1, "1997-03-03", "1997-06-02", "ACTIVE", k % 14 == 0),
+        event(2, "1997-09-01", "1997-08-25", "ACTIVE", k % 7 == 0), event(3, "1999-02-01", "1999-02-01", "DELISTED", k % 19 == 0), event(3, "1999-02-01", "1999-02-01", "SUSPENDED", (k % 23 == 0) & (k % 19 != 0)),
+        event(4, "2001-06-04", "2001-06-04", "ACTIVE", k % 95 == 0),
+    ]
+    m = tb.table(spark, sf, "supplier").select(k, "s_name", F.explode(F.array_compact(F.array(*all_))).alias("e")).select("s_suppkey", "s_name", "e.*")
+    event_id = k * 8 + F.col("n")
+    master = m.select(
+        k.cast("string").alias("security_id"), event_id.alias("event_id"), "effective_at", "available_at", F.col("s_name").alias("ticker"), F.when(k % 29 == 0, "ETF").otherwise("COMMON_STOCK").alias("security_type"),
+        F.lit("US").alias("listing_country"), F.when(k % 31 == 0, "XTSE").otherwise("XNAS").alias("exchange"), "status", F.concat_ws("/", F.lit("m"), event_id, F.date_format("available_at", "yyyyMMdd")).alias("publication_id"),
+    )
+    i = F.col("session_idx")
+    _, b = universe_inputs(spark, sf)
+    revised = F.col("available_at") > F.col("effective_at")
+    b = b.withColumn("publication_id", F.concat_ws("/", F.lit("b"), i, revised.cast("int")))
+    b = b.withColumn("feed", F.when((i == FEED_AT) & (F.col("security_id").cast("long") % 10 == 3), "IEX").otherwise("SIP"))
+    say = lambda df: df.select("publication_id", "available_at").distinct()
+    # a publication a session and version, and one an event and version
+    p = say(b.where((i != MISSING_AT) | revised)).withColumn("__i", F.split("publication_id", "/")[1].cast("int"))
+    p = p.select("publication_id", F.when(F.col("__i") == LATE_AT, F.col("available_at") + F.expr("interval 3 days")).otherwise(F.col("available_at")).alias("published_at"), (F.col("__i") != UNVERIFIED_AT).alias("verified"))
+    p = p.unionByName(say(master).select("publication_id", F.col("available_at").alias("published_at"), F.lit(True).alias("verified")))
+    return master, b, p.withColumn("evidence_type", F.lit("source_publication"))
+
+
+def universe_manifest(spark):
+    return spark.range(1).select(
+        F.lit("issuer").alias("source"), F.lit("exchange").alias("calendar_source"), F.lit("permanent").alias("security_id_kind"), F.lit(qa.AVAILABILITY).alias("availability_basis"), F.lit("historical_verified").alias("scope"),
+        F.lit("historical_event_history").alias("master_kind"), F.lit(True).alias("includes_terminated"), F.lit(None).cast("date").alias("valid_from"),
+    )
+
+
+def universe_of_decisions(spark, sf):
+    """(audit, status of each decision, members) of all rebalance decisions; frozen once a session for the queries that rest on them."""
+
+    def measure():
+        master, b, pub = universe_history(spark, sf)
+        dec, cal = rebalance_decisions(spark, sf), closes(spark, sf)
+        audit = cut(un.universes(master, b, cal, dec, POLICY))
+        gates = un.gate_rules(master, b, pub, cal, dec, universe_manifest(spark), POLICY)
+        status = cut(un.universe_status(audit, gates, dec, POLICY))
+        return audit, status, cut(un.members(audit, status, POLICY))
+
+    return tb._once(spark, sf, "universe of decisions", measure)
+
+
+#: Most names of a portfolio's inputs, and fewest: they need no gate on the number of names to trade.
+UNIVERSE_SIZE, UNIVERSE_LEAST = 400, 2
+
+
+def eligible_members(spark, sf):
+    """(decision, security_id, position, size) of all eligible names, at decisions that no rule on data forbids."""
+    audit, status, _ = universe_of_decisions(spark, sf)
+    open_ = status.where("size(array_except(gates, array('too_few_members'))) = 0").select("decision")
+    return un.top_of_each(audit, UNIVERSE_SIZE, UNIVERSE_LEAST).join(open_, "decision", "left_semi")
+
+
+_DK = "decision, security_id"
+UNIVERSE_TAIL = (
+    f"""
+dc AS (SELECT session_idx AS decision, CAST(session + 5 AS TIMESTAMP) AS at_ FROM cal WHERE session_idx % {EVERY} = 0 AND session_idx >= {START}),
+mv AS (
+  SELECT s_suppkey AS k, ev, CAST(eff AS DATE) AS eff, CAST(av AS DATE) AS av, status FROM supplier, (VALUES
+    (0, '1994-12-01', '1994-12-01', 'ACTIVE', 1), (1, '1997-03-03', '1997-03-13', 'SUSPENDED', 7), (1, '1997-03-03', '1997-06-02', 'ACTIVE', 14), (2, '1997-09-01', '1997-08-25', 'ACTIVE', 7),
+    (3, '1999-02-01', '1999-02-01', 'DELISTED', 19), (3, '1999-02-01', '1999-02-01', 'SUSPENDED', 23), (4, '2001-06-04', '2001-06-04', 'ACTIVE', 95)) AS v(ev, eff, av, status, of_) WHERE s_suppkey % of_ = 0 AND (of_ <> 23 OR s_suppkey % 19 <> 0)),
+ms AS (SELECT decision, k, ev, eff, arg_max(status, (av, status)) AS status FROM mv JOIN dc ON av <= at_ AND eff <= at_ GROUP BY 1, 2, 3, 4),
+now_ AS (SELECT decision, k, arg_max(status, (eff, ev)) AS status FROM ms GROUP BY 1, 2),
+ud0 AS (SELECT decision, security_id, CAST(security_id AS BIGINT) AS k, session, session_idx, volume, CASE WHEN session_idx % 3 = 0 AND CAST(session + 60 AS TIMESTAMP) <= at_ THEN close * 1.01 ELSE close END AS close, session_idx % 50 = 49 AS susp
+  FROM bars JOIN dc ON session_idx <= decision),
+ud1 AS (SELECT *, CASE WHEN close - {at('close', -1, _DK)} = 0 THEN 1 ELSE 0 END AS same FROM ud0),
+ud2 AS (SELECT *, coalesce(sum(same) OVER {ts(2, _DK)}, 0) = 2 AS stale FROM ud1),
+ud2s AS (SELECT u.*, m.status AS then_ FROM ud2 u ASOF LEFT JOIN ms m ON u.decision = m.decision AND u.k = m.k AND u.session + 4 >= m.eff),
+ud3 AS (SELECT *, close > 0 AND volume > 0 AND NOT susp AND NOT stale AND coalesce(then_ = 'ACTIVE', false) AS valid FROM ud2s),
+ud4 AS (SELECT decision, k, max(close) FILTER (WHERE session_idx = decision) AS latest_close, median(close * volume) FILTER (WHERE valid AND session_idx > decision - 26) AS mdv,
+   sum(CASE WHEN valid AND session_idx > decision - 26 THEN 1 ELSE 0 END) / 26.0::DOUBLE AS coverage, sum(CASE WHEN valid THEN 1 ELSE 0 END) AS obs,
+   coalesce(bool_or(stale) FILTER (WHERE session_idx = decision), false) AS is_stale, coalesce(bool_or(valid) FILTER (WHERE session_idx = decision), false) AS lok FROM ud3 GROUP BY 1, 2),
+uda AS (SELECT n.decision, n.k, CAST(n.k AS VARCHAR) AS security_id, status, latest_close, mdv, coalesce(coverage, 0) AS coverage, coalesce(obs, 0) AS obs, list_filter([CASE WHEN status <> 'ACTIVE' THEN 'inactive_or_suspended' END, CASE WHEN n.k % 29 = 0 THEN 'not_common_stock' END, CASE WHEN n.k % 31 = 0 THEN 'not_us_listed_stock' END,
+   CASE WHEN NOT coalesce(lok, false) THEN 'missing_stale_or_invalid_latest_bar' END, CASE WHEN is_stale THEN 'stale' END, CASE WHEN NOT coalesce(latest_close >= 5, false) THEN 'raw_close_below_floor' END,
+   CASE WHEN NOT coalesce(mdv >= 50000, false) THEN 'sip_liquidity_below_floor' END, CASE WHEN coalesce(obs, 0) < 100 THEN 'insufficient_valid_observations' END, CASE WHEN coalesce(coverage, 0) < 0.75 THEN 'session_coverage_below_floor' END], lambda z: z IS NOT NULL) AS reasons
+   FROM now_ n LEFT JOIN ud4 USING (decision, k)),
+bar_seen AS (SELECT session_idx AS i, min(session + 4) AS seen, max(CASE WHEN CAST(security_id AS BIGINT) % 10 = 3 THEN 1 ELSE 0 END) AS iex FROM bars GROUP BY 1),
+counts AS (SELECT dc.decision, at_, count(k) AS audited, coalesce(sum(CASE WHEN len(reasons) = 0 THEN 1 ELSE 0 END), 0) AS eligible FROM dc LEFT JOIN uda USING (decision) GROUP BY 1, 2),
+gated AS (SELECT decision, audited, eligible, list_sort(list_filter([
+   CASE WHEN EXISTS (SELECT 1 FROM bar_seen WHERE i = {MISSING_AT} AND seen <= at_) THEN 'bar_evidence_missing' END, CASE WHEN EXISTS (SELECT 1 FROM bar_seen WHERE i = {UNVERIFIED_AT} AND seen <= at_) THEN 'bar_evidence_unverified' END,
+   CASE WHEN EXISTS (SELECT 1 FROM bar_seen WHERE i = {LATE_AT} AND seen <= at_) THEN 'bar_evidence_late' END, CASE WHEN EXISTS (SELECT 1 FROM bar_seen WHERE i = {FEED_AT} AND iex = 1 AND seen <= at_) THEN 'feed_not_consolidated' END,
+   CASE WHEN EXISTS (SELECT 1 FROM mv a JOIN mv b USING (k) WHERE a.ev = 3 AND a.status = 'DELISTED' AND b.ev = 4 AND b.av <= at_) THEN 'security_reactivated' END,
+   CASE WHEN decision + 1 < 100 THEN 'too_few_completed_sessions' END, CASE WHEN decision + 1 >= (SELECT count(*) FROM cal) THEN 'calendar_ends_before_decision' END, CASE WHEN eligible < 10 THEN 'too_few_members' END], lambda z: z IS NOT NULL)) AS gates FROM counts),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY decision ORDER BY len(reasons) > 0, round(mdv, 6) DESC NULLS LAST, security_id) AS rk FROM uda),
+chosen AS (SELECT decision, security_id, row_number() OVER (PARTITION BY decision ORDER BY security_id) - 1 AS position FROM ranked JOIN gated USING (decision) WHERE len(reasons) = 0 AND rk <= 30 AND len(gates) = 0),
+mem AS (SELECT decision, security_id, row_number() OVER (PARTITION BY decision ORDER BY security_id) - 1 AS position, count(*) OVER (PARTITION BY decision) AS size FROM ranked JOIN gated USING (decision)
+  WHERE len(reasons) = 0 AND rk <= 400 AND eligible >= 2 AND len(list_filter(gates, lambda z: z <> 'too_few_members')) = 0)"""
+)
+UNIVERSE_SQL = BARS + "," + UNIVERSE_TAIL
+
+
+@query(
+    "c01_universes",
+    out(UNIVERSE_SQL, "SELECT decision, security_id, status, latest_close, mdv AS median_dollar_volume, coverage, obs AS valid_observations, len(reasons) = 0 AS eligible, reasons AS exclusion_reasons, c.position IS NOT NULL AS selected FROM uda LEFT JOIN chosen c USING (decision, security_id)",
+        "decision:i security_id:s status:s latest_close:f median_dollar_volume:f coverage:f valid_observations:i eligible:b exclusion_reasons:a selected:b", 4),
+)
+def c01_all(spark, sf):
+    """The audit of every security at every rebalance decision; members only where no gate is closed."""
+    audit, _, chosen = universe_of_decisions(spark, sf)
+    a = audit.join(chosen.select("decision", "security_id", F.lit(True).alias("selected")), ["decision", "security_id"], "left").withColumn("selected", F.coalesce("selected", F.lit(False)))
+    return finish(a.select("decision", "security_id", "status", "latest_close", "median_dollar_volume", "coverage", "valid_observations", "eligible", "exclusion_reasons", "selected"), 4)
+
+
+@query(
+    "c01_universe_status",
+    out(UNIVERSE_SQL, "SELECT decision, CASE WHEN len(gates) = 0 THEN 'READY' ELSE 'DATA_GATE' END AS status, gates, audited, eligible, CASE WHEN len(gates) = 0 THEN least(eligible, 30) ELSE 0 END AS members FROM gated",
+        "decision:i status:s gates:a audited:i eligible:i members:i"),
+)
+def c01_status(spark, sf):
+    return finish(universe_of_decisions(spark, sf)[1])
+
+
 @query("t01_top_by_liquidity", out(C01_SQL, "SELECT security_id, mdv AS median_dollar_volume FROM ubs WHERE eligible AND rk <= 30", "security_id:s median_dollar_volume:f", 4))
 def t01(spark, sf):
     a = universe_audit(spark, sf).where("eligible")

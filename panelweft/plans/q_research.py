@@ -8,7 +8,6 @@ from pyspark.sql import types as T
 from panelweft.functions import frames as fr
 from panelweft.operators import features as ft
 from panelweft.operators import research as rs
-from panelweft.operators import universe as un
 from panelweft.plans.q_features import FAMILIES, LIBRARY_SQL, label_sql, library
 from panelweft.plans.q_ledger import BOOKS_SQL, EVERY, START, books, ledger
 from panelweft.plans.registry import finish, out, query
@@ -302,113 +301,6 @@ def a51(spark, sf):
     return finish(j.select("slope_then", "slope_now", "rows_then", "rows_now", (F.col("d_then") == F.col("d_now")).alias("digest_unchanged")))
 
 
-# --- covariance of a bounded universe: the C1 universe of every rebalance decision. The oracles of
-# a13_shrinkage_covariance and c13_optimized_target_inputs have the most liquid names of one session ------
-
-#: Most names of a decision's universe, as in C1's policy of the blueprint, and fewest: a covariance needs no gate on the
-#: number of names to trade, so decisions below C1's gate are covered too. All else is the policy of c01_build_universe.
-UNIVERSE_SIZE, UNIVERSE_LEAST = 400, 2
-
-TOP, LOOK, DECISION_IDX = 40, 104, 260
-
-
-def universe(spark, sf, df):
-    """Top names by trailing dollar volume at one decision."""
-    at = df.where(F.col("session_idx") == DECISION_IDX).where(F.col("adv").isNotNull())
-    top = at.orderBy(fr.snap("adv", 6).desc(), "security_id").limit(TOP)
-    from pyspark.sql import Window
-
-    w = Window.orderBy("security_id")  # at most TOP rows
-    return top.withColumns({"position": F.row_number().over(w) - 1, "size": F.count("*").over(Window.partitionBy())}).withColumn(
-        "decision", F.lit(DECISION_IDX)
-    )
-
-
-def cov_inputs(spark, sf):
-    df = tb.residual_panel(spark, sf).withColumns(
-        {"adv": fr.roll(fr.median, F.col("close") * F.col("volume"), fr.ts(26), 13), "alpha": fr.snap(-F.col("residual"), 9)}
-    )
-    from panelweft.session import cut
-
-    df = cut(df.select("security_id", "session_idx", "ret", "adv", "alpha", "beta", "sector", "vol"))
-    u = universe(spark, sf, df)
-    past = df.where((F.col("session_idx") < DECISION_IDX) & (F.col("session_idx") >= DECISION_IDX - LOOK))
-    p = past.select("security_id", "session_idx", "ret").join(F.broadcast(u.select("security_id", "decision", "position", "size")), "security_id")
-    return p, u
-
-
-def decision_inputs(spark, sf):
-    """Past returns, and names with alpha and beta, of the universes of all rebalance decisions."""
-    from panelweft.plans.q_quality import POLICY, universe_inputs  # imports this module
-    from panelweft.session import cut
-
-    dec = tb.calendar(spark, sf).where((F.col("session_idx") % EVERY == 0) & (F.col("session_idx") >= START)).select(
-        F.col("session_idx").alias("decision"), F.date_add("session", 5).cast("timestamp").alias("decision_at")
-    )
-    master, bars = universe_inputs(spark, sf)
-    audit = un.build_universes(master, bars, dec, POLICY)
-    u = cut(un.top_of_each(audit, UNIVERSE_SIZE, UNIVERSE_LEAST))
-    df = cut(tb.residual_panel(spark, sf).select("security_id", "session_idx", "ret", "beta", fr.snap(-F.col("residual"), 9).alias("alpha")))
-    past = (F.col("session_idx") < F.col("decision")) & (F.col("session_idx") >= F.col("decision") - LOOK)
-    # at most UNIVERSE_SIZE names a decision
-    p = df.select("security_id", "session_idx", "ret").join(F.broadcast(u), "security_id").where(past)
-    return p, df.join(F.broadcast(u), "security_id").where("session_idx = decision")
-
-
-COV_SQL = (
-    RESIDUAL
-    + f""",
-ca AS (SELECT security_id, session_idx, ret, beta, sector, -residual AS alpha, {roll('median({})', 'close * volume', ts(26), 13)} AS adv FROM rs),
-un0 AS (SELECT * FROM ca WHERE session_idx = {DECISION_IDX} AND adv IS NOT NULL ORDER BY round(adv, 6) DESC, security_id LIMIT {TOP}),
-un AS (SELECT *, row_number() OVER (ORDER BY security_id) - 1 AS position FROM un0),
-pst AS (SELECT u.position, c.session_idx, c.ret FROM ca c JOIN un u USING (security_id) WHERE c.session_idx < {DECISION_IDX} AND c.session_idx >= {DECISION_IDX - LOOK} AND c.ret IS NOT NULL),
-prc AS (SELECT a.position AS i, b.position AS j, covar_samp(a.ret, b.ret) AS covariance, count(*) AS pairs FROM pst a JOIN pst b ON a.session_idx = b.session_idx AND a.position <= b.position GROUP BY 1, 2)"""
-)
-
-
-@query(
-    "a13_shrinkage_covariance",
-    out(COV_SQL, "SELECT i, j, CASE WHEN i = j THEN covariance ELSE 0.8 * covariance END AS covariance, pairs FROM prc WHERE pairs >= 2", "i:i j:i covariance:f pairs:i", 9),
-)
-def a13(spark, sf):
-    p, _ = cov_inputs(spark, sf)
-    return finish(rs.shrink(rs.pair_covariance(p, block=16)).select("i", "j", "covariance", "pairs"), 9)
-
-
-# eigenvalue repair has no SQL form; tests compare it with a dense solve
-@query("a13_repaired_covariance")
-def a13r(spark, sf):
-    p, _ = decision_inputs(spark, sf)
-    rep = rs.repair_covariance(rs.shrink(rs.pair_covariance(p, block=128)))
-    return finish(rep.select("decision", "i", "j", "covariance", "repaired"), 9)
-
-
-def mv_inputs(spark, sf):
-    p, u = decision_inputs(spark, sf)
-    names = u.select("decision", F.col("position").cast("int").alias("position"), "alpha", "beta", F.lit(1.0).alias("one"))
-    return rs.shrink(rs.pair_covariance(p, block=128)), names
-
-
-@query("c08_mv_direction")
-def c08(spark, sf):
-    cov, names = mv_inputs(spark, sf)
-    return finish(rs.mv_direction(cov, names, ["one", "beta"]).select("decision", "position", "direction"))
-
-
-@query(
-    "c13_optimized_target_inputs",
-    out(
-        COV_SQL,
-        "SELECT u.security_id, u.position, u.alpha, u.beta, u.adv, u.sector, 5 * c.covariance AS horizon_variance FROM un u JOIN prc c ON c.i = u.position AND c.j = u.position",
-        "security_id:s position:i alpha:f beta:f adv:f sector:s horizon_variance:f",
-    ),
-)
-def c13(spark, sf):
-    p, u = cov_inputs(spark, sf)
-    var = rs.pair_covariance(p, block=16).where("i = j").select(F.col("i").alias("position"), (5 * F.col("covariance")).alias("horizon_variance"))
-    return finish(u.join(var, "position").select("security_id", "position", "alpha", "beta", "adv", "sector", "horizon_variance"))
-
-
 def _hac_sql(src, y, x, by, lags=10):
     u = ", ".join(f"lag(u, {k}) OVER o AS u{k}, lag(u * {x}, {k}) OVER o AS x{k}" for k in range(1, lags + 1))
     w = {k: 1 - k / (lags + 1) for k in range(1, lags + 1)}

@@ -18,7 +18,7 @@ from panelweft.operators import reports as rp
 from panelweft.operators import research as rs
 from panelweft.operators import temporal as tp
 from panelweft.operators import universe as un
-from panelweft.plans import q_quality, q_research
+from panelweft.plans import q_portfolio, q_quality
 from panelweft.sources import readers as rd
 from panelweft.sources import tables as tb
 
@@ -142,13 +142,14 @@ def test_covariance_blocks_repair_and_direction(spark):
     n, t = 23, 12
     x = rng.normal(size=(t, n))
     x[rng.random((t, n)) < 0.15] = np.nan
-    rows = [(1, i, n, s, float(x[s, i])) for s in range(t) for i in range(n) if np.isfinite(x[s, i])]
-    p = spark.createDataFrame(rows, "decision int, position int, size int, session_idx int, ret double")
-    got = rs.pair_covariance(p, block=5).toPandas()
+    rows = [(f"n{i:02}", s, float(x[s, i])) for s in range(t) for i in range(n) if np.isfinite(x[s, i])]
+    r = spark.createDataFrame(rows, "security_id string, session_idx int, ret double")
+    own = spark.createDataFrame([(t, f"n{i:02}", i) for i in range(n)], "decision int, security_id string, position int")
+    got = rs.window_covariance(r, own, t, tile=5).withColumn("decision", F.lit(1)).toPandas()
     want = pd.DataFrame(x).cov()
     assert len(got) == n * (n + 1) // 2
     np.testing.assert_allclose(got["covariance"], [want.iloc[i, j] for i, j in zip(got["i"], got["j"])], atol=1e-12)
-    fixed = rs.repair_covariance(rs.shrink(rs.pair_covariance(p, block=5), 0.0)).toPandas()
+    fixed = rs.repair_covariance(rs.shrink(spark.createDataFrame(got), 0.0)).toPandas()
     m = np.zeros((n, n))
     m[fixed["i"], fixed["j"]] = m[fixed["j"], fixed["i"]] = fixed["covariance"]
     assert np.linalg.eigvalsh(m).min() > 0 and fixed["repaired"].iloc[0] > 0
@@ -158,31 +159,92 @@ def test_covariance_blocks_repair_and_direction(spark):
     assert abs(d.sum()) < 1e-6 * np.abs(d).sum() + 1e-9 and abs((d * beta[d.index]).sum()) < 1e-6 * np.abs(d).sum() + 1e-9
 
 
-def test_universes_of_all_decisions(spark, small):
-    """Each decision's audit is that of the decision alone, and the covariance and direction cover all decisions."""
+def test_universe_at_one_time_is_that_of_many(spark, small):
+    """Each decision's audit is that of the decision alone."""
     master, bars = q_quality.universe_inputs(spark, small)
-    first = tb.shape(spark, small).first
+    first, cal = tb.shape(spark, small).first, q_quality.closes(spark, small)
     at = {d: F.date_add(F.lit(first), d * 7 + 5).cast("timestamp") for d in (160, 240)}
     dec = spark.createDataFrame([(d,) for d in at], "decision int").withColumn("decision_at", F.date_add(F.lit(first), F.col("decision") * 7 + 5).cast("timestamp"))
-    rest = tb.calendar(spark, small), q_quality.days(spark, small)
-    horizon = q_quality.ev.horizon(spark, small)
-    audit = un.build_universes(master, bars, dec, q_quality.POLICY)
+    audit = un.universes(master, bars, cal, dec, q_quality.POLICY)
     cols = ["security_id", "status", "latest_close", "median_dollar_volume", "coverage", "valid_observations", "eligible", "exclusion_reasons"]
     for d, when in at.items():
-        one = un.build_universe(master, bars, *rest, when, d, horizon, q_quality.POLICY)
+        one = un.build_universe(master, bars, cal, when, q_quality.POLICY)
         assert sorted(map(str, audit.where(F.col("decision") == d).select(*cols).collect())) == sorted(map(str, one.select(*cols).collect()))
     rows = [(d, f"s{i}", float(i), i != 3) for d, n in ((1, 6), (2, 2)) for i in range(n)]
     top = un.top_of_each(spark.createDataFrame(rows, "decision int, security_id string, median_dollar_volume double, eligible boolean"), 3, 3)
     assert sorted(map(tuple, top.collect())) == [(1, "s2", 0, 3), (1, "s4", 1, 3), (1, "s5", 2, 3)]
 
 
-def test_covariance_of_every_rebalance_decision(spark, small):
-    p, u = q_research.decision_inputs(spark, small)
-    n = {r["decision"]: r["n"] for r in u.groupBy("decision").agg(F.count("*").alias("n")).collect()}
-    assert len(n) > 20 and all(d % q_research.EVERY == 0 for d in n)
-    got = q_research.a13r(spark, small).groupBy("decision").count().collect()
-    assert {r["decision"]: r["count"] for r in got} == {d: k * (k + 1) // 2 for d, k in n.items()}
-    assert q_research.c08(spark, small).select("decision").distinct().count() > 20
+def test_covariance_windows(spark):
+    """Windows of many decisions with changing members, gaps and names without returns, against a table per window."""
+    rng = np.random.default_rng(14)
+    t, n, look = 60, 17, 20
+    x = rng.normal(0, 0.02, (t, n))
+    x[rng.random((t, n)) < 0.3] = np.nan
+    x[:, 3] = np.nan
+    x[:30, 4] = np.nan
+    r = spark.createDataFrame([(f"n{i:02}", s + 5, float(x[s, i])) for s in range(t) for i in range(n) if np.isfinite(x[s, i])] + [("other", 9, 0.5), ("n01", 7, None)], "security_id string, session_idx int, ret double")
+    members, want = [], {}
+    for d in (3, 5, 9, 26, 30, 33, 50, 64, 65, 90):
+        chosen = sorted(rng.choice(n, rng.integers(2, n), replace=False))
+        members += [(d, f"n{i:02}", k) for k, i in enumerate(chosen)]
+        window = x[max(d - look - 5, 0) : max(d - 5, 0)]
+        for a, i in enumerate(chosen):
+            for b, j in enumerate(chosen):
+                both = np.isfinite(window[:, i]) & np.isfinite(window[:, j])
+                if a <= b and both.sum() >= 2:
+                    want[d, a, b] = (np.cov(window[both, i], window[both, j])[0, 1], both.sum())
+    m = spark.createDataFrame(members, "decision int, security_id string, position int")
+    pairs = rs.window_covariance(r, m, look, tile=4).cache()
+    got = {(p["decision"], p["i"], p["j"]): (p["covariance"], p["pairs"]) for p in pairs.collect()}
+    assert set(got) == set(want)
+    for k, (c, count) in want.items():
+        assert got[k][1] == count and abs(got[k][0] - c) < 1e-12
+    status = {s["decision"]: s for s in rs.covariance_status(pairs, m, 6).collect()}
+    for d in {k for k, _, _ in members}:
+        size = sum(k == d for k, _, _ in members)
+        fine = sum(1 for (k, i, j), (c, count) in want.items() if k == d and count >= 6 and (i != j or c > 0))
+        assert status[d]["short_pairs"] == size * (size + 1) // 2 - fine and status[d]["ready"] == (status[d]["short_pairs"] == 0)
+    assert rs.window_covariance(r, m.limit(0), look).count() == 0
+    with pytest.raises(ValueError):
+        rs.CovariancePolicy(lookback=10, least=11)
+
+
+def test_covariance_and_direction_of_every_decision(spark, small):
+    """One row per pair of a decision that has a covariance, none of one that has not; the repaired ones are positive definite."""
+    status = {r["decision"]: r for r in q_portfolio.covariances(spark, small)[1].collect()}
+    assert len(status) > 20 and any(r["ready"] for r in status.values())
+    got = q_portfolio.a13r(spark, small).toPandas()
+    assert set(got["decision"]) == {d for d, r in status.items() if r["ready"]}
+    for d, g in got.groupby("decision"):
+        n = status[d]["names"]
+        assert len(g) == n * (n + 1) // 2
+        m = np.zeros((n, n))
+        m[g["i"], g["j"]] = m[g["j"], g["i"]] = g["covariance"]
+        assert np.linalg.eigvalsh(m).min() > 0
+    assert set(r["decision"] for r in q_portfolio.c08(spark, small).select("decision").distinct().collect()) <= set(got["decision"])
+
+
+def test_fits_are_frozen(spark):
+    """Each fit is the one of its own train rows, a decision meets the last that ended before it, and a changed fit is refused."""
+    rng = np.random.default_rng(21)
+    rows = [(f"s{k}", t, float(a), float(b), float(0.3 * a - 0.1 * b + e) if t < 57 else None, t + 3) for t in range(60) for k in range(20) for a, b, e in [rng.normal(size=3)]]
+    df = spark.createDataFrame(rows, "security_id string, session_idx int, f1 double, f2 double, label double, label_end int")
+    fits = rs.fit_table(df, ["f1", "f2"], "label", "label_end", [40, 20, 2], 0.1, 100).cache()
+    assert [r["train_end"] for r in fits.orderBy("version").collect()] == [20, 40]  # the first end has no rows
+    for r in fits.collect():
+        one = rs.ridge_calibration(df, ["f1", "f2"], "label", "label_end", 0, r["train_end"], 0.1, 100)
+        np.testing.assert_allclose([r["intercept"], *r["means"], *r["scales"], *r["coefficients"], r["observations"]], [one.intercept, *one.means, *one.scales, *one.coefficients, one.observations], rtol=1e-9)
+    got = rs.apply_fits(df.withColumnRenamed("session_idx", "decision"), fits, ["f1", "f2"], 60)
+    seen = {r["decision"]: r["version"] for r in got.select("decision", "version").distinct().collect()}
+    assert seen == {t: None if t <= 20 else 2 if t <= 40 else 3 for t in range(60)}
+    last = rs.ridge_calibration(df, ["f1", "f2"], "label", "label_end", 0, 40, 0.1, 100)
+    want = {(r["security_id"], r["session_idx"]): r["p"] for r in df.where("session_idx > 40").withColumn("p", last.predict()).collect()}
+    for r in got.where("decision > 40").collect():
+        assert abs(r["alpha"] - want[r["security_id"], r["decision"]]) < 1e-9
+    changed = fits.withColumn("intercept", F.when(F.col("version") == 3, F.col("intercept") + 1e-6).otherwise(F.col("intercept")))
+    with pytest.raises(Exception, match="digest"):
+        rs.apply_fits(df.withColumnRenamed("session_idx", "decision"), changed, ["f1", "f2"], 60).collect()
 
 
 def test_hac_recovers_a_known_beta(spark):
