@@ -123,7 +123,6 @@ class Ledger:
 
 def pnl_ledger(
     targets: DataFrame, returns: DataFrame, risk: DataFrame, last_session: int, days: int, nav: float, c: Costs,
-    passes: int = 3,
 ) -> Ledger:
     """Daily ledger of scheduled targets.
 
@@ -131,6 +130,11 @@ def pnl_ledger(
     security_id, session_idx, ret. ``risk``: security_id, session_idx, vol, adv.
     ``days``: calendar days between sessions. A target set at a session earns from
     the next one; its cost falls on that next session.
+
+    A block's cost depends on the book's value at its start, and that on the cost of the block before. The chain is solved
+    by Newton steps over all blocks at once: the trades give each block's cost and its slope at the current values, and a
+    scan over the few numbers of an experiment's blocks carries them on. Each step makes at least one more block exact
+    and squares the error of the others; steps end when no value moves any more.
     """
     g = growth(returns).select("security_id", "session_idx", "ret", "g")
     sched = targets.select("experiment", F.col("session_idx").alias("block")).distinct()
@@ -179,22 +183,25 @@ def pnl_ledger(
     block_sum = sums.groupBy("experiment", "block").agg(F.sum(F.col("a") - F.col("b")).alias("earned"))
     chain = cut(sched.select("experiment", "block", "previous_block").join(block_sum, ["experiment", "block"], "left"))
     parent = chain.select("experiment", F.col("block").alias("previous_block"), F.col("earned").alias("prior_earned"))
-    cost = chain.select("experiment", "block", F.lit(0.0).alias("cost"))
-    # cost feeds back through the value of the previous block only: a fixed point
-    for _ in range(passes):
-        prev = cost.select("experiment", F.col("block").alias("previous_block"), F.col("cost").alias("prior_cost"))
-        value = chain.select("experiment", "block", "previous_block").join(
-            parent, ["experiment", "previous_block"], "left"
-        ).join(prev, ["experiment", "previous_block"], "left").select(
-            "experiment", "block",
-            F.coalesce(1 + F.col("prior_earned") - F.col("prior_cost"), F.lit(1.0)).alias("value"),
-        )
+    chain = cut(chain.drop("earned").join(parent, ["experiment", "previous_block"], "left").select("experiment", "block", "previous_block", "prior_earned"))
+    value = chain.select("experiment", "block", F.coalesce(1 + F.col("prior_earned"), F.lit(1.0)).alias("value"))
+    while True:
         t = trades.join(value, ["experiment", "block"])
         move = F.col("goal") - F.col("drift") / F.col("value")
+        slope = F.signum(move) * F.col("drift") / (F.col("value") * F.col("value"))  # of the trade's size, by the value
         parts = trade_cost(move, F.col("vol"), F.col("adv"), nav, c)
-        total = sum(parts.values(), F.lit(0.0))
-        cost = t.groupBy("experiment", "block").agg(F.sum(total).alias("cost"), F.sum(F.abs(move)).alias("turnover"))
-        cost = cut(cost)
+        flat = parts["commission"] + parts["spread"] + parts["slippage"]
+        steep = F.when(F.abs(move) > 0, (flat + 1.5 * parts["impact"]) / F.abs(move)).otherwise(0.0)
+        at = t.groupBy("experiment", "block").agg(
+            F.max("value").alias("value"), F.sum(flat + parts["impact"]).alias("cost"), F.sum(F.abs(move)).alias("turnover"), F.sum(steep * slope).alias("slope")
+        )
+        at = cut(at.join(chain, ["experiment", "block"]))
+        new = _values(at)
+        moved = new.agg(F.max(F.abs(F.col("next") - F.col("value")) / F.abs(F.col("value")))).first()[0]
+        if moved is None or moved <= 1e-15:
+            break
+        value = cut(new.select("experiment", "block", F.col("next").alias("value")))
+    cost = at.select("experiment", "block", "cost", "turnover")
     inside = Window.partitionBy("experiment", "block").orderBy("session_idx")
     before = inside.rowsBetween(Window.unboundedPreceding, -1)
     d = sums.join(cost, ["experiment", "block"])
@@ -218,6 +225,24 @@ def pnl_ledger(
     return Ledger(daily.drop("value"), held, cost)
 
 
+def _values(at: DataFrame) -> DataFrame:
+    """Adds ``next``, each block's value after one Newton step: costs are followed along their slopes from block to block.
+
+    An experiment has as many blocks as rebalances, four numbers each; one array holds them.
+    """
+    w = Window.partitionBy("experiment").orderBy("block")
+    steps = at.withColumn("__n", F.row_number().over(w)).groupBy("experiment").agg(F.array_sort(F.collect_list(F.struct("__n", "block", "value", "cost", "slope", "prior_earned"))).alias("steps"))
+    start = F.struct(F.lit(0.0).alias("spent"), F.array().cast("array<struct<block:int,next:double>>").alias("out"))
+
+    def carry(so_far, x):
+        here = F.when(x["__n"] == 1, F.lit(1.0)).otherwise(1 + F.coalesce(x["prior_earned"], F.lit(0.0)) - so_far["spent"])
+        paid = x["cost"] + x["slope"] * (here - x["value"])
+        return F.struct(paid.alias("spent"), F.concat(so_far["out"], F.array(F.struct(x["block"].cast("int").alias("block"), here.alias("next")))).alias("out"))
+
+    out = steps.select("experiment", F.explode(F.aggregate("steps", start, carry)["out"]).alias("x")).select("experiment", "x.*")
+    return at.join(out, ["experiment", "block"])
+
+
 def attribute_pnl(held: DataFrame) -> DataFrame:
     """Contribution of every holding: weight x return."""
     return held.withColumn("contribution", F.col("weight") * F.coalesce("ret", F.lit(0.0)))
@@ -273,54 +298,182 @@ def book_attribution(daily: DataFrame, held: DataFrame) -> DataFrame:
     )
 
 
-def step_search(
-    book: DataFrame, nav: float, c: Costs, max_gross: float = 1.0, max_name: float = 0.01, max_turnover: float = 0.25,
-    max_participation: float = 0.001, risk_aversion: float = 5.0, points: int = 101, by: Sequence[str] = BOOK,
-    quadratic: Sequence[str] = ("v00", "v01", "v11"),
-) -> DataFrame:
-    """Best step from ``previous`` towards ``desired`` on a fixed grid, per book.
+def book_variance(book: DataFrame, returns: DataFrame, lookback: int, shrinkage: float = 0.2, by: Sequence[str] = BOOK, when: str = "session_idx") -> DataFrame:
+    """(keys, v00, v01, v11): variance of ``previous``, its covariance with the move to ``desired``, and the move's variance.
 
-    ``book``: keys, security_id, previous, desired, forecast, vol, adv and the
-    quadratic terms of the variance repeated on every row (previous'S previous,
-    previous'S move, move'S move; zero if unused). Each row expands to the grid,
-    then everything is one aggregation per (book, step).
+    A quadratic form in a sample covariance is the sample variance of the book's returns with its weights held fixed, so
+    no pair of names is formed: two sums per book and session of the ``lookback`` before it, a missing return counting as
+    no move. The diagonal that shrinkage adds comes from ``vol``.
     """
     by = list(by)
-    grid = F.sequence(F.lit(0), F.lit(points - 1))
-    s = book.withColumn("k", F.explode(grid)).withColumn("step", F.col("k") / float(points - 1))
-    target = F.col("previous") + F.col("step") * (F.col("desired") - F.col("previous"))
-    s = s.withColumn("target", target).withColumn("trade", F.col("target") - F.col("previous"))
-    cost = sum(trade_cost(F.col("trade"), F.col("vol"), F.col("adv"), nav, c).values(), F.lit(0.0))
-    part = F.when(F.abs("trade") > 0, ratio(F.abs("trade") * nav, positive(F.col("adv"))))
-    bad = (F.abs("trade") > 0) & ~truth(F.col("adv") > 0)
-    agg = s.groupBy(*by, "k").agg(
-        F.max("step").alias("step"),
-        F.sum(F.abs("target")).alias("gross"),
-        F.max(F.abs("target")).alias("largest"),
-        F.sum(F.abs("trade")).alias("turnover"),
-        F.coalesce(F.max(part), F.lit(0.0)).alias("participation"),
-        F.sum(bad.cast("int")).alias("unpriced"),
-        (F.sum(cost) + F.sum(F.greatest(-F.col("target"), F.lit(0.0))) * (c.borrow_annual / 365 * c.multiplier)).alias("cost"),
-        F.sum(F.col("forecast") * F.col("target")).alias("expected"),
-        *[F.max(q).alias(q) for q in quadratic],
-    )
-    v = F.col("v00") + 2 * F.col("step") * F.col("v01") + F.col("step") * F.col("step") * F.col("v11")
-    agg = agg.withColumn("variance", v).withColumn("remaining", 1 - F.col("cost"))
-    tol = 1e-7
-    feasible = (
-        (F.col("remaining") > 0)
-        & (F.col("gross") / F.col("remaining") <= max_gross + tol)
-        & (F.col("largest") / F.col("remaining") <= max_name + tol)
-        & (F.col("turnover") <= max_turnover + tol)
-        & (F.col("participation") <= max_participation + tol)
-        & (F.col("unpriced") == 0)
-    )
-    agg = agg.where(feasible).withColumn(
-        "objective", F.col("expected") - risk_aversion * F.col("variance") - F.col("cost")
+    p, m = F.col("previous"), F.col("desired") - F.col("previous")
+    rows = book.where((p != 0) | (m != 0)).select(*by, "security_id", p.alias("p"), m.alias("m"), F.explode(F.sequence(F.col(when) - lookback, F.col(when) - 1)).alias("__day"))
+    past = returns.where(F.col("ret").isNotNull()).select("security_id", F.col("session_idx").alias("__day"), "ret")
+    series = rows.join(past, ["security_id", "__day"]).groupBy(*by, "__day").agg(F.sum(F.col("p") * F.col("ret")).alias("x"), F.sum(F.col("m") * F.col("ret")).alias("y"))
+    sample = series.groupBy(*by).agg(F.covar_samp("x", "x").alias("c00"), F.covar_samp("x", "y").alias("c01"), F.covar_samp("y", "y").alias("c11"))
+    v = F.coalesce(F.col("vol") * F.col("vol"), F.lit(0.0))
+    own = book.groupBy(*by).agg(F.sum(p * p * v).alias("d00"), F.sum(p * m * v).alias("d01"), F.sum(m * m * v).alias("d11"))
+    both = own.join(sample, by, "left")
+    return both.select(*by, *((F.coalesce(f"c{k}", F.lit(0.0)) * (1 - shrinkage) + F.col(f"d{k}") * shrinkage).alias(f"v{k}") for k in ("00", "01", "11")))
+
+
+@dataclass(frozen=True)
+class StepLimits:
+    max_gross: float = 1.0
+    max_name: float = 0.01
+    max_turnover: float = 0.25
+    max_participation: float = 0.001
+    risk_aversion: float = 5.0
+    tolerance: float = 1e-7
+    points: int = 101
+
+
+def step_search(book: DataFrame, risk: DataFrame, nav: float, c: Costs, limits: StepLimits = StepLimits(), by: Sequence[str] = BOOK) -> DataFrame:
+    """Best step from ``previous`` towards ``desired``, per book.
+
+    ``book``: keys, security_id, previous, desired, forecast, vol, adv and ``neutral``, whether the previous book is
+    neutral (a book that isn't must be corrected in full, or stays). ``risk``: keys and the variances of
+    :func:`book_variance`.
+
+    Turnover and every name's capacity end the segment of steps exactly where they bind: the largest step is the
+    smallest of their ratios. Only the objective needs a grid, ``points`` of them between the smallest and the largest
+    step, and there only what isn't a polynomial of the step is summed over names, in one aggregation per (book, step).
+    The result has a row per book with ``status``: STEP, NO_ECONOMIC_TRADE, CANNOT_NEUTRALIZE or NO_FEASIBLE_STEP.
+    """
+    by, tol = list(by), limits.tolerance
+    p, move = F.col("previous"), F.col("desired") - F.col("previous")
+    needed = F.abs(move)
+    room = F.when(needed > tol, F.coalesce(F.col("adv"), F.lit(0.0)) * (limits.max_participation / nav) / needed)
+    x, g, r, o = trade_cost(move, F.col("vol"), F.col("adv"), nav, c).values()
+    one = book.groupBy(*by).agg(
+        F.sum(needed).alias("__turnover"), F.min(room).alias("__room"), F.bool_and(F.col("neutral")).alias("neutral"), F.sum(x + g + r).alias("__linear"), F.sum(o).alias("__impact"),
+        F.sum(F.col("forecast") * p).alias("__e0"), F.sum(F.col("forecast") * move).alias("__e1"),
     )
+    largest = F.least(F.lit(1.0), F.coalesce(ratio(F.lit(limits.max_turnover), positive(F.col("__turnover"))), F.lit(1.0)), F.coalesce("__room", F.lit(1.0)))
+    one = one.withColumn("max_step", F.greatest(largest, F.lit(0.0)))
+    one = one.withColumn("min_step", F.when(F.col("neutral"), 0.0).otherwise(1.0)).join(risk, by, "left")
+    stuck = ~F.col("neutral") & (F.col("max_step") < 1 - tol)
+    low, high = F.col("min_step"), F.greatest("max_step", "min_step")
+    k = F.explode(F.sequence(F.lit(0), F.lit(limits.points - 1))).alias("k")
+    grid = one.where(~stuck).select(*by, low.alias("__low"), ((high - low) / float(limits.points - 1)).alias("__width"))
+    rows = book.select(*by, "previous", move.alias("move")).join(grid, by).select("*", k).withColumn("step", F.col("__low") + F.col("k") * F.col("__width"))
+    target = F.col("previous") + F.col("step") * F.col("move")
+    at = rows.groupBy(*by, "k").agg(F.max("step").alias("step"), F.sum(F.abs(target)).alias("gross"), F.max(F.abs(target)).alias("__largest"), F.sum(F.greatest(-target, F.lit(0.0))).alias("__short"))
+    s = F.col("step")
+    at = at.join(one, by).withColumns({
+        # commission, spread and slippage grow with the step, impact with its power 3/2
+        "cost": F.col("__linear") * s + F.col("__impact") * s * F.sqrt(s) + F.col("__short") * (c.borrow_annual / 365 * c.multiplier),
+        "turnover": F.col("__turnover") * s, "expected": F.col("__e0") + s * F.col("__e1"),
+        "variance": F.coalesce("v00", F.lit(0.0)) + 2 * s * F.coalesce("v01", F.lit(0.0)) + s * s * F.coalesce("v11", F.lit(0.0)),
+    }).withColumn("remaining", 1 - F.col("cost"))
+    fits = (F.col("remaining") > 0) & (F.col("gross") / F.col("remaining") <= limits.max_gross + tol) & (F.col("__largest") / F.col("remaining") <= limits.max_name + tol) & (F.col("turnover") <= limits.max_turnover + tol)
+    at = at.where(fits).withColumn("objective", F.col("expected") - limits.risk_aversion * F.col("variance") - F.col("cost"))
     # rounding keeps the choice among equal objectives with the smaller step
     best = F.max_by(F.struct("step", "objective", "gross", "turnover", "cost", "expected", "variance"), F.struct(snap("objective", 12), -F.col("k")))
-    return agg.groupBy(*by).agg(best.alias("__b"), F.max("step").alias("largest_feasible_step")).select(*by, "__b.*", "largest_feasible_step")
+    best = at.groupBy(*by).agg(best.alias("__b"), F.count("*").alias("feasible"))
+    status = F.when(stuck, "CANNOT_NEUTRALIZE").when(F.col("__b").isNull(), "NO_FEASIBLE_STEP").when(F.col("__b.turnover") <= tol, "NO_ECONOMIC_TRADE").otherwise("STEP")
+    return one.join(best, by, "left").select(*by, status.alias("status"), "max_step", F.coalesce("feasible", F.lit(0)).alias("feasible"), "__b.*")
+
+
+@dataclass(frozen=True)
+class Budgets:
+    """Caps of a book before its scalers; ``volatility`` is annual, for ``periods`` sessions a year."""
+
+    max_gross: float = 1.0
+    net: float = 0.35
+    long_gross: float = 0.6
+    short_gross: float = 0.6
+    max_name: float = 0.15
+    max_turnover: float = 0.25
+    max_participation: float = 0.001
+    volatility: float = 0.10
+    periods: float = 252.0
+    nav: float = 100_000.0
+    tolerance: float = 1e-7
+
+
+def effective_budgets(book: DataFrame, caps: DataFrame, covariance: DataFrame, b: Budgets = Budgets(), by: Sequence[str] = BOOK) -> DataFrame:
+    """(keys, kind, name, used, cap, effective_cap, usage, excess): how much of each budget a book uses, and how far liquidity relaxes it.
+
+    ``book``: keys, security_id, group, previous, target, adv, ``usable`` (names that aren't stay at their previous
+    weight), ``scale``, ``long_scale`` and ``short_scale`` of the book, ``name_scale`` of the name, and ``loads``, an array of
+    (kind, name, loading) with kind factor, or sleeve and loading 1. ``caps``: kind, name, cap of factors and sleeves.
+    ``covariance``: by keys other than experiment, i <= j, covariance of group returns.
+
+    First, per name: the interval that its limit and its liquidity leave it; a name that can't be brought inside its limit
+    is moved as far as it can. Then, per budget: the least usage that those intervals allow, which is its effective cap
+    where the scaled cap lies below. The turnover limit is relaxed by the reductions that the effective caps force.
+    Names reduce to sums per book and per (book, budget); nothing is solved, and no task holds a book.
+    """
+    by, c, zero = list(by), F.col, F.lit(0.0)
+    room = F.coalesce(c("adv"), zero) * (b.max_participation / b.nav)
+    df = book.withColumn("target", F.when(c("usable"), c("target")).otherwise(c("previous"))).withColumn("room", room)
+    df = df.withColumn("limit", b.max_name * c("scale") * c("name_scale"))
+    floor_, ceiling = c("previous") - c("room"), c("previous") + c("room")
+    far = F.when(floor_ > c("limit"), floor_).when(ceiling < -c("limit"), ceiling)
+    df = df.withColumns({"low": F.coalesce(far, -c("limit")), "high": F.coalesce(far, c("limit"))})
+    df = df.withColumns({"reach_low": F.greatest("low", floor_), "reach_high": F.least("high", ceiling), "clipped": F.least(F.greatest("previous", "low"), "high")})
+    up, down = lambda x: F.greatest(x, zero), lambda x: F.greatest(-x, zero)
+    free = lambda x: F.sum(F.when(c("usable"), x).otherwise(0.0))
+    fixed = lambda x: F.sum(F.when(c("usable"), 0.0).otherwise(x))
+    prev, clip_, tgt = c("previous"), c("clipped"), c("target")
+    sums = df.groupBy(*by).agg(
+        *(F.max(x).alias(x) for x in ("scale", "long_scale", "short_scale")),
+        fixed(F.abs(prev)).alias("fg"), fixed(prev).alias("fn"), fixed(up(prev)).alias("fl"), fixed(down(prev)).alias("fs"),
+        free(F.when(c("reach_low") > 0, c("reach_low")).when(c("reach_high") < 0, -c("reach_high")).otherwise(0.0)).alias("least_gross"),
+        free(c("reach_low")).alias("rl"), free(c("reach_high")).alias("rh"), free(up(c("reach_low"))).alias("least_long"), free(down(c("reach_high"))).alias("least_short"),
+        free(F.abs(prev)).alias("pg"), free(prev).alias("pn"), free(up(prev)).alias("pl"), free(down(prev)).alias("ps"), free(up(F.abs(prev) - c("limit"))).alias("over_name"),
+        free(F.abs(clip_)).alias("cg"), free(clip_).alias("cn"), free(up(clip_)).alias("cl"), free(down(clip_)).alias("cs"), free(F.abs(clip_ - prev)).alias("forced"),
+        F.sum(F.abs(tgt)).alias("gross"), F.abs(F.sum(tgt)).alias("net"), F.sum(up(tgt)).alias("long"), F.sum(down(tgt)).alias("short"), F.sum(F.abs(tgt - prev)).alias("turnover"),
+        F.max(F.when(c("usable"), F.abs(tgt))).alias("largest"), F.max(F.when(c("usable"), up(F.abs(tgt) - c("limit")))).alias("name_excess"), F.max(F.when(c("usable"), c("limit"))).alias("name_cap"), F.max(F.when(c("usable"), ratio(F.abs(tgt), positive(c("limit"))))).alias("name_usage"),
+    )
+    low_net, high_net = c("rl") + c("fn"), c("rh") + c("fn")
+    least_net = F.when((low_net <= 0) & (high_net >= 0), 0.0).otherwise(F.least(F.abs(low_net), F.abs(high_net)))
+    sums = sums.withColumns({"cap_gross": b.max_gross * c("scale"), "cap_net": b.net * c("scale"), "cap_long": b.long_gross * c("scale") * c("long_scale"), "cap_short": b.short_gross * c("scale") * c("short_scale")})
+    sums = sums.withColumns({
+        "eff_gross": F.greatest("cap_gross", c("least_gross") + c("fg")), "eff_net": F.greatest(c("cap_net"), least_net),
+        "eff_long": F.greatest("cap_long", c("least_long") + c("fl")), "eff_short": F.greatest("cap_short", c("least_short") + c("fs")),
+    })
+    # factors and sleeves: a few loadings a name
+    loaded = df.withColumn("__l", F.explode("loads")).select(*by, "usable", "scale", "previous", "clipped", "target", "room", "__l.*")
+    sleeve, w = c("kind") == "sleeve", c("loading")
+    free_, kept_ = (lambda x: F.sum(F.when(c("usable"), x).otherwise(0.0))), (lambda x: F.sum(F.when(c("usable"), 0.0).otherwise(x)))
+    per = loaded.groupBy(*by, "kind", "name").agg(
+        F.max("scale").alias("scale"), F.sum(F.when(sleeve, F.abs("target")).otherwise(c("target") * w)).alias("u"), free_(F.when(sleeve, F.abs("previous")).otherwise(c("previous") * w)).alias("p"),
+        free_(F.when(sleeve, F.abs("clipped")).otherwise(c("clipped") * w)).alias("k"), kept_(F.when(sleeve, F.abs("previous")).otherwise(c("previous") * w)).alias("f"),
+        free_(F.when(sleeve, up(F.abs("previous") - c("room"))).otherwise(0.0)).alias("least"), F.max(F.when(c("usable"), F.abs(w))).alias("steepest"),
+    )
+    per = per.join(caps, ["kind", "name"]).withColumn("cap", c("cap") * c("scale"))
+    per = per.withColumn("effective_cap", F.when(c("kind") == "sleeve", F.greatest("cap", c("least") + c("f"))).otherwise(c("cap")))
+    over = lambda x: up(F.abs(c(x) + c("f")) - c("effective_cap")) / F.when(c("kind") == "factor", F.greatest(F.coalesce("steepest", zero), F.lit(1e-12))).otherwise(1.0)
+    cut_back = per.groupBy(*by).agg(F.max(over("p")).alias("before"), F.max(over("k")).alias("after"))
+    sums = sums.join(cut_back, by, "left")
+    before = F.greatest(
+        up(c("pg") - up(c("eff_gross") - c("fg"))), up(F.abs(c("pn") + c("fn")) - c("eff_net")), c("over_name"), up(c("pl") + c("fl") - c("eff_long")), up(c("ps") + c("fs") - c("eff_short")), F.coalesce("before", zero)
+    )
+    after = F.greatest(
+        up(c("cg") + c("fg") - c("eff_gross")), up(F.abs(c("cn") + c("fn")) - c("eff_net")), up(c("cl") + c("fl") - c("eff_long")), up(c("cs") + c("fs") - c("eff_short")), F.coalesce("after", zero)
+    )
+    sums = sums.withColumn("eff_turnover", F.greatest(F.lit(b.max_turnover), F.greatest(before, c("forced") + after) + b.tolerance))
+
+    # forecast volatility: the quadratic form of group weights
+    when = [k for k in by if k in covariance.columns]
+    group = df.groupBy(*by, "group").agg(F.sum("target").alias("x"))
+    pair = group.withColumnRenamed("group", "i").join(group.select(*by, c("group").alias("j"), c("x").alias("y")), by).where("i <= j")
+    risk = pair.join(covariance.select(*when, "i", "j", "covariance"), [*when, "i", "j"]).groupBy(*by).agg(F.sum(c("x") * c("y") * c("covariance") * F.when(c("i") == c("j"), 1.0).otherwise(2.0)).alias("v"))
+    sums = sums.join(risk, by, "left").withColumn("volatility", F.sqrt(up(c("v")) * b.periods))
+
+    def row(kind, used, cap, eff, usage=None, excess=None):
+        use = ratio(used, cap) if usage is None else usage
+        return F.struct(F.lit(kind).alias("kind"), F.lit("all").alias("name"), used.alias("used"), cap.alias("cap"), eff.alias("effective_cap"), use.alias("usage"), (up(used - cap) if excess is None else excess).alias("excess"))
+
+    rows = F.array(
+        *(row(k, c(k), c(f"cap_{k}"), c(f"eff_{k}")) for k in ("gross", "net", "long", "short")), row("name", c("largest"), c("name_cap"), c("name_cap"), c("name_usage"), c("name_excess")),
+        row("turnover", c("turnover"), F.lit(b.max_turnover), c("eff_turnover")), row("volatility", c("volatility"), F.lit(b.volatility), F.lit(b.volatility)),
+    )
+    whole = sums.select(*by, F.explode(rows).alias("__r")).select(*by, "__r.*")
+    used = F.abs("u")
+    return whole.unionByName(per.select(*by, "kind", "name", used.alias("used"), "cap", "effective_cap", ratio(used, c("cap")).alias("usage"), up(used - c("cap")).alias("excess")))
 
 
 def budget_audit(

@@ -116,16 +116,6 @@ def _cost(trade):
     return f"abs({trade}) * {_LIN} + coalesce(abs({trade}) * 0.1 * coalesce(vol, 0) * sqrt(abs({trade}) * {NAV} / CASE WHEN adv > 0 THEN adv END), 0)"
 
 
-def _pass(k, prev):
-    val = "1.0" if prev is None else "coalesce(1 + q.earned - pc.cost, 1.0)"
-    join = "" if prev is None else f"LEFT JOIN {prev} pc ON pc.experiment = s.experiment AND pc.block = s.prev"
-    val = f"coalesce(1 + q.earned{'' if prev is None else ' - pc.cost'}, 1.0)"
-    mv = "(t.goal - t.drift / v.value)"
-    return f"""
-val{k} AS (SELECT s.experiment, s.block, {val} AS value FROM sch s LEFT JOIN bsum q ON q.experiment = s.experiment AND q.block = s.prev {join}),
-cst{k} AS (SELECT t.experiment, t.block, sum({_cost(mv)}) AS cost, sum(abs{mv}) AS turnover FROM trd t JOIN val{k} v ON v.experiment = t.experiment AND v.block = t.block GROUP BY 1, 2)"""
-
-
 LEDGER_SQL = (
     TARGET_SQL
     + f""",
@@ -139,11 +129,15 @@ bsum AS (SELECT experiment, block, sum(a - b) AS earned FROM sms GROUP BY 1, 2),
 trd0 AS (SELECT experiment, block, security_id, sum(drift) AS drift, sum(goal) AS goal FROM (
    SELECT p.experiment, p.until AS block, p.security_id, p.u * (1 + coalesce(p.ret, 0)) AS drift, 0.0 AS goal FROM pth p JOIN sch s ON s.experiment = p.experiment AND s.block = p.until WHERE p.session_idx = p.until
    UNION ALL BY NAME SELECT experiment, session_idx AS block, security_id, 0.0 AS drift, weight AS goal FROM tgt) GROUP BY 1, 2, 3),
-trd AS (SELECT t.*, s.vol, s.adv FROM trd0 t LEFT JOIN scd0 s ON s.security_id = t.security_id AND s.session_idx = t.block),"""
-    + ",".join([_pass(1, None), _pass(2, "cst1"), _pass(3, "cst2")]).replace("coalesce(1 + q.earned, 1.0)", "coalesce(1 + q.earned, 1.0)")
-    + """,
+trd AS (SELECT t.*, s.vol, s.adv FROM trd0 t LEFT JOIN scd0 s ON s.security_id = t.security_id AND s.session_idx = t.block),
+nth AS (SELECT s.experiment, s.block, row_number() OVER (PARTITION BY s.experiment ORDER BY s.block) AS nth, q.earned FROM sch s LEFT JOIN bsum q ON q.experiment = s.experiment AND q.block = s.prev),
+cst AS (
+  SELECT t.experiment, n.block, n.nth, sum({_cost('t.goal - t.drift')}) AS cost, sum(abs(t.goal - t.drift)) AS turnover FROM nth n JOIN trd t USING (experiment, block) WHERE n.nth = 1 GROUP BY 1, 2, 3
+  UNION ALL
+  SELECT t.experiment, n.block, n.nth, sum({_cost('(t.goal - t.drift / (1 + n.earned - c.cost))')}) AS cost, sum(abs(t.goal - t.drift / (1 + n.earned - c.cost))) AS turnover
+    FROM cst c JOIN nth n ON n.experiment = c.experiment AND n.nth = c.nth + 1 JOIN trd t ON t.experiment = n.experiment AND t.block = n.block GROUP BY 1, 2, 3),
 dl0 AS (SELECT s.*, c.cost, c.turnover, s.session_idx = s.block + 1 AS fst, coalesce(sum(a - b) OVER (PARTITION BY s.experiment, s.block ORDER BY s.session_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run
-   FROM sms s JOIN cst3 c USING (experiment, block)),
+   FROM sms s JOIN cst c USING (experiment, block)),
 dl1 AS (SELECT *, CASE WHEN fst THEN 1.0 ELSE 1 - cost + run END AS v FROM dl0),
 dly0 AS (SELECT experiment, block, session_idx, a / v AS gross_return, CASE WHEN fst THEN cost ELSE 0.0 END AS transaction_cost, b / v AS borrow_cost, gu / v AS gross, nu / v AS net,
    CASE WHEN fst THEN turnover ELSE 0.0 END AS turnover, missing_held, v FROM dl1),
@@ -159,7 +153,7 @@ def scenario_sql():
     every = f"session_idx % {EVERY} = 0"
     dropped = "list_sum(list_transform(string_split(sha256(security_id), ''), lambda z: CASE WHEN z = '' THEN 0 ELSE CAST(concat('0x', z) AS BIGINT) END)) % 5 = 0"
     late = f"at1 AS (SELECT * EXCLUDE (score), score AS plain, first_value(score) OVER (PARTITION BY security_id ORDER BY session_idx RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING) AS late FROM scd0)"
-    own = ["bk0", "bk1", "bk2", "bk3", "pj0", "pj1", "tgt", "lastc", "sch", "pth0", "pth", "sms", "bsum", "trd0", "trd", "val1", "cst1", "val2", "cst2", "val3", "cst3", "dl0", "dl1", "dly0", "dly", "hld"]
+    own = ["bk0", "bk1", "bk2", "bk3", "pj0", "pj1", "tgt", "lastc", "sch", "pth0", "pth", "sms", "bsum", "trd0", "trd", "nth", "cst", "dl0", "dl1", "dly0", "dly", "hld"]
     shared = LEDGER_SQL[: LEDGER_SQL.index("bk0 AS")]
     body = LEDGER_SQL[LEDGER_SQL.index("bk0 AS") :]
     base = body.replace(books, "(SELECT 'base' AS experiment, CAST(NULL AS DOUBLE) AS tail) e")
@@ -169,8 +163,7 @@ def scenario_sql():
     again = again.replace("WHERE session_idx % every = 0", f") WHERE (experiment <> 'drop_deterministic_20pct' OR NOT ({dropped})) AND (experiment <> 'remove_best_5pct' OR security_id NOT IN (SELECT security_id FROM best)) AND session_idx % every = 0")
     twice = "CASE WHEN experiment = 'costs_x2' THEN 2.0 ELSE 1.0 END"
     again = again.replace(f"* {COSTS.borrow_annual} * 7 / 365 AS b", f"* {COSTS.borrow_annual} * 7 / 365 * {twice} AS b")
-    for k in (1, 2, 3):
-        again = again.replace(f"cst{k}_s AS (SELECT t.experiment, t.block, sum(", f"cst{k}_s AS (SELECT t.experiment, t.block, {twice.replace('experiment', 't.experiment')} * sum(")
+    again = again.replace("n.nth_s, sum(", f"n.nth_s, {twice.replace('experiment', 't.experiment')} * sum(")
     best = f"""best AS (SELECT security_id FROM (SELECT security_id, sum(weight * coalesce(ret, 0)) AS gain FROM hld WHERE session_idx BETWEEN {BEST_FROM} AND {BEST_TO} GROUP BY 1)
       ORDER BY round(gain, 9) DESC, security_id LIMIT (SELECT greatest(1, CAST(floor({BEST} * count(*)) AS BIGINT)) FROM supplier))"""
     return shared + base + ",\n" + late + ",\n" + best + ",\n" + again
@@ -346,28 +339,119 @@ def c09(spark, sf):
     return finish(lg.budget_audit(t, load, caps).select("experiment", "session_idx", "kind", "name", "used", "usage"))
 
 
+#: The tail book must stay neutral to beta within this; a book that isn't is corrected in full or stays.
+NEUTRAL_WITHIN = 0.02
+STEP = lg.StepLimits(max_name=0.06, max_turnover=0.7, max_participation=0.5)
+
+
 @query(
     "c07_step_search",
     out(
         TARGET_SQL
         + f""",
-pb AS (SELECT t.experiment, t.session_idx, t.security_id, coalesce(p.weight, 0.0) AS previous, t.weight AS desired, t.vol, t.adv, t.weight * 0.01 AS forecast
+pb AS (SELECT t.experiment, t.session_idx, t.security_id, coalesce(p.weight, 0.0) AS previous, t.weight AS desired, t.weight - coalesce(p.weight, 0.0) AS mv, t.vol, t.adv, t.beta, t.weight * 0.01 AS forecast
    FROM tgt t LEFT JOIN tgt p ON p.experiment = t.experiment AND p.security_id = t.security_id AND p.session_idx = t.session_idx - {EVERY}),
-gd AS (SELECT *, k / 20.0::DOUBLE AS step, previous + k / 20.0::DOUBLE * (desired - previous) AS target, k / 20.0::DOUBLE * (desired - previous) AS trade FROM pb CROSS JOIN (SELECT unnest(range(0, 21)) AS k)),
-ag AS (SELECT experiment, session_idx, k, max(step) AS step, sum(abs(target)) AS gross, max(abs(target)) AS big, sum(abs(trade)) AS turnover, coalesce(max(abs(trade) * {NAV} / adv), 0) AS part,
-   sum({_cost('trade')}) + sum(greatest(-target, 0)) * 0.03 / 365 AS cost, sum(forecast * target) AS expected FROM gd GROUP BY 1, 2, 3),
-fe AS (SELECT *, round(expected - cost, 12) AS obj FROM ag WHERE 1 - cost > 0 AND gross / (1 - cost) <= 1 + 1e-7 AND big / (1 - cost) <= 0.06 + 1e-7 AND turnover <= 0.7 + 1e-7 AND part <= 0.5 + 1e-7)""",
-        """SELECT experiment, session_idx, step, gross, turnover, expected - cost AS objective, top AS largest_feasible_step FROM
-        (SELECT *, row_number() OVER (PARTITION BY experiment, session_idx ORDER BY obj DESC, k) AS rn, max(step) OVER (PARTITION BY experiment, session_idx) AS top FROM fe) WHERE rn = 1""",
-        f"{B} step:f gross:f turnover:f objective:f largest_feasible_step:f", 8,
+sr AS (SELECT b.experiment, b.session_idx, r.session_idx AS day, sum(previous * ret) AS x, sum(mv * ret) AS y FROM pb b JOIN rets r ON r.security_id = b.security_id AND r.session_idx BETWEEN b.session_idx - 52 AND b.session_idx - 1 WHERE ret IS NOT NULL AND (previous <> 0 OR mv <> 0) GROUP BY 1, 2, 3),
+rk AS (SELECT b.experiment, b.session_idx, 0.8 * coalesce(c00, 0) + 0.2 * d00 AS v00, 0.8 * coalesce(c01, 0) + 0.2 * d01 AS v01, 0.8 * coalesce(c11, 0) + 0.2 * d11 AS v11
+   FROM (SELECT experiment, session_idx, sum(previous * previous * coalesce(vol * vol, 0)) AS d00, sum(previous * mv * coalesce(vol * vol, 0)) AS d01, sum(mv * mv * coalesce(vol * vol, 0)) AS d11 FROM pb GROUP BY 1, 2) b
+   LEFT JOIN (SELECT experiment, session_idx, var_samp(x) AS c00, covar_samp(x, y) AS c01, var_samp(y) AS c11 FROM sr GROUP BY 1, 2) s USING (experiment, session_idx)),
+o1 AS (SELECT experiment, session_idx, experiment <> 'tail' OR abs(sum(previous * beta)) <= {NEUTRAL_WITHIN} AS neutral,
+   greatest(0, least(1.0, coalesce({STEP.max_turnover} / nullif(sum(abs(mv)), 0), 1.0), coalesce(min(CASE WHEN abs(mv) > 1e-7 THEN coalesce(adv, 0) * {STEP.max_participation} / {NAV} / abs(mv) END), 1.0))) AS max_step FROM pb GROUP BY 1, 2),
+o2 AS (SELECT *, CASE WHEN neutral THEN 0.0 ELSE 1.0 END AS min_step, NOT neutral AND max_step < 1 - 1e-7 AS stuck FROM o1),
+gd AS (SELECT b.*, k, min_step + k * (greatest(max_step, min_step) - min_step) / 100.0::DOUBLE AS step, previous + (min_step + k * (greatest(max_step, min_step) - min_step) / 100.0::DOUBLE) * mv AS target,
+   (min_step + k * (greatest(max_step, min_step) - min_step) / 100.0::DOUBLE) * mv AS trade FROM pb b JOIN o2 USING (experiment, session_idx) CROSS JOIN (SELECT unnest(range(0, 101)) AS k) WHERE NOT stuck),
+ag AS (SELECT experiment, session_idx, k, max(step) AS step, sum(abs(target)) AS gross, max(abs(target)) AS big, sum(abs(trade)) AS turnover, sum({_cost('trade')}) + sum(greatest(-target, 0)) * 0.03 / 365 AS cost, sum(forecast * target) AS expected FROM gd GROUP BY 1, 2, 3),
+fe AS (SELECT a.*, v00 + 2 * step * v01 + step * step * v11 AS variance, round(expected - {STEP.risk_aversion} * (v00 + 2 * step * v01 + step * step * v11) - cost, 12) AS obj FROM ag a JOIN rk USING (experiment, session_idx)
+   WHERE 1 - cost > 0 AND gross / (1 - cost) <= 1 + 1e-7 AND big / (1 - cost) <= {STEP.max_name} + 1e-7 AND turnover <= {STEP.max_turnover} + 1e-7),
+bs AS (SELECT *, row_number() OVER (PARTITION BY experiment, session_idx ORDER BY obj DESC, k) AS rn, count(*) OVER (PARTITION BY experiment, session_idx) AS feasible FROM fe)""",
+        """SELECT o.experiment, o.session_idx, CASE WHEN stuck THEN 'CANNOT_NEUTRALIZE' WHEN step IS NULL THEN 'NO_FEASIBLE_STEP' WHEN turnover <= 1e-7 THEN 'NO_ECONOMIC_TRADE' ELSE 'STEP' END AS status, max_step, coalesce(feasible, 0) AS feasible,
+        step, gross, turnover, cost, variance, obj AS objective FROM o2 o LEFT JOIN (SELECT * FROM bs WHERE rn = 1) b USING (experiment, session_idx)""",
+        f"{B} status:s max_step:f feasible:i step:f gross:f turnover:f cost:f variance:f objective:f", 8,
     ),
 )
 def c07(spark, sf):
-    t = targets(spark, sf).select("experiment", "session_idx", "security_id", "weight", "vol", "adv")
+    t = targets(spark, sf).select("experiment", "session_idx", "security_id", "weight", "vol", "adv", "beta")
     before = t.select("experiment", (F.col("session_idx") + EVERY).alias("session_idx"), "security_id", F.col("weight").alias("previous"))
-    b = t.join(before, ["experiment", "session_idx", "security_id"], "left").select(
-        "experiment", "session_idx", "security_id", F.coalesce("previous", F.lit(0.0)).alias("previous"), F.col("weight").alias("desired"), "vol", "adv",
-        (F.col("weight") * 0.01).alias("forecast"), *[F.lit(0.0).alias(v) for v in ("v00", "v01", "v11")],
-    )
-    got = lg.step_search(b, NAV, COSTS, max_name=0.06, max_turnover=0.7, max_participation=0.5, points=21)
-    return finish(got.select("experiment", "session_idx", "step", "gross", "turnover", "objective", "largest_feasible_step"), 8)
+    b = t.join(before, ["experiment", "session_idx", "security_id"], "left").withColumn("previous", F.coalesce("previous", F.lit(0.0)))
+    b = cut(b.select("experiment", "session_idx", "security_id", "previous", F.col("weight").alias("desired"), "vol", "adv", "beta", (F.col("weight") * 0.01).alias("forecast")))
+    tilt = b.groupBy("experiment", "session_idx").agg(((F.col("experiment") != "tail") | (F.abs(F.sum(F.col("previous") * F.col("beta"))) <= NEUTRAL_WITHIN)).alias("neutral"))
+    risk = lg.book_variance(b, tb.priced(spark, sf), 52)
+    got = lg.step_search(b.join(tilt, ["experiment", "session_idx"]), risk, NAV, COSTS, STEP)
+    return finish(got.select("experiment", "session_idx", "status", "max_step", "feasible", "step", "gross", "turnover", "cost", "variance", "objective"), 8)
+
+
+#: Budgets of the audited books; sleeves are sectors, and the loadings beta and size. Caps halve after a fall of the market over a rebalance interval.
+BUDGETS = lg.Budgets(max_gross=0.9, net=0.02, long_gross=0.4, short_gross=0.5, max_name=0.05, max_turnover=0.25, max_participation=0.004, volatility=0.10, periods=52.0, nav=NAV)
+FACTOR_CAPS = [("factor", "beta", 0.05), ("factor", "size", 0.2), *(("sleeve", r, 0.25) for r in ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"))]
+_GROUP_SQL = f"""
+gp AS (SELECT session_idx, sector, avg(ret) AS r FROM rets WHERE ret IS NOT NULL GROUP BY 1, 2),
+gc AS (SELECT c.session_idx AS decision, a.sector AS i, b.sector AS j, covar_samp(a.r, b.r) AS covariance FROM cal c JOIN gp a ON a.session_idx < c.session_idx AND a.session_idx >= c.session_idx - 60
+   JOIN gp b ON b.session_idx = a.session_idx AND a.sector <= b.sector WHERE c.session_idx % {EVERY} = 0 AND c.session_idx >= 60 GROUP BY 1, 2, 3)"""
+_U = BUDGETS
+BUDGET_SQL = (
+    TARGET_SQL + "," + _GROUP_SQL
+    + f""",
+fall AS (SELECT c.session_idx, CASE WHEN coalesce(sum(m.market), 0) < 0 THEN 0.5 ELSE 1.0 END AS scale FROM cal c LEFT JOIN mkt m ON m.session_idx BETWEEN c.session_idx - {EVERY - 1} AND c.session_idx GROUP BY 1),
+bq0 AS (SELECT coalesce(t.experiment, p.experiment) AS experiment, coalesce(t.session_idx, p.session_idx + {EVERY}) AS session_idx, coalesce(t.security_id, p.security_id) AS security_id, coalesce(p.weight, 0.0) AS previous, coalesce(t.weight, 0.0) AS target, coalesce(t.weight IS NOT NULL AND t.adv > 0, false) AS usable, coalesce(t.adv, 0) AS adv
+   FROM tgt t FULL JOIN tgt p ON p.experiment = t.experiment AND p.security_id = t.security_id AND p.session_idx = t.session_idx - {EVERY}),
+bq1 AS (SELECT b.* EXCLUDE (target), CASE WHEN usable THEN target ELSE previous END AS target, a.sector, coalesce(r.beta, 0) AS beta, (CAST(b.security_id AS BIGINT) % 10) / 10.0::DOUBLE AS size, scale, CASE WHEN CAST(b.security_id AS BIGINT) % 7 = 0 THEN 0.5 ELSE 1.0 END AS name_scale,
+   adv * {_U.max_participation} / {NAV} AS room, {_U.max_name} * scale * CASE WHEN CAST(b.security_id AS BIGINT) % 7 = 0 THEN 0.5 ELSE 1.0 END AS lim
+   FROM bq0 b JOIN fall USING (session_idx) JOIN assets a USING (security_id) LEFT JOIN rs r ON r.security_id = b.security_id AND r.session_idx = b.session_idx
+   WHERE EXISTS (SELECT 1 FROM tgt x WHERE x.experiment = b.experiment AND x.session_idx = b.session_idx)),
+bq2 AS (SELECT *, CASE WHEN previous - room > lim THEN previous - room WHEN previous + room < -lim THEN previous + room ELSE -lim END AS lo, CASE WHEN previous - room > lim THEN previous - room WHEN previous + room < -lim THEN previous + room ELSE lim END AS hi FROM bq1),
+bq3 AS (SELECT *, greatest(lo, previous - room) AS rlo, least(hi, previous + room) AS rhi, least(greatest(previous, lo), hi) AS clp FROM bq2),
+sm AS (SELECT experiment, session_idx, max(scale) AS scale,
+   sum(abs(previous)) FILTER (NOT usable) AS fg, sum(previous) FILTER (NOT usable) AS fn, sum(greatest(previous, 0)) FILTER (NOT usable) AS fl, sum(greatest(-previous, 0)) FILTER (NOT usable) AS fs,
+   sum(CASE WHEN rlo > 0 THEN rlo WHEN rhi < 0 THEN -rhi ELSE 0 END) FILTER (usable) AS lg, sum(rlo) FILTER (usable) AS rl, sum(rhi) FILTER (usable) AS rh, sum(greatest(rlo, 0)) FILTER (usable) AS ll_, sum(greatest(-rhi, 0)) FILTER (usable) AS ls,
+   sum(abs(previous)) FILTER (usable) AS pg, sum(previous) FILTER (usable) AS pn, sum(greatest(previous, 0)) FILTER (usable) AS pl, sum(greatest(-previous, 0)) FILTER (usable) AS ps, sum(greatest(abs(previous) - lim, 0)) FILTER (usable) AS ov,
+   sum(abs(clp)) FILTER (usable) AS cg, sum(clp) FILTER (usable) AS cn, sum(greatest(clp, 0)) FILTER (usable) AS cl, sum(greatest(-clp, 0)) FILTER (usable) AS cs, sum(abs(clp - previous)) FILTER (usable) AS forced,
+   sum(abs(target)) AS gross, abs(sum(target)) AS net, sum(greatest(target, 0)) AS lng, sum(greatest(-target, 0)) AS sht, sum(abs(target - previous)) AS turnover,
+   max(abs(target)) FILTER (usable) AS big, max(greatest(abs(target) - lim, 0)) FILTER (usable) AS nx, max(lim) FILTER (usable) AS nc, max(abs(target) / lim) FILTER (usable) AS nu FROM bq3 GROUP BY 1, 2),
+sn AS (SELECT * REPLACE (coalesce(fg, 0) AS fg, coalesce(fn, 0) AS fn, coalesce(fl, 0) AS fl, coalesce(fs, 0) AS fs) FROM sm),
+so AS (SELECT *, CASE WHEN rl + fn <= 0 AND rh + fn >= 0 THEN 0 ELSE least(abs(rl + fn), abs(rh + fn)) END AS ln_ FROM sn),
+sp AS (SELECT *, greatest({_U.max_gross} * scale, lg + fg) AS eg, greatest({_U.net} * scale, ln_) AS en, greatest({_U.long_gross} * scale, ll_ + fl) AS el, greatest({_U.short_gross} * scale, ls + fs) AS es FROM so),
+ld AS (SELECT *, unnest([{{'kind': 'factor', 'name': 'beta', 'w': beta}}, {{'kind': 'factor', 'name': 'size', 'w': size}}, {{'kind': 'sleeve', 'name': sector, 'w': 1.0}}]) AS l FROM bq3),
+lq AS (SELECT experiment, session_idx, l.kind AS kind, l.name AS name, max(scale) AS scale, sum(CASE WHEN l.kind = 'sleeve' THEN abs(target) ELSE target * l.w END) AS u, coalesce(sum(CASE WHEN l.kind = 'sleeve' THEN abs(previous) ELSE previous * l.w END) FILTER (usable), 0) AS p,
+   coalesce(sum(CASE WHEN l.kind = 'sleeve' THEN abs(clp) ELSE clp * l.w END) FILTER (usable), 0) AS k, coalesce(sum(CASE WHEN l.kind = 'sleeve' THEN abs(previous) ELSE previous * l.w END) FILTER (NOT usable), 0) AS f,
+   coalesce(sum(CASE WHEN l.kind = 'sleeve' THEN greatest(abs(previous) - room, 0) ELSE 0 END) FILTER (usable), 0) AS lst, greatest(coalesce(max(abs(l.w)) FILTER (usable), 0), 1e-12) AS steep FROM ld GROUP BY 1, 2, 3, 4),
+lr AS (SELECT q.*, c.cap * scale AS cap, CASE WHEN q.kind = 'sleeve' THEN greatest(c.cap * scale, lst + f) ELSE c.cap * scale END AS eff, CASE WHEN q.kind = 'sleeve' THEN 1.0 ELSE steep END AS div
+   FROM lq q JOIN (VALUES {', '.join(f"('{k}', '{n}', {v})" for k, n, v in FACTOR_CAPS)}) AS c(kind, name, cap) ON c.kind = q.kind AND c.name = q.name),
+lt AS (SELECT experiment, session_idx, max(greatest(abs(p + f) - eff, 0) / div) AS bef, max(greatest(abs(k + f) - eff, 0) / div) AS aft FROM lr GROUP BY 1, 2),
+gw AS (SELECT experiment, session_idx, sector, sum(target) AS x FROM bq3 GROUP BY 1, 2, 3),
+vq AS (SELECT a.experiment, a.session_idx, sum(a.x * b.x * covariance * CASE WHEN a.sector = b.sector THEN 1 ELSE 2 END) AS v FROM gw a JOIN gw b ON a.experiment = b.experiment AND a.session_idx = b.session_idx AND a.sector <= b.sector JOIN gc ON gc.decision = a.session_idx AND gc.i = a.sector AND gc.j = b.sector GROUP BY 1, 2),
+su AS (SELECT s.*, sqrt(greatest(v, 0) * 52) AS vola, greatest({_U.max_turnover}, greatest(
+     greatest(greatest(pg - greatest(eg - fg, 0), 0), greatest(abs(pn + fn) - en, 0), ov, greatest(pl + fl - el, 0), greatest(ps + fs - es, 0), coalesce(bef, 0)),
+     forced + greatest(greatest(cg + fg - eg, 0), greatest(abs(cn + fn) - en, 0), greatest(cl + fl - el, 0), greatest(cs + fs - es, 0), coalesce(aft, 0))) + 1e-7) AS et FROM sp s LEFT JOIN lt USING (experiment, session_idx) LEFT JOIN vq USING (experiment, session_idx)),
+bu AS (SELECT experiment, session_idx, 'gross' AS kind, 'all' AS name, gross AS used, {_U.max_gross} * scale AS cap, eg AS effective_cap, gross / ({_U.max_gross} * scale) AS usage, greatest(gross - {_U.max_gross} * scale, 0) AS excess FROM su
+   UNION ALL SELECT experiment, session_idx, 'net', 'all', net, {_U.net} * scale, en, net / ({_U.net} * scale), greatest(net - {_U.net} * scale, 0) FROM su
+   UNION ALL SELECT experiment, session_idx, 'long', 'all', lng, {_U.long_gross} * scale, el, lng / ({_U.long_gross} * scale), greatest(lng - {_U.long_gross} * scale, 0) FROM su
+   UNION ALL SELECT experiment, session_idx, 'short', 'all', sht, {_U.short_gross} * scale, es, sht / ({_U.short_gross} * scale), greatest(sht - {_U.short_gross} * scale, 0) FROM su
+   UNION ALL SELECT experiment, session_idx, 'name', 'all', big, nc, nc, nu, nx FROM su
+   UNION ALL SELECT experiment, session_idx, 'turnover', 'all', turnover, {_U.max_turnover}, et, turnover / {_U.max_turnover}, greatest(turnover - {_U.max_turnover}, 0) FROM su
+   UNION ALL SELECT experiment, session_idx, 'volatility', 'all', vola, {_U.volatility}, {_U.volatility}, vola / {_U.volatility}, greatest(vola - {_U.volatility}, 0) FROM su
+   UNION ALL SELECT experiment, session_idx, kind, name, abs(u), cap, eff, abs(u) / cap, greatest(abs(u) - cap, 0) FROM lr)"""
+)
+
+
+@query("c09_effective_budgets", out(BUDGET_SQL, "SELECT experiment, session_idx, kind, name, used, cap, effective_cap, usage, excess FROM bu", f"{B} kind:s name:s used:f cap:f effective_cap:f usage:f excess:f"))
+def c09_effective(spark, sf):
+    """Usage of every budget by each book against its scaled cap, and the cap that holdings and liquidity leave reachable."""
+    from panelweft.plans.q_reports import group_covariance  # imports this module
+
+    panel = cut(scored_panel(spark, sf).select("security_id", "session_idx", "sector", "ret", "beta", "vol", "adv", "score", "market"))
+    t = targets(spark, sf, panel).select("experiment", "session_idx", "security_id", F.col("weight").alias("target"), "adv")
+    before = t.select("experiment", (F.col("session_idx") + EVERY).alias("session_idx"), "security_id", F.col("target").alias("previous"))
+    keys = ["experiment", "session_idx", "security_id"]
+    b = t.join(before, keys, "full").join(t.select(*keys[:2]).distinct(), keys[:2], "left_semi")
+    b = b.withColumns({"usable": fr.truth(F.col("target").isNotNull() & (F.col("adv") > 0)), "previous": F.coalesce("previous", F.lit(0.0)), "target": F.coalesce("target", F.lit(0.0)), "adv": F.coalesce("adv", F.lit(0.0))})
+    market = panel.where(F.col("market").isNotNull()).groupBy("session_idx").agg(F.max("market").alias("market"))
+    falls = market.select("market", F.explode(F.sequence("session_idx", F.col("session_idx") + EVERY - 1)).alias("session_idx")).groupBy("session_idx").agg(F.sum("market").alias("__m"))
+    b = tb.attach(b, falls, "session_idx", tb.shape(spark, sf).sessions).withColumn("scale", F.when(F.coalesce("__m", F.lit(0.0)) < 0, 0.5).otherwise(1.0))
+    b = b.join(tb.assets(spark, sf).select("security_id", F.col("sector").alias("group")), "security_id").join(panel.select("security_id", "session_idx", "beta"), ["security_id", "session_idx"], "left")
+    k = F.col("security_id").cast("bigint")
+    load = lambda kind, name, w: F.struct(F.lit(kind).alias("kind"), name.alias("name"), w.cast("double").alias("loading"))
+    loads = F.array(load("factor", F.lit("beta"), F.coalesce("beta", F.lit(0.0))), load("factor", F.lit("size"), k % 10 / 10.0), load("sleeve", F.col("group"), F.lit(1.0)))
+    b = b.withColumns({"long_scale": F.lit(1.0), "short_scale": F.lit(1.0), "name_scale": F.when(k % 7 == 0, 0.5).otherwise(1.0), "loads": loads})
+    cov = group_covariance(spark, sf).select(F.col("decision").alias("session_idx"), "i", "j", "covariance")
+    got = lg.effective_budgets(b, spark.createDataFrame(FACTOR_CAPS, "kind string, name string, cap double"), cov, BUDGETS)
+    return finish(got.select("experiment", "session_idx", "kind", "name", "used", "cap", "effective_cap", "usage", "excess"))
