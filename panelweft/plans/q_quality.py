@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from datetime import date
 
 from pyspark.sql import functions as F
 
 from panelweft.functions import frames as fr
 from panelweft.functions.dates import add_business_days, index_sessions, month_end_schedule
 from panelweft.operators import features as ft
+from panelweft.operators import gates as gt
 from panelweft.operators import quality as qa
 from panelweft.operators import reports as rp
 from panelweft.operators import temporal as tp
@@ -651,6 +653,133 @@ def a40f(spark, sf):
     return finish(g.withColumn("duplicates", dup.scalar()))
 
 
+#: The study of the futures gates: weekly sessions between two Mondays, roots by brand and sleeves by its last digit.
+FUTURES_POLICY = gt.FuturesPolicy(date(1995, 1, 9), date(2000, 11, 6), (0,), 0.92, 0.60, 5, 2)
+
+
+def futures_archives(spark, sf):
+    """Daily rows and metadata of two archives: one clean, and one in which every rule is broken somewhere."""
+    daily, meta = ev.futures(spark, sf)
+    r, week = F.regexp_extract("root", r"(\d+)$", 1).cast("int"), F.floor(F.date_diff("date", F.lit("1995-01-02").cast("date")) / 7)
+    d = daily.select("date", "root", "contract", "settlement", (F.col("settlement") * 0.99).alias("open"), (F.col("settlement") * 1.02).alias("high"), (F.col("settlement") * 0.98).alias("low"), F.col("volume").cast("double").alias("volume"), F.col("open_interest").cast("double").alias("open_interest"))
+    d = d.withColumns({"__r": r, "__w": week})
+    bad = d.where("__w = 20 and __r = 5").unionByName(d).withColumns({
+        "settlement": F.when((F.col("__w") % 50 == 7) & (F.col("__r") % 5 == 1), -F.col("settlement")).otherwise(F.col("settlement")), "low": F.when((F.col("__w") % 60 == 9) & (F.col("__r") == 2), F.lit(None)).otherwise(F.col("low")),
+        "volume": F.when((F.col("__w") % 70 == 11) & (F.col("__r") % 4 == 0), -1.0).otherwise(F.col("volume")), "open_interest": F.when((F.col("__w") == 100) & (F.col("__r") == 3), F.lit(float("nan"))).otherwise(F.col("open_interest")),
+        "root": F.when(F.col("__r") == 25, "Other").otherwise(F.col("root")), "date": F.when((F.col("__w") == 30) & (F.col("__r") == 7), F.lit(None)).otherwise(F.col("date")),
+    }).where("__r not between 6 and 20 or __w < 200")
+    drop = ["__r", "__w"]
+    daily = d.drop(*drop).withColumn("archive", F.lit("clean")).unionByName(bad.drop(*drop).withColumn("archive", F.lit("dirty")))
+    m = meta.select(
+        "root", "contract", F.concat(F.lit("sleeve"), F.regexp_extract("root", r"(\d)$", 1)).alias("sleeve"), F.lit("X").alias("exchange"), F.lit("USD").alias("currency"), F.lit(1000.0).alias("multiplier"), F.lit(0.01).alias("tick_size"),
+        "expiry_date", "first_notice_date", "last_trade_date", "cash_settled",
+    ).withColumn("__r", r)
+    fine = m.withColumn("first_notice_date", F.coalesce("first_notice_date", F.date_sub("expiry_date", 10)))
+    odd = m.where("__r <> 9 or month(expiry_date) <> 10").unionByName(m.where("__r = 10 and month(expiry_date) = 1")).withColumns({
+        "multiplier": F.when(F.col("__r") == 11, 0.0).otherwise(F.col("multiplier")), "expiry_date": F.when(F.col("__r") == 13, F.lit(None)).otherwise(F.col("expiry_date")), "root": F.when(F.col("__r") == 24, "Other").otherwise(F.col("root")),
+    })
+    meta = fine.drop("__r").withColumn("archive", F.lit("clean")).unionByName(odd.drop("__r").withColumn("archive", F.lit("dirty")))
+    return daily, meta, m.select("root", "sleeve").distinct()
+
+
+def futures_gates(spark, sf):
+    return gt.futures_gate(*futures_archives(spark, sf), FUTURES_POLICY)
+
+
+_R = "CAST(regexp_extract(root, '(\\d+)$', 1) AS INTEGER)"
+FUTURES_GATE_SQL = (
+    FUT_SQL
+    + f""",
+fg0 AS (SELECT date, root, contract, settlement, settlement * 0.99 AS open, settlement * 1.02 AS high, settlement * 0.98 AS low, CAST(volume AS DOUBLE) AS volume, CAST(open_interest AS DOUBLE) AS open_interest, {_R} AS r, floor(date_diff('day', DATE '1995-01-02', date) / 7.0) AS w FROM fdl),
+fg1 AS (SELECT 'clean' AS archive, * FROM fg0 UNION ALL SELECT 'dirty', * FROM (SELECT * FROM fg0 UNION ALL SELECT * FROM fg0 WHERE w = 20 AND r = 5) x WHERE r NOT BETWEEN 6 AND 20 OR w < 200),
+fgd AS (SELECT archive, CASE WHEN archive = 'dirty' AND w = 30 AND r = 7 THEN NULL ELSE date END AS date, CASE WHEN archive = 'dirty' AND r = 25 THEN 'Other' ELSE root END AS root, contract,
+   CASE WHEN archive = 'dirty' AND w % 50 = 7 AND r % 5 = 1 THEN -settlement ELSE settlement END AS settlement, CASE WHEN archive = 'dirty' AND w % 60 = 9 AND r = 2 THEN NULL ELSE low END AS low,
+   CASE WHEN archive = 'dirty' AND w % 70 = 11 AND r % 4 = 0 THEN -1 ELSE volume END AS volume, CASE WHEN archive = 'dirty' AND w = 100 AND r = 3 THEN NULL ELSE open_interest END AS open_interest FROM fg1),
+fm2 AS (SELECT *, {_R} AS r, 'sleeve' || right(root, 1) AS sleeve FROM fm0),
+fgm AS (SELECT 'clean' AS archive, root, contract, 1000.0 AS multiplier, expiry_date, coalesce(fnd, expiry_date - 10) AS fnd, cash FROM fm2
+   UNION ALL SELECT 'dirty', CASE WHEN r = 24 THEN 'Other' ELSE root END, contract, CASE WHEN r = 11 THEN 0.0 ELSE 1000.0 END, CASE WHEN r = 13 THEN NULL ELSE expiry_date END, fnd, cash
+     FROM (SELECT * FROM fm2 WHERE r <> 9 OR month(expiry_date) <> 10 UNION ALL SELECT * FROM fm2 WHERE r = 10 AND month(expiry_date) = 1) y),
+fgu AS (SELECT DISTINCT root, sleeve FROM fm2),
+fgw AS (SELECT archive, root, date, count(DISTINCT contract) AS n FROM fgd WHERE date BETWEEN DATE '1995-01-09' AND DATE '2000-11-06' GROUP BY 1, 2, 3),
+fgp AS (SELECT a.archive, u.root, u.sleeve, min(date) AS first_date, max(date) AS last_date, count(date) AS observed_sessions, count(date) / 305.0::DOUBLE AS session_coverage, coalesce(avg(CASE WHEN n >= 2 THEN 1.0 ELSE 0.0 END) FILTER (WHERE date IS NOT NULL), 0) AS two_expiry_session_share,
+   (SELECT count(DISTINCT contract) FROM fgd d WHERE d.archive = a.archive AND d.root = u.root AND d.date BETWEEN DATE '1995-01-09' AND DATE '2000-11-06') AS contracts
+   FROM (SELECT DISTINCT archive FROM fgd) a CROSS JOIN fgu u LEFT JOIN fgw w ON w.archive = a.archive AND w.root = u.root GROUP BY 1, 2, 3),
+fga AS (SELECT *, coalesce(session_coverage >= 0.92 AND two_expiry_session_share >= 0.6 AND first_date <= DATE '1995-01-09' AND last_date >= DATE '2000-11-06', false) AS admitted FROM fgp),
+fgr AS (
+  SELECT archive, 'date_invalid' AS rule, count(*) FILTER (date IS NULL) AS rows FROM fgd GROUP BY 1 UNION ALL SELECT archive, 'daily_root_unknown', count(*) FILTER (root NOT IN (SELECT root FROM fgu)) FROM fgd GROUP BY 1
+  UNION ALL SELECT archive, 'price_invalid', count(*) FILTER (NOT coalesce(settlement > 0 AND low > 0, false)) FROM fgd GROUP BY 1 UNION ALL SELECT archive, 'activity_invalid', count(*) FILTER (NOT coalesce(volume >= 0 AND open_interest >= 0, false)) FROM fgd GROUP BY 1
+  UNION ALL SELECT archive, 'metadata_root_unknown', count(*) FILTER (root NOT IN (SELECT root FROM fgu)) FROM fgm GROUP BY 1 UNION ALL SELECT archive, 'scale_invalid', count(*) FILTER (multiplier <= 0) FROM fgm GROUP BY 1
+  UNION ALL SELECT archive, 'notice_missing', count(*) FILTER (fnd IS NULL AND NOT cash) FROM fgm GROUP BY 1 UNION ALL SELECT archive, 'expiry_missing', count(*) FILTER (expiry_date IS NULL) FROM fgm GROUP BY 1
+  UNION ALL SELECT archive, 'contract_date_repeated', sum(n - 1) FROM (SELECT archive, date, contract, count(*) AS n FROM fgd GROUP BY 1, 2, 3) z GROUP BY 1 UNION ALL SELECT archive, 'metadata_repeated', sum(n - 1) FROM (SELECT archive, contract, count(*) AS n FROM fgm GROUP BY 1, 2) z GROUP BY 1
+  UNION ALL SELECT d.archive, 'contract_without_metadata', count(*) FILTER (NOT EXISTS (SELECT 1 FROM fgm m WHERE m.archive = d.archive AND m.contract = d.contract)) FROM fgd d GROUP BY 1
+  UNION ALL SELECT archive, 'too_few_roots', greatest(5 - count(*) FILTER (admitted), 0) FROM fga GROUP BY 1 UNION ALL SELECT archive, 'too_few_sleeves', greatest(2 - count(DISTINCT sleeve) FILTER (admitted), 0) FROM fga GROUP BY 1)"""
+)
+
+
+@query("a40_futures_rules", out(FUTURES_GATE_SQL, "SELECT archive, rule, rows, rows > 0 AS broken FROM fgr", "archive:s rule:s rows:i broken:b"))
+def a40_rules(spark, sf):
+    return finish(futures_gates(spark, sf).rules)
+
+
+@query(
+    "a40_futures_roots",
+    out(FUTURES_GATE_SQL, "SELECT archive, root, sleeve, first_date, last_date, contracts, observed_sessions, session_coverage, two_expiry_session_share, admitted FROM fga",
+        "archive:s root:s sleeve:s first_date:d last_date:d contracts:i observed_sessions:i session_coverage:f two_expiry_session_share:f admitted:b"),
+)
+def a40_roots(spark, sf):
+    g = futures_gates(spark, sf).parts
+    return finish(g.select("archive", "root", "sleeve", "first_date", "last_date", "contracts", "observed_sessions", "session_coverage", "two_expiry_session_share", "admitted"))
+
+
+@query(
+    "a40_futures_status",
+    out(
+        FUTURES_GATE_SQL,
+        """SELECT r.archive, CASE WHEN count(*) FILTER (rows > 0) = 0 THEN 'ADMITTED' ELSE 'BLOCKED' END AS status, coalesce(list_sort(list(rule) FILTER (rows > 0)), []) AS problems,
+        (SELECT coalesce(list_sort(list(root)), []) FROM fga a WHERE a.archive = r.archive AND admitted) AS admitted_roots, (SELECT coalesce(list_sort(list(DISTINCT sleeve)), []) FROM fga a WHERE a.archive = r.archive AND admitted) AS admitted_sleeves FROM fgr r GROUP BY 1""",
+        "archive:s status:s problems:a admitted_roots:a admitted_sleeves:a",
+    ),
+)
+def a40_status(spark, sf):
+    return finish(futures_gates(spark, sf).status.select("archive", "status", "problems", "admitted_roots", "admitted_sleeves"))
+
+
+#: Two readings of the filing archive: thresholds that it meets, and those of a large archive.
+FILING_POLICIES = {
+    "small": gt.FilingPolicy(date(1996, 1, 1), date(1999, 12, 31), (0,), 20, 0.50, 10, 5, 2, 3), "large": gt.FilingPolicy(date(1996, 1, 1), date(1999, 12, 31), (0,), 100_000, 0.95, 100_000, 100_000, 100_000, 8),
+}
+
+
+def _filing_sql(name, p):
+    n = gt.expected_sessions(p.start, p.end, p.days)
+    return f"""SELECT '{name}' AS policy, (SELECT count(*) FROM g1) AS entities_with_one_event, (SELECT count(*) FROM g1 WHERE n >= 3) AS entities_with_three_events, (SELECT sum(rows) FROM g1) AS train_events, (SELECT count(*) FROM g2) AS train_sessions,
+      (SELECT count(*) FROM g2 WHERE n >= {p.members}) AS deep_sessions, (SELECT count(*) FROM g3 WHERE n >= {p.names_per_sector}) AS deep_sectors, (SELECT sum(n - 1) FROM g4) AS repeated_availability, (SELECT min(availability_date) FROM fev) AS first_event, (SELECT max(availability_date) FROM fev) AS last_event,
+      {int(p.min_session_share * n)} AS need_sessions, {p.one_event} AS need_one, {p.three_events} AS need_three, {p.sectors} AS need_sectors"""
+
+
+@query(
+    "a40_filing_gate",
+    out(
+        WEEKLY + "," + SCD_SQL + "," + FACT_SQL
+        + f""", g1 AS (SELECT entity_id, count(DISTINCT accession_id) AS n, count(*) AS rows FROM fev WHERE availability_date {_TR} GROUP BY 1), g2 AS (SELECT session, count(DISTINCT cik) AS n FROM md WHERE session {_TR} GROUP BY 1),
+        g3 AS (SELECT sector, count(DISTINCT entity_id) AS n FROM md WHERE session {_TR} AND entity_id IN (SELECT entity_id FROM g1) GROUP BY 1), g4 AS (SELECT count(*) AS n FROM fev GROUP BY entity_id, availability_date),
+        gm AS ({" UNION ALL ".join(_filing_sql(n, p) for n, p in FILING_POLICIES.items())}),
+        gp AS (SELECT *, list_sort(list_filter([CASE WHEN deep_sessions < need_sessions THEN 'membership_session_coverage' END, CASE WHEN entities_with_one_event < need_one THEN 'one_train_event' END, CASE WHEN entities_with_three_events < need_three THEN 'three_train_events' END,
+          CASE WHEN deep_sectors < need_sectors THEN 'sector_depth' END, CASE WHEN repeated_availability > 0 THEN 'unique_entity_availability' END], lambda z: z IS NOT NULL)) AS problems FROM gm)""",
+        "SELECT policy, CASE WHEN len(problems) = 0 THEN 'ADMITTED' ELSE 'BLOCKED' END AS status, problems, train_events, entities_with_one_event, entities_with_three_events, train_sessions, deep_sessions, deep_sectors, repeated_availability, first_event, last_event FROM gp",
+        "policy:s status:s problems:a train_events:i entities_with_one_event:i entities_with_three_events:i train_sessions:i deep_sessions:i deep_sectors:i repeated_availability:i first_event:d last_event:d",
+    ),
+)
+def a40_filings(spark, sf):
+    e = filing_table(spark, sf)
+    m = members(spark, sf).withColumnRenamed("session", "date")
+    got = None
+    for name, policy in FILING_POLICIES.items():
+        one = gt.filing_gate(e, m, policy).status.withColumn("policy", F.lit(name))
+        got = one if got is None else got.unionByName(one)
+    return finish(got.select("policy", "status", "problems", "train_events", "entities_with_one_event", "entities_with_three_events", "train_sessions", "deep_sessions", "deep_sectors", "repeated_availability", "first_event", "last_event"))
+
+
 @query(
     "a42_yearly_events",
     out(
