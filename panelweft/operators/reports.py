@@ -73,6 +73,82 @@ def segment_metrics(daily: DataFrame, by: Sequence[str] = ("experiment", "segmen
     return net.join(gross, by).join(sums, by).join(worst, by)
 
 
+def budget_maxima(usage: DataFrame, by: Sequence[str] = ("experiment", "segment")) -> DataFrame:
+    """(keys, kind, name, rebalances, maximum_usage, at_session, maximum_excess, relaxed) of a table of budgets used at rebalances.
+
+    The session of a maximum is the first that reaches it; ``relaxed`` counts the rebalances whose cap liquidity lifted.
+    """
+    first = F.max_by("session_idx", F.struct(snap("usage", 9), -F.col("session_idx")))
+    return usage.groupBy(*by, "kind", "name").agg(
+        F.count("*").alias("rebalances"), F.max("usage").alias("maximum_usage"), first.alias("at_session"), F.max("excess").alias("maximum_excess"), F.sum((F.col("effective_cap") > F.col("cap")).cast("int")).alias("relaxed")
+    )
+
+
+def segment_diagnostics(
+    daily: DataFrame, books: DataFrame, held: DataFrame, market: DataFrame, sleeve: str = "sleeve", by: Sequence[str] = ("experiment", "segment"), periods: float = 252.0, largest: int = 5,
+) -> DataFrame:
+    """One row per segment: performance, costs a year, books, concentration, sleeves and market beta.
+
+    ``daily`` and ``books`` have a row per book and session, ``held`` one per holding with ``contribution`` and ``sleeve``;
+    all carry the keys. ``market``: session_idx, market. Every table is grouped by the keys once; names are summed first.
+    """
+    by = list(by)
+    years = F.count("*") / periods
+    cost = daily.join(market, "session_idx", "left").groupBy(*by).agg(
+        (F.sum("turnover") / years).alias("annual_turnover"), (F.sum("transaction_cost") / years).alias("annual_transaction_cost"), (F.sum("borrow_cost") / years).alias("annual_borrow_cost"),
+        F.avg("gross").alias("average_gross"), F.max("gross").alias("maximum_gross"), F.max_by("session_idx", F.struct(snap("gross", 9), -F.col("session_idx"))).alias("maximum_gross_session"), F.max(F.abs("net")).alias("maximum_abs_net"),
+        finite(F.regr_slope(F.col("net_return"), F.col("market"))).alias("market_beta"), finite(F.regr_r2(F.col("net_return"), F.col("market"))).alias("r_squared"),
+    )
+    gross = performance(daily, by, "gross_return", periods).select(*by, F.col("sharpe").alias("gross_sharpe"), F.col("cagr").alias("gross_cagr"))
+    sides = books.groupBy(*by).agg(
+        F.sum("long_net_return").alias("long_contribution"), F.sum("short_net_return").alias("short_contribution"), (F.avg("short_net_return") * periods).alias("short_expectancy"),
+        F.avg("long_gross_exposure").alias("average_long_exposure"), F.avg("short_gross_exposure").alias("average_short_exposure"),
+    )
+    names = held.groupBy(*by, "security_id", sleeve).agg(F.sum("contribution").alias("c"))
+    size = F.abs(snap("c", 12))
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(size.desc(), "security_id"))
+    totals = names.groupBy(*by).agg(F.sum(F.abs("c")).alias("all"))
+    top = names.withColumn("__k", rank).where(F.col("__k") <= largest).groupBy(*by).agg(F.sum(F.abs("c")).alias("top"), F.array_sort(F.collect_list(F.struct("__k", "security_id"))).alias("__t"))
+    share = totals.join(top, by).select(*by, ratio(F.col("top"), positive(F.col("all"))).alias("top_share"), F.col("__t.security_id").alias("top_names"))
+    gains = names.groupBy(*by, sleeve).agg(F.sum("c").alias("c")).groupBy(*by).agg(F.sum((snap("c", 12) > 0).cast("int")).alias("positive_sleeves"))
+    out = performance(daily, by, "net_return", periods)
+    for side in (gross, cost, sides, share, gains):
+        out = out.join(side, by, "left")
+    return out
+
+
+def leave_one_out(legs: DataFrame, nxt: DataFrame, pair: Sequence[str], periods: float = 252.0) -> DataFrame:
+    """(pair, sessions, mean, sharpe, total_return) of the book of all pairs but one, for every pair.
+
+    ``legs``: session_idx, pair, security_id and the pair's signed signal; a name's score is the mean of its legs, and a
+    session's book holds names by their score, scaled to a gross of one. ``nxt``: session_idx, security_id and the return
+    that the session's book earns.
+
+    No book is built again: without a pair only the scores of its own names change, by the leg that leaves their sums and
+    counts. So a pair costs its legs, and its book's returns are the whole book's but for those sessions.
+    """
+    pair = list(pair)
+    legs = legs.where(F.col("signal").isNotNull()).join(nxt.where(F.col("next").isNotNull()), ["session_idx", "security_id"])
+    names = legs.groupBy("session_idx", "security_id").agg(F.sum("signal").alias("s"), F.count("*").alias("n"), F.max("next").alias("__next"))
+    score = F.col("s") / F.col("n")
+    whole = names.groupBy("session_idx").agg(F.sum(F.abs(score)).alias("g"), F.sum(score * F.col("__next")).alias("r"))
+    less = F.when(F.col("n") > 1, (F.col("s") - F.col("signal")) / (F.col("n") - 1)).otherwise(0.0)
+    changed = legs.join(names, ["session_idx", "security_id"]).groupBy(*pair, "session_idx").agg(F.sum(F.abs(less) - F.abs(score)).alias("dg"), F.sum((less - score) * F.col("__next")).alias("dr"))
+
+    def earned(g: Column, r: Column) -> Column:
+        return F.when(g > 1e-9, r / g)
+
+    def sums(x: Column) -> Column:
+        return F.struct(F.count(x).alias("n"), F.coalesce(F.sum(x), F.lit(0.0)).alias("x"), F.coalesce(F.sum(x * x), F.lit(0.0)).alias("xx"), F.coalesce(F.sum(F.log1p(x)), F.lit(0.0)).alias("log"))
+
+    base = whole.agg(sums(earned(F.col("g"), F.col("r"))).alias("all")).withColumn("__one", F.lit(1))  # one row
+    both = changed.join(whole, "session_idx").withColumns({"was": earned(F.col("g"), F.col("r")), "is": earned(F.col("g") + F.col("dg"), F.col("r") + F.col("dr"))})
+    out = both.groupBy(*pair).agg(sums(F.col("was")).alias("was"), sums(F.col("is")).alias("is")).withColumn("__one", F.lit(1)).join(base, "__one")
+    n, x, xx, log = (F.col(f"all.{c}") - F.col(f"was.{c}") + F.col(f"is.{c}") for c in ("n", "x", "xx", "log"))
+    deviation = F.sqrt(F.greatest((xx - x * x / n) / (n - 1), F.lit(0.0)))
+    return out.where(n > 1).select(*pair, n.alias("sessions"), (x / n * periods).alias("mean"), ratio(x / n * F.sqrt(F.lit(periods)), positive(deviation)).alias("sharpe"), (F.exp(log) - 1).alias("total_return"))
+
+
 def yearly_table(daily: DataFrame, by: Sequence[str] = ("experiment",)) -> DataFrame:
     return daily.groupBy(*by, F.year("session").alias("year")).agg(
         F.count("*").alias("sessions"), F.sum("gross_return").alias("gross_return"), F.sum("transaction_cost").alias("transaction_cost"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,6 +32,20 @@ def long_families(df: DataFrame, families: Sequence[str], keys: Sequence[str]) -
     return df.unpivot(list(keys), list(families), "family", "score")
 
 
+def horizon_rows(df: DataFrame, horizons: Mapping[str, int], label: Callable[[int], Column], train_start: int, train_end: int) -> DataFrame:
+    """(family, horizon, session_idx, security_id, score, label): each family with the label of its own horizon.
+
+    A label is one column per distinct horizon. A family's rows end where its own labels are no longer complete by the
+    end of the train segment, so families with short horizons keep later sessions.
+    """
+    wanted = sorted(set(horizons.values()))
+    df = df.withColumns({f"__l{h}": label(h) for h in wanted}).where(F.col("session_idx").between(train_start, train_end))
+    rows = F.array(*(
+        F.when(F.col("session_idx") + h <= train_end, F.struct(F.lit(f).alias("family"), F.lit(h).alias("horizon"), F.col(f).alias("score"), F.col(f"__l{h}").alias("label"))) for f, h in horizons.items()
+    ))
+    return df.select("session_idx", "security_id", F.explode(F.array_compact(rows)).alias("__r")).select("session_idx", "security_id", "__r.*")
+
+
 def qualification(ics: DataFrame, year: Column, min_icir: float = 0.02, min_years: int = 4) -> DataFrame:
     """Mean, deviation, ICIR and positive years per family with the raw gate.
 

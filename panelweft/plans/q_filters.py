@@ -8,6 +8,7 @@ from panelweft.functions import frames as fr
 from panelweft.operators import features as ft
 from panelweft.operators import folds as fo
 from panelweft.operators import regimes as rg
+from panelweft.operators import reports as rp
 from panelweft.plans.q_features import _W8, FAMILIES, K, KEYS, LIBRARY_SQL, library, pick, symmetric, SYM_SQL
 from panelweft.plans.registry import finish, out, query
 from panelweft.plans.sqlbase import PANEL, RESEARCH, at, peer, roll, ts, tsp, zscore
@@ -145,23 +146,56 @@ lg AS (SELECT session_idx, left_id AS security_id, kalman, ratio FROM sg UNION A
     ),
 )
 def w20(spark, sf):
-    sh = tb.shape(spark, sf)
-    r = tb.returns(spark, sf).select("security_id", "session_idx", "ret", "close")
+    key = ["left_id", "right_id"]
+    grid = pair_grid(spark, sf, tb.returns(spark, sf).select("security_id", "session_idx", "ret", "close"))
+    grid = fo.regime_inputs(grid, "x", key, (26, 13), (8, 6), (26, 13))
+    grid = grid.withColumn("ratio_value", fo.pair_ratio_signal(grid, 26, 13, key))
+    kal = fo.adaptive_kalman(grid, "y", "x", ACFG, by=key, names=tb.shape(spark, sf).names).select(*key, "session_idx", F.col("signal").alias("kalman_value"))
+    both = grid.select(*key, "session_idx", "ratio_value").join(kal, [*key, "session_idx"])
+    return finish(fo.net_pair_scores(both, ["kalman_value", "ratio_value"]))
+
+
+def pair_grid(spark, sf, r):
+    """Neighbouring suppliers as pairs: the returns of both legs and the log price ratio on every session."""
     ids = tb.table(spark, sf, "supplier").select("s_suppkey")
     pairs = ids.join(ids.select((F.col("s_suppkey") - 1).alias("s_suppkey")), "s_suppkey", "left_semi").select(
         F.col("s_suppkey").cast("string").alias("left_id"), (F.col("s_suppkey") + 1).cast("string").alias("right_id")
     )
     left = r.select(F.col("security_id").alias("left_id"), "session_idx", F.col("ret").alias("y"), F.ln("close").alias("__a"))
     right = r.select(F.col("security_id").alias("right_id"), "session_idx", F.col("ret").alias("x"), F.ln("close").alias("__b"))
-    key = ["left_id", "right_id"]
-    grid = pairs.withColumn("session_idx", F.explode(F.sequence(F.lit(0), F.lit(sh.sessions - 1))))
+    grid = pairs.withColumn("session_idx", F.explode(F.sequence(F.lit(0), F.lit(tb.shape(spark, sf).sessions - 1))))
     grid = grid.join(left, ["left_id", "session_idx"], "left").join(right, ["right_id", "session_idx"], "left")
-    grid = grid.withColumn("log_ratio", F.col("__a") - F.col("__b"))
-    grid = fo.regime_inputs(grid, "x", key, (26, 13), (8, 6), (26, 13))
-    grid = grid.withColumn("ratio_value", fo.pair_ratio_signal(grid, 26, 13, key))
-    kal = fo.adaptive_kalman(grid, "y", "x", ACFG, by=key, names=sh.names).select(*key, "session_idx", F.col("signal").alias("kalman_value"))
-    both = grid.select(*key, "session_idx", "ratio_value").join(kal, [*key, "session_idx"])
-    return finish(fo.net_pair_scores(both, ["kalman_value", "ratio_value"]))
+    return grid.withColumn("log_ratio", F.col("__a") - F.col("__b"))
+
+
+@query(
+    "c10_pair_removal",
+    out(
+        RESEARCH
+        + f""",
+prs AS (SELECT CAST(s_suppkey AS VARCHAR) AS left_id, CAST(s_suppkey + 1 AS VARCHAR) AS right_id FROM supplier WHERE s_suppkey + 1 IN (SELECT s_suppkey FROM supplier)),
+pk AS (SELECT p.*, c.session_idx, ln(a.close) - ln(b.close) AS log_ratio FROM prs p CROSS JOIN cal c LEFT JOIN ep a ON a.security_id = p.left_id AND a.session_idx = c.session_idx LEFT JOIN ep b ON b.security_id = p.right_id AND b.session_idx = c.session_idx),
+rz AS (SELECT left_id, right_id, session_idx, log_ratio, {roll('avg({})', 'log_ratio', tsp(26, 'left_id'), 13)} AS m, {roll('stddev_samp({})', 'log_ratio', tsp(26, 'left_id'), 13)} AS s FROM pk),
+sg AS (SELECT left_id, right_id, session_idx, CASE WHEN s > 0 AND log_ratio IS NOT NULL THEN greatest(-3, least(3, -(log_ratio - m) / s)) END AS ratio FROM rz),
+nx AS (SELECT security_id, session_idx - 1 AS session_idx, ret AS nxt FROM rets WHERE ret IS NOT NULL),
+lg AS (SELECT l.*, nxt FROM (SELECT session_idx, left_id, right_id, left_id AS security_id, ratio FROM sg UNION ALL SELECT session_idx, left_id, right_id, right_id, -ratio FROM sg) l JOIN nx USING (security_id, session_idx) WHERE ratio IS NOT NULL),
+sc AS (SELECT p.left_id, p.right_id, l.session_idx, l.security_id, avg(l.ratio) AS score, max(l.nxt) AS nxt FROM (SELECT DISTINCT left_id, right_id FROM lg) p JOIN lg l ON l.left_id <> p.left_id GROUP BY 1, 2, 3, 4),
+bk AS (SELECT left_id, right_id, session_idx, sum(score * nxt) / sum(abs(score)) AS r FROM sc GROUP BY 1, 2, 3 HAVING sum(abs(score)) > 1e-9)""",
+        "SELECT left_id, right_id, count(*) AS sessions, avg(r) * 52 AS mean, avg(r) * sqrt(52) / stddev_samp(r) AS sharpe, product(1 + r) - 1 AS total_return, product(1 + r) > 1 AS passed FROM bk GROUP BY 1, 2",
+        "left_id:s right_id:s sessions:i mean:f sharpe:f total_return:f passed:b",
+    ),
+)
+def c10_pairs(spark, sf):
+    """The relative-value book without each of its pairs."""
+    r = tb.returns(spark, sf).select("security_id", "session_idx", "ret", "close")
+    grid = pair_grid(spark, sf, r)
+    grid = grid.withColumn("ratio_value", fo.pair_ratio_signal(grid, 26, 13, ["left_id", "right_id"]))
+    legs = grid.select("left_id", "right_id", "session_idx", F.explode(F.array(
+        F.struct(F.col("left_id").alias("security_id"), F.col("ratio_value").alias("signal")), F.struct(F.col("right_id").alias("security_id"), (-F.col("ratio_value")).alias("signal")),
+    )).alias("l")).select("left_id", "right_id", "session_idx", "l.*")
+    nxt = r.select("security_id", (F.col("session_idx") - 1).alias("session_idx"), F.col("ret").alias("next"))
+    got = rp.leave_one_out(legs, nxt, ["left_id", "right_id"], 52.0)
+    return finish(got.withColumn("passed", F.col("total_return") > 0))
 
 
 _FOUR = ["reversal_1", "momentum_26_4", "intraday_reversal", "high_52"]

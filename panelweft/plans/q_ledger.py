@@ -57,10 +57,12 @@ def ledger(spark, sf):
     return lg.pnl_ledger(t, dense, risk, sh.sessions - 1, 7, NAV, COSTS)
 
 
-#: Robustness scenarios of the rank book: sessions between rebalances, sessions by which the score is late, cost multiplier.
+#: Robustness scenarios of the rank book: sessions between rebalances, sessions by which the score is late, cost multiplier; and
+#: of the tail book, whose fraction is scaled.
+TAIL = 0.2
 SCENARIOS = {
-    "base": (EVERY, 0, 1.0), "costs_x2": (EVERY, 0, 2.0), "signal_delay_1": (EVERY, 1, 1.0), "rebalance_10": (10, 0, 1.0), "rebalance_21": (21, 0, 1.0),
-    "drop_deterministic_20pct": (EVERY, 0, 1.0), "remove_best_5pct": (EVERY, 0, 1.0),
+    "base": (EVERY, 0, 1.0, None), "costs_x2": (EVERY, 0, 2.0, None), "signal_delay_1": (EVERY, 1, 1.0, None), "rebalance_10": (10, 0, 1.0, None), "rebalance_21": (21, 0, 1.0, None),
+    "drop_deterministic_20pct": (EVERY, 0, 1.0, None), "remove_best_5pct": (EVERY, 0, 1.0, None), "tail_0.8x": (EVERY, 0, 1.0, 0.8 * TAIL), "tail_1.0x": (EVERY, 0, 1.0, TAIL), "tail_1.2x": (EVERY, 0, 1.0, 1.2 * TAIL),
 }
 BEST = 0.05
 #: Sessions whose contributions choose the names that ``remove_best_5pct`` leaves out.
@@ -77,11 +79,11 @@ def scenario_ledgers(spark, sf):
     first = scored.where(F.col("session_idx") >= START)
 
     def run(df, names, costs):
-        rows = F.array(*[F.struct(F.lit(n).alias("experiment"), F.lit(SCENARIOS[n][0]).alias("every"), F.lit(SCENARIOS[n][1]).alias("lag")) for n in names])
+        rows = F.array(*[F.struct(F.lit(n).alias("experiment"), F.lit(SCENARIOS[n][0]).alias("every"), F.lit(SCENARIOS[n][1]).alias("lag"), F.lit(SCENARIOS[n][3]).cast("double").alias("tail")) for n in names])
         df = df.withColumn("__e", F.explode(rows)).select("*", "__e.*").where(F.col("session_idx") % F.col("every") == 0)
         df = df.where((F.col("experiment") != "drop_deterministic_20pct") | ~hash_dropped(F.col("security_id"), full=True))
         df = df.withColumn("score", F.when(F.col("lag") == 1, F.col("late")).otherwise(F.col("score")))
-        t = lg.neutral_target(df, min_names=MIN_NAMES, max_name=MAX_NAME, wide=sh.wide).select("experiment", "session_idx", "security_id", "weight")
+        t = lg.neutral_target(df, min_names=MIN_NAMES, max_name=MAX_NAME, tail=F.col("tail"), wide=sh.wide).select("experiment", "session_idx", "security_id", "weight")
         return lg.pnl_ledger(t, dense, risk, sh.sessions - 1, 7, NAV, costs)
 
     plain = run(first, [n for n in SCENARIOS if n not in ("costs_x2", "remove_best_5pct")], COSTS)
@@ -157,7 +159,7 @@ def scenario_sql():
     shared = LEDGER_SQL[: LEDGER_SQL.index("bk0 AS")]
     body = LEDGER_SQL[LEDGER_SQL.index("bk0 AS") :]
     base = body.replace(books, "(SELECT 'base' AS experiment, CAST(NULL AS DOUBLE) AS tail) e")
-    rows = " UNION ALL ".join(f"SELECT '{n}' AS experiment, CAST(NULL AS DOUBLE) AS tail, {e} AS every, {d} AS lag" for n, (e, d, _) in SCENARIOS.items())
+    rows = " UNION ALL ".join(f"SELECT '{n}' AS experiment, CAST({'NULL' if t is None else t} AS DOUBLE) AS tail, {e} AS every, {d} AS lag" for n, (e, d, _, t) in SCENARIOS.items())
     again = re.sub(r"\b(" + "|".join(own) + r")\b", r"\1_s", body.replace(books, f"({rows}) e").replace(every, "session_idx % every = 0"))
     again = again.replace("SELECT e.experiment, e.tail, s.* FROM scd0 s", "SELECT * FROM (SELECT e.experiment, e.tail, e.every, CASE WHEN e.lag = 1 THEN late ELSE plain END AS score, s.* FROM at1 s")
     again = again.replace("WHERE session_idx % every = 0", f") WHERE (experiment <> 'drop_deterministic_20pct' OR NOT ({dropped})) AND (experiment <> 'remove_best_5pct' OR security_id NOT IN (SELECT security_id FROM best)) AND session_idx % every = 0")
@@ -388,8 +390,8 @@ gp AS (SELECT session_idx, sector, avg(ret) AS r FROM rets WHERE ret IS NOT NULL
 gc AS (SELECT c.session_idx AS decision, a.sector AS i, b.sector AS j, covar_samp(a.r, b.r) AS covariance FROM cal c JOIN gp a ON a.session_idx < c.session_idx AND a.session_idx >= c.session_idx - 60
    JOIN gp b ON b.session_idx = a.session_idx AND a.sector <= b.sector WHERE c.session_idx % {EVERY} = 0 AND c.session_idx >= 60 GROUP BY 1, 2, 3)"""
 _U = BUDGETS
-BUDGET_SQL = (
-    TARGET_SQL + "," + _GROUP_SQL
+BUDGET_TAIL = (
+    _GROUP_SQL
     + f""",
 fall AS (SELECT c.session_idx, CASE WHEN coalesce(sum(m.market), 0) < 0 THEN 0.5 ELSE 1.0 END AS scale FROM cal c LEFT JOIN mkt m ON m.session_idx BETWEEN c.session_idx - {EVERY - 1} AND c.session_idx GROUP BY 1),
 bq0 AS (SELECT coalesce(t.experiment, p.experiment) AS experiment, coalesce(t.session_idx, p.session_idx + {EVERY}) AS session_idx, coalesce(t.security_id, p.security_id) AS security_id, coalesce(p.weight, 0.0) AS previous, coalesce(t.weight, 0.0) AS target, coalesce(t.weight IS NOT NULL AND t.adv > 0, false) AS usable, coalesce(t.adv, 0) AS adv
@@ -431,11 +433,16 @@ bu AS (SELECT experiment, session_idx, 'gross' AS kind, 'all' AS name, gross AS
    UNION ALL SELECT experiment, session_idx, 'volatility', 'all', vola, {_U.volatility}, {_U.volatility}, vola / {_U.volatility}, greatest(vola - {_U.volatility}, 0) FROM su
    UNION ALL SELECT experiment, session_idx, kind, name, abs(u), cap, eff, abs(u) / cap, greatest(abs(u) - cap, 0) FROM lr)"""
 )
+BUDGET_SQL = TARGET_SQL + "," + BUDGET_TAIL
 
 
 @query("c09_effective_budgets", out(BUDGET_SQL, "SELECT experiment, session_idx, kind, name, used, cap, effective_cap, usage, excess FROM bu", f"{B} kind:s name:s used:f cap:f effective_cap:f usage:f excess:f"))
 def c09_effective(spark, sf):
     """Usage of every budget by each book against its scaled cap, and the cap that holdings and liquidity leave reachable."""
+    return finish(budget_usage(spark, sf).select("experiment", "session_idx", "kind", "name", "used", "cap", "effective_cap", "usage", "excess"))
+
+
+def budget_usage(spark, sf):
     from panelweft.plans.q_reports import group_covariance  # imports this module
 
     panel = cut(scored_panel(spark, sf).select("security_id", "session_idx", "sector", "ret", "beta", "vol", "adv", "score", "market"))
@@ -453,5 +460,4 @@ def c09_effective(spark, sf):
     loads = F.array(load("factor", F.lit("beta"), F.coalesce("beta", F.lit(0.0))), load("factor", F.lit("size"), k % 10 / 10.0), load("sleeve", F.col("group"), F.lit(1.0)))
     b = b.withColumns({"long_scale": F.lit(1.0), "short_scale": F.lit(1.0), "name_scale": F.when(k % 7 == 0, 0.5).otherwise(1.0), "loads": loads})
     cov = group_covariance(spark, sf).select(F.col("decision").alias("session_idx"), "i", "j", "covariance")
-    got = lg.effective_budgets(b, spark.createDataFrame(FACTOR_CAPS, "kind string, name string, cap double"), cov, BUDGETS)
-    return finish(got.select("experiment", "session_idx", "kind", "name", "used", "cap", "effective_cap", "usage", "excess"))
+    return lg.effective_budgets(b, spark.createDataFrame(FACTOR_CAPS, "kind string, name string, cap double"), cov, BUDGETS)

@@ -12,10 +12,11 @@ from panelweft.operators import reports as rp
 from panelweft.operators import research as rs
 from panelweft.plans.q_features import CARRY_SQL, DEFENSIVE_SQL, K, OVERLAY_SQL, carry, defensive, overlay, pick
 from panelweft.plans.q_filters import _AKAL, ALPHA, REGIME_SQL, regimes, w19a
-from panelweft.plans.q_ledger import BOOKS_SQL, EVERY, LEDGER_SQL, TARGET_SQL, _STATE_SQL, books, ledger, scenario_ledgers, scenario_sql, state_ledger, targets
+from panelweft.plans.q_ledger import BOOKS_SQL, BUDGET_TAIL, EVERY, LEDGER_SQL, TARGET_SQL, _STATE_SQL, books, budget_usage, ledger, scenario_ledgers, scenario_sql, state_ledger, targets
 from panelweft.plans.q_research import TRAIN_END, _hac_sql
 from panelweft.plans.registry import finish, out, query
 from panelweft.plans.sqlbase import RESEARCH, RESIDUAL, RETURNS, at, pct_rank, roll, ts, tsp
+from panelweft.session import cut
 from panelweft.sources import tables as tb
 
 SEGMENTS = [("train", "1995-01-01", "1998-12-31"), ("development", "1999-01-01", "2000-06-30"), ("test", "2000-07-03", "2001-06-30")]
@@ -269,6 +270,66 @@ def a21(spark, sf):
     return finish(got.select("experiment", "sessions", "sharpe", "max_drawdown", "market_beta", "max_gross", "annual_turnover", "top_share"))
 
 
+_DIAG_SQL = (
+    BOOKS_SQL + "," + BUDGET_TAIL
+    + f""",
+dsg AS (SELECT d.*, c.session, {SEG_SQL} AS segment, m.market FROM dly d JOIN cal c USING (session_idx) LEFT JOIN mkt m USING (session_idx)),"""
+    + perf_sql("dsg", "experiment, segment") + "," + perf_sql("dsg", "experiment, segment", "gross_return", dst="pg")
+    + """,
+dco AS (SELECT experiment, segment, sum(turnover) * 52 / count(*) AS annual_turnover, sum(transaction_cost) * 52 / count(*) AS annual_transaction_cost, sum(borrow_cost) * 52 / count(*) AS annual_borrow_cost, avg(gross) AS average_gross, max(gross) AS maximum_gross,
+   max_by(session_idx, struct_pack(a := round(gross, 9), b := -session_idx)) AS maximum_gross_session, max(abs(net)) AS maximum_abs_net, regr_slope(net_return, market) AS market_beta, regr_r2(net_return, market) AS r_squared FROM dsg GROUP BY 1, 2),
+dbk AS (SELECT experiment, segment, sum(long_net_return) AS long_contribution, sum(short_net_return) AS short_contribution, avg(short_net_return) * 52 AS short_expectancy, avg(long_gross_exposure) AS average_long_exposure, avg(short_gross_exposure) AS average_short_exposure
+   FROM bok JOIN (SELECT experiment, session_idx, segment FROM dsg) USING (experiment, session_idx) GROUP BY 1, 2),
+dnm AS (SELECT h.experiment, segment, h.security_id, a.sleeve, sum(weight * coalesce(ret, 0)) AS c FROM hld h JOIN (SELECT experiment, session_idx, segment FROM dsg) USING (experiment, session_idx) LEFT JOIN assets a ON a.security_id = h.security_id GROUP BY 1, 2, 3, 4),
+dtp AS (SELECT *, row_number() OVER (PARTITION BY experiment, segment ORDER BY abs(round(c, 12)) DESC, security_id) AS k FROM dnm),
+dsh AS (SELECT experiment, segment, sum(abs(c)) FILTER (k <= 5) / sum(abs(c)) AS top_share, list(security_id ORDER BY k) FILTER (k <= 5) AS top_names FROM dtp GROUP BY 1, 2),
+dps AS (SELECT experiment, segment, count(*) FILTER (round(c, 12) > 0) AS positive_sleeves FROM (SELECT experiment, segment, sleeve, sum(c) AS c FROM dnm GROUP BY 1, 2, 3) GROUP BY 1, 2)"""
+)
+_DG = ["cagr", "max_drawdown", "gross_sharpe", "gross_cagr", "annual_turnover", "annual_transaction_cost", "annual_borrow_cost", "average_gross", "maximum_gross", "maximum_abs_net", "market_beta", "r_squared", "long_contribution", "short_contribution", "short_expectancy", "average_long_exposure", "average_short_exposure", "top_share"]
+
+
+def _segmented(spark, sf, df):
+    cal = tb.calendar(spark, sf)
+    dated = df if "session" in df.columns else tb.attach(df, cal, "session_idx", tb.shape(spark, sf).sessions)
+    return rp.label_segments(dated, rp.segments(spark, SEGMENTS))
+
+
+@query(
+    "a21_segment_diagnostics",
+    out(
+        _DIAG_SQL,
+        """SELECT p.experiment, p.segment, p.sessions, p.sharpe, p.cagr, p.max_drawdown, g.sharpe AS gross_sharpe, g.cagr AS gross_cagr, c.* EXCLUDE (experiment, segment), b.* EXCLUDE (experiment, segment), h.top_share, h.top_names, s.positive_sleeves
+        FROM pf p JOIN pg g USING (experiment, segment) JOIN dco c USING (experiment, segment) LEFT JOIN dbk b USING (experiment, segment) LEFT JOIN dsh h USING (experiment, segment) LEFT JOIN dps s USING (experiment, segment)""",
+        "experiment:s segment:s sessions:i sharpe:f maximum_gross_session:i top_names:a positive_sleeves:i " + " ".join(f"{c}:f" for c in _DG),
+    ),
+)
+def a21_segments(spark, sf):
+    """Performance, costs, books, concentration and market beta of each book in each segment."""
+    led = ledger(spark, sf)
+    daily, held = cut(_segmented(spark, sf, led.daily)), lg.attribute_pnl(led.held)
+    tags = daily.select("experiment", "session_idx", "segment")
+    b = books(spark, sf, led).join(tags, ["experiment", "session_idx"])
+    h = held.join(tags, ["experiment", "session_idx"]).join(tb.assets(spark, sf).select("security_id", "sleeve"), "security_id", "left")
+    market = tb.market_series(tb.priced(spark, sf))
+    d = rp.segment_diagnostics(daily, b, h, market, periods=52.0)
+    return finish(d.select("experiment", "segment", "sessions", "sharpe", "maximum_gross_session", "top_names", "positive_sleeves", *_DG))
+
+
+@query(
+    "a21_budget_maxima",
+    out(
+        _DIAG_SQL,
+        f"""SELECT experiment, segment, kind, name, count(*) AS rebalances, max(usage) AS maximum_usage, max_by(session_idx, struct_pack(a := round(usage, 9), b := -session_idx)) AS at_session, max(excess) AS maximum_excess,
+        sum(CASE WHEN effective_cap > cap THEN 1 ELSE 0 END) AS relaxed FROM (SELECT b.*, {SEG_SQL} AS segment FROM bu b JOIN cal USING (session_idx)) GROUP BY 1, 2, 3, 4""",
+        "experiment:s segment:s kind:s name:s rebalances:i maximum_usage:f at_session:i maximum_excess:f relaxed:i",
+    ),
+)
+def a21_budgets(spark, sf):
+    """The largest usage of every budget in each segment, and the rebalance that it falls on."""
+    m = rp.budget_maxima(_segmented(spark, sf, budget_usage(spark, sf)))
+    return finish(m.select("experiment", "segment", "kind", "name", "rebalances", "maximum_usage", "at_session", "maximum_excess", "relaxed"))
+
+
 #: The security whose sessions are the market reference.
 BENCHMARK = "7"
 

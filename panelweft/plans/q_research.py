@@ -12,6 +12,7 @@ from panelweft.plans.q_features import FAMILIES, LIBRARY_SQL, label_sql, library
 from panelweft.plans.q_ledger import BOOKS_SQL, EVERY, START, books, ledger
 from panelweft.plans.registry import finish, out, query
 from panelweft.plans.sqlbase import RESIDUAL, pct_rank, roll, ts
+from panelweft.session import cut
 from panelweft.sources import tables as tb
 
 TRAIN_END = 200
@@ -147,6 +148,54 @@ def a05a(spark, sf):
     return spark.createDataFrame([(n,) for n in rs.admit(rows, corr)], T.StructType([T.StructField("family", T.StringType())]))
 
 
+#: The horizon, in sessions, that each family forecasts.
+HORIZONS = dict(zip(FAMILIES, (1, 3, 8, 1, 1, 3, 3, 8)))
+_HZ_SQL = (
+    LIBRARY_SQL
+    + ",\nhz0 AS (SELECT *, " + ", ".join(f"{label_sql(h)} AS l{h}" for h in sorted(set(HORIZONS.values()))) + " FROM lib),\nhz AS ("
+    + " UNION ALL ".join(f"SELECT session_idx, '{f}' AS family, {h} AS horizon, {f} AS score, l{h} AS label FROM hz0 WHERE session_idx + {h} <= {TRAIN_END}" for f, h in HORIZONS.items()) + "),"
+    + ic_sql("hz", "score", "label", "hic", "family, session_idx")
+    + """,
+hy AS (SELECT family, year(c.session) AS y, avg(rank_ic) AS m FROM hic JOIN cal c USING (session_idx) GROUP BY 1, 2),
+hq AS (SELECT f.family, avg(rank_ic) AS mean_rank_ic, stddev_samp(rank_ic) AS ic_std, count(rank_ic) AS sessions, max(p.py) AS positive_years FROM hic f
+   JOIN (SELECT family, sum(CASE WHEN m > 0 THEN 1 ELSE 0 END) AS py FROM hy GROUP BY 1) p USING (family) GROUP BY 1),
+hx AS (SELECT *, mean_rank_ic / nullif(ic_std, 0) AS icir FROM hq),
+hw AS (SELECT *, coalesce(mean_rank_ic > 0 AND icir >= 0.02 AND positive_years >= 2, false) AS raw FROM hx),
+hc AS (SELECT a.family AS l, b.family AS r, corr(a.rank_ic, b.rank_ic) AS c FROM hic a JOIN hic b USING (session_idx) WHERE a.family < b.family GROUP BY 1, 2),
+ho AS (SELECT family, row_number() OVER (ORDER BY icir DESC, mean_rank_ic DESC) AS o FROM hw WHERE raw),
+sizes AS (SELECT unnest([2, 4]) AS most),
+had AS (
+  SELECT most, CAST(0 AS BIGINT) AS o, CAST([] AS VARCHAR[]) AS chosen FROM sizes
+  UNION ALL
+  SELECT a.most, q.o, CASE WHEN len(a.chosen) < a.most AND (SELECT count(*) FROM hc WHERE abs(c) >= 0.75 AND ((l = q.family AND list_contains(a.chosen, r)) OR (r = q.family AND list_contains(a.chosen, l)))) = 0
+     THEN list_append(a.chosen, q.family) ELSE a.chosen END FROM had a JOIN ho q ON q.o = a.o + 1),
+hl AS (SELECT most, chosen FROM had QUALIFY row_number() OVER (PARTITION BY most ORDER BY o DESC) = 1)"""
+)
+
+
+@query(
+    "a05_horizon_qualification",
+    out(
+        _HZ_SQL,
+        f"""SELECT family, CASE family {' '.join(f"WHEN '{f}' THEN {h}" for f, h in HORIZONS.items())} END AS horizon, mean_rank_ic, ic_std, icir, positive_years, sessions, raw AS qualified_raw,
+        list_contains((SELECT chosen FROM hl WHERE most = 4), family) AS admitted_of_4, list_contains((SELECT chosen FROM hl WHERE most = 2), family) AS admitted_of_2 FROM hw""",
+        "family:s horizon:i mean_rank_ic:f ic_std:f icir:f positive_years:i sessions:i qualified_raw:b admitted_of_4:b admitted_of_2:b",
+    ),
+)
+def a05h(spark, sf):
+    """Each family against the label of its own horizon, and the families admitted of at most four and at most two."""
+    rows = rs.horizon_rows(library(spark, sf), HORIZONS, lambda h: ft.forward_label("ret", h), 0, TRAIN_END)
+    ics = cut(rs.daily_ic(rows, "score", "label", ("family", "horizon", "session_idx"), tb.shape(spark, sf).wide))
+    q = rs.qualification(ics, _year(spark, sf), min_years=2)
+    ranked = [(r["family"], r["icir"], r["mean_rank_ic"]) for r in q.where("qualified_raw").collect()]  # a dozen families
+    corr = {(r["left"], r["right"]): r["correlation"] for r in rs.family_correlation(ics).collect()}
+    horizon = F.create_map(*(F.lit(x) for f, h in HORIZONS.items() for x in (f, h)))[F.col("family")]
+    for most in (4, 2):
+        chosen = rs.admit(ranked, corr, most=most)
+        q = q.withColumn(f"admitted_of_{most}", F.col("family").isin(chosen) if chosen else F.lit(False))
+    return finish(q.select("family", horizon.alias("horizon"), "mean_rank_ic", "ic_std", "icir", "positive_years", "sessions", "qualified_raw", "admitted_of_4", "admitted_of_2"))
+
+
 @query("a11_icir_weights", out(_FAM_SQL + ", fw AS (SELECT *, greatest(coalesce(icir, 0), 0) AS raw FROM fz)",
     "SELECT family, mean_rank_ic, icir, CASE WHEN sum(CASE WHEN raw > 0 THEN 1 ELSE 0 END) OVER () >= 2 THEN raw / nullif(sum(raw) OVER (), 0) END AS weight FROM fw",
     "family:s mean_rank_ic:f icir:f weight:f"))
