@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelweft.functions.dates import add_business_days
 from panelweft.functions.frames import at, clip, positive, ratio, roll, ts_between, ts_prior
-from panelweft.operators.temporal import attach_asof, sole
+from panelweft.operators.temporal import BUCKET_ROWS, attach_asof, sole
 
 
 def with_last_eligible(metadata: DataFrame, buffer_days: int = 5) -> DataFrame:
@@ -114,11 +116,12 @@ STAT_NAMES = {
 
 def normalise_messages(
     definitions: DataFrame, bars: DataFrame, statistics: DataFrame, notices: DataFrame | None,
-    cash_roots: tuple[str, ...], bucket: str = "day",
+    cash_roots: tuple[str, ...], sleeves: Mapping[str, str] | None = None, rows: int = BUCKET_ROWS,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Definitions, bars and typed statistics of all roots -> daily, metadata, history.
 
-    Definitions carry ``root``; contracts are unique across roots.
+    Definitions carry ``root``; contracts are unique across roots. ``sleeves`` names the sleeve of each root. Messages meet
+    the definition that held then in parts of about ``rows`` messages of an instrument, so a crowded day is several parts.
     """
     d = definitions.where(F.upper("instrument_class").isin("F", "FUTURE", "INSTRUMENTCLASS.FUTURE"))
     unit = F.when(F.col("unit_of_measure_qty") > 0, F.col("unit_of_measure_qty"))
@@ -137,8 +140,8 @@ def normalise_messages(
         d = d.withColumn("first_notice_date", F.lit(None).cast("date"))
     named = d.select("instrument_id", "definition_time", "contract", "root")
     ties = ("contract",)
-    b = attach_asof(bars, named, "instrument_id", "ts_event", "definition_time", ["contract", "root"], bucket, ties)
-    s = attach_asof(statistics, named, "instrument_id", "ts_recv", "definition_time", ["contract", "root"], bucket, ties)
+    b = attach_asof(bars, named, "instrument_id", "ts_event", "definition_time", ["contract", "root"], None, ties, rows)
+    s = attach_asof(statistics, named, "instrument_id", "ts_recv", "definition_time", ["contract", "root"], None, ties, rows)
     b = b.where(F.col("contract").isNotNull()).groupBy(F.to_date("ts_event").alias("date"), "root", "contract").agg(
         F.max_by(F.struct("open", "high", "low", F.col("volume").alias("bar_volume")), F.struct("ts_event", "instrument_id")).alias("__b")
     ).select("date", "root", "contract", "__b.*")
@@ -158,7 +161,9 @@ def normalise_messages(
         "date", "root", "contract", "settlement", "open", "high", "low",
         F.coalesce("cleared_volume", F.col("bar_volume").cast("double")).alias("volume"), "open_interest",
     )
-    cols = ["exchange", "currency", "multiplier", "tick_size", "expiry_date", "first_notice_date", "last_trade_date", "cash_settled"]
+    named_sleeves = F.create_map(*(F.lit(x) for pair in sleeves.items() for x in pair))[F.col("root")] if sleeves else F.lit(None).cast("string")
+    d = d.withColumn("sleeve", named_sleeves)
+    cols = ["sleeve", "exchange", "currency", "multiplier", "tick_size", "expiry_date", "first_notice_date", "last_trade_date", "cash_settled"]
     metadata = d.groupBy("root", "contract").agg(
         F.max_by(F.struct(*cols), F.struct("definition_time", "instrument_id")).alias("__m")
     ).select("root", "contract", "__m.*")

@@ -16,6 +16,9 @@ from panelweft.operators.quality import violations
 from panelweft.session import cut
 
 
+BOOK = ("experiment", "session_idx")
+
+
 def segments(spark: SparkSession, table: Sequence[tuple[str, str, str]]) -> DataFrame:
     """Segment names with inclusive first and last dates."""
     df = spark.createDataFrame(list(table), "segment string, first string, last string")
@@ -411,9 +414,24 @@ def order_violations(book: DataFrame, key: Column, allowed: Column) -> DataFrame
     return violations(book.where(allowed), key, {"price_positive": price > 0, "weight_known": weight.isNotNull()})
 
 
-def order_plan(book: DataFrame, nav: float, allowed: Column) -> DataFrame:
+def plan_status(book: DataFrame, allowed: Column, by: Sequence[str] = BOOK, name: str = "security_id") -> DataFrame:
+    """(keys, names, violations, status) of each book: NOT_ALLOWED, REFUSED if a row has no usable price, weight or holding or a name comes twice, else READY."""
+    by = list(by)
+    number = lambda c: finite(F.col(c).cast("double"))
+    fine = truth(number("price") > 0) & number("weight").isNotNull() & number("shares").isNotNull()
+    per = book.withColumn("__ok", truth(allowed)).groupBy(*by, name).agg(F.bool_and("__ok").alias("__ok"), F.count("*").alias("__n"), F.sum((~fine).cast("int")).alias("__bad"))
+    s = per.groupBy(*by).agg(F.bool_and("__ok").alias("__ok"), F.count("*").alias("names"), F.sum(F.col("__bad") + F.col("__n") - 1).alias("violations"))
+    return s.select(*by, "names", "violations", F.when(~F.col("__ok"), "NOT_ALLOWED").when(F.col("violations") > 0, "REFUSED").otherwise("READY").alias("status"))
+
+
+def order_plan(book: DataFrame, nav: float, allowed: Column, by: Sequence[str] | None = None) -> DataFrame:
     """Whole-share deltas from target weights, prices and current shares; empty
-    unless allowed. Shares round half to even. Check :func:`order_violations` first."""
+    unless allowed. Shares round half to even. With ``by``, a book has a plan only
+    if :func:`plan_status` is READY: one row that no order can be made of refuses
+    all of it."""
+    if by is not None:
+        by = list(by)
+        book = book.join(plan_status(book, allowed, by).where("status = 'READY'").select(*by), by, "left_semi")
     goal = F.bround(ratio(F.col("weight") * nav, positive(F.col("price"))), 0)
     held = F.bround(F.coalesce("shares", F.lit(0.0)), 0)
     b = book.where(allowed).withColumn("target_shares", goal).withColumn("delta", F.col("target_shares") - held)

@@ -100,29 +100,56 @@ def asof_events(
     return expand_intervals(one, days, at, "__until").select(key, at, "session_idx", "__p.*")
 
 
+#: Events of a key that one task searches, and the most parts that a key's events are cut into.
+BUCKET_ROWS, TILES = 1_000_000, 1024
+
+
+def split_points(events: DataFrame, keys: Sequence[str], time: str, rows: int) -> DataFrame:
+    """(keys, __splits): times that cut the events of each key with more than ``rows`` of them into parts of about ``rows``.
+
+    A sketch per key gives the times, merged before it is shuffled; they only decide who searches, so they needn't be exact.
+    """
+    micros = F.unix_micros(F.col(time).cast("timestamp"))
+    g = events.groupBy(*keys).agg(F.count(time).alias("__n"), F.percentile_approx(micros, [i / TILES for i in range(1, TILES)], 20 * TILES).alias("__q")).where(F.col("__n") > rows)
+    step = F.greatest(F.lit(1), F.floor(F.lit(float(TILES) * rows) / F.col("__n")).cast("int"))
+    return g.withColumn("__step", step).select(*keys, F.array_distinct(F.filter("__q", lambda x, i: (i + 1) % F.col("__step") == 0)).alias("__splits"))
+
+
 def attach_asof(
     events: DataFrame, definitions: DataFrame, key: str | Sequence[str], time: str, def_time: str,
-    values: Sequence[str], bucket: str = "hour", ties: Sequence[str] = (),
+    values: Sequence[str], bucket: str | None = "hour", ties: Sequence[str] = (), rows: int = BUCKET_ROWS,
 ) -> DataFrame:
     """Attach to each event the latest definition at or before it.
 
     Events of keys without any definition are dropped; events before the first
     keep NULL. The search runs inside (key, time bucket); the state at the end of
     each bucket is carried over buckets on one row per (key, bucket), so a key
-    holding a large share of all rows is spread over its buckets.
+    holding a large share of all rows is spread over its buckets. Buckets are
+    ``bucket`` long, or, if it is None, as long as a key has ``rows`` events, however
+    closely they follow each other.
     """
     keys = [key] if isinstance(key, str) else list(key)
     known = definitions.select(*keys).distinct()
     ev = events.join(known, keys, "left_semi")
+    if bucket is None:
+        splits = cut(split_points(ev, keys, time, rows))  # a row for each key with many events
+
+        def place(df: DataFrame) -> DataFrame:
+            at = F.unix_micros(F.col("__t").cast("timestamp"))
+            return df.join(splits, keys, "left").withColumn("__bucket", F.when(F.col("__splits").isNull(), 0).otherwise(F.size(F.filter("__splits", lambda x: x < at)))).drop("__splits")
+    else:
+
+        def place(df: DataFrame) -> DataFrame:
+            return df.withColumn("__bucket", F.date_trunc(bucket, F.col("__t")))
+
     val = F.struct(F.col(def_time).alias("definition_time"), *values)
     d = definitions.select(
         *keys, F.col(def_time).alias("__t"), val.alias("__val"),
         F.struct(F.col(def_time), *ties).alias("__ord"), F.lit(0).alias("__is_event"),
-    ).withColumn("__bucket", F.date_trunc(bucket, F.col("__t")))
-    row = F.struct(*[c for c in events.columns if c not in keys])
-    e = ev.select(*keys, F.col(time).alias("__t"), row.alias("__row"), F.lit(1).alias("__is_event")).withColumn(
-        "__bucket", F.date_trunc(bucket, F.col("__t"))
     )
+    d = place(d)
+    row = F.struct(*[c for c in events.columns if c not in keys])
+    e = place(ev.select(*keys, F.col(time).alias("__t"), row.alias("__row"), F.lit(1).alias("__is_event")))
     closing = d.groupBy(*keys, "__bucket").agg(F.max_by("__val", "__ord").alias("__close"))
     touched = e.select(*keys, "__bucket").distinct()
     states = touched.join(closing, [*keys, "__bucket"], "full")

@@ -809,6 +809,38 @@ def c11(spark, sf):
     return finish(rp.order_plan(t, 1e7, F.col("experiment") == "rank").select("experiment", "session_idx", "security_id", "delta"))
 
 
+_PLAN_SQL = (
+    TARGET_SQL
+    + """, op AS (SELECT t.experiment, t.session_idx, t.security_id, t.weight, CASE WHEN t.session_idx % 12 = 4 AND CAST(t.security_id AS BIGINT) % 9 = 0 THEN NULL WHEN t.session_idx % 20 = 8 AND CAST(t.security_id AS BIGINT) % 11 = 0 THEN 0.0 ELSE b.close END AS price,
+      CASE WHEN t.session_idx % 28 = 0 AND CAST(t.security_id AS BIGINT) % 13 = 0 THEN NULL ELSE CAST(CAST(t.security_id AS BIGINT) % 7 AS DOUBLE) END AS shares FROM tgt t JOIN bars b USING (security_id, session_idx)),
+    os AS (SELECT experiment, session_idx, count(*) AS names, sum(CASE WHEN NOT coalesce(price > 0, false) OR shares IS NULL THEN 1 ELSE 0 END) AS violations FROM op GROUP BY 1, 2),
+    ot AS (SELECT *, CASE WHEN experiment <> 'rank' THEN 'NOT_ALLOWED' WHEN violations > 0 THEN 'REFUSED' ELSE 'READY' END AS status FROM os)"""
+)
+
+
+def plan_book(spark, sf):
+    """Targets with marks and holdings, of which some are missing at some rebalances."""
+    k, i = F.col("security_id").cast("bigint"), F.col("session_idx")
+    price = F.when((i % 12 == 4) & (k % 9 == 0), F.lit(None)).when((i % 20 == 8) & (k % 11 == 0), 0.0).otherwise(F.col("close"))
+    shares = F.when((i % 28 == 0) & (k % 13 == 0), F.lit(None)).otherwise((k % 7).cast("double"))
+    return targets(spark, sf).select("experiment", "session_idx", "security_id", "weight", price.alias("price"), shares.alias("shares"))
+
+
+@query("c11_plan_status", out(_PLAN_SQL, "SELECT experiment, session_idx, names, violations, status FROM ot", "experiment:s session_idx:i names:i violations:i status:s"))
+def c11_status(spark, sf):
+    return finish(rp.plan_status(plan_book(spark, sf), F.col("experiment") == "rank"))
+
+
+@query(
+    "c11_gated_plan",
+    out(_PLAN_SQL, "SELECT experiment, session_idx, security_id, round_even(weight * 1e7 / price, 0) - shares AS delta FROM op JOIN ot USING (experiment, session_idx) WHERE status = 'READY' AND round_even(weight * 1e7 / price, 0) <> shares",
+        "experiment:s session_idx:i security_id:s delta:f"),
+)
+def c11_gated(spark, sf):
+    """Orders of the books that are allowed and have no row that no order can be made of."""
+    return finish(rp.order_plan(plan_book(spark, sf), 1e7, F.col("experiment") == "rank", rp.BOOK).select("experiment", "session_idx", "security_id", "delta"))
+
+
 @query(
     "c11_order_violations",
     out(

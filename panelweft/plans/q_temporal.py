@@ -82,7 +82,7 @@ def j01(spark, sf):
 )
 def j02(spark, sf):
     e, d = ev.messages(spark, sf)
-    got = tp.attach_asof(e, d, "instrument_id", "ts_event", "def_ts", ["def_id", "k"], "day", ("def_id",))
+    got = tp.attach_asof(e, d, "instrument_id", "ts_event", "def_ts", ["def_id", "k"], None, ("def_id",))
     return finish(got.select("instrument_id", "event_id", "value", "def_id", "k"))
 
 
@@ -519,10 +519,10 @@ def c04(spark, sf):
 
 @query(
     "c04_futures_metadata",
-    out(C04_SQL, """SELECT root, contract, tick AS tick_size, multiplier, expiry_date, root IN ('R0', 'R1') AS cash_settled FROM
+    out(C04_SQL, """SELECT root, contract, ['rates', 'energy', 'metals'][CAST(right(root, 1) AS INTEGER) % 3 + 1] AS sleeve, tick AS tick_size, multiplier, expiry_date, root IN ('R0', 'R1') AS cash_settled FROM
         (SELECT *, row_number() OVER (PARTITION BY root, contract ORDER BY ts DESC, user_id DESC) AS rn FROM mdf) WHERE rn = 1""",
-        "root:s contract:s tick_size:f multiplier:f expiry_date:d cash_settled:b"),
+        "root:s contract:s sleeve:s tick_size:f multiplier:f expiry_date:d cash_settled:b"),
 )
 def c04m(spark, sf):
-    _, meta, _ = fu.normalise_messages(*message_tables(spark, sf), None, ("R0", "R1"))
-    return finish(meta.select("root", "contract", "tick_size", "multiplier", "expiry_date", "cash_settled"))
+    _, meta, _ = fu.normalise_messages(*message_tables(spark, sf), None, ("R0", "R1"), {f"R{i}": ("rates", "energy", "metals")[i % 3] for i in range(7)})
+    return finish(meta.select("root", "contract", "sleeve", "tick_size", "multiplier", "expiry_date", "cash_settled"))

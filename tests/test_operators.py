@@ -175,6 +175,28 @@ def test_universe_at_one_time_is_that_of_many(spark, small):
     assert sorted(map(tuple, top.collect())) == [(1, "s2", 0, 3), (1, "s4", 1, 3), (1, "s5", 2, 3)]
 
 
+def test_asof_spreads_a_crowded_day(spark):
+    """A key with all its events in one minute is cut into parts by counts; every event gets the definition that held."""
+    rng = np.random.default_rng(43)
+    start = dt.datetime(2024, 3, 1, 12)
+    at = lambda us: start + dt.timedelta(microseconds=int(us))
+    events = [("hot", at(u), i) for i, u in enumerate(rng.integers(0, 60_000_000, 6000))] + [("cold", at(u * 1000), 10_000 + i) for i, u in enumerate(rng.integers(0, 10**9, 50))] + [("bare", start, 20_000)]
+    events += [("hot", at(30_000_000), 30_000 + i) for i in range(700)]  # one moment with more events than a part
+    defs = [("hot", at(u), f"h{i}") for i, u in enumerate(rng.integers(2_000_000, 60_000_000, 40))] + [("hot", at(30_000_000), "tie1"), ("hot", at(30_000_000), "tie2"), ("cold", at(-5), "c0"), ("cold", at(5 * 10**11), "c1")]
+    e, d = spark.createDataFrame(events, "k string, t timestamp, i int").repartition(4), spark.createDataFrame(defs, "k string, d timestamp, v string")
+    splits = {r["k"]: r["__splits"] for r in tp.split_points(e, ["k"], "t", 500).collect()}
+    assert set(splits) == {"hot"} and len(splits["hot"]) >= 8
+    size = np.bincount(np.searchsorted(splits["hot"], [int((t - dt.datetime(1970, 1, 1)).total_seconds() * 1e6) for k, t, _ in events if k == "hot"]))
+    assert size.max() < 1500
+    got = {r["i"]: r["v"] for r in tp.attach_asof(e, d, "k", "t", "d", ["v"], None, ("v",), 500).collect()}
+    want = {}
+    for k, t, i in events:
+        known = [(s, v) for q, s, v in defs if q == k and s <= t]
+        if any(q == k for q, _, _ in defs):
+            want[i] = max(known)[1] if known else None
+    assert got == want
+
+
 def test_covariance_windows(spark):
     """Windows of many decisions with changing members, gaps and names without returns, against a table per window."""
     rng = np.random.default_rng(14)

@@ -98,3 +98,16 @@ def test_budget_maxima(spark):
     df = spark.createDataFrame(rows, "experiment string, segment string, session_idx int, kind string, name string, usage double, excess double, cap double, effective_cap double")
     got = {r["segment"]: (r["rebalances"], r["maximum_usage"], r["at_session"], r["maximum_excess"], r["relaxed"]) for r in rp.budget_maxima(df).collect()}
     assert got == {"one": (5, 1.5, 1, 0.5, 1), "two": (1, 0.0, 9, 0.0, 0)}
+
+
+def test_one_bad_row_refuses_a_plan(spark):
+    rows = [
+        ("ok", 1, "a", 0.1, 10.0, 3.0), ("ok", 1, "b", -0.2, 7.0, 0.0), ("noprice", 1, "a", 0.1, None, 3.0), ("noprice", 1, "b", 0.1, 5.0, 3.0), ("zero", 1, "a", 0.1, 0.0, 3.0), ("nan", 1, "a", float("nan"), 5.0, 3.0),
+        ("inf", 1, "a", 0.1, float("inf"), 3.0), ("held", 1, "a", 0.1, 5.0, None), ("twice", 1, "a", 0.1, 5.0, 1.0), ("twice", 1, "a", 0.1, 5.0, 1.0), ("shut", 1, "a", 0.1, 5.0, 1.0),
+    ]
+    df = spark.createDataFrame(rows, "experiment string, session_idx int, security_id string, weight double, price double, shares double")
+    allowed = F.col("experiment") != "shut"
+    got = {r["experiment"]: (r["status"], r["violations"]) for r in rp.plan_status(df, allowed).collect()}
+    assert got == {"ok": ("READY", 0), "noprice": ("REFUSED", 1), "zero": ("REFUSED", 1), "nan": ("REFUSED", 1), "inf": ("REFUSED", 1), "held": ("REFUSED", 1), "twice": ("REFUSED", 1), "shut": ("NOT_ALLOWED", 0)}
+    plan = {(r["experiment"], r["security_id"]): r["delta"] for r in rp.order_plan(df, 1000.0, allowed, rp.BOOK).collect()}
+    assert plan == {("ok", "a"): 7.0, ("ok", "b"): -29.0}
