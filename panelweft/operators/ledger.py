@@ -195,12 +195,11 @@ def pnl_ledger(
         at = t.groupBy("experiment", "block").agg(
             F.max("value").alias("value"), F.sum(flat + parts["impact"]).alias("cost"), F.sum(F.abs(move)).alias("turnover"), F.sum(steep * slope).alias("slope")
         )
-        at = cut(at.join(chain, ["experiment", "block"]))
-        new = _values(at)
-        moved = new.agg(F.max(F.abs(F.col("next") - F.col("value")) / F.abs(F.col("value")))).first()[0]
-        if moved is None or moved <= 1e-15:
+        at = cut(_values(at.join(chain, ["experiment", "block"])))
+        moved = at.agg(F.max(F.abs(F.col("next") - F.col("value")) / F.abs(F.col("value")))).first()[0]
+        if moved is None or moved <= 1e-13:
             break
-        value = cut(new.select("experiment", "block", F.col("next").alias("value")))
+        value = at.select("experiment", "block", F.col("next").alias("value"))
     cost = at.select("experiment", "block", "cost", "turnover")
     inside = Window.partitionBy("experiment", "block").orderBy("session_idx")
     before = inside.rowsBetween(Window.unboundedPreceding, -1)
@@ -228,19 +227,19 @@ def pnl_ledger(
 def _values(at: DataFrame) -> DataFrame:
     """Adds ``next``, each block's value after one Newton step: costs are followed along their slopes from block to block.
 
-    An experiment has as many blocks as rebalances, four numbers each; one array holds them.
+    An experiment has as many blocks as rebalances, a few numbers each; one array holds them.
     """
-    w = Window.partitionBy("experiment").orderBy("block")
-    steps = at.withColumn("__n", F.row_number().over(w)).groupBy("experiment").agg(F.array_sort(F.collect_list(F.struct("__n", "block", "value", "cost", "slope", "prior_earned"))).alias("steps"))
-    start = F.struct(F.lit(0.0).alias("spent"), F.array().cast("array<struct<block:int,next:double>>").alias("out"))
+    own = ["block", "value", "cost", "turnover", "slope", "prior_earned"]
+    steps = at.groupBy("experiment").agg(F.array_sort(F.collect_list(F.struct(*own))).alias("steps"))
+    start = F.struct(F.lit(None).cast("double").alias("spent"), F.array().cast("array<struct<block:int,value:double,cost:double,turnover:double,next:double>>").alias("out"))
 
     def carry(so_far, x):
-        here = F.when(x["__n"] == 1, F.lit(1.0)).otherwise(1 + F.coalesce(x["prior_earned"], F.lit(0.0)) - so_far["spent"])
+        here = F.coalesce(1 + x["prior_earned"] - so_far["spent"], F.lit(1.0))
         paid = x["cost"] + x["slope"] * (here - x["value"])
-        return F.struct(paid.alias("spent"), F.concat(so_far["out"], F.array(F.struct(x["block"].cast("int").alias("block"), here.alias("next")))).alias("out"))
+        kept_ = F.struct(x["block"].cast("int").alias("block"), x["value"].alias("value"), x["cost"].alias("cost"), x["turnover"].alias("turnover"), here.alias("next"))
+        return F.struct(paid.alias("spent"), F.concat(so_far["out"], F.array(kept_)).alias("out"))
 
-    out = steps.select("experiment", F.explode(F.aggregate("steps", start, carry)["out"]).alias("x")).select("experiment", "x.*")
-    return at.join(out, ["experiment", "block"])
+    return steps.select("experiment", F.explode(F.aggregate("steps", start, carry)["out"]).alias("x")).select("experiment", "x.*")
 
 
 def attribute_pnl(held: DataFrame) -> DataFrame:

@@ -104,15 +104,18 @@ def asof_events(
 BUCKET_ROWS, TILES = 1_000_000, 1024
 
 
-def split_points(events: DataFrame, keys: Sequence[str], time: str, rows: int) -> DataFrame:
-    """(keys, __splits): times that cut the events of each key with more than ``rows`` of them into parts of about ``rows``.
+def split_points(events: DataFrame, keys: Sequence[str], time: str, rows: int) -> DataFrame | None:
+    """(keys, __splits): times that cut the events of each key with more than ``rows`` of them into parts of about ``rows``; None if there is no such key.
 
-    A sketch per key gives the times, merged before it is shuffled; they only decide who searches, so they needn't be exact.
+    A sketch of each such key gives the times, merged before it is shuffled; they only decide who searches, so they needn't be exact.
     """
+    crowded = cut(events.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > rows))
+    if crowded.isEmpty():
+        return None
     micros = F.unix_micros(F.col(time).cast("timestamp"))
-    g = events.groupBy(*keys).agg(F.count(time).alias("__n"), F.percentile_approx(micros, [i / TILES for i in range(1, TILES)], 20 * TILES).alias("__q")).where(F.col("__n") > rows)
+    g = events.join(crowded, keys).groupBy(*keys).agg(F.first("__n").alias("__n"), F.percentile_approx(micros, [i / TILES for i in range(1, TILES)], 20 * TILES).alias("__q"))
     step = F.greatest(F.lit(1), F.floor(F.lit(float(TILES) * rows) / F.col("__n")).cast("int"))
-    return g.withColumn("__step", step).select(*keys, F.array_distinct(F.filter("__q", lambda x, i: (i + 1) % F.col("__step") == 0)).alias("__splits"))
+    return cut(g.withColumn("__step", step).select(*keys, F.array_distinct(F.filter("__q", lambda x, i: (i + 1) % F.col("__step") == 0)).alias("__splits")))
 
 
 def attach_asof(
@@ -132,9 +135,11 @@ def attach_asof(
     known = definitions.select(*keys).distinct()
     ev = events.join(known, keys, "left_semi")
     if bucket is None:
-        splits = cut(split_points(ev, keys, time, rows))  # a row for each key with many events
+        splits = split_points(ev, keys, time, rows)
 
         def place(df: DataFrame) -> DataFrame:
+            if splits is None:
+                return df.withColumn("__bucket", F.lit(0))
             at = F.unix_micros(F.col("__t").cast("timestamp"))
             return df.join(splits, keys, "left").withColumn("__bucket", F.when(F.col("__splits").isNull(), 0).otherwise(F.size(F.filter("__splits", lambda x: x < at)))).drop("__splits")
     else:

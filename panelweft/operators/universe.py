@@ -175,11 +175,16 @@ def universes(
     if historical:
         ok = ok & truth(known_state(F.col("session_idx"))["status"] == "ACTIVE")
     b = b.select("security_id", "session_idx", "p", "q", "left", "next", F.col("__now")["close"].alias("close"), F.col("__now")["volume"].alias("volume"), "stale", ok.alias("valid"))
-    steps = b.where("valid").select("security_id", F.explode(F.array(F.struct(F.col("p").alias("place"), F.lit(1).alias("step")), F.struct(F.col("q").alias("place"), F.lit(-1).alias("step")))).alias("s")).select("security_id", "s.*")
-    recent = b.withColumn("__until", F.least("q", "left")).where("p < __until").select("security_id", F.explode(F.sequence("p", F.col("__until") - 1)).alias("place"), "next", "close", "volume", "stale", "valid")
-    recent = recent.withColumn("last", F.col("place") < F.col("next")).drop("next")
-
-    rows = grid.unionByName(steps, allowMissingColumns=True).unionByName(recent, allowMissingColumns=True)
+    # one pass over the pieces: what they add to the running counts, and their values where they are recent
+    none = F.lit(None)
+    step = lambda at_, by: F.struct(at_.alias("place"), F.lit(by).alias("step"), none.cast("double").alias("close"), none.cast("double").alias("volume"), none.cast("boolean").alias("stale"), none.cast("boolean").alias("valid"), none.cast("boolean").alias("last"))
+    steps = F.when(F.col("valid"), F.array(step(F.col("p"), 1), step(F.col("q"), -1))).otherwise(F.array(step(F.col("p"), 0)))
+    until = F.least("q", "left")
+    recent = F.when(F.col("p") < until, F.transform(F.sequence("p", until - 1), lambda k: F.struct(
+        k.alias("place"), F.lit(0).alias("step"), F.col("close").alias("close"), F.col("volume").alias("volume"), F.col("stale").alias("stale"), F.col("valid").alias("valid"), (k < F.col("next")).alias("last")
+    ))).otherwise(F.slice(F.array(step(F.col("p"), 0)), 1, 0))
+    pieces_ = b.select("security_id", F.explode(F.concat(steps, recent)).alias("__r")).select("security_id", "__r.*")
+    rows = grid.unionByName(pieces_, allowMissingColumns=True)
     n = policy.liquidity_sessions
     g = rows.groupBy("security_id", "place").agg(
         F.max("state").alias("state"), F.coalesce(F.sum("step"), F.lit(0)).alias("__step"),

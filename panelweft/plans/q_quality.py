@@ -879,7 +879,8 @@ def closes(spark, sf):
 def universe_audit(spark, sf):
     master, b = universe_inputs(spark, sf)
     dec = F.date_add(F.lit(tb.shape(spark, sf).first), DEC_IDX * 7 + 5).cast("timestamp")
-    return un.build_universe(master, b, closes(spark, sf), dec, POLICY)
+    # read several times by the choice of members: a row a security
+    return cut(un.build_universe(master, b, closes(spark, sf), dec, POLICY))
 
 
 C01_SQL = (
