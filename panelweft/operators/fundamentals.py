@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelweft.functions.dates import add_business_days
-from panelweft.functions.frames import positive, ratio, snap, xs_quantiles, xs_rank, xs_stats
+from panelweft.functions.frames import join_safe, positive, ratio, snap, xs_quantiles, xs_rank, xs_stats
 from panelweft.operators.temporal import prior_vintage_growth, scd_join, sole
 
 # Standard concept names and the measures they feed.
@@ -108,16 +108,10 @@ def fundamental_events(facts: DataFrame, filings: DataFrame, mapping: DataFrame)
     return events.withColumn("restatement_flag", F.coalesce("is_amendment", F.lit(False)))
 
 
-def fundamental_scores(
-    expanded: DataFrame, minimum: int = 100, components: Sequence[str] = COMPONENTS, wide: bool = False
-) -> DataFrame:
-    """Sector-neutral quality and conservative-growth scores per session.
-
-    Values are winsorised at the 1st and 99th percentile of (session, sector),
-    ranked to [-1, 1] where five or more names are present, then averaged.
-    """
+def _ranks_of_each(expanded: DataFrame, components: Sequence[str]) -> DataFrame:
+    """Adds the winsorised rank of each component in its (session, sector), from windows."""
     by = ("session_idx", "sector")
-    df = xs_quantiles(expanded, {f"__lo_{c}": (c, 0.01) for c in components} | {f"__hi_{c}": (c, 0.99) for c in components}, by, wide)
+    df = xs_quantiles(expanded, {f"__lo_{c}": (c, 0.01) for c in components} | {f"__hi_{c}": (c, 0.99) for c in components}, by)
 
     def winsorised(c):
         v = F.least(F.greatest(F.col(c), F.col(f"__lo_{c}")), F.col(f"__hi_{c}"))
@@ -126,8 +120,8 @@ def fundamental_scores(
     df = df.withColumns({f"__v_{c}": winsorised(c) for c in components})
     df = df.drop(*[f"__{e}_{c}" for e in ("lo", "hi") for c in components])
     for c in components:
-        df = xs_rank(df, f"__v_{c}", f"__k_{c}", by, wide, pct=False)
-    df = xs_stats(df, by, wide, **{f"__n_{c}": F.count(f"__v_{c}") for c in components})
+        df = xs_rank(df, f"__v_{c}", f"__k_{c}", by, pct=False)
+    df = xs_stats(df, by, **{f"__n_{c}": F.count(f"__v_{c}") for c in components})
 
     def centred(c):
         n = F.col(f"__n_{c}")
@@ -135,6 +129,35 @@ def fundamental_scores(
 
     df = df.withColumns({f"{c}_rank": centred(c) for c in components})
     df = df.drop(*[f"__{e}_{c}" for e in ("v", "k", "n") for c in components])
+    return df
+
+
+def _ranks_of_all(expanded: DataFrame, components: Sequence[str]) -> DataFrame:
+    """:func:`_ranks_of_each` for cross-sections of any size: components become rows, and one tiled sort, one rank and one
+    count serve them all."""
+    by = ("session_idx", "sector", "component")
+    rows = F.array(*(F.struct(F.lit(c).alias("component"), F.col(c).cast("double").alias("value")) for c in components))
+    long_ = expanded.select("session_idx", "sector", "symbol", F.explode(rows).alias("__r")).select("session_idx", "sector", "symbol", "__r.*").where("value is not null")
+    long_ = xs_quantiles(long_, {"__lo": ("value", 0.01), "__hi": ("value", 0.99)}, by, True)
+    long_ = long_.withColumn("__v", snap(F.least(F.greatest("value", "__lo"), F.col("__hi")), 9)).drop("__lo", "__hi", "value")
+    long_ = xs_stats(xs_rank(long_, "__v", "__k", by, True, pct=False), by, True, __n=F.count("__v"))
+    rank = F.when(F.col("__n") >= 5, (F.col("__k") - (F.col("__n") + 1) / 2) / ((F.col("__n") - 1) / 2))
+    each = long_.groupBy("session_idx", "symbol").agg(*(F.max(F.when(F.col("component") == c, rank)).alias(f"{c}_rank") for c in components))
+    return join_safe(expanded, each, ["session_idx", "symbol"])
+
+
+def fundamental_scores(
+    expanded: DataFrame, minimum: int = 100, components: Sequence[str] = COMPONENTS, wide: bool = False
+) -> DataFrame:
+    """Sector-neutral quality and conservative-growth scores per session.
+
+    Values are winsorised at the 1st and 99th percentile of (session, sector),
+    ranked to [-1, 1] where five or more names are present, then averaged.
+    """
+    if wide:
+        df = _ranks_of_all(expanded, components)
+    else:
+        df = _ranks_of_each(expanded, components)
     ranks = [F.col(f"{c}_rank") for c in components]
 
     def mean(cols, out):
