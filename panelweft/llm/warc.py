@@ -2,8 +2,8 @@
 
 Each capture is a transaction of three records, a request, a response (or a revisit of a response
 with the same payload) and metadata; request and metadata name the response's record in
-WARC-Concurrent-To. Captures lie together in gzipped files of bounded length in a folder that all
-executors share. Reading walks each file record by record, by Content-Length.
+WARC-Concurrent-To. Captures lie together in gzipped files of about ``FILE_BYTES``, by the mean length of a page,
+in a folder that all executors share. Reading walks each file record by record, by Content-Length.
 
 Which capture of a payload is the response comes from one aggregate over payload digests; the
 pages are shuffled once, by page_id, to meet that decision.
@@ -29,7 +29,9 @@ from panelweft.llm.storage import shared_path
 
 #: The format's line end and the gap after each record.
 END, GAP = "\r\n", "\r\n\r\n"
-PER_FILE, BATCH = 20_000, 4 << 20
+BATCH = 4 << 20
+#: A file holds captures of about FILE_BYTES, and PER_FILE of them at most; one page is never cut.
+FILE_BYTES, PER_FILE = 64 << 20, 20_000
 
 
 def base32(sha1_hex: Column) -> Column:
@@ -49,6 +51,8 @@ def write(pages: DataFrame, path: str, least: int = 0, date: str = "2024-01-01T0
     """Archives (page_id, url, html). Payloads of fewer than ``least`` bytes are never revisited."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     digest = base32(F.sha1(F.col("html").cast("binary"))).alias("digest")
+    size = rows.agg(F.coalesce(F.avg(F.octet_length("html") + F.octet_length("url")), F.lit(0.0))).first()[0]
+    per_file = int(max(1, min(PER_FILE, FILE_BYTES // (size + 1000))))  # headers are some hundred bytes
     light = rows.select("page_id", digest, F.octet_length("html").cast("long").alias("bytes"))
     captures = light.groupBy("page_id", "digest", "bytes").agg(F.count("*").alias("copies"))
     firsts = captures.groupBy("digest", "bytes").agg(F.min("page_id").alias("first"))
@@ -77,7 +81,7 @@ def write(pages: DataFrame, path: str, least: int = 0, date: str = "2024-01-01T0
     metadata = _record("metadata", rid("metadata"), [("WARC-Target-URI", address), ("WARC-Concurrent-To", rid("response"))], "application/warc-fields", fields, date)
     text = F.concat(request, F.lit(GAP), response, F.lit(GAP), metadata)
     (
-        joined.select(text.alias("value")).write.option("lineSep", GAP).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", PER_FILE).text(path)
+        joined.select(text.alias("value")).write.option("lineSep", GAP).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", per_file).text(path)
     )
 
 

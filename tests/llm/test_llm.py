@@ -242,6 +242,20 @@ def test_toxicity(spark, docs, empty):
     assert {r["score"] < 1e-6 for r in toxicity.score(docs, none).collect()} == {True}
 
 
+def test_toxicity_scores_by_definition():
+    """A score is the softmax of the mean weight of all subwords of all words, one word at a time."""
+    weight = np.random.default_rng(6).normal(0, 2, toxicity.BUCKETS)
+    model = toxicity.Model(weight, 0.3)
+    texts = [r[1] for r in corpus()] + ["Ünï-CODE 日本語 😀 a I 1st", "same same same SAME", "x"]
+    for text, got in zip(texts, model.scores(pa.array(texts, pa.string()))):
+        total, count = 0.0, 0
+        for word, times in collections.Counter(plain(text)).items():
+            ids, first = toxicity.subwords(toxicity.Words(pa.array([word]), toxicity.NOT_WORD, lower=True))
+            assert len(ids) == first[-1] == 1 + sum(max(len(word) + 3 - k, 0) for k in toxicity.GRAMS)
+            total, count = total + times * float(weight[ids].astype(np.float32).sum(dtype=float)), count + times * len(ids)
+        assert got == pytest.approx(1 / (1 + np.exp(-(total / max(count, 1) + 0.3))), abs=1e-6)
+
+
 def reference_bits(samples, text):
     """Code length by prediction by partial matching with exclusion, from its definition."""
     fold = lambda b: bytes(language.FOLD[np.frombuffer(b, np.uint8)]) if b else b""
@@ -294,8 +308,9 @@ def test_language(spark, docs, empty):
     assert {r["lang_pred"] for r in language.predict(docs, language.train(rows_.limit(0))).collect()} == {"und"}
 
 
-@pytest.mark.parametrize("least", [0, 5])
-def test_warc(spark, least):
+@pytest.mark.parametrize("least,size", [(0, 64 << 20), (5, 64 << 20), (0, 30_000)])
+def test_warc(spark, monkeypatch, least, size):
+    monkeypatch.setattr(warc, "FILE_BYTES", size)  # a small one means a file for each capture
     data = [(1, "http://a/x", "<p>é</p>\r\n\r\nWARC/1.1\r\n"), (2, "http://b", "same page"), (3, None, "same page"), (4, "u\r\nv", None), (5, "", ""), (0, "z", "same page"), (6, "w", "x" * 300000), (7, "q", "ab"), (8, "q", "ab"), (None, "n", "alone"), (None, "n", "same page")]
     pages = spark.createDataFrame([(*r, "clash") for r in data], "page_id long, url string, html string, digest string").repartition(3)
     got = warc.round_trip(pages, least).collect()
