@@ -35,23 +35,47 @@ def test_business_days(spark):
 
 
 def test_futures_curve(spark):
-    daily = spark.createDataFrame(
-        [(D(2024, 3, d), "ES", c, p, 10, 10) for d, ps in ((7, (100.0, 101.0, 102.0)), (8, (100.0, 101.0, 103.0)), (11, (99.0, 102.0, 104.0)))
-         for c, p in zip(("ESH4", "ESM4", "ESU4"), ps)],
-        "date date, root string, contract string, settlement double, volume long, open_interest long",
-    )
-    meta = [("ES", "ESH4", D(2024, 3, 15)), ("ES", "ESM4", D(2024, 6, 21)), ("ES", "ESU4", D(2024, 9, 20))]
-    schema = "root string, contract string, expiry_date date, first_notice_date date, last_trade_date date, cash_settled boolean"
-    cash = spark.createDataFrame([(*m, None, m[2], True) for m in meta], schema)
-    curve = fu.contract_curve(daily, cash)
-    rows = {r["date"]: r for r in curve.collect()}
-    assert rows[D(2024, 3, 7)]["front_contract"] == "ESH4"
-    assert (rows[D(2024, 3, 8)]["front_contract"], rows[D(2024, 3, 8)]["next_contract"]) == ("ESM4", "ESU4")
-    held = {r["date"]: r for r in fu.held_contract_returns(curve, daily).collect()}
-    assert held[D(2024, 3, 11)]["excess_return"] == pytest.approx(102 / 101 - 1)
-    assert held[D(2024, 3, 8)]["roll_trade"]
-    physical = spark.createDataFrame([(*m, None, m[2], False) for m in meta], schema)
-    assert fu.contract_curve(daily, physical).count() == 0
+    """Contracts of two roots with holes in their prices: front, next, carry and held returns against a loop over days."""
+    rng = np.random.default_rng(47)
+    days = [d.date() for d in pd.bdate_range("2022-09-05", periods=50)]
+    kinds = {"Q1": True, "Q2": False, "Q3": None}
+    meta, price = [], {}
+    for root, cash in kinds.items():
+        for k, month in enumerate((9, 10, 11, 12)):
+            last = D(2022, month, 22 + k)
+            notice = None if cash or (root == "Q3" and k == 1) else last - dt.timedelta(days=3 * k - 2)
+            meta.append((root, f"{root}-{month}", last + dt.timedelta(days=1), notice, last, cash))
+            for d in days:
+                if rng.random() < 0.85:
+                    price[d, root, f"{root}-{month}"] = float(np.round(50 + 4 * k + rng.normal(), 2)) * (-1 if rng.random() < 0.03 else 1)
+    daily = spark.createDataFrame([(*key, v, 1, 1) for key, v in price.items()], "date date, root string, contract string, settlement double, volume long, open_interest long")
+    m = spark.createDataFrame(meta, "root string, contract string, expiry_date date, first_notice_date date, last_trade_date date, cash_settled boolean")
+    curve = fu.contract_curve(daily, m, 3)
+    got = {(r["root"], r["date"]): r for r in curve.collect()}
+    held = {(r["root"], r["date"]): r for r in fu.held_contract_returns(curve, daily).collect()}
+    seen = 0
+    for root in kinds:
+        before = None
+        for d in days:
+            open_ = []
+            for r, contract, expiry, notice, last, cash in meta:
+                end = last if cash else min(notice, last) if notice else None
+                if r == root and end and d < (pd.Timestamp(end) - 3 * pd.offsets.BDay()).date() and price.get((d, r, contract), 0) > 0:
+                    open_.append((expiry, contract))
+            if not open_:
+                assert (root, d) not in got
+                continue
+            (e1, front), (e2, nxt) = [*sorted(open_), (None, None)][:2]
+            r, h = got[root, d], held[root, d]
+            assert (r["front_contract"], r["next_contract"]) == (front, nxt)
+            if nxt:
+                seen += 1
+                assert r["carry_annualized"] == pytest.approx(np.log(price[d, root, front] / price[d, root, nxt]) * 365.25 / (e2 - e1).days)
+            was, now = (price.get((day, root, before[1])) if before else None for day in (before[0] if before else d, d))
+            assert h["held_contract"] == (before[1] if before else None) and h["roll_trade"] == bool(before and before[1] != front)
+            assert h["excess_return"] == (pytest.approx(now / was - 1) if was is not None and now is not None else None)
+            before = (d, front)
+    assert seen > 40 and any(r["roll_trade"] for r in held.values())
 
 
 def test_gross_change_classes(spark):
