@@ -482,12 +482,105 @@ def test_pipeline_stages(spark, tmp_path):
         assert stage(spark, no, str(tmp_path)).count() == 0
 
 
-@pytest.mark.parametrize("name", ["op1_substrings", "op2_jaccard", "op3_html", "op4_toxicity", "op5_language", "op6_warc", "op7_bpe", "op8_token_counts", "op9_decontamination", "op10_topk", "pipeline"])
+def kept_words(text, width=13):
+    """Each text without the words of windows that a smaller doc_id has; None where nothing goes."""
+    least = {}
+    for i, w in text:
+        for k in range(len(w) - width + 1):
+            least[tuple(w[k : k + width])] = min(i, least.get(tuple(w[k : k + width]), i))
+    out = {}
+    for i, w in text:
+        gone = [False] * len(w)
+        for k in range(len(w) - width + 1):
+            if least[tuple(w[k : k + width])] < i:
+                gone[k : k + width] = [True] * width
+        out[i] = " ".join(x for x, g in zip(w, gone) if not g) if any(gone) else None
+    return out
+
+
+def without_phrases(text, phrases):
+    """A text without the runs of words that phrases cover."""
+    at = list(PLAIN.finditer("".join(c.lower() if "A" <= c <= "Z" else c for c in text)))
+    words = [m.group() for m in at]
+    hit = [False] * len(words)
+    for n in {len(p) for p in phrases}:
+        for k in range(len(words) - n + 1):
+            if tuple(words[k : k + n]) in phrases:
+                hit[k : k + n] = [True] * n
+    if not any(hit):
+        return text
+    out, last = [], 0
+    for k, h in enumerate(hit):
+        if h and (k == 0 or not hit[k - 1]):
+            out += [text[last : at[k].start()], " "]
+        if h:
+            last = at[k].end()
+    return "".join([*out, text[last:]]).strip(" \t\n\r\x0b\x0c")
+
+
+def test_pipeline_by_definition(spark, tmp_path):
+    """The whole pipeline against its stages written plainly, one after the other."""
+    import tokenizers
+
+    r = random.Random(44)
+    base, shared, leak = words_of(700, 150), words_of(701, 40), words_of(702, 24)
+    text = {}
+    for i in range(1, 181):
+        w = words_of(2000 + i, r.randrange(3, 120))
+        if i % 9 == 0:
+            w = base.copy()
+            w[r.randrange(150)] = f"near{i}"
+        if i % 7 == 0:
+            w[len(w) // 2 : len(w) // 2] = shared
+        if i % 11 == 0:
+            w[len(w) // 3 : len(w) // 3] = leak[: 8 + i % 16]
+        if i % 5 == 0:
+            for _ in range(3):
+                w.insert(r.randrange(len(w)), r.choice(["idiot", "moron", "scum"]))
+        if i % 13 == 0:
+            w = text[i - 12].split()
+        text[i] = (" " if i % 3 else "  \n").join(x.upper() if i % 17 == 0 else x for x in w)
+    text[181], text[182], text[183] = None, "", "Ünï 日本語 😀."
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in text.items()], schema).repartition(5)
+    labels = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(1, 150)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, " ".join(leak)), (2, "unheard of words"), (3, None), (None, " ".join(words_of(2004, 40)[:12]))], "item_id long, text string")
+    for name, df in (("documents", docs), ("labels", labels), ("benchmark", bench)):
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+
+    model = toxicity.train(spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    ids = list(text)
+    left = {i: text[i] for i, s in zip(ids, model.scores(pa.array([text[i] for i in ids], pa.string()))) if s < 0.5}
+    groups = {i: g for i, _, _, g in brute_links([(i, split(t)) for i, t in left.items()])}
+    left = {i: t for i, t in left.items() if groups[i] == i}
+    cut = kept_words([(i, split(t)) for i, t in sorted(left.items())])
+    repeats = sum(c is not None for c in cut.values())
+    left = {i: t if cut[i] is None else cut[i] for i, t in left.items()}
+    phrases = set()
+    for t in [" ".join(leak), "unheard of words", " ".join(words_of(2004, 40)[:12])]:
+        w = plain(t)
+        phrases |= {tuple(w[k : k + 10]) for k in range(max(len(w) - 10, 0) + 1)}
+    clean = {i: None if t is None else without_phrases(t, phrases) for i, t in left.items()}
+    assert len(text) - 20 > len(left) > 80 and repeats > 5 and sum(clean[i] != left[i] for i in left) > 3
+    coder = tokenizers.Tokenizer.from_file(queries.BYTE_BPE)
+    coder.no_truncation()
+    coder.no_padding()
+    want = {}
+    for i, t in clean.items():
+        code = coder.encode(t or "", add_special_tokens=False).ids
+        want[i] = (len(code), np.array(code, "<u4").tobytes(), hashlib.sha256(coder.decode(code, skip_special_tokens=False).encode()).hexdigest())
+    got = {x["doc_id"]: (x["n_tokens"], bytes(x["ids"]), x["decoded_sha256"]) for x in pipe.run(spark, str(tmp_path)).collect()}
+    assert set(got) == set(want)
+    for i in want:
+        assert got[i] == want[i], (i, clean[i])
+
+
+@pytest.mark.parametrize("name", ["op1_substrings", "op2_jaccard", "op3_html", "op4_toxicity", "op5_language", "op6_warc", "op7_bpe", "op8_token_counts", "op9_decontamination", "op10_topk", "op11_divergence", "op12_simhash", "op13_lexical", "pipeline"])
 def test_registered(spark, small, name):
     got = entry.queries()[name](spark, small)
     n = {"op3": "pages", "op6": "pages"}.get(name.split("_")[0], "documents")
     many = duckdb.sql(f"select count(*) from '{small}/{n}.parquet'").fetchall()[0][0]
-    if name not in ("op10_topk", "pipeline"):
+    if name not in ("op10_topk", "op11_divergence", "op13_lexical", "pipeline"):
         assert got.count() == many
     else:
         assert got.count() == (50 if name == "op10_topk" else got.count())
