@@ -33,6 +33,8 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*+(
 #: Elements whose content is text for nobody; their content may hold anything that looks like markup.
 RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "title", "xmp", "noembed", "noframes"}
 DROPPED = {"nav", "footer", "aside", "form", "select", "button", "svg", "canvas", "object", "audio", "video", "map", "menu", "dialog", "fieldset", "datalist", "math", "head"}
+#: Dropped elements that are things in a text rather than parts of a page.
+THINGS = {"select", "button", "svg", "canvas", "object", "audio", "video", "map", "math", "datalist"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img"}
 LANDMARK = {"article", "main", "body", "html"}
@@ -63,13 +65,13 @@ ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s
 
 
 #: Words that make a name of such a part longer without naming anything else.
-FORMS = set("area bar block box bottom button buttons container content disclosure group header heading icons inner item label left line link links list module outer panel placement post posts region right row section slot space text title top unit us widget wrap wrapper".split()) - {"text", "content", "title", "header", "heading", "item"}
+FORMS = set("area bar block box bottom button buttons container disclosure global group icons inline inner label left line link links list main mobile module outer page panel placement post posts primary region right row secondary section site slot space sticky top unit us wrap wrapper".split())
 
 
-def named(value: str, names: re.Pattern, inside: bool) -> bool:
-    """Whether a class, id or role names a part that isn't the article. inside: only if a name has no other word, as "share-buttons", not "side-effects"."""
+def named(value: str, names: re.Pattern, whole: bool) -> bool:
+    """Whether a class, id or role names a part that isn't the article. whole: only if a name has no other word, as "share-buttons", not "side-effects"."""
     value = ABOUT_PAGE.sub("", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value))
-    if not inside:
+    if not whole:
         return bool(names.search(value))
     for name in value.lower().split():
         words = [w for w in re.split(r"[-_\d]+", name) if w]
@@ -91,9 +93,9 @@ def boilerplate(name: str, attributes: str, inside: bool) -> bool:
         key, value = key.lower(), value.strip("\"'")
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
             return True
-        if inside and (name in HEADINGS or key == "id" and name in PARTS):
-            continue  # what a heading or section of the article is about
-        if key in ("class", "id", "role") and named(value, names, inside):
+        if name in HEADINGS or inside and key == "id" and name in PARTS:
+            continue  # what a heading or section is about
+        if key in ("class", "id", "role") and named(value, names, inside or key == "id"):
             return True
     return False
 
@@ -274,7 +276,7 @@ def lines(page: str) -> tuple[list[tuple[str, int, bool]], list[int], list[tuple
         where.append(len(tree) - 1)
         if boilerplate(name, m[4], articles > 0):
             readers = bool(READERS.search(re.sub(r"[\"'=]", " ", m[4] or "")))
-            skipped, depth, base, gap = name, 1, len(open_) - 1, 1 if name not in ("nav", "header", "footer") and PASSING.search(m[4] or "") else WINDOW
+            skipped, depth, base, gap = name, 1, len(open_) - 1, 1 if name in THINGS or name not in ("nav", "header", "footer") and PASSING.search(m[4] or "") else WINDOW
         elif name in ("article", "main"):
             articles += 1
     close()

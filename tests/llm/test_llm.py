@@ -200,6 +200,65 @@ def test_html_names_inside_an_article():
         assert html.main_text(f"<article><p>a</p><div class='{k}'>{ABOUT}</div></article>") == "a", k
 
 
+def made_page(r, landmark):
+    """A random page and its main text, known as it is put together."""
+    words = lambda n: [r.choice(["alpha", "beta", "naïve", "10", "日本", "x-ray", "it's", "R&D", "a<b", "“q”"]) for _ in range(n)]
+    code = lambda w: w.replace("&", "&amp;").replace("<", "&lt;").replace("“", "&ldquo;").replace("”", "&#8221;").replace("ï", r.choice(["ï", "&iuml;", "&#xEF;"]))
+
+    def inline(n):
+        plain_, marked = words(n), []
+        for w in plain_:
+            tag = r.choice(["", "", "", "b", "em", "span class='hl'", "a href='/x?a=1&b=>'", "code"])
+            marked.append(f"<{tag}>{code(w)}</{tag.split()[0]}>" if tag else code(w))
+        return r.choice([" ", "\n", "  ", " \t"]).join(marked), " ".join(plain_)
+
+    def dropped():
+        t, _ = inline(r.randrange(1, 12))
+        kinds = ["div class=ad", "div class='share-buttons'", "aside", "nav", "form", "div class='newsletter-signup'", "ul class=breadcrumbs", "div id=comments", "p hidden", "div style='display: none'", "footer"]
+        k = r.choice(kinds if landmark else kinds[:2] + kinds[5:6])  # elsewhere only what stands in the middle of a text
+        inner = {"ul": f"<li>{t}</li>", "div": r.choice([t, f"<p>{t}</p>", f"<div>{t}</div><div>{t}</div>"])}.get(k.split()[0], t)
+        return r.choice([f"<{k}>{inner}</{k.split()[0]}>", f"<script>if (1 < 2) {{ s = '</p>{words(1)[0]}' }}</script>", "<style>p > a { x: y }</style>", f"<!-- {t} -->", f"<noscript>{t}</noscript>", "<button>Go</button>", "<svg><text>no</text></svg>"])
+
+    def block(depth, least):
+        n = r.randrange(least, least + 30)
+        kind = r.choice(["p", "p", "p", "h2", "ul", "table", "section", "blockquote", "pre", "br"]) if depth < 3 else "p"
+        if kind == "section":
+            parts = [block(depth + 1, least) for _ in range(r.randrange(1, 4))]
+            return f"<section id='{r.choice(['related-work', 'side-effects', 'search' if landmark else 'searching', 'part'])}'>" + "".join(h for h, _ in parts) + "</section>", [t for _, ts in parts for t in ts]
+        if kind in ("ul", "table"):
+            items = [inline(r.randrange(least, least + 6)) for _ in range(r.randrange(1, 4))]
+            shut = r.random() < 0.5  # end tags may be left out
+            if kind == "ul":
+                return "<ul>" + "".join(f"<li>{h}" + ("</li>" if shut else "") for h, _ in items) + "</ul>", [t for _, t in items]
+            return "<table><tr>" + "".join(f"<td>{h}" + ("</td>" if shut else "") for h, _ in items) + "</tr></table>", [t for _, t in items]
+        h, t = inline(n)
+        if kind == "br":
+            h2, t2 = inline(n)
+            return f"<p>{h}<br/>{h2}</p>", [t + " " + t2]
+        return f"<{kind}>{h}</{kind}>", [t]
+
+    html_, text = [], []
+    for _ in range(r.randrange(2, 9)):
+        if r.random() < 0.4 and (landmark or text):
+            html_.append(dropped())
+        h, ts = block(0, 1 if landmark else 25)
+        html_.append(h)
+        text += ts
+    body = "".join(html_)
+    around = ["<header><h1>Site</h1><a href=/>Home</a></header>", "<nav><ul><li><a href=/a>A</a></li></ul></nav>", "<div class='cookie-consent'><p>We use cookies.</p></div>"]
+    inner = f"<{landmark}>{body}</{landmark}>" if landmark else f"<div class=content>{body}</div>"
+    page = "<!DOCTYPE html><html><head><title>T</title><meta charset=utf-8></head><body>" + "".join(r.sample(around, r.randrange(3))) + inner + r.choice(["<footer>© 1</footer>", "<div class=sidebar><p>More</p></div>", ""]) + "</body></html>"
+    return page, " ".join(text)
+
+
+@pytest.mark.parametrize("landmark", ["article", "main", ""])
+def test_html_pages_put_together(landmark):
+    r = random.Random(f"pages {landmark}")
+    for k in range(300):
+        page, text = made_page(r, landmark)
+        assert html.main_text(page) == text, (k, page)
+
+
 LONG = "A paragraph of the article that has a good many words, so that it holds most of what the page says. " * 8
 SHORT = "A closing section of the text that is rather short, but not so short as a line."
 LINKED = {
