@@ -100,6 +100,15 @@ def finite(col: Column) -> Column:
     return F.when(~bad, col)
 
 
+def correlation(x, y, frame: WindowSpec | None = None) -> Column:
+    """Pearson correlation over rows with both values; NULL where one doesn't vary, which the built-in aggregate fails on."""
+    x, y = (F.col(c) if isinstance(c, str) else c for c in (x, y))
+    x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    parts = [F.covar_pop(x, y), F.var_pop(x), F.var_pop(y)]
+    both, vx, vy = (a if frame is None else a.over(frame) for a in parts)
+    return finite(ratio(both, F.sqrt(vx * vy)))
+
+
 def truth(cond: Column) -> Column:
     """Comparison with a missing operand counts as false."""
     return F.coalesce(cond, F.lit(False))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelweft.functions.frames import finite, positive, ratio, snap, xs_rank
+from panelweft.functions.frames import correlation, finite, positive, ratio, snap, xs_rank
 
 
 def daily_ic(df: DataFrame, score: str, label: str, by: Sequence[str] = ("session_idx",), wide: bool = False) -> DataFrame:
@@ -21,8 +21,8 @@ def daily_ic(df: DataFrame, score: str, label: str, by: Sequence[str] = ("sessio
     both = both.withColumns({"__s": snap(score, 9), "__l": snap(label, 9)})
     both = xs_rank(xs_rank(both, "__s", "__rs", by, wide), "__l", "__rl", by, wide)
     return both.groupBy(*by).agg(
-        finite(F.corr(score, label)).alias("ic"),
-        finite(F.corr("__rs", "__rl")).alias("rank_ic"),
+        correlation(score, label).alias("ic"),
+        correlation("__rs", "__rl").alias("rank_ic"),
         F.count("*").alias("names"),
     )
 
@@ -65,7 +65,7 @@ def family_correlation(ics: DataFrame) -> DataFrame:
     """Correlation of daily rank ICs between families (a handful of families)."""
     a = ics.select("session_idx", F.col("family").alias("left"), F.col("rank_ic").alias("x"))
     b = ics.select("session_idx", F.col("family").alias("right"), F.col("rank_ic").alias("y"))
-    return a.join(b, "session_idx").where("left < right").groupBy("left", "right").agg(finite(F.corr("x", "y")).alias("correlation"))
+    return a.join(b, "session_idx").where("left < right").groupBy("left", "right").agg(correlation("x", "y").alias("correlation"))
 
 
 def admit(qualified: list[tuple[str, float, float]], correlation: dict[tuple[str, str], float], limit: float = 0.75, most: int = 4) -> list[str]:
@@ -271,7 +271,7 @@ def zero_intercept_slope(df: DataFrame, score: str, label: str, by: Sequence[str
     return both.groupBy(*by).agg(
         (F.sum(x * y) / (F.sum(x * x) + penalty)).alias("slope"),
         F.count("*").alias("observations"),
-        finite(F.corr(score, label)).alias("pooled_correlation"),
+        correlation(score, label).alias("pooled_correlation"),
         F.avg((F.signum(x) == F.signum(y)).cast("double")).alias("directional_accuracy"),
     )
 
@@ -493,7 +493,7 @@ def hac_regression(df: DataFrame, y: str, x: str, by: Sequence[str], lags: int =
     g = d.groupBy(*by).agg(
         F.count("*").alias("sessions"), F.sum(x).alias("sx"), F.sum(F.col(x) * F.col(x)).alias("sxx"),
         F.max("__a").alias("alpha"), F.max("__b").alias("market_beta"), F.regr_r2(F.col(y), F.col(x)).alias("r_squared"),
-        finite(F.corr(y, x)).alias("correlation"), F.sum(s00).alias("s00"), F.sum(s01).alias("s01"), F.sum(s11).alias("s11"),
+        correlation(y, x).alias("correlation"), F.sum(s00).alias("s00"), F.sum(s01).alias("s01"), F.sum(s11).alias("s11"),
     )
     n, sx, sxx = F.col("sessions"), F.col("sx"), F.col("sxx")
     det = n * sxx - sx * sx

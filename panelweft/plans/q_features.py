@@ -691,7 +691,7 @@ def w35(spark, sf):
     df = tb.panel(spark, sf)
     pair = F.when(F.col("ret").isNotNull() & F.col("market").isNotNull(), 1)
     f = fr.ts(26)
-    c = F.when(F.count(pair).over(f) >= 13, fr.finite(F.corr("ret", "market").over(f)))
+    c = F.when(F.count(pair).over(f) >= 13, fr.correlation("ret", "market", f))
     return pick(df, c.alias("corr_26"))
 
 

@@ -86,7 +86,8 @@ prj AS (SELECT decision, sum(p1) AS s11, sum(p2) AS s12, sum(beta * p2) AS s22,
     "c08_mv_direction",
     out(
         COV_SQL + _SOLVE_SQL,
-        "SELECT s.decision, position, (pa - p1 * (s22 * t1 - s12 * t2) / (s11 * s22 - s12 * s12) - p2 * (s11 * t2 - s12 * t1) / (s11 * s22 - s12 * s12)) / 10.0 AS direction FROM slv s JOIN prj p USING (decision) WHERE abs(s11 * s22 - s12 * s12) > 1e-9 * s11 * s22",
+        """SELECT s.decision, position, CASE WHEN abs(s11 * s22 - s12 * s12) <= 1e-9 * s11 * s22 THEN 0.0 ELSE
+            (pa - p1 * (s22 * t1 - s12 * t2) / (s11 * s22 - s12 * s12) - p2 * (s11 * t2 - s12 * t1) / (s11 * s22 - s12 * s12)) / 10.0 END AS direction FROM slv s JOIN prj p USING (decision)""",
         "decision:i position:i direction:f", 4,
     ),
 )

@@ -741,7 +741,7 @@ def a47(spark, sf):
     d = sleeve_ledger(spark, sf)
     perf = rp.performance(d, ES, periods=52.0)
     m = tb.attach(d, tb.market_series(tb.priced(spark, sf)), "session_idx", tb.shape(spark, sf).sessions)
-    c = m.groupBy(*ES).agg(fr.finite(F.corr("net_return", "market")).alias("market_correlation"))
+    c = m.groupBy(*ES).agg(fr.correlation("net_return", "market").alias("market_correlation"))
     return finish(perf.join(c, ES).select(*ES, "sessions", "sharpe", "total_return", "market_correlation"))
 
 

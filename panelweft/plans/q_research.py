@@ -393,7 +393,7 @@ def a24(spark, sf):
 def a36(spark, sf):
     df = library(spark, sf)
     daily = df.groupBy("session_idx").agg(
-        fr.finite(F.corr("reversal_3", "high_52")).alias("c"),
+        fr.correlation("reversal_3", "high_52").alias("c"),
         *[F.sum(x).alias(n) for n, x in {
             "n": F.when(F.col("reversal_3").isNotNull() & F.col("high_52").isNotNull(), 1),
             "sx": F.when(F.col("high_52").isNotNull(), F.col("reversal_3")),

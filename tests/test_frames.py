@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from panelweft.functions import frames as fr
@@ -168,6 +169,16 @@ def test_fundamental_scores_are_the_same_in_both_plans(spark):
     assert found[0]["quality_score"].notna().sum() > 60 and found[0].loc[found[0]["session_idx"] == 0, "quality_score"].isna().all()
 
 
+def test_correlation_without_variation_is_missing(spark):
+    rows = [(1, 1.0, 2.0), (1, 1.0, 3.0), (2, 1.0, 2.0), (3, 1.0, 2.0), (3, 2.0, 1.0), (3, 4.0, None), (3, None, 9.0), (4, None, 1.0), (5, 1.0, 1.0), (5, 2.0, 4.0), (5, 3.0, 9.0)]
+    df = spark.createDataFrame(rows, "k int, x double, y double")
+    got = {r["k"]: r["c"] for r in df.groupBy("k").agg(fr.correlation("x", "y").alias("c")).collect()}
+    assert got[1] is None and got[2] is None and got[4] is None
+    assert got[3] == pytest.approx(-1) and got[5] == pytest.approx(np.corrcoef([1, 2, 3], [1, 4, 9])[0, 1])
+    over = df.where("k = 5").withColumn("c", fr.correlation("x", "y", Window.partitionBy("k").orderBy("x").rowsBetween(-1, 0)))
+    assert [None if v is None else round(v, 9) for v in (r["c"] for r in over.orderBy("x").collect())] == [None, 1.0, 1.0]
+
+
 def test_knots(spark):
     x = [None, -1.0, 0.0, 0.25, 1.0, 1.5, 2.0, 9.0]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(x)], "i int, v double").withColumn("y", rg.piecewise(F.col("v"), ((0.0, 1.0), (1.0, 3.0), (2.0, 0.0))))
