@@ -7,12 +7,15 @@ from dataclasses import dataclass
 from datetime import date
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelweft.functions.frames import at, finite, roll, snap, truth, ts
 from panelweft.operators.quality import EVIDENCE_TYPES, manifest_rules
 from panelweft.operators.temporal import Bounded
+from panelweft.session import cut
 
 
 @dataclass(frozen=True)
@@ -110,19 +113,64 @@ def versions(df: DataFrame, line: Timeline, key: Sequence[str], order: Sequence[
     return df.withColumn("to", F.coalesce(F.min("from").over(after), F.lit(line.count))).where("from < to")
 
 
-def pieces(df: DataFrame, cuts: Column) -> DataFrame:
-    """One row for each two neighbours ``p``, ``q`` of the sorted distinct cuts."""
-    df = df.withColumn("__cuts", F.array_sort(F.array_distinct(cuts))).where(F.size("__cuts") > 1)
-    spans = F.expr("transform(sequence(0, size(__cuts) - 2), i -> struct(__cuts[i] AS p, __cuts[i + 1] AS q))")
-    return df.withColumn("__span", F.explode(spans)).select("*", "__span.*").drop("__cuts", "__span")
-
-
-def _of_bar(v: Column) -> Column:
-    return F.get(F.filter(v, lambda x: (x["from"] <= F.col("p")) & (F.col("p") < x["to"])), F.lit(0))
-
-
-def _cuts(v: Column) -> Column:
-    return F.coalesce(F.flatten(F.transform(v, lambda x: F.array(x["from"], x["to"]))), F.array().cast("array<int>"))
+def _between(t: pa.Table, *names: str) -> list[np.ndarray]:
+    """Columns as arrays; what is missing is NaN among doubles and False among booleans."""
+    out = []
+    for n in names:
+        c = t.column(n)
+        out.append(c.fill_null(False).to_numpy(zero_copy_only=False).astype(bool) if pa.types.is_boolean(c.type) else c.to_numpy())
+    return out
+
+
+def _worth(events: pa.Table, bars: pa.Table, opens: np.ndarray, count: int, policy: UniversePolicy, historical: bool) -> dict[str, np.ndarray]:
+    """What a security's versions of events and bars say at every place: a table of sessions by places, filled version by version."""
+    sessions, places = len(opens), np.arange(count)
+    start, stop, eff, active = _between(events, "from", "to", "eff_idx", "active")
+    state, then = np.full(count, -1), np.zeros((sessions, count), bool)
+    for k in range(len(start)):  # in the order of states: a later one covers an earlier one
+        state[start[k] : stop[k]] = k
+        then[eff[k] :, start[k] : stop[k]] = active[k]
+    close, volume = np.full((sessions, count), np.nan), np.full((sessions, count), np.nan)
+    said, halted, known = (np.zeros((sessions, count), bool) for _ in range(3))
+    if bars.num_rows:
+        start, session, c, v, is_said, is_halted = _between(bars, "from", "session_idx", "close", "volume", "said", "halted")
+        there = bars.column("close").is_valid().to_numpy()
+        order = np.lexsort((c, there, bars.column("available_at").cast(pa.int64()).to_numpy(), session))
+        until = np.full(sessions, count)
+        end = np.empty(len(start), np.int64)
+        for k in order[::-1]:  # a version holds until a later one of its session is known
+            end[k] = until[session[k]]
+            until[session[k]] = min(until[session[k]], start[k])
+        for k in order:
+            if start[k] < end[k]:
+                at_ = session[k], slice(start[k], end[k])
+                close[at_], volume[at_], said[at_], halted[at_], known[at_] = c[k], v[k], is_said[k], is_halted[k], True
+    with np.errstate(all="ignore"):
+        same = np.zeros((sessions, count), bool)
+        same[1:] = close[1:] - close[:-1] == 0
+        flat = same.copy()
+        for k in range(1, policy.stale_sessions):
+            flat[k:] &= same[:-k]
+            flat[:k] = False
+        stale = known & (said | flat)
+        number = lambda x: (x > 0) & (x < np.inf)
+        valid = known & number(close) & number(volume) & ~halted & ~stale & (places >= opens[:, None])
+        if historical:
+            valid &= then
+        latest = np.searchsorted(opens, places, side="right") - 1  # the last session closed by then
+        n = policy.liquidity_sessions
+        window = latest[:, None] - np.arange(n)
+        inside, window = window >= 0, np.maximum(window, 0)
+        good = valid[window, places[:, None]] & inside
+        amount = np.sort(np.where(good, (close * volume)[window, places[:, None]], np.nan), axis=1)  # NaN last
+        m = good.sum(axis=1)
+        low, high = amount[places, np.maximum(m - 1, 0) // 2], amount[places, np.minimum(m // 2, n - 1)]
+        median = np.where(m > 0, 0.5 * low + 0.5 * high, np.nan)
+    here, last = latest >= 0, np.maximum(latest, 0)
+    return {
+        "place": places, "state": state, "valid_observations": valid.sum(axis=0), "latest_close": np.where(here, close[last, places], np.nan), "median_dollar_volume": median,
+        "coverage": m / float(n), "is_stale": here & stale[last, places], "__latest_ok": here & valid[last, places],
+    }
 
 
 def universes(
@@ -134,69 +182,34 @@ def universes(
     status. ``bars``: security_id, session_idx, effective_at, available_at, close, volume, is_stale, is_suspended.
     ``calendar``: session_idx (0, 1, ...), close_at. ``decisions``: decision (any integer), decision_at.
 
-    No row meets every decision. A version of an event or bar is the latest known one between two decisions, so what
-    a bar is worth (its close, whether it is valid) is a step function over decisions with a step where a version of
-    it, of the bars before it or of its security's events becomes known. Valid observations are running sums of the
-    steps; only the ``liquidity_sessions`` of a decision are expanded, for their median. All of it is partitioned by
-    security, once: a security has the bars of a calendar and a few events, and sessions without a bar stay gaps.
+    No row meets every decision. A version of an event or bar is the latest known one between two decisions; a task
+    takes a security at a time, with the bars of a calendar and a few events, and fills a table of sessions by
+    decisions from its versions, of which observations, coverage and medians are sums and sorts. All of it is
+    partitioned by security, once, and sessions without a bar stay gaps.
     """
     line = timeline(calendar, decisions, policy.liquidity_sessions)
     e = versions(master, line, ["event_id"], ["available_at", "status"])
     e = line.closes.before(e, F.col("effective_at"), "eff_idx")
     state = F.struct("effective_at", "event_id", "status", "ticker", "security_type", "listing_country", "exchange")
-    e = e.groupBy("security_id").agg(F.collect_list(F.struct("from", "to", "eff_idx", state.alias("state"))).alias("__e"))
-
-    def known_state(session: Column | None) -> Column:
-        """The latest state effective by a session's close, or at all, as known at ``p``."""
-        live = F.filter("__e", lambda x: (x["from"] <= F.col("p")) & (F.col("p") < x["to"]) & (F.lit(True) if session is None else x["eff_idx"] <= session))
-        return F.array_max(F.transform(live, lambda x: x["state"]))
-
-    grid = pieces(e, _cuts(F.col("__e"))).withColumn("state", known_state(None)).where("state is not null")
-    grid = grid.select("security_id", F.explode(F.sequence("p", F.col("q") - 1)).alias("place"), "state")
-
-    b = bars.select("security_id", "session_idx", "available_at", "effective_at", F.col("close").cast("double").alias("close"), F.col("volume").cast("double").alias("volume"), truth(F.col("is_stale")).alias("said"), truth(F.col("is_suspended")).alias("halted"))
-    b = b.join(line.sessions.side("session_idx", "opens", "left", "next"), "session_idx")
-    b = versions(b.repartition("security_id"), line, ["security_id", "session_idx"], ["available_at", "close"])
-    value = F.struct("from", "to", "close", "volume", "said", "halted")
-    b = b.groupBy("security_id", "session_idx").agg(F.first("opens").alias("opens"), F.first("left").alias("left"), F.first("next").alias("next"), F.collect_list(value).alias("__v"))
-    back = range(1, policy.stale_sessions + 1)
-    b = b.withColumns({f"__v{k}": at("__v", -k) for k in back}).join(e, "security_id", "left")
-    so_far = F.filter("__e", lambda x: x["eff_idx"] <= F.col("session_idx"))
-    cuts = F.flatten(F.array(*(_cuts(F.col(c)) for c in ("__v", *(f"__v{k}" for k in back))), _cuts(so_far)))
-    b = pieces(b, F.transform(cuts, lambda c: F.greatest(c, F.col("opens"))))
-    b = b.withColumns({"__now": _of_bar(F.col("__v")), **{f"__c{k}": _of_bar(F.col(f"__v{k}"))["close"] for k in back}}).where("__now is not null")
-    closes = [F.col("__now")["close"], *(F.col(f"__c{k}") for k in back)]
-    same = F.lit(True)
-    for x, y in zip(closes, closes[1:]):
-        same = same & truth(x - y == 0)
-    b = b.withColumn("stale", F.col("__now")["said"] | same)
-    number = lambda c: truth((c > 0) & (c < float("inf")))
-    ok = number(F.col("__now")["close"]) & number(F.col("__now")["volume"]) & ~F.col("__now")["halted"] & ~F.col("stale")
-    if historical:
-        ok = ok & truth(known_state(F.col("session_idx"))["status"] == "ACTIVE")
-    b = b.select("security_id", "session_idx", "p", "q", "left", "next", F.col("__now")["close"].alias("close"), F.col("__now")["volume"].alias("volume"), "stale", ok.alias("valid"))
-    # one pass over the pieces: what they add to the running counts, and their values where they are recent
-    none = F.lit(None)
-    step = lambda at_, by: F.struct(at_.alias("place"), F.lit(by).alias("step"), none.cast("double").alias("close"), none.cast("double").alias("volume"), none.cast("boolean").alias("stale"), none.cast("boolean").alias("valid"), none.cast("boolean").alias("last"))
-    steps = F.when(F.col("valid"), F.array(step(F.col("p"), 1), step(F.col("q"), -1))).otherwise(F.array(step(F.col("p"), 0)))
-    until = F.least("q", "left")
-    recent = F.when(F.col("p") < until, F.transform(F.sequence("p", until - 1), lambda k: F.struct(
-        k.alias("place"), F.lit(0).alias("step"), F.col("close").alias("close"), F.col("volume").alias("volume"), F.col("stale").alias("stale"), F.col("valid").alias("valid"), (k < F.col("next")).alias("last")
-    ))).otherwise(F.slice(F.array(step(F.col("p"), 0)), 1, 0))
-    pieces_ = b.select("security_id", F.explode(F.concat(steps, recent)).alias("__r")).select("security_id", "__r.*")
-    rows = grid.unionByName(pieces_, allowMissingColumns=True)
-    n = policy.liquidity_sessions
-    g = rows.groupBy("security_id", "place").agg(
-        F.max("state").alias("state"), F.coalesce(F.sum("step"), F.lit(0)).alias("__step"),
-        F.max(F.when(F.col("last"), F.col("close"))).alias("latest_close"),
-        # at most one value per recent session
-        F.percentile(F.when(F.col("valid"), F.col("close") * F.col("volume")), F.lit(0.5)).alias("median_dollar_volume"),
-        (F.coalesce(F.sum(F.col("valid").cast("int")), F.lit(0)) / F.lit(float(n))).alias("coverage"),
-        F.coalesce(F.max(F.when(F.col("last"), F.col("stale"))), F.lit(False)).alias("is_stale"),
-        F.coalesce(F.max(F.when(F.col("last"), F.col("valid"))), F.lit(False)).alias("__latest_ok"),
-    )
-    upto = Window.partitionBy("security_id").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    g = g.withColumn("valid_observations", F.sum("__step").over(upto)).where("state is not null").drop("__step")
+    e = e.groupBy("security_id").agg(F.array_sort(F.collect_list(F.struct(state.alias("state"), "from", "to", "eff_idx"))).alias("__e"))
+    rows = e.select("security_id", F.explode("__e").alias("x")).select("security_id", "x.from", "x.to", "x.eff_idx", truth(F.col("x.state.status") == "ACTIVE").alias("active"))
+
+    b = bars.where(F.col("session_idx").between(0, line.closes.count - 1))
+    b = line.instants.before(b, F.when(F.col("available_at").isNotNull() & F.col("effective_at").isNotNull(), F.greatest("available_at", "effective_at")), "from")
+    b = b.select("security_id", F.col("session_idx").cast("int"), "from", "available_at", F.col("close").cast("double"), F.col("volume").cast("double"), truth(F.col("is_stale")).alias("said"), truth(F.col("is_suspended")).alias("halted"))
+    opens = np.array([r[0] for r in line.sessions.df.orderBy("session_idx").select("opens").collect()], np.int64)  # a number a session
+    count = line.count
+    kinds = "security_id string, place int, state int, valid_observations long, latest_close double, median_dollar_volume double, coverage double, is_stale boolean, __latest_ok boolean"
+    fields = {"place": pa.int32(), "state": pa.int32(), "valid_observations": pa.int64(), "latest_close": pa.float64(), "median_dollar_volume": pa.float64(), "coverage": pa.float64(), "is_stale": pa.bool_(), "__latest_ok": pa.bool_()}
+
+    def run(events: pa.Table, own: pa.Table) -> pa.Table:
+        got = _worth(events, own, opens, count, policy, historical) if events.num_rows else {c: np.zeros(0) for c in fields}
+        there = got["state"] >= 0
+        key = np.repeat(events.column("security_id")[0].as_py(), int(there.sum())) if events.num_rows else []
+        return pa.table({"security_id": pa.array(key, pa.string()), **{c: pa.array(got[c][there]).cast(t) for c, t in fields.items()}})
+
+    g = rows.groupBy("security_id").cogroup(b.groupBy("security_id")).applyInArrow(run, kinds)
+    g = g.join(e, "security_id").withColumn("state", F.col("__e")[F.col("state")]["state"]).drop("__e")
     g = g.withColumns({c: finite(F.col(c)) for c in ("latest_close", "median_dollar_volume")})
     g = g.join(line.decisions.side("place", "decision", "decision_at", "latest_idx"), "place").select("*", "state.*").drop("state", "place")
     return _audit(g, policy)
@@ -216,7 +229,7 @@ FEED = "SIP"
 
 def _seen(broken: DataFrame, rule: str, start: str = "from", stop: Column | None = None) -> DataFrame:
     """When a rule is broken: from the first decision that sees the row, to the end unless the row is replaced."""
-    return broken.select(F.lit(rule).alias("rule"), F.col(start).alias("start"), (F.lit(None).cast("int") if stop is None else stop).alias("stop"))
+    return broken.select(F.lit(rule).alias("rule"), F.col(start).alias("start"), (F.lit(None).cast("int") if stop is None else stop).alias("stop"), (F.col("__rows") if "__rows" in broken.columns else F.lit(1).cast("long")).alias("__rows"))
 
 
 def gate_rules(
@@ -235,16 +248,18 @@ def gate_rules(
     known = F.when(F.col("available_at").isNotNull() & F.col("effective_at").isNotNull(), F.greatest("available_at", "effective_at"))
     m = line.instants.before(master, known, "from").where(F.col("from") < n)
     b = line.instants.before(bars, known, "from").where(F.col("from") < n)
+    # the rules on single bars need only what they say, and how many say it
+    said = cut(b.groupBy("publication_id", "session", "effective_at", "available_at", "feed", "from").agg(F.count("*").alias("__rows")))
     found = []
 
     # evidence: one row a publication, joined by its hash
     p = publications.groupBy("publication_id").agg(
         F.count("*").alias("__copies"), F.min("published_at").alias("__published"), F.bool_and(truth(F.col("verified"))).alias("__verified"), F.bool_and(truth(F.col("evidence_type").isin(*EVIDENCE_TYPES))).alias("__typed"),
     )
-    for name, df in (("master", m), ("bar", b)):
-        linked = df.select("publication_id", "available_at", "from").join(p, "publication_id", "left")
+    for name, df in (("master", m.withColumn("__rows", F.lit(1).cast("long"))), ("bar", said)):
+        linked = df.groupBy("publication_id", "available_at", "from").agg(F.sum("__rows").alias("__rows")).join(p, "publication_id", "left")
         verdict = F.when(F.col("__copies").isNull(), "missing").when(F.col("__copies") > 1, "repeated").when(~F.col("__typed"), "of_unknown_type").when(~F.col("__verified"), "unverified").when(F.col("available_at") < F.col("__published"), "late")
-        found.append(linked.withColumn("__verdict", verdict).where("__verdict is not null").select(F.concat_ws("_", F.lit(name), F.lit("evidence"), "__verdict").alias("rule"), F.col("from").alias("start"), F.lit(None).cast("int").alias("stop")))
+        found.append(linked.withColumn("__verdict", verdict).where("__verdict is not null").select(F.concat_ws("_", F.lit(name), F.lit("evidence"), "__verdict").alias("rule"), F.col("from").alias("start"), F.lit(None).cast("int").alias("stop"), "__rows"))
 
     # revisions and identity of events; a rule over several rows holds once the second of them is seen
     second = lambda: F.get(F.array_sort(F.collect_list("from")), F.lit(1))
@@ -264,26 +279,29 @@ def gate_rules(
     found.append(_seen(revived, "security_reactivated", stop=F.col("to")))
 
     # bars
-    found.append(_seen(b.where(~truth(F.col("feed") == FEED)), "feed_not_consolidated"))
-    again = b.groupBy("security_id", "session", "available_at").agg(second().alias("from")).where("`from` is not null")
-    found.append(_seen(again, "bar_revision_ambiguous"))
+    found.append(_seen(said.where(~truth(F.col("feed") == FEED)), "feed_not_consolidated"))
+    # of a security: when it is first seen, and the revisions that share a time
+    per = b.groupBy("security_id", "session", "available_at").agg(F.min("from").alias("from"), F.count("*").alias("__n"), F.collect_list("from").alias("__froms"))
+    twice = F.when(F.col("__n") > 1, F.get(F.array_sort("__froms"), F.lit(1)))
+    per = cut(per.groupBy("security_id").agg(F.min("from").alias("from"), F.collect_list(twice).alias("__again")))
+    found.append(_seen(per.select(F.explode("__again").alias("from")), "bar_revision_ambiguous"))
     born = m.groupBy("security_id").agg(F.min("from").alias("__born"))
-    early = b.groupBy("security_id").agg(F.min("from").alias("from")).join(born, "security_id", "left").where("__born is null or `from` < __born")
+    early = per.select("security_id", "from").join(born, "security_id", "left").where("__born is null or `from` < __born")
     found.append(_seen(early, "bar_without_master", stop=F.coalesce("__born", n)))
-    dated = b.join(calendar.select("session", "close_at"), "session", "left")
+    dated = said.join(calendar.select("session", "close_at"), "session", "left")
     rules = {
         "bar_off_calendar": F.col("close_at").isNull(),
         "bar_not_at_close": F.col("close_at").isNotNull() & (F.col("effective_at") != F.col("close_at")),
         "bar_before_close": F.col("close_at").isNotNull() & (F.col("available_at") < F.col("effective_at")),
     }
     broken = F.array_compact(F.array(*(F.when(bad, F.lit(name)) for name, bad in rules.items())))
-    found.append(dated.select(F.explode(broken).alias("rule"), F.col("from").alias("start"), F.lit(None).cast("int").alias("stop")))
+    found.append(dated.select(F.explode(broken).alias("rule"), F.col("from").alias("start"), F.lit(None).cast("int").alias("stop"), "__rows"))
 
     spans = found[0]
     for f in found[1:]:
         spans = spans.unionByName(f)
     # rows by interval first: as many as pairs of places, however many rows are broken
-    spans = spans.groupBy("rule", "start", F.coalesce("stop", n).alias("stop")).agg(F.count("*").alias("rows")).where("start < stop")
+    spans = spans.groupBy("rule", "start", F.coalesce("stop", n).alias("stop")).agg(F.sum("__rows").alias("rows")).where("start < stop")
     steps = spans.select("rule", F.explode(F.array(F.struct(F.col("start").alias("place"), F.col("rows").alias("step")), F.struct(F.col("stop").alias("place"), (-F.col("rows")).alias("step")))).alias("s")).select("rule", "s.*").groupBy("rule", "place").agg(F.sum("step").alias("step"))
     d = line.decisions
     grid = spans.select("rule").distinct().select("rule", F.explode(F.sequence(F.lit(0), n - 1)).alias("place"), F.lit(0).cast("long").alias("step"))
