@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -108,28 +110,37 @@ def fundamental_events(facts: DataFrame, filings: DataFrame, mapping: DataFrame)
     return events.withColumn("restatement_flag", F.coalesce("is_amendment", F.lit(False)))
 
 
-def _ranks_of_each(expanded: DataFrame, components: Sequence[str]) -> DataFrame:
-    """Adds the winsorised rank of each component in its (session, sector), from windows."""
-    by = ("session_idx", "sector")
-    df = xs_quantiles(expanded, {f"__lo_{c}": (c, 0.01) for c in components} | {f"__hi_{c}": (c, 0.99) for c in components}, by)
+def _interpolated(ordered: np.ndarray, q: float) -> float:
+    place = (len(ordered) - 1) * q
+    low, high = ordered[int(np.floor(place))], ordered[int(np.ceil(place))]
+    return low if low == high else (np.ceil(place) - place) * low + (place - np.floor(place)) * high
+
 
-    def winsorised(c):
-        v = F.least(F.greatest(F.col(c), F.col(f"__lo_{c}")), F.col(f"__hi_{c}"))
-        return snap(F.when(F.col(c).isNotNull(), v), 9)
+def _centred(value: np.ndarray) -> np.ndarray:
+    """Ranks of the winsorised values, from -1 to 1."""
+    ordered, n = np.sort(value), len(value)
+    v = np.fmin(np.maximum(value, _interpolated(ordered, 0.01)), _interpolated(ordered, 0.99))
+    v = np.sign(v) * np.floor(np.abs(v) * 1e9 + 0.5) / 1e9
+    ordered = np.sort(v)
+    k = (np.searchsorted(ordered, v, "left") + 1 + np.searchsorted(ordered, v, "right")) / 2.0  # ties share their mean
+    return (k - (n + 1) / 2) / ((n - 1) / 2)
 
-    df = df.withColumns({f"__v_{c}": winsorised(c) for c in components})
-    df = df.drop(*[f"__{e}_{c}" for e in ("lo", "hi") for c in components])
-    for c in components:
-        df = xs_rank(df, f"__v_{c}", f"__k_{c}", by, pct=False)
-    df = xs_stats(df, by, **{f"__n_{c}": F.count(f"__v_{c}") for c in components})
 
-    def centred(c):
-        n = F.col(f"__n_{c}")
-        return F.when(n >= 5, (F.col(f"__k_{c}") - (n + 1) / 2) / ((n - 1) / 2))
+def _ranks_of_each(expanded: DataFrame, components: Sequence[str]) -> DataFrame:
+    """Adds the winsorised rank of each component in its (session, sector); a task holds the numbers of one such group."""
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in expanded.schema)
+
+    def run(t: pa.Table) -> pa.Table:
+        for c in components:
+            own = t.column(c).combine_chunks()
+            there = own.is_valid().to_numpy(zero_copy_only=False)
+            rank = np.full(len(own), np.nan)
+            if there.sum() >= 5:
+                rank[there] = _centred(own.drop_null().cast(pa.float64()).to_numpy(zero_copy_only=False))
+            t = t.append_column(f"{c}_rank", pa.array(rank, mask=~there | (there.sum() < 5)))
+        return t
 
-    df = df.withColumns({f"{c}_rank": centred(c) for c in components})
-    df = df.drop(*[f"__{e}_{c}" for e in ("v", "k", "n") for c in components])
-    return df
+    return expanded.groupBy("session_idx", "sector").applyInArrow(run, kinds + "".join(f", `{c}_rank` double" for c in components))
 
 
 def _ranks_of_all(expanded: DataFrame, components: Sequence[str]) -> DataFrame:
@@ -167,8 +178,8 @@ def fundamental_scores(
 
     qn, q = mean(ranks[:4], "quality")
     gn, g = mean(ranks[4:], "growth")
-    # one row per (session, symbol): the row count is the number of symbols
-    df = xs_stats(df, ("session_idx",), wide, __names=F.count("*"))
+    # one row per (session, symbol): the row count is the number of symbols; a row a session, calendar-bounded
+    df = join_safe(df, F.broadcast(expanded.groupBy("session_idx").agg(F.count("*").alias("__names"))), ["session_idx"])
     big = F.col("__names") >= minimum
     return df.withColumns(
         {

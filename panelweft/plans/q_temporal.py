@@ -320,9 +320,14 @@ SCORES_SQL = (
 )
 
 
+#: Most names of a sector whose six numbers a session one task ranks: some 200 bytes a name.
+SCORED_NAMES = 4_000_000
+
+
 def fundamental_scores(spark, sf):
-    wide = tb.row_count(spark, sf, "customer") > tb.WIDE_NAMES
-    return fd.fundamental_scores(expanded_filings(spark, sf), 100, wide=wide)
+    most = tb._once(spark, sf, "largest segment", lambda: tb.table(spark, sf, "customer").groupBy("c_mktsegment").count().agg(F.max("count")).first()[0] or 0)
+    filings = expanded_filings(spark, sf).select("symbol", "session", "session_idx", "sector", *fd.COMPONENTS)
+    return fd.fundamental_scores(filings, 100, wide=most > SCORED_NAMES)
 
 
 @query(

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
+from panelweft.operators import fundamentals as fd
 from panelweft.operators import research as rs
 
 
@@ -32,3 +32,18 @@ def test_covariance_follows_members(spark):
     # a third of the names are never held: their returns once went to every tile
     plan = rs.window_covariance(r, m, lookback, 2)._jdf.queryExecution().optimizedPlan().toString()
     assert "CoGroup" not in plan and plan.index("FlatMapGroupsInArrow") < plan.index("Join")
+
+
+def test_scores_hold_one_group_of_numbers(spark):
+    """Ranks need no window over a sector's rows, whose percentile maps held gigabytes, and equal those of the tiled plan."""
+    rng = np.random.default_rng(5)
+    rows = [(s, "a" if k % 3 else None, k, *(None if rng.random() < 0.2 else float(rng.integers(0, 9)) / 3 for _ in fd.COMPONENTS)) for s in (1, 2) for k in range(60)]
+    df = spark.createDataFrame(rows, "session_idx int, sector string, symbol int, " + ", ".join(f"{c} double" for c in fd.COMPONENTS))
+    each = fd.fundamental_scores(df, 50)
+    assert "Window" not in each._jdf.queryExecution().optimizedPlan().toString()
+    keyed = lambda d: {(r["session_idx"], r["symbol"]): r for r in d.collect()}
+    a, b = keyed(each), keyed(fd.fundamental_scores(df, 50, wide=True))
+    assert a.keys() == b.keys() and len(a) == 120
+    for k in a:
+        for c in ("quality_components", "growth_components", "quality_score", "conservative_growth_score"):
+            assert a[k][c] == (None if b[k][c] is None else pytest.approx(b[k][c], abs=1e-12))
