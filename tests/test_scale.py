@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from panelweft.functions import frames as fr
 from panelweft.operators import fundamentals as fd
+from panelweft.operators import ledger as lg
 from panelweft.operators import research as rs
 
 
@@ -47,3 +50,42 @@ def test_scores_hold_one_group_of_numbers(spark):
     for k in a:
         for c in ("quality_components", "growth_components", "quality_score", "conservative_growth_score"):
             assert a[k][c] == (None if b[k][c] is None else pytest.approx(b[k][c], abs=1e-12))
+
+
+def test_ledger_reads_each_history_once(spark):
+    """Paths come from one row a name: sparse returns count as flat, a total loss stays one, and no path row is joined or shuffled."""
+    tg = [("e", 1, "a", 0.5), ("e", 1, "b", -0.5), ("e", 3, "b", 0.25), ("e", 3, "c", 0.25), ("f", 2, "a", 0.5)]
+    ret = {("a", 2): 0.1, ("a", 3): -1.0, ("b", 2): -0.2, ("b", 4): 0.5, ("b", 0): 0.3}
+    targets = spark.createDataFrame(tg, "experiment string, session_idx int, security_id string, weight double")
+    returns = spark.createDataFrame([(n, s, v) for (n, s), v in ret.items()], "security_id string, session_idx int, ret double")
+    risk = spark.createDataFrame([(n, s, 0.01, 1e6) for n in "abc" for s in range(6)], "security_id string, session_idx int, vol double, adv double")
+    led = lg.pnl_ledger(targets, returns, risk, 5, 7, 1e4, lg.Costs(0, 0, 0, 0, 0))
+    day = {(r["experiment"], r["session_idx"]): r for r in led.daily.collect()}
+    assert sorted(day) == [("e", 2), ("e", 3), ("e", 4), ("e", 5), ("f", 3), ("f", 4), ("f", 5)]
+    assert day["e", 2]["gross_return"] == pytest.approx(0.5 * 0.1 + 0.5 * 0.2) and day["e", 2]["missing_held"] == 0
+    assert day["e", 3]["gross_return"] == pytest.approx(-0.55 / 1.15) and day["e", 3]["missing_held"] == 1
+    assert day["e", 4]["gross_return"] == pytest.approx(0.125) and day["e", 4]["missing_held"] == 1
+    assert day["f", 3]["gross_return"] == -0.5 and day["f", 4]["gross_return"] == 0.0
+    turnover = {(r["experiment"], r["block"]): r["turnover"] for r in led.blocks.collect()}
+    # at session 3 the loss has taken "a" whole; -0.4 of "b" is -0.4 / 0.6 of what is left
+    assert turnover["e", 1] == 1.0 and turnover["e", 3] == pytest.approx(0.25 + 0.4 / 0.6 + 0.25)
+    plan = led.held._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and plan.count("Join") == 1
+
+
+def test_rolling_quantiles_equal_the_sliding_aggregate(spark):
+    """Also over batches, gaps, missing values, infinities and rows without a name."""
+    rng = np.random.default_rng(8)
+    odd = [None, float("inf"), -1.0, -1.0]
+    rows = [(None if k == 4 else f"n{k}", s, odd[s % 4] if rng.random() < 0.3 else float(rng.normal())) for k in range(5) for s in range(60) if rng.random() < 0.8]
+    df = spark.createDataFrame(rows, "security_id string, session_idx int, x double")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for lo, hi, k in ((-9, 0, 4), (-12, -1, 3)):
+            outs = {"a": ("x", 0.5), "b": ("x", 0.7)}
+            want = df.withColumns({o: fr.roll(fr.quantile(q), v, fr.ts_between(lo, hi), k) for o, (v, q) in outs.items()})
+            got = fr.rolling_quantiles(df, outs, lo, hi, k)
+            assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.where(F.col("a").isNotNull()).count() > 50
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
