@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from panelweft.functions import frames as fr
 from panelweft.operators import fundamentals as fd
 from panelweft.operators import ledger as lg
 from panelweft.operators import research as rs
+from panelweft.plans import q_research
 
 
 def test_covariance_follows_members(spark):
@@ -89,3 +92,14 @@ def test_rolling_quantiles_equal_the_sliding_aggregate(spark):
             assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.where(F.col("a").isNotNull()).count() > 50
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+
+
+def test_train_segment_derives_no_later_session(spark, small):
+    """Families of the train segment are cut at its end before their windows, not after; results are those of the whole."""
+    ics = q_research.family_ics(spark, small)
+    assert re.search(rf"session_idx#\d+ <= {q_research.TRAIN_END}\b", ics._jdf.queryExecution().optimizedPlan().toString())
+    whole = q_research.family_ics(spark, small, train=False).where(F.col("session_idx") + q_research.H <= q_research.TRAIN_END)
+    keyed = lambda d: {(r["family"], r["session_idx"]): (r["names"], r["rank_ic"]) for r in d.collect()}
+    a, b = keyed(ics), keyed(whole)
+    assert a.keys() == b.keys() and len(a) > 100
+    assert all(a[k][0] == b[k][0] and (a[k][1] == b[k][1] or a[k][1] == pytest.approx(b[k][1], abs=1e-12)) for k in a)
