@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelweft.functions import frames as fr
+from panelweft.operators import features as ft
 from panelweft.operators import fundamentals as fd
 from panelweft.operators import ledger as lg
 from panelweft.operators import research as rs
@@ -103,3 +104,21 @@ def test_train_segment_derives_no_later_session(spark, small):
     a, b = keyed(ics), keyed(whole)
     assert a.keys() == b.keys() and len(a) > 100
     assert all(a[k][0] == b[k][0] and (a[k][1] == b[k][1] or a[k][1] == pytest.approx(b[k][1], abs=1e-12)) for k in a)
+
+
+def test_tails_need_no_sliding_aggregate(spark):
+    """Scores and thresholds equal those of sliding windows, also where a window doesn't vary; none is planned."""
+    rng = np.random.default_rng(2)
+    rows = [(f"n{k}", s, True, 0.1 if k == 0 and s < 30 else None if rng.random() < 0.1 else float(rng.normal())) for k in range(4) for s in range(80) if rng.random() < 0.9]
+    df = spark.createDataFrame(rows, "security_id string, session_idx int, eligible boolean, x double")
+    got = ft.standardised_tail(df, "x", 12, 5)
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+    f = fr.ts_prior(12)
+    z = fr.clip(fr.ratio(F.col("x") - fr.roll(F.avg, "x", f, 5), fr.positive(fr.roll(F.stddev_samp, "x", f, 5))), -5.0, 5.0)
+    want = df.withColumn("z_score", z).withColumn("threshold", fr.roll(fr.quantile(0.7), F.abs(F.col("z_score")), f, 5))
+    keyed = lambda d: {(r["security_id"], r["session_idx"]): (r["z_score"], r["threshold"]) for r in d.collect()}
+    a, b = keyed(got), keyed(want)
+    assert a.keys() == b.keys() and sum(v[1] is not None for v in a.values()) > 100
+    for k in a:
+        for x, y in zip(a[k], b[k]):
+            assert x == (None if y is None else pytest.approx(y, abs=1e-9)), k
