@@ -118,29 +118,79 @@ def _interpolated(ordered: np.ndarray, q: float) -> float:
 
 def _centred(value: np.ndarray) -> np.ndarray:
     """Ranks of the winsorised values, from -1 to 1."""
-    ordered, n = np.sort(value), len(value)
-    v = np.fmin(np.maximum(value, _interpolated(ordered, 0.01)), _interpolated(ordered, 0.99))
+    order, n = np.argsort(value), len(value)
+    v = value[order]
+    # both steps keep the order, so the values are sorted once
+    v = np.fmin(np.maximum(v, _interpolated(v, 0.01)), _interpolated(v, 0.99))
     v = np.sign(v) * np.floor(np.abs(v) * 1e9 + 0.5) / 1e9
-    ordered = np.sort(v)
-    k = (np.searchsorted(ordered, v, "left") + 1 + np.searchsorted(ordered, v, "right")) / 2.0  # ties share their mean
+    start = np.flatnonzero(np.append(True, (v[1:] != v[:-1]) & ~(np.isnan(v[1:]) & np.isnan(v[:-1]))))
+    stop = np.append(start[1:], n)
+    k = np.empty(n)
+    k[order] = np.repeat((start + 1 + stop) / 2.0, stop - start)  # ties share their mean
     return (k - (n + 1) / 2) / ((n - 1) / 2)
 
 
-def _ranks_of_each(expanded: DataFrame, components: Sequence[str]) -> DataFrame:
-    """Adds the winsorised rank of each component in its (session, sector); a task holds the numbers of one such group."""
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in expanded.schema)
+#: Sessions that a task ranks one after the other from the same rows.
+BLOCK = 16
 
-    def run(t: pa.Table) -> pa.Table:
-        for c in components:
-            own = t.column(c).combine_chunks()
-            there = own.is_valid().to_numpy(zero_copy_only=False)
-            rank = np.full(len(own), np.nan)
-            if there.sum() >= 5:
-                rank[there] = _centred(own.drop_null().cast(pa.float64()).to_numpy(zero_copy_only=False))
-            t = t.append_column(f"{c}_rank", pa.array(rank, mask=~there | (there.sum() < 5)))
-        return t
 
-    return expanded.groupBy("session_idx", "sector").applyInArrow(run, kinds + "".join(f", `{c}_rank` double" for c in components))
+def _ranked_sessions(batches, keep: Sequence[str], components: Sequence[str]):
+    """Batches of (session, sector) after (session, sector) from spans sorted by sector, block and ``__s``.
+
+    Only rows that count in the session at hand or later ones are held: one for each name of a sector, and a batch.
+    """
+    key, held, at = None, None, 0
+    needed = list(dict.fromkeys([*keep, *components, "__s", "__e"]))
+
+    def ranked(first: int, stop: int):
+        start, end = held["__s"].to_numpy(), held["__e"].to_numpy()
+        for session in range(first, min(stop, int(end.max(initial=0)))):
+            now = held.filter(pa.array((start <= session) & (session < end)))
+            if not now.num_rows:
+                continue
+            columns = [now[c] for c in keep] + [pa.array(np.full(now.num_rows, session, dtype=np.int32))]
+            for c in components:
+                own = now[c].combine_chunks()
+                there = own.is_valid().to_numpy(zero_copy_only=False)
+                few = there.sum() < 5
+                rank = np.full(len(own), np.nan)
+                if not few:
+                    rank[there] = _centred(own.drop_null().cast(pa.float64()).to_numpy(zero_copy_only=False))
+                columns.append(pa.array(rank, mask=~there | few))
+            yield from pa.Table.from_arrays(columns, names=[*keep, "session_idx", *(f"{c}_rank" for c in components)]).to_batches(1 << 16)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sector = batch["sector"].dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        block = batch["__block"].to_numpy()
+        edges = [0, *(np.flatnonzero((sector[1:] != sector[:-1]) | (block[1:] != block[:-1])) + 1), len(block)]
+        for low, high in zip(edges, edges[1:]):
+            rows = pa.Table.from_batches([batch.slice(low, high - low).select(needed)])
+            mine = (batch["sector"][low].as_py(), int(block[low]))
+            if mine != key:
+                if held is not None:
+                    yield from ranked(at, (key[1] + 1) * BLOCK)
+                key, held, at = mine, rows.slice(0, 0), mine[1] * BLOCK
+            held = pa.concat_tables([held, rows])
+            seen = rows["__s"][-1].as_py()  # sessions before it have all their rows
+            if seen > at:
+                yield from ranked(at, seen)
+                held, at = held.filter(pa.array(held["__e"].to_numpy() > seen)).combine_chunks(), seen
+    if held is not None:
+        yield from ranked(at, (key[1] + 1) * BLOCK)
+
+
+def _ranks_of_each(spans: DataFrame, components: Sequence[str], keep: Sequence[str]) -> DataFrame:
+    """A row per session of each span with ``keep``, session_idx and the winsorised rank of each component in its (session,
+    sector). Spans go to the blocks of sessions they reach, so no row of a single session is shuffled."""
+    blocks = F.sequence(F.floor(F.col("__s") / BLOCK).cast("int"), F.floor((F.col("__e") - 1) / BLOCK).cast("int"))
+    rows = spans.select(*dict.fromkeys([*keep, "sector", *components]), "__s", "__e", F.explode(blocks).alias("__block"))
+    rows = rows.withColumns({"__s": F.greatest("__s", F.col("__block") * BLOCK), "__e": F.least("__e", (F.col("__block") + 1) * BLOCK)})
+    kinds = {f.name: f.dataType.simpleString() for f in spans.schema}
+    schema = ", ".join([f"`{c}` {kinds[c]}" for c in keep] + ["session_idx int"] + [f"`{c}_rank` double" for c in components])
+    rows = rows.repartition("sector", "__block").sortWithinPartitions("sector", "__block", "__s")
+    return rows.mapInArrow(lambda batches: _ranked_sessions(batches, keep, components), schema)
 
 
 def _ranks_of_all(expanded: DataFrame, components: Sequence[str]) -> DataFrame:
@@ -157,18 +207,8 @@ def _ranks_of_all(expanded: DataFrame, components: Sequence[str]) -> DataFrame:
     return join_safe(expanded, each, ["session_idx", "symbol"])
 
 
-def fundamental_scores(
-    expanded: DataFrame, minimum: int = 100, components: Sequence[str] = COMPONENTS, wide: bool = False
-) -> DataFrame:
-    """Sector-neutral quality and conservative-growth scores per session.
-
-    Values are winsorised at the 1st and 99th percentile of (session, sector),
-    ranked to [-1, 1] where five or more names are present, then averaged.
-    """
-    if wide:
-        df = _ranks_of_all(expanded, components)
-    else:
-        df = _ranks_of_each(expanded, components)
+def _scored(df: DataFrame, names: DataFrame, minimum: int, components: Sequence[str]) -> DataFrame:
+    """Means of the ranks of both families, where a session has ``minimum`` names (session_idx, __names)."""
     ranks = [F.col(f"{c}_rank") for c in components]
 
     def mean(cols, out):
@@ -178,8 +218,8 @@ def fundamental_scores(
 
     qn, q = mean(ranks[:4], "quality")
     gn, g = mean(ranks[4:], "growth")
-    # one row per (session, symbol): the row count is the number of symbols; a row a session, calendar-bounded
-    df = join_safe(df, F.broadcast(expanded.groupBy("session_idx").agg(F.count("*").alias("__names"))), ["session_idx"])
+    # a row a session, calendar-bounded
+    df = join_safe(df, F.broadcast(names), ["session_idx"])
     big = F.col("__names") >= minimum
     return df.withColumns(
         {
@@ -191,3 +231,29 @@ def fundamental_scores(
     ).drop("__names", *[f"{c}_rank" for c in components])
 
 
+def span_scores(
+    spans: DataFrame, minimum: int = 100, components: Sequence[str] = COMPONENTS, keep: Sequence[str] = ("symbol",)
+) -> DataFrame:
+    """:func:`fundamental_scores` of values that count from session ``__s`` up to the one before ``__e``: a row per session of
+    each span, with ``keep`` and session_idx. Spans of a symbol don't overlap."""
+    # equal spans are counted once before they expand
+    alike = spans.groupBy("__s", "__e").agg(F.count("*").alias("__n"))
+    each = alike.select(F.explode(F.sequence(F.col("__s"), F.col("__e") - 1)).alias("session_idx"), "__n")
+    names = each.groupBy("session_idx").agg(F.sum("__n").alias("__names"))
+    return _scored(_ranks_of_each(spans, components, keep), names, minimum, components)
+
+
+def fundamental_scores(
+    expanded: DataFrame, minimum: int = 100, components: Sequence[str] = COMPONENTS, wide: bool = False
+) -> DataFrame:
+    """Sector-neutral quality and conservative-growth scores per session.
+
+    Values are winsorised at the 1st and 99th percentile of (session, sector),
+    ranked to [-1, 1] where five or more names are present, then averaged.
+    """
+    if not wide:
+        spans = expanded.withColumns({"__s": F.col("session_idx").cast("int"), "__e": (F.col("session_idx") + 1).cast("int")})
+        return span_scores(spans.drop("session_idx"), minimum, components, [c for c in expanded.columns if c != "session_idx"])
+    # one row per (session, symbol): the row count is the number of symbols
+    names = expanded.groupBy("session_idx").agg(F.count("*").alias("__names"))
+    return _scored(_ranks_of_all(expanded, components), names, minimum, components)

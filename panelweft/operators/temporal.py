@@ -70,14 +70,32 @@ def day_map(calendar: DataFrame, first: date, last: date) -> DayMap:
     return DayMap(Bounded(days.unionByName(beyond), (last - first).days + 2), first, last)
 
 
-def expand_intervals(df: DataFrame, days: DayMap, start: str, stop: str) -> DataFrame:
-    """One row per session of ``[start, stop)``, wherever the interval begins and ends; without a date there are none."""
+def session_spans(df: DataFrame, days: DayMap, start: str, stop: str) -> DataFrame:
+    """Adds ``__s`` and ``__e``: the sessions of ``[start, stop)``, wherever the interval begins and ends, are those from ``__s``
+    up to the one before ``__e``. Rows without a session or a date are dropped."""
     s = days.days.side(F.col("day").alias("__from"), F.col("from_idx").alias("__s"))
     e = days.days.side(F.col("day").alias("__to"), F.col("from_idx").alias("__e"))
     df = df.where(F.col(start).isNotNull() & F.col(stop).isNotNull())
     df = df.withColumns({"__from": days.index(F.col(start)), "__to": days.index(F.col(stop))}).join(s, "__from").join(e, "__to")
-    df = df.where(F.col("__s") < F.col("__e"))
-    return df.withColumn("session_idx", F.explode(F.sequence(F.col("__s"), F.col("__e") - 1))).drop("__s", "__e", "__from", "__to")
+    return df.where(F.col("__s") < F.col("__e")).drop("__from", "__to")
+
+
+def expand_intervals(df: DataFrame, days: DayMap, start: str, stop: str) -> DataFrame:
+    """One row per session of ``[start, stop)``, wherever the interval begins and ends; without a date there are none."""
+    df = session_spans(df, days, start, stop)
+    return df.withColumn("session_idx", F.explode(F.sequence(F.col("__s"), F.col("__e") - 1))).drop("__s", "__e")
+
+
+def _carried(events: DataFrame, key: str, at: str, max_age_days: int | None, horizon: Column, ties: Sequence[str]) -> DataFrame:
+    """The last event of each key and day with ``__until``, the day from which it no longer counts."""
+    payload = F.struct(*[c for c in events.columns if c not in (key, at)])
+    one = events.groupBy(key, at).agg(F.max_by(payload, F.struct(*ties) if ties else F.lit(1)).alias("__p"))
+    nxt = F.lead(at).over(Window.partitionBy(key).orderBy(at))
+    until = F.coalesce(nxt, horizon)
+    if max_age_days is not None:
+        until = F.least(until, F.date_add(F.col(at), max_age_days + 1))
+    until = F.least(until, horizon)
+    return one.withColumn("__until", until).where(F.col(at) < F.col("__until"))
 
 
 def asof_events(
@@ -89,17 +107,19 @@ def asof_events(
 
     ``horizon`` is the day after the last session: an open event ends there.
     """
-    payload = F.struct(*[c for c in events.columns if c not in (key, at)])
-    one = events.groupBy(key, at).agg(F.max_by(payload, F.struct(*ties) if ties else F.lit(1)).alias("__p"))
-    nxt = F.lead(at).over(Window.partitionBy(key).orderBy(at))
-    until = F.coalesce(nxt, horizon)
-    if max_age_days is not None:
-        until = F.least(until, F.date_add(F.col(at), max_age_days + 1))
-    until = F.least(until, horizon)
-    one = one.withColumn("__until", until).where(F.col(at) < F.col("__until"))
+    one = _carried(events, key, at, max_age_days, horizon, ties)
     return expand_intervals(one, days, at, "__until").select(key, at, "session_idx", "__p.*")
 
 
+def asof_spans(
+    events: DataFrame, key: str, at: str, days: DayMap, max_age_days: int | None,
+    horizon: Column, ties: Sequence[str] = (),
+) -> DataFrame:
+    """:func:`asof_events` with a row per event that any session sees: it counts from session ``__s`` up to the one before ``__e``."""
+    one = _carried(events, key, at, max_age_days, horizon, ties)
+    return session_spans(one, days, at, "__until").select(key, at, "__s", "__e", "__p.*")
+
+
 #: Events of a key that one task searches, and the most parts that a key's events are cut into.
 BUCKET_ROWS, TILES = 1_000_000, 1024
 

@@ -51,12 +51,18 @@ def days(spark, sf):
     return tp.day_map(tb.calendar(spark, sf), sh.first, sh.last)
 
 
+def _asof_filings(spark, sf, carry):
+    f = ev.filing_events(spark, sf)
+    return carry(f, "symbol", "available_at", days(spark, sf), 400, ev.horizon(spark, sf), ("accession",))
+
+
+def with_session(spark, sf, df):
+    return tb.attach(df, tb.calendar(spark, sf), "session_idx", tb.shape(spark, sf).sessions)
+
+
 def expanded_filings(spark, sf):
     """Latest filing per symbol and session, at most 400 days old."""
-    sh = tb.shape(spark, sf)
-    f = ev.filing_events(spark, sf)
-    e = tp.asof_events(f, "symbol", "available_at", days(spark, sf), 400, ev.horizon(spark, sf), ("accession",))
-    e = tb.attach(e, tb.calendar(spark, sf), "session_idx", sh.sessions)
+    e = with_session(spark, sf, _asof_filings(spark, sf, tp.asof_events))
     return e.withColumn("age", F.date_diff("session", "available_at"))
 
 
@@ -320,14 +326,15 @@ SCORES_SQL = (
 )
 
 
-#: Most names of a sector whose six numbers a session one task ranks: some 200 bytes a name.
+#: Most names of a sector whose six numbers one task holds and ranks, session after session: some 500 bytes a name that counts at a time.
 SCORED_NAMES = 4_000_000
 
 
 def fundamental_scores(spark, sf):
     most = tb._once(spark, sf, "largest segment", lambda: tb.table(spark, sf, "customer").groupBy("c_mktsegment").count().agg(F.max("count")).first()[0] or 0)
-    filings = expanded_filings(spark, sf).select("symbol", "session", "session_idx", "sector", *fd.COMPONENTS)
-    return fd.fundamental_scores(filings, 100, wide=most > SCORED_NAMES)
+    if most > SCORED_NAMES:
+        return fd.fundamental_scores(expanded_filings(spark, sf).select("symbol", "session", "session_idx", "sector", *fd.COMPONENTS), 100, wide=True)
+    return with_session(spark, sf, fd.span_scores(_asof_filings(spark, sf, tp.asof_spans), 100))
 
 
 @query(

@@ -13,7 +13,7 @@ from panelweft.operators import features as ft
 from panelweft.operators import fundamentals as fd
 from panelweft.operators import ledger as lg
 from panelweft.operators import research as rs
-from panelweft.plans import q_research
+from panelweft.plans import q_research, q_temporal
 
 
 def test_covariance_follows_members(spark):
@@ -56,6 +56,37 @@ def test_scores_hold_one_group_of_numbers(spark):
             assert a[k][c] == (None if b[k][c] is None else pytest.approx(b[k][c], abs=1e-12))
 
 
+def test_scores_shuffle_spans_not_sessions(spark, small):
+    """Scores of spans equal the tiled plan's on a row per session, over blocks, batches, gaps, revisions, missing and odd values;
+    the query expands filings to sessions in the task that ranks them."""
+    rng = np.random.default_rng(4)
+    odd = (None, 0.0, float("inf"), float("nan"))
+    rows = []
+    for k in range(45):
+        cuts = sorted(rng.choice(60, 6, replace=False).tolist())
+        for low, high in [(0, 60)] if k % 9 == 0 else [(a, b) for a, b in zip(cuts, cuts[1:]) if rng.random() > 0.2]:
+            rows.append((k, None if k % 3 == 0 else f"s{k % 2}", low, high, *(odd[k % 4] if rng.random() < 0.2 else float(rng.integers(0, 9)) / 3 for _ in fd.COMPONENTS)))
+    spans = spark.createDataFrame(rows, "symbol int, sector string, __s int, __e int, " + ", ".join(f"{c} double" for c in fd.COMPONENTS))
+    expanded = spans.select("symbol", "sector", F.explode(F.sequence("__s", F.col("__e") - 1)).alias("session_idx"), *fd.COMPONENTS)
+    keyed = lambda d: {(r["session_idx"], r["symbol"]): r for r in d.collect()}
+    want = keyed(fd.fundamental_scores(expanded, 30, wide=True))
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for batch in ("7", size):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        try:
+            rowed = fd.span_scores(spans, 30).collect()
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        got = {(r["session_idx"], r["symbol"]): r for r in rowed}
+        assert len(rowed) == len(got) and got.keys() == want.keys() and {s for s, _ in got} == set(range(60))
+        assert len({r["quality_score"] is None for r in rowed}) == 2
+        for k in got:
+            for c in ("quality_components", "growth_components", "quality_score", "conservative_growth_score"):
+                assert got[k][c] == (None if want[k][c] is None else pytest.approx(want[k][c], abs=1e-12, nan_ok=True)), (k, c)
+    plan = q_temporal.w38(spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert re.findall(r"explode\(sequence\(__s#[^\n]*\n\W*(\w+)", plan) == ["Aggregate"]
+
+
 def test_ledger_reads_each_history_once(spark):
     """Paths come from one row a name: sparse returns count as flat, a total loss stays one, and no path row is joined or shuffled."""
     tg = [("e", 1, "a", 0.5), ("e", 1, "b", -0.5), ("e", 3, "b", 0.25), ("e", 3, "c", 0.25), ("f", 2, "a", 0.5)]
